@@ -137,7 +137,7 @@ def mixture_pack(docs: DataFrame, path: str, end: int = 1, width: int = 2048, qu
     doesn't name come when the others have run dry. ``width`` and ``quantum``: powers of two."""
     encoded = queues(docs, path, end)
     size = tokens.encoder(path, False).kind.itemsize
-    sums = encoded.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    sums = common.materialize(encoded.groupBy("source", "part").agg(F.sum("n").alias("n")), "queue-sums")
     n_sources = sums.select("source").distinct().count()
     queue = F.coalesce("source", F.lit("\0")) if n_sources <= QUEUES else F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string")
     before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)

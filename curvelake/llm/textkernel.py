@@ -17,8 +17,9 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the public splitmix64 constants)."""
     x = np.asarray(x, U64)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
     return x ^ (x >> U64(31))
 
 
