@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import common, huffman, lines, ngram_join, packing
+from curvelake.llm import common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, topk, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -21,6 +21,10 @@ def op1_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, out)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sentencepiece_scan(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.mixture_pack(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -29,13 +33,33 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op6_url_linkrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkrank.url_verdicts(common.table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(common.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(common.table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_rules(common.table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.ORACLE}
+    return {"op4_line_dedup": lines.ORACLE, "op6_url_linkrank": linkrank.oracle(), "op10_exact_topk": topk.ORACLE}
