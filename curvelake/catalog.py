@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.plans import chains
+from curvelake.plans import chains, curves
 
-MODULES = (chains,)
+MODULES = (chains, curves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

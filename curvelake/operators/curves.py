@@ -28,9 +28,9 @@ def resample(points: DataFrame, ends: DataFrame, key: str = "curve") -> DataFram
     """
     cell = F.greatest(F.lit(0), F.ceil((F.col("t") - EPSILON) / STEP - 1e-12)).cast("int")
     own = points.where(F.coalesce("is_valid", F.lit(True))).select(key, cell.alias("k"), "t", "v")
-    last = own.groupBy(key, "k").agg(F.max_by("v", F.struct("t", "v")).alias("seen"), F.min(F.struct("t", "v")).alias("low"))
-    first = last.groupBy(key).agg(F.min("low").alias("first"))
-    grid = ends.join(first, key).select(key, F.expr(f"explode(sequence(0, {grid_size('end')} - 1))").alias("k"), F.col("first.v").alias("first"))
+    last = own.groupBy(key, "k").agg(F.max_by("v", F.struct("t", "v")).alias("seen"), F.min("t").alias("t0"), F.min_by("v", F.struct("t", "v")).alias("v0"))
+    first = last.groupBy(key).agg(F.min_by("v0", F.struct("t0", "v0")).alias("first"))
+    grid = ends.join(first, key).select(key, F.expr(f"explode(sequence(0, {grid_size('end')} - 1))").alias("k"), "first")
     before = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     seen = grid.join(last.select(key, "k", "seen"), [key, "k"], "left")
     return seen.select(key, "k", F.coalesce(F.last("seen", ignorenulls=True).over(before), "first").alias("v"))
