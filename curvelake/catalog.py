@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.plans import chains, curves
+from curvelake.plans import chains, curves, queues
 
-MODULES = (chains, curves)
+MODULES = (chains, curves, queues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
