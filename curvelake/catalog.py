@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.plans import chains, curves, queues
+from curvelake.plans import chains, curves, ingest, media, queues
 
-MODULES = (chains, curves, queues)
+MODULES = (chains, curves, queues, media, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -307,7 +307,7 @@ def stratified(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").withColumn("k", F.row_number().over(w)).where("k <= 10").select("p_type", "p_partkey")
 
 
-@query("Z2_look_ahead", "SELECT event_id, array_to_string([lead(event_id, 1) OVER w, lead(event_id, 2) OVER w], ',') AS ahead FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("Z2_look_ahead", "SELECT event_id, coalesce(array_to_string([lead(event_id, 1) OVER w, lead(event_id, 2) OVER w], ','), '') AS ahead FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def look_ahead(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     return table(spark, sf, "events").select("event_id", F.concat_ws(",", F.lead("event_id", 1).over(w).cast("string"), F.lead("event_id", 2).over(w).cast("string")).alias("ahead"))
