@@ -42,7 +42,7 @@ def compare(pairs: DataFrame, key: list[str]) -> DataFrame:
     The correlation needs three cells and both deviations of FLAT at least; else it is null.
     """
     n, both = F.count("*"), (F.stddev_pop("mine") >= FLAT) & (F.stddev_pop("ref") >= FLAT)
-    return pairs.groupBy(*key).agg(F.round(F.avg(F.abs(F.col("mine") - F.col("ref"))), 3).alias("mae"), F.when((n >= 3) & both, F.round(F.corr("mine", "ref"), 2)).alias("r"), n.alias("n"))
+    return pairs.groupBy(*key).agg(F.round(F.avg(F.abs(F.col("mine") - F.col("ref"))), 3).alias("mae"), F.when((n >= 3) & both, F.round(F.try_divide(F.covar_pop("mine", "ref"), F.stddev_pop("mine") * F.stddev_pop("ref")), 2)).alias("r"), n.alias("n"))
 
 
 def downsample(grid: DataFrame, points: int = 60, key: str = "curve") -> DataFrame:

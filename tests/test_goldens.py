@@ -1,0 +1,238 @@
+"""Literal cases of the operators."""
+
+import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from curvelake.functions import scalars
+from curvelake.operators import allocation, chains, completion, curves, geometry, graph, islands, lifecycle, monitor, quality, records, transcripts
+from curvelake.sources import files
+
+
+def frame(spark, schema, rows):
+    return spark.createDataFrame(rows, schema)
+
+
+def curve(spark, points, end):
+    own = frame(spark, "curve string, t double, v double, is_valid boolean", [("c", *p) for p in points])
+    out = curves.resample(own, frame(spark, "curve string, end double", [("c", end)]))
+    return [r.v for r in out.orderBy("k").collect()]
+
+
+def test_resample_holds_the_last_value(spark):
+    assert curve(spark, [(0.0, 0.0, True), (0.25, 1.0, True)], 0.4) == [0, 0, 0, 1, 1]
+
+
+def test_resample_leaves_invalid_points_out_and_starts_with_the_first(spark):
+    assert curve(spark, [(0.15, 0.5, None), (0.1, 9.0, False)], 0.3) == [0.5, 0.5, 0.5]  # floor(0.3 / 0.1) is 2
+    assert curve(spark, [(0.1, 9.0, False)], 0.3) == []
+
+
+def test_resample_equals_its_definition(spark):
+    rng = random.Random(4)
+    points, want, ends = [], {}, []
+    for c in range(60):
+        own = [(rng.choice([rng.random() * 2, rng.randrange(20) / 10]), rng.random()) for _ in range(rng.randrange(1, 12))]
+        end = rng.random() * 2
+        points += [(str(c), *p, True) for p in own]
+        ends.append((str(c), end))
+        ordered = sorted(own)
+        for k in range(max(1, int(end / 0.1) + 1)):
+            seen = [v for t, v in ordered if t <= k * 0.1 + 1e-9]
+            want[str(c), k] = seen[-1] if seen else ordered[0][1]
+    got = curves.resample(frame(spark, "curve string, t double, v double, is_valid boolean", points), frame(spark, "curve string, end double", ends))
+    assert {(r.curve, r.k): r.v for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(("mine", "ref", "mae", "r"), [([0.1, 0.5, 0.9], [0.1, 0.5, 0.9], 0.0, 1.0), ([0.1, 0.5, 0.9], [0.6, 1.0, 1.4], 0.5, 1.0), ([0.3, 0.3, 0.3], [0.1, 0.5, 0.9], 0.333, None), ([0.1, 0.9], [0.1, 0.9], 0.0, None)])
+def test_compare(spark, mine, ref, mae, r):
+    rows = [("x", k, a, b) for k, (a, b) in enumerate(zip(mine, ref, strict=True))]
+    out = curves.compare(frame(spark, "c string, k int, mine double, ref double", rows), ["c"]).first()
+    assert (out.mae, out.r) == (mae, r)
+
+
+def test_fill_cells_only_within_a_run(spark):
+    rows = [("c", 1, 1, 0.1), ("c", 1, 4, 0.4), ("c", 1, 34, 1.0), ("c", 2, 37, 0.0)]
+    out = curves.fill_cells(frame(spark, "curve string, run int, cell int, v double", rows)).orderBy("cell").collect()
+    assert [(r.cell, round(r.v, 6), r.filled) for r in out] == [(1, 0.1, False), (2, 0.2, True), (3, 0.3, True), (4, 0.4, False), (34, 1.0, False), (37, 0.0, False)]
+
+
+def test_trajectory_orders_chunks_and_drops_copies(spark):
+    rows = [("a", 5, [(0.5, 2.0)], 2), ("a", 0, [(0.0, 1.0), (0.1, 1.5)], 1), ("a", 5, [(9.9, 9.0)], 3)]
+    own = frame(spark, "attempt_id string, chunk_index int, samples array<struct<t:double,v:double>>, created_at int", rows)
+    assert [r.t for r in curves.trajectory(own).orderBy("chunk_index", "pos").collect()] == [0.0, 0.1, 0.5]
+
+
+def test_completion_needs_both_dimensions_and_ignores_redos(spark):
+    day = datetime.datetime(2024, 1, 1)
+    at = lambda s: day + datetime.timedelta(seconds=s)
+    rows = [("a", 1, "valence", at(0)), ("a", 1, "valence", at(5)), ("a", 2, "valence", at(1)), ("a", 2, "arousal", at(3)), ("a", 2, "arousal", at(9))]
+    own = frame(spark, "annotator_id string, task_id int, dimension string, submitted_at timestamp", rows)
+    both = ["valence", "arousal"]
+    assert [r.task_id for r in completion.complete_tasks(own, both).collect()] == [2]
+    assert [r.completed_at for r in completion.completion_times(own, both).collect()] == [at(3)]
+
+
+def test_an_unsubmitted_redo_uncompletes_for_the_client_only(spark):
+    rows = [("a", 1, "valence", 1, "s1"), ("a", 1, "arousal", 2, "s2"), ("a", 1, "valence", 3, "s3")]
+    tries = frame(spark, "annotator_id string, task_id int, dimension string, started_at int, attempt_id string", rows)
+    sent = tries.where("attempt_id <> 's3'")
+    assert completion.client_complete(tries, sent, ["valence", "arousal"]).count() == 0
+    assert completion.complete_tasks(sent, ["valence", "arousal"]).count() == 1
+
+
+def test_prune_keeps_one_version_at_least(spark):
+    rows = frame(spark, "c string, n int", [("x", i) for i in range(5)])
+    assert sorted(r.n for r in chains.prune(rows, ["c"], ["n"], 2).collect()) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        chains.prune(rows, ["c"], ["n"], 0)
+
+
+def test_pace_of_two_bursts(spark):
+    start = datetime.datetime(2024, 1, 1)
+    times = [start + datetime.timedelta(seconds=15 * i + (8 * 3600 if i >= 30 else 0)) for i in range(60)]
+    done = frame(spark, "annotator_id string, task_id int, completed_at timestamp", [("a", i, t) for i, t in enumerate(times)])
+    out = monitor.pace(done).first()
+    assert (out.n_gaps, out.seconds_per_task) == (58, 15.0)
+    assert monitor.pace(done.limit(10)).first().seconds_per_task is None
+
+
+def test_forecast_rate_and_need(spark):
+    now = datetime.datetime(2024, 1, 10, 12)
+    done = frame(spark, "annotator_id string, task_id int, completed_at timestamp", [("a", i, now - datetime.timedelta(hours=i / 5)) for i in range(1, 61)])
+    out = monitor.forecast(done, F.lit(now), F.lit(100), F.lit(now + datetime.timedelta(days=1))).first()
+    assert (out.per_day, out.last_24h, out.on_track, out.needed_per_day) == (120.0, 60, True, 100)
+
+
+def test_local_day_is_three_hours_ahead(spark):
+    rows = frame(spark, "ts timestamp", [(datetime.datetime(2024, 1, 1, 20, 30),), (datetime.datetime(2024, 1, 1, 21, 30),)])
+    assert [str(r.d) for r in rows.select(monitor.local_day(F.col("ts")).alias("d")).collect()] == ["2024-01-01", "2024-01-02"]
+
+
+def test_close_then_open(spark):
+    shown = [0, 1, 1, 0, 1, 0, 0, 0, 1, 0]
+    rows = frame(spark, "g string, i int, seen boolean", [("x", i, bool(s)) for i, s in enumerate(shown)])
+    out = islands.close_open(rows, "g", "i", "seen", 1, 2).orderBy("i").collect()
+    assert [int(r.smooth) for r in out] == [0, 1, 1, 1, 1, 0, 0, 0, 0, 0]
+
+
+def test_nearest_rank_rounds_halves_to_even(spark):
+    rows = spark.range(1).select(scalars.nearest_rank(F.array(*map(F.lit, range(6))), 0.5).alias("p"), scalars.nearest_rank(F.array().cast("array<int>"), 0.5).alias("e"))
+    assert tuple(rows.first()) == (2, None)  # 2.5 -> 2
+
+
+def test_iou_and_clamp(spark):
+    box = lambda *v: F.array(*map(F.lit, map(float, v)))
+    out = spark.range(1).select(geometry.iou(box(0, 0, 2, 2), box(1, 1, 2, 2)).alias("a"), geometry.iou(box(0, 0, 0, 0), box(0, 0, 0, 0)).alias("b"), geometry.clamp_centre(F.lit(1.0), F.lit(4.0), F.lit(10.0)).alias("c")).first()
+    assert (round(out.a, 6), out.b, out.c) == (round(1 / 7, 6), 0.0, 2.0)
+
+
+def test_link_follows_the_last_box(spark):
+    face = lambda x, sim: ([float(x), 0.0, 10.0, 10.0], 0.9, sim)
+    rows = [("t", 0, [face(0, 0.5), face(100, 0.2)]), ("t", 1, [face(1, 0.30), face(100, 0.50)]), ("t", 2, [face(500, 0.1)]), ("t", 3, [])]
+    own = frame(spark, "t string, frame_i int, faces array<struct<bbox:array<double>,det:double,sim:double>>", rows)
+    assert geometry.link_track(own, "t").first().picks == [0, 0, -1, -1]
+
+
+def loop_normalise(words):
+    out, cursor = [], None
+    for s, e in words:
+        start = s if cursor is None else max(s, cursor)
+        end = max(e, start + 0.04)
+        out.append((start, end))
+        cursor = end
+    return out
+
+
+def test_normalise_equals_the_loop(spark):
+    rng = random.Random(9)
+    groups = {str(g): [(rng.random() * 3, rng.random() * 3) for _ in range(rng.randrange(1, 15))] for g in range(80)}
+    rows = [(g, i, *w) for g, ws in groups.items() for i, w in enumerate(ws)]
+    got = transcripts.normalise(frame(spark, "g string, i int, s double, e double", rows), "g").collect()
+    want = {(g, i): w for g, ws in groups.items() for i, w in enumerate(loop_normalise(ws))}
+    for r in got:
+        assert (r.start, r.end) == pytest.approx(want[r.g, r.i], abs=1e-9)
+
+
+@pytest.mark.parametrize(("text", "words"), [("3", "THREE"), ("25", "TWENTY FIVE"), ("100", "ONE HUNDRED"), ("Room 1204!", "ROOM ONE THOUSAND TWO HUNDRED FOUR"), ("0", "ZERO"), (None, "")])
+def test_spoken_numbers(spark, text, words):
+    assert frame(spark, "t string", [(text,)]).select(transcripts.spoken("t").alias("w")).first().w == words
+
+
+def test_chinese_splits_by_character(spark):
+    out = frame(spark, "t string, l string", [("你 好。", "zh"), (" a  b ", "en")]).select(transcripts.tokens(F.col("t"), F.col("l")).alias("x")).collect()
+    assert [r.x for r in out] == [["你", "好", "。"], ["a", "b"]]
+
+
+def test_components_and_ties(spark):
+    vertices = frame(spark, "g int, id long", [(1, i) for i in range(1, 8)])
+    edges = frame(spark, "g int, a long, b long", [(1, 5, 4), (1, 3, 2), (1, 6, 7)])
+    parts = graph.components(vertices, edges, ["g"])
+    assert {r.id: r.component for r in parts.collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6}
+    assert sorted(r.id for r in graph.largest_component(parts, ["g"]).collect()) == [2, 3]
+
+
+def test_assignment_is_even_and_distinct(spark):
+    pool = frame(spark, "sample_id int, modality string, language string", [(s, m, "zh" if s < 20 and m == "text" else None) for s in range(101) for m in ("face", "text")])
+    people = frame(spark, "annotator_id string, language string", [(f"p{i}", "zh" if i < 3 else "en") for i in range(7)])
+    plan = allocation.assign(pool, people, 2, 1).collect()
+    assert len({(r.sample_id, r.modality, r.annotator_id) for r in plan}) == len(plan) == 404
+    assert {r.annotator_id for r in plan if r.sample_id < 20 and r.modality == "text"} == {"p0", "p1", "p2"}
+    loads = [sum(r.annotator_id == p and r.modality == "face" for r in plan) for p in (f"p{i}" for i in range(7))]
+    assert max(loads) - min(loads) <= 1
+    assert sorted(map(tuple, allocation.assign(pool, people, 2, 1).collect())) == sorted(map(tuple, plan))
+    with pytest.raises(Exception, match="too few people"):
+        allocation.assign(pool, people, 4, 1).collect()
+
+
+def test_transfer_appends_after_place_zero(spark):
+    queue = frame(spark, "annotator_id int, task_id int, order_index int, status string", [(1, 10, 0, "active"), (1, 11, 1, "active"), (1, 12, 2, "released"), (1, 13, 3, "active"), (2, 13, 0, "released")])
+    done = frame(spark, "annotator_id int, task_id int", [(1, 11)])
+    assert [(r.task_id, r.order_index) for r in lifecycle.transfer(queue, done, 1, 2).collect()] == [(10, 1)]
+
+
+def test_store_violations(spark):
+    rows = "attempt_id string, sample_count int, status string, digest string"
+    before = frame(spark, rows, [("a", 5, "recording", "x"), ("b", 5, "completed", "x"), ("c", 5, "completed", "x")])
+    after = frame(spark, rows, [("a", 4, "recording", "y"), ("b", 5, "completed", "y"), ("c", 5, "completed", "x")])
+    assert {r.attempt_id: r.violations for r in lifecycle.store_violations(before, after).collect()} == {"a": ["samples lost"], "b": ["finished attempt changed"]}
+
+
+def test_savitzky_golay_keeps_a_parabola_and_short_curves(spark):
+    rows = [("p", k, 0.1 * k * k - k) for k in range(20)] + [("s", k, float(k)) for k in range(3)]
+    out = quality.savitzky_golay(frame(spark, "curve string, k int, v double", rows)).collect()
+    assert all(r.smooth == pytest.approx(r.v, abs=1e-6) for r in out) and len(out) == 23
+
+
+def test_spot_check_is_stable(spark):
+    rows = frame(spark, "task_id int, completed_at timestamp", [(i, datetime.datetime(2024, 1, 1, 12, 0, i % 60)) for i in range(200)])
+    draw = lambda seed: [r.task_id for r in quality.spot_check(rows, F.lit("2024-01-01").cast("date"), 10, seed).collect()]
+    assert draw(1) == draw(1) != draw(2) and len(draw(1)) == 10
+
+
+def test_unreadable_record(spark):
+    out = records.validate(frame(spark, "p string", [("{",), (None,)]), "p", F.lit(10.0)).collect()
+    assert [r.errors for r in out] == [["unreadable"], ["unreadable"]]
+
+
+def test_half_written_lines_are_left_out_and_the_last_wins(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": "x", "n": 1}\n\n{"k": "y", "n": 2}\n{"k": "x", "n": 3}\n{"k": "z", "n"')
+    assert {(r.k, r.n) for r in files.read_keyed(spark, str(tmp_path), "k string, n int", "k").collect()} == {("x", 3), ("y", 2)}
+
+
+def test_import_without_the_optional_parts(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "curvelake", tmp_path / "curvelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not [n for n in q if n.startswith('op') or n == 'pipeline'] and set(e.oracle_sql()) <= set(q)"
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=120)
