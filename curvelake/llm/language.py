@@ -85,7 +85,8 @@ def phrases(data: np.ndarray, at: np.ndarray, symbol: np.ndarray, tables: list[n
             s = symbols[first[:n] + step]
             to = flat[state[:n] * width + s]
             miss = to < 0
-            count[:n] += miss
+            if step:  # the first phrase is counted already
+                count[:n] += miss
             state[:n] = np.where(miss, root[s], to)
         out[:, k] = np.bincount(doc, weights=count, minlength=len(size))
     return out

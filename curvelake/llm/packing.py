@@ -51,7 +51,7 @@ class Schedule:
             done = np.minimum(left, paid >> ONE)
             served, credit = served + done, np.where(left > done, paid - (done << ONE), 0)
             position += int(done.sum())
-        self.starts = np.array([p[0] for p in self.phases]).reshape(-1, len(units))
+        self.starts = np.array([p[0] for p in self.phases], np.int64).reshape(len(self.phases), len(units))
         last = np.flatnonzero(self.lengths % quantum)
         self.short_at = np.array([self.position(s, units[s : s + 1] - 1)[0] for s in last], np.int64)
         by = np.argsort(self.short_at)

@@ -61,14 +61,14 @@ def rotation(rows: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh((gram + gram.T) / 2)[1][:, ::-1]
 
 
-def blocks(rows: DataFrame, width: int, order: list) -> DataFrame:
-    """Blocks of at most BLOCK vectors in ``order``, with a number that ascends with it."""
+def blocks(rows: DataFrame, width: int, order: list, size: int = BLOCK) -> DataFrame:
+    """Blocks of at most ``size`` vectors in ``order``, with a number that ascends with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            for i in range(0, b.num_rows, BLOCK):
-                own = b.slice(i, BLOCK)
+            for i in range(0, b.num_rows, size):
+                own = b.slice(i, size)
                 ids = own.column("vec_id").to_numpy().astype("<i8").tobytes()
                 longest = float(np.sqrt(own.column("norm").to_numpy().max()))
                 cols = [pa.array([v], k) for v, k in ((part << 32 | n, pa.int64()), (longest, pa.float64()), (ids, pa.binary()), (matrix(own, width).astype("<i8").tobytes(), pa.binary()))]
@@ -116,15 +116,15 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
 
-def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, size: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = common.materialize(integers(vectors), "vectors")
     width = rows.agg(F.max(F.size("x"))).first()[0] or 1
     axes = spark.sparkContext.broadcast(rotation(rows, width))  # width * width numbers
-    candidates = blocks(rows, width, [F.col("norm").desc(), "vec_id"])
+    candidates = blocks(rows, width, [F.col("norm").desc(), "vec_id"], size)
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
-    queries = common.materialize(blocks(asked, width, [F.col("vec_id")]), "queries")
+    queries = common.materialize(blocks(asked, width, [F.col("vec_id")], size), "queries")
     numbers = queries.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("q"))  # a row for each block
     n = numbers.count()
     if not n:

@@ -25,7 +25,7 @@ from curvelake.llm import common, textkernel
 from curvelake.llm.textkernel import U64, mix
 
 #: The learning sample: labelled documents of each class, chosen by the hash of their ids, and the longest text taken.
-SAMPLE_DOCS, SAMPLE_TEXT = 3000, 50_000
+SAMPLE_DOCS, SAMPLE_TEXT = 1000, 20_000
 #: Features kept, and the least number of toxic sample documents with one.
 FEATURES, LEAST_DOCS = 20_000, 4
 PREFIXES = (4, 5, 6)
