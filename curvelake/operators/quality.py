@@ -14,8 +14,9 @@ LEAST_COMPARED = 5
 
 
 def summary(compared: DataFrame) -> DataFrame:
-    """annotator_id, compared, mean_mae (3 digits), median_r (2), both without nulls."""
-    return compared.groupBy("annotator_id").agg(F.count("*").alias("compared"), F.round(F.avg("mae"), 3).alias("mean_mae"), F.round(F.percentile("r", 0.5), 2).alias("median_r"))
+    """annotator_id, compared, mean_mae (3 digits), median_r (2), both without nulls; halves round away from zero."""
+    digits = lambda x, n: F.round(x.cast("decimal(18,9)"), n).cast("double")
+    return compared.groupBy("annotator_id").agg(F.count("*").alias("compared"), digits(F.avg("mae"), 3).alias("mean_mae"), digits(F.percentile("r", 0.5), 2).alias("median_r"))
 
 
 def outliers(rows: DataFrame, factor: float = 1.5) -> DataFrame:

@@ -121,7 +121,7 @@ def overlay(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy("task", "k").pivot("rater", ["view", "click"]).agg(F.round(F.max("v"), 6))
 
 
-SUMMARY = PAIRS + ", s AS (SELECT task % 40 AS annotator_id, count(*) AS compared, round(avg(mae), 3) AS mean_mae, round(quantile_cont(r, 0.5), 2) AS median_r FROM cmp GROUP BY 1)"
+SUMMARY = PAIRS + ", s AS (SELECT task % 40 AS annotator_id, count(*) AS compared, CAST(round(CAST(avg(mae) AS DECIMAL(18,9)), 3) AS DOUBLE) AS mean_mae, CAST(round(CAST(quantile_cont(r, 0.5) AS DECIMAL(18,9)), 2) AS DOUBLE) AS median_r FROM cmp GROUP BY 1)"
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:

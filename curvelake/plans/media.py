@@ -157,7 +157,7 @@ def aligned_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 WORDS = """w AS (SELECT conv_id * 100 + turn AS talk, unnest(list_filter(string_split(replace(trim(text), chr(10), ' '), ' '), lambda x: x <> '')) AS t,
    unnest(range(0, len(list_filter(string_split(replace(trim(text), chr(10), ' '), ' '), lambda x: x <> '')))) AS i FROM conversations),
- words AS (SELECT talk, i, t, i * 0.25 + (i * 7 % 11) * 0.05 AS s, i * 0.25 + (i * 7 % 11) * 0.05 + (i * 5 % 4) * 0.1 AS e FROM w)"""
+ words AS (SELECT talk, i, t, CAST(i * 0.25 + (i * 7 % 11) * 0.05 AS DOUBLE) AS s, CAST(i * 0.25 + (i * 7 % 11) * 0.05 + (i * 5 % 4) * 0.1 AS DOUBLE) AS e FROM w)"""
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +194,7 @@ def violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("D9_pull_back", f"""WITH {WORDS}, a AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM words),
  m AS (SELECT *, min(e + after) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM a),
- r AS (SELECT talk, i, e - s AS width, greatest(least(12.0, least) - after, 0) AS e2 FROM m) SELECT talk, i, round(greatest(e2 - width, 0), 5) AS start, round(e2, 5) AS "end" FROM r""")
+ r AS (SELECT talk, i, e - s AS width, greatest(least(12.0, least) - after, 0) AS e2 FROM m) SELECT talk, i, CAST(round(greatest(e2 - width, 0), 5) AS DOUBLE) AS start, CAST(round(e2, 5) AS DOUBLE) AS "end" FROM r""")
 def pull_back(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.pull_back(words(spark, sf), "talk", F.lit(12.0)).select("talk", "i", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
 
