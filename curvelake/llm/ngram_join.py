@@ -32,6 +32,8 @@ from curvelake.llm.textkernel import U64, mix
 HINT_DOCS = 2000
 #: Fragments in which overlaps are counted.
 PARTS = 8
+#: Rounds in which the members of a difference meet one of them, before those in different components meet each other.
+STARS = 1
 LOW = U64((1 << 40) - 1)
 
 
@@ -213,17 +215,45 @@ def links(docs: DataFrame, filed: DataFrame, rule: Rule) -> DataFrame:
     ranked = member.join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"), F.count("*").alias("shared"))
     held = judged.where("size(delta) > 0").select("a", "b", F.col("nb").alias("n"), "linked", "delta")
     prefix = held.join(ranked, ["a", "b"]).withColumn("take", F.when(F.col("linked"), F.size("delta")).otherwise(most(F.col("n")) + 1).cast("int") - lone.cast("int"))
-    prefix = prefix.where("take > 0").select("a", "b", "n", "linked", F.explode(F.slice("es", F.lit(1), F.col("take"))).alias("x"))
-    prefix = prefix.select("a", "b", "n", "linked", F.col("x.e").alias("e"))
-    other = prefix.select("a", F.col("b").alias("c"), F.col("n").alias("m"), F.col("linked").alias("linked_c"), "e")
-    fits = (rule.num * F.greatest("n", "m") <= rule.den * F.least("n", "m")) & (~F.col("linked") | ~F.col("linked_c"))
-    met = prefix.join(other, ["a", "e"]).where((F.col("b") < F.col("c")) & fits).groupBy("a", "b", "c").agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    # i: a difference's place in the order, s: the differences of the member
+    prefix = prefix.where("take > 0").select("a", "b", "n", "linked", F.size("delta").alias("s"), lone.alias("lone"), F.posexplode(F.slice("es", F.lit(1), F.col("take"))).alias("k", "x"))
+    prefix = prefix.select("a", "b", "n", "linked", "s", (F.col("lone") + F.col("k") + 1).alias("i"), F.col("x.e").alias("e"))
+    prefix = common.materialize(prefix, "prefixes")
     side = lambda x: judged.select("a", F.col("b").alias(x), F.col("delta").alias("d" + x))
-    met = met.join(side("b"), ["a", "b"]).join(side("c"), ["a", "c"])
-    apart = F.size("db") + F.size("dc") - 2 * F.size(F.array_intersect("db", "dc"))
-    met = met.withColumn("both", (F.col("n") + F.col("m") - apart) / 2)
-    met = met.where(F.lit(rule.den) * F.col("both") >= F.lit(rule.num) * (F.col("n") + F.col("m") - F.col("both")))
-    return judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).union(met.select(F.col("b").alias("u"), F.col("c").alias("v")))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """u, v: the linked ones of pairs (a, b, c, n, m) of members of one head, by their differences from it."""
+        met = pairs.where(rule.num * F.greatest("n", "m") <= rule.den * F.least("n", "m")).join(side("b"), ["a", "b"]).join(side("c"), ["a", "c"])
+        apart = F.size("db") + F.size("dc") - 2 * F.size(F.array_intersect("db", "dc"))
+        met = met.withColumn("both", (F.col("n") + F.col("m") - apart) / 2)
+        met = met.where(F.lit(rule.den) * F.col("both") >= F.lit(rule.num) * (F.col("n") + F.col("m") - F.col("both")))
+        return met.select(F.col("b").alias("u"), F.col("c").alias("v"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of the differences whose members aren't in one component yet."""
+        open_ = rows.groupBy("a", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a", "e")
+        return common.materialize(rows.join(open_, ["a", "e"], "left_semi"), "mixed")
+
+    known = judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    left = mixed(prefix.withColumn("root", F.when(F.col("linked"), F.col("a")).otherwise(F.col("b"))))
+    for i in range(STARS):
+        weight = left.groupBy("a", "b", "n").agg(F.count("*").alias("w"))
+        weight = weight.withColumn("w", F.col("w") if i == 0 else F.xxhash64(F.lit(i), "b")).select("a", "b", F.struct("w", "b", "n").alias("h"))
+        tops = left.join(weight, ["a", "b"]).groupBy("a", "e").agg(F.max("h").alias("h"))
+        star = left.select("a", "e", F.col("b").alias("c"), F.col("n").alias("m")).join(tops, ["a", "e"])
+        star = star.select("a", F.col("h.b").alias("b"), "c", F.col("h.n").alias("n"), "m").where("b <> c").distinct()
+        found = components(known.union(close(star)))
+        known = common.materialize(found.where("f <> root").select(F.col("f").alias("u"), F.col("root").alias("v")), "known")
+        roots = known.select(F.col("u").alias("b"), F.col("v").alias("r"))
+        left = mixed(left.drop("root").join(roots, "b", "left").withColumn("root", F.coalesce("r", "b")).select("a", "b", "n", "s", "i", "e", "root"))
+    other = left.select("a", F.col("b").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("i").alias("j"), F.col("root").alias("root_c"), "e")
+    fits = (rule.num * F.greatest("n", "m") <= rule.den * F.least("n", "m")) & (F.col("root") != F.col("root_c"))
+    # the first difference in common: what comes before it is apart, and what follows it can't be in common beyond the shorter rest
+    most_apart = F.floor((F.col("n") + F.col("m")) * (rule.den - rule.num) / (rule.den + rule.num))
+    rest = F.least(F.col("s") - F.col("i"), F.col("t") - F.col("j"))
+    fits &= (F.col("i") + F.col("j") - 2 <= most_apart) & (F.col("s") + F.col("t") - 2 * (rest + 1) <= most_apart)
+    pairs = left.join(other, ["a", "e"]).where((F.col("b") < F.col("c")) & fits).groupBy("a", "b", "c").agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    return known.union(close(pairs))
 
 
 def components(edges: DataFrame) -> DataFrame:
