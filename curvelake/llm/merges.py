@@ -1,0 +1,135 @@
+"""SentencePiece encoding with a BPE model: its merges, exactly, chunk by chunk, and decoding.
+
+Of all neighbouring symbols whose concatenation is a piece, those with the highest score merge first, the leftmost at
+equal scores, until none are left; a character without a piece becomes its bytes. These are the library's ids.
+
+A merge only ever makes a piece of the vocabulary, so none crosses a place whose two characters are not neighbours in
+any piece. Texts are cut at such places alone, into words (no piece has a blank sign after another character), which a
+worker remembers.
+
+Nulls are the empty text. Rows are encoded one by one, so repeated rows and ids don't matter. An empty table gives an
+empty table. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import heapq
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from curvelake.llm import common, tokens
+from curvelake.llm.pieces import BLANK, Lattice, decode, prepared
+
+#: Symbols from which on a heap finds the next merge.
+MANY = 32
+COLUMNS = "doc_id long, n_tokens long, ids_crc32 long, n_chunks long, text_crc32 long"
+_loaded: dict[str, Merges] = {}
+
+
+class Merges(Lattice):
+    """Pieces and scores of a BPE model."""
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import sentencepiece_model_pb2
+
+        super().__init__(path)
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        norm, kinds = model.normalizer_spec, {p.type for p in model.pieces}
+        spec = (norm.add_dummy_prefix, norm.escape_whitespaces, norm.remove_extra_whitespaces, norm.precompiled_charsmap, model.trainer_spec.treat_whitespace_as_suffix)
+        if model.trainer_spec.model_type != 2 or kinds & {4, 5} or not self.byte or spec != (True, True, False, b"", False):
+            raise ValueError("only BPE models with byte pieces, without user-defined or unused pieces and without normalisation")
+        self.score = {t: s for t, (_, s) in self.piece.items()}
+        self.inside = {t[i : i + 2] for t in self.piece for i in range(len(t) - 1)}
+        high = np.zeros(len(self.text), bool)
+        high[[i for i, b in self.as_byte.items() if b >= 128]] = True
+        self.high = high
+        self.shown = [chr(self.as_byte[i]) if self.as_byte.get(i, 128) < 128 else t.replace(BLANK, " ") for i, t in enumerate(self.text)]
+
+    def merged(self, text: str) -> list[str]:
+        """The symbols that are left when no merge is."""
+        if len(text) >= MANY:
+            return self.heap_merged(text)
+        s, score = list(text), self.score.get
+        while len(s) > 1:
+            best, at = None, -1
+            for i in range(len(s) - 1):
+                v = score(s[i] + s[i + 1])
+                if v is not None and (best is None or v > best):
+                    best, at = v, i
+            if best is None:
+                break
+            s[at : at + 2] = [s[at] + s[at + 1]]
+        return s
+
+    def heap_merged(self, text: str) -> list[str]:
+        s, n, score = list(text), len(text), self.score.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-v, i, i + 1, s[i] + s[i + 1]) for i in range(n - 1) if (v := score(s[i] + s[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, j, both = heapq.heappop(heap)
+            if not s[i] or not s[j] or after[i] != j or s[i] + s[j] != both:  # one of them has merged meanwhile
+                continue
+            s[i], s[j], after[i] = both, "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (v := score(s[a] + s[b])) is not None:
+                    heapq.heappush(heap, (-v, a, b, s[a] + s[b]))
+        return [x for x in s if x]
+
+    def ids(self, text: str) -> bytes:
+        out: list[int] = []
+        for x in self.merged(text):
+            if x in self.piece:
+                out.append(self.piece[x][0])
+            else:
+                out += [self.byte[b] for b in x.encode()]
+        return np.array(out, "<u4").tobytes()
+
+    def encode(self, chunk: str) -> bytes:
+        """Ids of a chunk of prepared text, word by word unless pieces may cross blank signs."""
+        if self.across:
+            return self.ids(chunk)
+        get = self.solve.__getitem__
+        if 2 * BLANK in chunk or chunk[:1] != BLANK or chunk[-1:] == BLANK:
+            return b"".join(map(get, re.split(f"(?<=[^{BLANK}])(?={BLANK})", chunk)))
+        return b"".join([get(BLANK + w) for w in chunk[1:].split(BLANK)])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return decode(ids, self) if self.high[ids].any() else "".join(map(self.shown.__getitem__, ids.tolist()))[1:]
+
+
+def merges(path: str) -> Merges:
+    if path not in _loaded:
+        _loaded[path] = Merges(path)
+    return _loaded[path]
+
+
+def digest(m: Merges, doc_ids: pa.Array, ids: list[bytes], n_chunks: pa.Array) -> pa.RecordBatch:
+    rows = [np.frombuffer(x, "<u4") for x in ids]
+    text = [zlib.crc32(m.decode(x).encode()) for x in rows]
+    cols = [doc_ids, pa.array([len(x) for x in rows], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), n_chunks, pa.array(text, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in COLUMNS.split(", ")])
+
+
+def sentencepiece_merges(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), n_chunks (1),
+    text_crc32 (of the text that the ids decode to: the document's, but that blank signs have become blanks)."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merges(path)
+        for b in batches:
+            for b in common.pieces(b, "text"):
+                yield digest(m, b.column("doc_id"), [m.encode(prepared(t)) for t in b.column("text").to_pylist()], pa.array([1] * b.num_rows, pa.int64()))
+
+    return base.mapInArrow(whole, COLUMNS)

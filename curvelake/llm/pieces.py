@@ -2,7 +2,7 @@
 
 The pieces and scores of a SentencePiece model, read as a unigram lattice: of all segmentations the one with the
 largest sum of scores; at equal sums, a place keeps the piece that begins first. (A model trained as BPE segments by its
-merges instead; as a lattice its ids can differ from those, and decode to the same text.)
+merges instead: see ``merges``, which op2 uses. As a lattice its ids differ from those, and decode to the same text.)
 
 A text is cut into chunks. Before a blank sign that another character precedes no piece lies across, unless the
 vocabulary has such pieces: there a chunk's transfer matrix is a single number, so chunks are solved by themselves, and

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from curvelake.llm import common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, tokens, topk, toxicity
+from curvelake.llm import common, huffman, language, lines, linkrank, merges, ngram_join, packing, pieces, quality, tokens, topk, toxicity
 
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, row string, made string, hash string"
@@ -464,3 +464,26 @@ def test_pipeline_stages_keep_columns_and_pass_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, str(tmp_path))
         assert empty_out.count() == 0
+
+
+def library_ids(texts):
+    from sentencepiece import SentencePieceProcessor
+
+    p = SentencePieceProcessor(model_file=PIECES)
+    return [p.encode(t or "") for t in texts]
+
+
+def test_merges_are_the_ids_of_the_library(spark):
+    rng, m = random.Random(17), merges.Merges(PIECES)
+    texts = ODD + prose(18, 30) + ["".join(rng.choice("thereisandfor") for _ in range(n)) for n in (5, 31, 32, 400, 3000)]
+    texts += ["".join(rng.choice("ab th.,\n'é1　\t-Z▁日") for _ in range(rng.randrange(90))) for _ in range(400)]
+    want = library_ids(texts)
+    for t, w in zip(texts, want, strict=True):
+        prepared = pieces.prepared(t or "")
+        assert m.encode(prepared) == np.array(w, "<u4").tobytes(), t
+        assert [m.piece[x][0] for x in m.heap_merged(prepared) if x in m.piece] == [m.piece[x][0] for x in m.merged(prepared) if x in m.piece]
+    got = {r.doc_id: r for r in merges.sentencepiece_merges(make(spark, texts), PIECES).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(want[i]), crc(want[i])), t
+        assert got[i].text_crc32 == zlib.crc32((t or "").replace("▁", " ").encode())
+    assert merges.sentencepiece_merges(make(spark, texts).limit(0), PIECES).count() == 0
