@@ -4,8 +4,9 @@ Of all neighbouring symbols whose concatenation is a piece, those with the highe
 equal scores, until none are left; a character without a piece becomes its bytes. These are the library's ids.
 
 A merge only ever makes a piece of the vocabulary, so none crosses a place whose two characters are not neighbours in
-any piece. Texts are cut at such places alone, into words (no piece has a blank sign after another character), which a
-worker remembers.
+any piece. Texts are cut at such places alone: into words (no piece has a blank sign after another character), which a
+worker remembers, and a long text into numbered chunks of about PART characters, which are rows of their own and put
+together again by number. Where no such place comes, the chunk goes on until one does.
 
 Nulls are the empty text. Rows are encoded one by one, so repeated rows and ids don't matter. An empty table gives an
 empty table. Extra columns are ignored.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from curvelake.llm import common, tokens
 from curvelake.llm.pieces import BLANK, Lattice, decode, prepared
 
-#: Symbols from which on a heap finds the next merge.
-MANY = 32
+#: Characters of a chunk, and symbols from which on a heap finds the next merge.
+PART, MANY = 1 << 14, 32
 COLUMNS = "doc_id long, n_tokens long, ids_crc32 long, n_chunks long, text_crc32 long"
 _loaded: dict[str, Merges] = {}
 
@@ -104,6 +105,17 @@ class Merges(Lattice):
             return b"".join(map(get, re.split(f"(?<=[^{BLANK}])(?={BLANK})", chunk)))
         return b"".join([get(BLANK + w) for w in chunk[1:].split(BLANK)])
 
+    def parts(self, text: str, part: int) -> list[str]:
+        """Chunks of ``part`` characters or the few more that bring them to a place no merge crosses."""
+        out, begin, at = [], 0, part
+        while at < len(text):
+            if text[at - 1 : at + 1] not in self.inside:
+                out.append(text[begin:at])
+                begin, at = at, at + part
+            else:
+                at += 1
+        return [*out, text[begin:]]
+
     def decode(self, ids: np.ndarray) -> str:
         return decode(ids, self) if self.high[ids].any() else "".join(map(self.shown.__getitem__, ids.tolist()))[1:]
 
@@ -121,8 +133,8 @@ def digest(m: Merges, doc_ids: pa.Array, ids: list[bytes], n_chunks: pa.Array) -
     return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in COLUMNS.split(", ")])
 
 
-def sentencepiece_merges(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), n_chunks (1),
+def sentencepiece_merges(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), n_chunks (rows that the text was cut into),
     text_crc32 (of the text that the ids decode to: the document's, but that blank signs have become blanks)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -132,4 +144,29 @@ def sentencepiece_merges(docs: DataFrame, path: str) -> DataFrame:
             for b in common.pieces(b, "text"):
                 yield digest(m, b.column("doc_id"), [m.encode(prepared(t)) for t in b.column("text").to_pylist()], pa.array([1] * b.num_rows, pa.int64()))
 
-    return base.mapInArrow(whole, COLUMNS)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merges(path)
+        for b in batches:
+            for row, doc, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                chunks = m.parts(prepared(text), part)
+                cols = [pa.array([row] * len(chunks), pa.int64()), pa.array([doc] * len(chunks), pa.int64()), pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "chunk"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merges(path)
+        for b in batches:
+            ids = pa.array([m.encode(t) for t in b.column("chunk").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("n"), ids], ["row", "doc_id", "n", "ids"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merges(path)
+        for b in batches:
+            yield digest(m, b.column("doc_id"), [b"".join(x) for x in b.column("ids").to_pylist()], b.column("n_chunks"))
+
+    short = F.char_length("text") <= part
+    long = base.where(~short).withColumn("row", F.monotonically_increasing_id())
+    chunks = common.materialize(long.mapInArrow(cut, "row long, doc_id long, n long, chunk string"), "chunks")
+    solved = chunks.repartition("row", "n").mapInArrow(encode, "row long, doc_id long, n long, ids binary")
+    joined = solved.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("x"), F.count("*").alias("n_chunks"))
+    joined = joined.select("doc_id", F.col("x.ids").alias("ids"), "n_chunks")
+    return base.where(short).mapInArrow(whole, COLUMNS).union(joined.mapInArrow(join, COLUMNS))

@@ -487,3 +487,14 @@ def test_merges_are_the_ids_of_the_library(spark):
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(want[i]), crc(want[i])), t
         assert got[i].text_crc32 == zlib.crc32((t or "").replace("▁", " ").encode())
     assert merges.sentencepiece_merges(make(spark, texts).limit(0), PIECES).count() == 0
+
+
+def test_long_texts_are_dealt_out_in_chunks(spark):
+    rng = random.Random(19)
+    texts = [" ".join(prose(20, 40)), "日本語。テスト " * 60, "".join(rng.choice("xq1日　 ") for _ in range(900)), "z" * 900, " " * 700, "short"]
+    texts, ids = texts + texts[:1], [0, 1, 2, 3, 4, None, 0]
+    want = collections.Counter((i, len(w), crc(w)) for i, w in zip(ids, library_ids(texts), strict=True))
+    rows = merges.sentencepiece_merges(make(spark, texts, ids), PIECES, part=100).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    n = {r.doc_id: r.n_chunks for r in rows}
+    assert n[0] > len(texts[0]) // 130 and n[1] >= 4 and n[2] >= 6 and n[3] == n[4] == n[None] == 1
