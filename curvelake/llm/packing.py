@@ -4,7 +4,10 @@ Every source's documents form a queue of tokens, cut in units of ``quantum`` tok
 credit in proportion to its target and serves the units that the credit pays for; what is left over is carried to the
 next round. What round w has served is a closed form of w (a phase ends when a queue runs dry and the others take over
 its share), so every task places its own documents, and the deficits pass windows and partitions without any task
-waiting for another. The stream is cut into sequences of ``width`` tokens; the rest at its end becomes sequences whose
+waiting for another. With more than QUEUES sources, the schedule is nested: sources dealt by hash share a queue, which
+has the sum of their targets and is itself filled by deficit round-robin over its sources; what a source leaves when it
+runs dry goes to the others of its shared queue first. Sources without a target share queues among themselves only, so
+they still come last. The stream is cut into sequences of ``width`` tokens; the rest at its end becomes sequences whose
 lengths are powers of two, so nothing is padded.
 
 Nulls: a null text is the empty text (its end id alone), a null source a queue of its own. Repeated rows and ids are
@@ -25,16 +28,18 @@ from pyspark.sql import functions as F
 
 from curvelake.llm import common, tokens
 
-#: Queues that the schedule holds one by one; with more sources, several share a queue, chosen by hash.
+#: Hash values by which sources share a queue once there are more sources than that.
 QUEUES = 512
 ONE = 20  # fixed-point bits of a credit
+ROWS = 1024  # documents that one step cuts
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 class Schedule:
     """Where each unit of each queue lies in the stream."""
 
-    def __init__(self, lengths: np.ndarray, targets: np.ndarray, width: int = 2048, quantum: int = 128) -> None:
+    def __init__(self, lengths: np.ndarray, targets: np.ndarray, width: int = 2048, quantum: int = 128, last: np.ndarray | None = None) -> None:
+        """``last``: shares once only queues without a target are left (default: equal)."""
         self.lengths, self.quantum, self.width = np.asarray(lengths, np.int64), quantum, width
         units = -(-self.lengths // quantum)
         served, credit = np.zeros_like(units), np.zeros_like(units)
@@ -42,7 +47,7 @@ class Schedule:
         position = 0
         while (left := units - served).any():
             share = np.where(left > 0, targets, 0.0)
-            share = share if share.sum() > 0 else (left > 0).astype(float)
+            share = share if share.sum() > 0 else np.where(left > 0, 1.0 if last is None else last, 0.0)
             rate = np.where(left > 0, np.maximum(1, np.round(share / share.sum() * (width // quantum) * (1 << ONE))), 0).astype(np.int64)
             full = np.where(left > 0, ((left << ONE) - credit) // np.maximum(rate, 1), np.iinfo(np.int64).max)
             rounds = max(1, int(full.min()))
@@ -52,11 +57,11 @@ class Schedule:
             served, credit = served + done, np.where(left > done, paid - (done << ONE), 0)
             position += int(done.sum())
         self.starts = np.array([p[0] for p in self.phases], np.int64).reshape(len(self.phases), len(units))
-        last = np.flatnonzero(self.lengths % quantum)
-        self.short_at = np.array([self.position(s, units[s : s + 1] - 1)[0] for s in last], np.int64)
+        short = np.flatnonzero(self.lengths % quantum)
+        self.short_at = np.array([self.position(s, units[s : s + 1] - 1)[0] for s in short], np.int64)
         by = np.argsort(self.short_at)
         self.short_at = self.short_at[by]
-        self.missing = np.concatenate([[0], np.cumsum(quantum - self.lengths[last][by] % quantum)])
+        self.missing = np.concatenate([[0], np.cumsum(quantum - self.lengths[short][by] % quantum)])
         total = int(self.lengths.sum())
         rest, tail = total % width, [total - total % width]
         for bit in range(width.bit_length() - 1, -1, -1):
@@ -90,12 +95,24 @@ class Schedule:
         end = np.where(late, self.tail[np.minimum(k + 1, len(self.tail) - 1)], begin + self.width)
         return np.where(late, full + k, at // self.width), begin, end
 
-    def cut(self, queue: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces of a document that begins at ``start`` of its queue: start in it, length, sequence id, offset."""
+    def at(self, queue: int, token: np.ndarray) -> np.ndarray:
+        """Where tokens of a queue lie in the stream."""
+        unit = token // self.quantum
+        return self.place(self.position(queue, unit)) + token - unit * self.quantum
+
+    def cut(self, queue: int, start: int, n: int, inner: Schedule | None = None, source: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of a document that begins at ``start`` of its queue, or of its source's queue in the ``inner``
+        schedule of a shared one: start in it, length, sequence id, offset."""
         q = self.quantum
         unit = np.arange(start // q, (start + n - 1) // q + 1)
         lo, hi = np.maximum(unit * q, start), np.minimum((unit + 1) * q, start + n)
-        at = self.place(self.position(queue, unit)) + lo - unit * q
+        token = lo
+        if inner is not None:  # a unit of the source may end in the shared queue's next unit
+            token = inner.at(source, lo)
+            split = lo + (token // q + 1) * q - token
+            over = split < hi
+            lo, hi, token = np.concatenate([lo, split[over]]), np.concatenate([np.minimum(hi, split), hi[over]]), np.concatenate([token, (token // q + 1)[over] * q])
+        at = self.at(queue, token)
         rows = []
         while len(lo):  # a run is cut where its sequence ends
             seq, begin, end = self.sequence(at)
@@ -104,7 +121,7 @@ class Schedule:
             more = stop < hi
             lo, hi, at = stop[more], hi[more], (at + stop - lo)[more]
         first, length, seq, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
-        if len(rows) > 1:
+        if len(rows) > 1 or inner is not None:
             by = np.argsort(first)
             first, length, seq, offset = first[by], length[by], seq[by], offset[by]
         new = np.ones(len(first), bool)
@@ -138,27 +155,40 @@ def mixture_pack(docs: DataFrame, path: str, end: int = 1, width: int = 2048, qu
     encoded = queues(docs, path, end)
     size = tokens.encoder(path, False).kind.itemsize
     sums = common.materialize(encoded.groupBy("source", "part").agg(F.sum("n").alias("n")), "queue-sums")
-    n_sources = sums.select("source").distinct().count()
-    queue = F.coalesce("source", F.lit("\0")) if n_sources <= QUEUES else F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string")
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("queue", queue).select("queue", F.col("source").alias("source_"), F.col("part").alias("part_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    totals = sums.groupBy(queue.alias("queue")).agg(F.sum("n").alias("n"), F.min("source").alias("source")).toPandas().sort_values("queue")  # QUEUES rows at most
-    lengths = totals.n.to_numpy(np.int64)
-    wanted = lengths.astype(float) if targets is None else np.array([targets.get(s, 0.0) for s in totals.source])
-    schedule = docs.sparkSession.sparkContext.broadcast((Schedule(lengths, wanted, width, quantum), {q: i for i, q in enumerate(totals["queue"])}))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("int")
+    bases = sums.select(F.col("source").alias("source_"), F.col("part").alias("part_"), hashed.alias("hash"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    totals = sums.groupBy("source", hashed.alias("hash")).agg(F.sum("n").alias("n")).collect()  # a row for each source
+    totals.sort(key=lambda r: (r.source is not None, r.source or ""))
+    many = len(totals) > QUEUES
+    target = {r.source: float(r.n) if targets is None else targets.get(r.source, 0.0) for r in totals}
+    members = defaultdict(list)  # of each queue, in the order of sources
+    for i, r in enumerate(totals):
+        members[r.hash if many else i, target[r.source] > 0].append(r)
+    lengths, wanted = (np.array([sum(f(r) for r in m) for m in members.values()], k) for f, k in ((lambda r: r.n, np.int64), (lambda r: target[r.source], float)))
+    outer = Schedule(lengths, wanted, width, quantum, np.array([len(m) for m in members.values()], float))
+    shared = [(np.array([r.n for r in m], np.int64), np.array([target[r.source] for r in m])) if len(m) > 1 else None for m in members.values()]
+    schedule = docs.sparkSession.sparkContext.broadcast((outer, shared, {r.source: (g, k) for g, m in enumerate(members.values()) for k, r in enumerate(m)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, number = schedule.value
-        for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("doc_id", "source", "queue", "base", "at", "n", "ids")]
+        plan, shared, number = schedule.value
+        inner, held = {}, None  # the schedules of the shared queues of one hash
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            columns = [b.column(c).to_pylist() for c in ("doc_id", "source", "hash", "base", "at", "n", "ids")]
             rows = []
-            for doc, source, q, base, at, n, ids in zip(*columns, strict=True):
+            for doc, source, h, base, at, n, ids in zip(*columns, strict=True):
                 wide = np.frombuffer(ids, f"<u{size}").astype("<u4").tobytes()
-                for first, length, seq, offset in zip(*(x.tolist() for x in plan.cut(number[q], base + at, n)), strict=True):
+                g, k = number[source]
+                if h != held:
+                    inner, held = {}, h
+                if shared[g] and g not in inner:
+                    inner[g] = Schedule(*shared[g], width, quantum)
+                for first, length, seq, offset in zip(*(x.tolist() for x in plan.cut(g, base + at, n, inner.get(g), k)), strict=True):
                     rows.append((doc, first, length, zlib.crc32(wide[4 * first : 4 * (first + length)]), n, seq, offset, source))
             kinds = [pa.int64()] * 7 + [pa.string()]
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
     rows = encoded.join(bases, F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_")))
-    return rows.select("doc_id", "source", "queue", "base", "at", "n", "ids").mapInArrow(run, PIECES)
+    rows = rows.select("doc_id", "source", "hash", "base", "at", "n", "ids")
+    return (rows.sortWithinPartitions("hash") if many else rows).mapInArrow(run, PIECES)

@@ -498,3 +498,28 @@ def test_long_texts_are_dealt_out_in_chunks(spark):
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
     n = {r.doc_id: r.n_chunks for r in rows}
     assert n[0] > len(texts[0]) // 130 and n[1] >= 4 and n[2] >= 6 and n[3] == n[4] == n[None] == 1
+
+
+def test_shared_queues_keep_each_sources_share(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    texts = prose(21, 900, 120)
+    t = Tokenizer.from_file(WORD_BPE)
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    source = lambda k: None if k % 10 == 0 else "s0" if k % 10 > 6 else f"s{k % 10}"
+    docs = make(spark, texts, source=source)
+    targets = {"s0": 0.4, "s1": 0.1, "s2": 0.2, "s3": 0.3}
+    rows = packing.mixture_pack(docs, WORD_BPE, targets=targets).collect()
+    by = whole(rows, ids)
+    n = collections.Counter(source(i) for i in ids for _ in ids[i])
+    until = int(min(n[s] / share for s, share in targets.items())) // 2048 - 1  # windows before a source runs dry
+    assert until >= 3
+    for s, share in targets.items():
+        served = np.cumsum([sum(r.length for r in by[w] if r.source == s) for w in range(until)])
+        assert (abs(served - share * 2048 * np.arange(1, until + 1)) <= 4 * 128).all(), (s, served)
+    of_named = max(r.sequence_id for r in rows if r.source in targets)
+    assert of_named <= min(r.sequence_id for r in rows if r.source not in targets)
+    by = whole(packing.mixture_pack(docs, WORD_BPE).collect(), ids)
+    for own in by.values():
+        if sum(r.length for r in own) == 2048:
+            for s in n:
+                assert abs(sum(r.length for r in own if r.source == s) - 2048 * n[s] / sum(n.values())) <= 4 * 128
