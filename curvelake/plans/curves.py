@@ -112,7 +112,7 @@ def gap_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T9_savitzky_golay")
 def smooth(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.savitzky_golay(grid(spark, sf).where("k % 5 = 0").select("curve", "k", "v"))
+    return quality.savitzky_golay(grid(spark, sf).select("curve", "k", "v"))
 
 
 @query("T12_overlay", f"WITH {GRID} SELECT task, k, round(max(v) FILTER (WHERE rater = 'view'), 6) AS view, round(max(v) FILTER (WHERE rater = 'click'), 6) AS click FROM grid WHERE rater IN ('view', 'click') GROUP BY 1, 2")

@@ -1,11 +1,13 @@
 """Literal cases of the operators."""
 
 import datetime
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from curvelake import catalog
 from curvelake.functions import scalars
 from curvelake.operators import allocation, chains, completion, curves, geometry, graph, islands, lifecycle, monitor, quality, records, transcripts
 from curvelake.sources import files
@@ -236,3 +238,11 @@ def test_import_without_the_optional_parts(tmp_path):
 
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=120)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_savitzky_golay_query_smooths_the_whole_grid(spark):
+    q = catalog.queries()
+    got = q["T9_savitzky_golay"](spark, "/root/testdata/sf0.001").select("curve", "k")
+    want = q["T1_resample"](spark, "/root/testdata/sf0.001").select("curve", "k")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
