@@ -1,7 +1,7 @@
 """Line de-duplication, in DataFrame functions alone.
 
-Nulls and empty texts are one empty line. A row is a document; rows that repeat an id and a text count as many
-documents and lose the same lines. Lines whose key is shorter than ``least`` code points are never dropped. An empty
+Nulls and empty texts are one empty line. A document is an id: rows that repeat one count once for a line, and rows with
+a null id count for none, as in count(DISTINCT doc_id), but lose the common lines like all others. Lines whose key is shorter than ``least`` code points are never dropped. An empty
 table gives an empty table. Only ``doc_id`` and ``text`` are read, so extra columns don't matter.
 """
 
@@ -37,8 +37,8 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, least: int = 1) -> DataFrame
     column ``lines_report`` (n_lines, n_dropped; underscores follow its name if it is taken)."""
     row, report = common.fresh(docs, "row_key"), common.fresh(docs, "lines_report")
     keyed = docs.withColumn(row, F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("d"), F.xxhash64("text").alias("t")))
-    each = keyed.select(F.col(row).alias("r"), F.explode(F.array_distinct(key_hashes(F.col("text"), least))).alias("h")).where("h is not null")
-    common_lines = each.groupBy("h").count().where(F.col("count") >= min_docs).select("h")
+    each = keyed.select(F.col(row).alias("r"), F.col("doc_id").alias("d"), F.explode(F.array_distinct(key_hashes(F.col("text"), least))).alias("h")).where("h is not null")
+    common_lines = each.where("d is not null").select("h", "d").distinct().groupBy("h").count().where(F.col("count") >= min_docs).select("h")
     held = each.join(common_lines, "h").groupBy("r").agg(F.collect_set("h").alias("dropped"))  # the common lines of one text
     lines, hashes, kept = (common.fresh(docs, x) for x in ("lines_", "hashes_", "kept_"))
     out = keyed.join(held, F.col(row) == F.col("r"), "left")

@@ -523,3 +523,10 @@ def test_shared_queues_keep_each_sources_share(spark, monkeypatch):
         if sum(r.length for r in own) == 2048:
             for s in n:
                 assert abs(sum(r.length for r in own if r.source == s) - 2048 * n[s] / sum(n.values())) <= 4 * 128
+
+
+def test_repeated_rows_are_one_document_of_a_line(spark):
+    texts = ["repeated\nshared"] * 10 + ["nobody's"] * 10 + [f"shared\nown {i}" for i in range(9)]
+    ids = [0] * 10 + [None] * 10 + list(range(1, 10))
+    out = lines.drop_lines(make(spark, texts, ids)).collect()
+    assert sorted(r.text for r in out) == sorted(["repeated"] * 10 + ["nobody's"] * 10 + [f"own {i}" for i in range(9)])
