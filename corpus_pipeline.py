@@ -39,13 +39,20 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies (five words, 0.8)."""
-    found = common.materialize(ngram_join.ngram_join(docs, k=5, num=80, den=100), "near-copies")
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """One row of each group of near copies (five words, 0.8): the smallest id, then the smallest hash of id and text;
+    null ids come last. Rows that repeat an id with other texts are documents of their own; the same id and text are one."""
+    key = common.fresh(docs, "near_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("\0"))))
+    found = common.materialize(ngram_join.ngram_join(keyed.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100), "near-copies")
+    linked = found.where("component_id <> doc_id").select(F.col("doc_id").alias(key), "component_id")
+    members = linked.union(linked.select("component_id", "component_id")).distinct()
+    named = members.join(keyed.select(key, F.col("doc_id").alias("id_")).distinct(), key)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", key)).alias("first")).select(F.col(f"first.{key}").alias(key))
+    copies = members.select(key).join(first, key, "left_anti")
+    kept = keyed.join(copies, key, "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([key])
+    return kept.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

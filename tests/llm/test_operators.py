@@ -530,3 +530,12 @@ def test_repeated_rows_are_one_document_of_a_line(spark):
     ids = [0] * 10 + [None] * 10 + list(range(1, 10))
     out = lines.drop_lines(make(spark, texts, ids)).collect()
     assert sorted(r.text for r in out) == sorted(["repeated"] * 10 + ["nobody's"] * 10 + [f"own {i}" for i in range(9)])
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (2, a + " more"), (5, b), (5, c), (5, c), (None, d), (None, d), (None, a), (7, None)]
+    docs = make(spark, [t for _, t in rows], [i for i, _ in rows])
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter([(2, a + " more"), (5, b), (5, c), (None, d), (7, None)])
