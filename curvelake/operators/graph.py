@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curvelake import scratch
 from curvelake.functions.scalars import cosine, unit
 
 #: Cosine from which two faces count as one person, and the bands of a match.
@@ -22,35 +21,22 @@ def similar_pairs(vectors: DataFrame, group: str, threshold: float = SAME) -> Da
     return pairs.where(F.col("sim") >= threshold).select(group, "a", "b", "sim")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Written to the folder that the cluster shares and read back; a plain checkpoint where none is set."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-        return df.checkpoint()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(vertices: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """key, id, component (its smallest id): labels take their neighbours' least, then their label's label, until still.
     ``vertices``: key, id; ``edges``: key, a, b."""
-    both = edges.select(*key, "a", "b").union(edges.select(*key, F.col("b"), F.col("a")))
-    both = shared(both)
-    labels = vertices.select(*key, "id", F.col("id").alias("label_"))
+    spark, path = vertices.sparkSession, scratch.folder(vertices.sparkSession, "components")
+    both = scratch.write(edges.select(*key, "a", "b").union(edges.select(*key, F.col("b"), F.col("a"))), f"{path}/edges")
+    labels, turn = vertices.select(*key, "id", F.col("id").alias("label_")), 0
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), [*key, "b"]).groupBy(*key, F.col("a").alias("id")).agg(F.min("label_").alias("near_"))
         new = labels.join(near, [*key, "id"], "left").select(*key, "id", F.least("label_", F.coalesce("near_", "label_")).alias("low_"), F.col("label_").alias("old_"))
         jump = new.select(*key, F.col("id").alias("low_"), F.col("low_").alias("to_"))
-        new = shared(new.join(jump, [*key, "low_"], "left").select(*key, "id", F.least("low_", F.coalesce("to_", "low_")).alias("label_"), "old_"))
+        new = scratch.write(new.join(jump, [*key, "low_"], "left").select(*key, "id", F.least("low_", F.coalesce("to_", "low_")).alias("label_"), "old_"), f"{path}/{turn}")
+        scratch.discard(spark, f"{path}/{turn - 1}")  # the labels before these
         if not new.where("label_ <> old_").limit(1).count():
+            scratch.discard(spark, f"{path}/edges")
             return new.select(*key, "id", F.col("label_").alias("component"))
-        labels = new.drop("old_")
+        labels, turn = new.drop("old_"), turn + 1
 
 
 def largest_component(parts: DataFrame, key: list[str]) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.operators import chains, records
 from curvelake.plans.chains import CHAIN, ORDER
 from curvelake.plans.registry import SUBMISSIONS, Registry, submissions, table
+from curvelake.scratch import folder
 from curvelake.sources import files
 from curvelake.streaming import ingest
 
@@ -18,12 +16,6 @@ registry = Registry()
 query = registry.query
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("S1_json_lines", "SELECT p_partkey, p_name FROM part")
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark, "jsonl")
@@ -128,7 +120,7 @@ def idempotent(spark: SparkSession, sf: str) -> DataFrame:
     """Events sent twice, taken in once."""
     base = folder(spark, "stream")
     rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("created_at"))
-    rows.union(rows.where("event_id % 2 = 0")).repartition(1).write.parquet(f"{base}/in")
+    rows.union(rows.where("event_id % 2 = 0")).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     drain(ingest.once(stream, ["event_id"], within="60 days").select("event_id", "user_id"), f"{base}/out", f"{base}/state")
     return spark.read.schema("event_id long, user_id long").parquet(f"{base}/out")
@@ -143,7 +135,7 @@ def stream_sampler(spark: SparkSession, sf: str) -> DataFrame:
     start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - start) / 86400e6
     rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("curve"), F.col("event_id").alias("seq"), t.alias("t"), F.col("value").alias("v"), F.lit(True).alias("playing"))
-    rows.repartition(1).write.parquet(f"{base}/in")
+    rows.repartition("curve").write.parquet(f"{base}/in")  # one batch takes all files; the sampler orders a curve by seq
     drain(ingest.sample(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), hz=1), f"{base}/out", f"{base}/state")
     return spark.read.schema(ingest.CELLS).parquet(f"{base}/out").withColumn("v", F.round("v", 6))
 

@@ -26,14 +26,17 @@ def sessions(events: DataFrame, key: str, at: str, gap: str = "10 minutes") -> D
     return events.groupBy(key, s.alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def sample(points: DataFrame, hz: int = 10) -> DataFrame:
+def sample(points: DataFrame, hz: int = 10, idle_s: int = 86_400) -> DataFrame:
     """The client's sampler over a stream: a cell for each new floor(t * hz) of a curve, and, while playback runs on, the
     cells that it skipped (MOST_FILLED at most) by linear interpolation. A point with ``playing`` false breaks it off.
 
-    A curve's state is its last cell and value. ``points``: curve, seq, t, v, playing.
+    A curve's state is its last cell and value, dropped once nothing has come for ``idle_s`` seconds. ``points``: curve, seq, t, v, playing.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, value, running = state.get if state.exists else (-1, 0.0, False)
         out = []
         for t, v, playing in pd.concat(list(frames)).sort_values("seq")[["t", "v", "playing"]].itertuples(index=False):
@@ -49,6 +52,7 @@ def sample(points: DataFrame, hz: int = 10) -> DataFrame:
                 last, value = cell, v
             running = True
         state.update((last, value, running))
+        state.setTimeoutDuration(1000 * idle_s)
         yield pd.DataFrame(out, columns=["curve", "cell", "v", "filled"])
 
-    return points.groupBy("curve").applyInPandasWithState(run, CELLS, "last long, value double, running boolean", "append", GroupStateTimeout.NoTimeout)
+    return points.groupBy("curve").applyInPandasWithState(run, CELLS, "last long, value double, running boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
