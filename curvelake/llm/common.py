@@ -1,34 +1,19 @@
-"""Shared pieces of the training-data operators: scratch tables, text columns and the learning split."""
+"""Shared pieces of the training-data operators: text columns and the learning split, and the library's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvelake.scratch import discard, materialize, passing, write  # noqa: F401
+from curvelake.scratch import folder as scratch  # noqa: F401
+
 #: Bytes of text that one vectorised step handles at a time.
 BATCH_BYTES = 4 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"{tempfile.gettempdir()}/curvelake-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back. Survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +23,16 @@ def split_of(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark's expressions and schema strings take it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def schema_of(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string, whatever characters their names hold."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, so extra columns never clash."""
     taken = {c.lower() for c in df.columns}

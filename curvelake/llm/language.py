@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Model, out: str) -> DataFrame:
                 made = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(rate)], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), made], [*names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = common.schema_of(docs)
     return docs.withColumn(flag, has_letter(F.col("text"))).mapInArrow(run, f"{fields}, `{out}` struct<lang_pred:string, score:double, rate:double>")
 
 

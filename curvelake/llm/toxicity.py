@@ -274,7 +274,7 @@ def tag(docs: DataFrame, model: Model, out: str) -> DataFrame:
                 made = pa.StructArray.from_arrays([pa.array(score), lists], names=["score", "spans"])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), made], [*names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = common.schema_of(docs)
     return docs.mapInArrow(run, f"{fields}, `{out}` struct<score:double, spans:array<struct<start:bigint, end:bigint, p:double>>>")
 
 
