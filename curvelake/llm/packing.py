@@ -142,7 +142,7 @@ def queues(docs: DataFrame, path: str, end: int) -> DataFrame:
                 for s, k in zip(b.column("source").to_pylist(), n.tolist(), strict=True):
                     at.append(held[s])
                     held[s] += k
-                cols = [b.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())]
+                cols = [b.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), b.column("doc_id"), pa.array(n), ids]
                 yield pa.RecordBatch.from_arrays(cols, ["source", "part", "at", "doc_id", "n", "ids"])
 
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
