@@ -110,7 +110,7 @@ def encode(docs: DataFrame, path: str, end: int, joined: bool = True) -> DataFra
         for whole in batches:
             for b in common.pieces(whole, "text"):
                 ids, n, _ = tokens.encode_rows(b, "text", path, joined, end)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "tie", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(n), ids], ["doc_id", "tie", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("tie"))
     return rows.mapInArrow(run, "doc_id long, tie long, n_tokens long, ids binary")
@@ -134,6 +134,11 @@ def id_counts(encoded: DataFrame, size: int) -> DataFrame:
 
 def write(docs: DataFrame, tokenizer: str, end: int, out: str, limit: int = 16) -> None:
     """Encode ``docs`` and write their file set to ``out``."""
+    with common.passing(docs.sparkSession):  # the encoded rows aren't needed after it
+        write_files(docs, tokenizer, end, out, limit)
+
+
+def write_files(docs: DataFrame, tokenizer: str, end: int, out: str, limit: int) -> None:
     spark = docs.sparkSession
     encoded = common.materialize(encode(docs, tokenizer, end), "ids")
     size = tokens.encoder(tokenizer, True).kind.itemsize
