@@ -1,8 +1,12 @@
 """Line de-duplication, in DataFrame functions alone.
 
 Nulls and empty texts are one empty line. A document is an id: rows that repeat one count once for a line, and rows with
-a null id count for none, as in count(DISTINCT doc_id), but lose the common lines like all others. Lines whose key is shorter than ``least`` code points are never dropped. An empty
-table gives an empty table. Only ``doc_id`` and ``text`` are read, so extra columns don't matter.
+a null id count for none, as in count(DISTINCT doc_id), but lose the common lines like all others. Lines whose key is
+shorter than ``least`` code points are never dropped. An empty table gives an empty table. Only ``doc_id`` and ``text``
+are read, so extra columns don't matter, whatever their names.
+
+Lines are joined with the common ones by the hashes of their keys. A line so frequent that it has more than one in HOT of
+all (document, common line) pairs is salted: HOT such lines can exist at most, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 
 from curvelake.llm import common
 
+#: Lines that may be hot, at most, and the partitions over which one is spread.
+HOT, SALTS = 1000, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,19 +43,26 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, least: int = 1) -> DataFrame
     column ``lines_report`` (n_lines, n_dropped; underscores follow its name if it is taken)."""
     row, report = common.fresh(docs, "row_key"), common.fresh(docs, "lines_report")
     keyed = docs.withColumn(row, F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("d"), F.xxhash64("text").alias("t")))
-    each = keyed.select(F.col(row).alias("r"), F.col("doc_id").alias("d"), F.explode(F.array_distinct(key_hashes(F.col("text"), least))).alias("h")).where("h is not null")
-    common_lines = each.where("d is not null").select("h", "d").distinct().groupBy("h").count().where(F.col("count") >= min_docs).select("h")
-    held = each.join(common_lines, "h").groupBy("r").agg(F.collect_set("h").alias("dropped"))  # the common lines of one text
-    lines, hashes, kept = (common.fresh(docs, x) for x in ("lines_", "hashes_", "kept_"))
-    out = keyed.join(held, F.col(row) == F.col("r"), "left")
-    out = out.withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    out = out.withColumn(hashes, F.when(F.col("dropped").isNotNull(), key_hashes(F.col("text"), least)))
-    stays = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("dropped"), F.get(F.col(hashes), i)), F.lit(False)))
-    out = out.withColumn(kept, F.when(F.col("dropped").isNull(), F.col(lines)).otherwise(stays))
-    n, k = F.size(lines).cast("long"), F.size(kept).cast("long")
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    names = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
-    return out.select(*names, F.struct(n.alias("n_lines"), (n - k).alias("n_dropped")).alias(report))
+    each = keyed.select(F.col(row).alias("r"), F.col("doc_id").alias("d"), F.posexplode(key_hashes(F.col("text"), least)).alias("at", "h")).where("h is not null")
+    each = each.select("r", "d", "at", "h.a", "h.b")
+    counts = each.where("d is not null").select("a", "b", "d").distinct().groupBy("a", "b").count().where(F.col("count") >= min_docs)
+    counts = common.materialize(counts, "common-lines")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = F.col("count") * HOT > total
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    common_lines = counts.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.explode(salts).alias("salt_"))
+    spread = F.broadcast(counts.where(hot).select("a", "b", F.lit(True).alias("hot")))  # HOT rows at most
+    each = each.join(spread, ["a", "b"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("r", "at"), F.lit(SALTS)).cast("int")).otherwise(0))
+    held = each.join(common_lines, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & (F.col("salt") == F.col("salt_")))
+    held = held.groupBy("r").agg(F.collect_set("at").alias("dropped"))  # the places of one text's common lines
+    taken, lines, gone = (common.fresh(docs, x) for x in ("taken_", "lines_", "gone_"))
+    held = held.select(F.col("r").alias(taken), F.col("dropped").alias(gone))
+    out = keyed.join(held, F.col(row) == F.col(taken), "left").withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    n, k = F.size(lines).cast("long"), F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n"))
+    names = [F.col(common.quoted(c)) if c != "text" else text.alias("text") for c in docs.columns]
+    return out.select(*names, F.struct(n.alias("n_lines"), k.alias("n_dropped")).alias(report))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, least: int = 1) -> DataFrame:
