@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.plans import chains, curves, ingest, media, queues
+from curvelake.plans import chains, curves, ingest, media, panel, plan, queues, review
 
-MODULES = (chains, curves, queues, media, ingest)
+MODULES = (chains, curves, queues, media, ingest, panel, plan, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

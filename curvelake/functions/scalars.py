@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that stand for no speaker.
-PLACEHOLDERS = ("", "unknown", "none", "null", "n/a", "nobody")
+PLACEHOLDERS = ("person", "all", "moderator", "member-girl", "others", "unknown")
 
 
 def prefix(text: Column, mark: str = "_") -> Column:
@@ -14,11 +14,12 @@ def prefix(text: Column, mark: str = "_") -> Column:
     return F.substring_index(text, mark, 1)
 
 
-def clean_speaker(name: Column, strip_digits: bool = False) -> Column:
-    """A speaker's name with repaired quotes and without blanks at its ends; null for placeholders."""
-    fixed = F.trim(F.translate(name, "\x92\x93\x94", "'\"\""))
-    bare = F.regexp_replace(fixed, "[0-9]+$", "")
-    return F.when(~F.trim(F.lower(bare)).isin(*PLACEHOLDERS), F.trim(bare) if strip_digits else fixed)
+def clean_speaker(name: Column) -> Column:
+    """A speaker's name with repaired quotes and without white space at its ends; null where nothing is left, and for
+    placeholders, whatever number follows them."""
+    fixed = F.regexp_replace(F.translate(name, "\x92\x93\x94", "’\"\""), r"^\s+|\s+$", "")
+    stem = F.lower(F.trim(F.regexp_replace(fixed, "[0-9]+$", "")))
+    return F.when((fixed != "") & ~stem.isin(*PLACEHOLDERS), fixed)
 
 
 def clamp(value: Column, low: float = -1.0, high: float = 1.0) -> Column:

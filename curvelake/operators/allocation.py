@@ -1,40 +1,154 @@
 """Allocation of work: every (sample, modality) to ``coverage`` different people, evenly, and audits of plans.
 
-The reference walks a list and gives each subtask to whoever has least. Here a subtask's rank, by hash and seed within
-its modality, decides: its k-th copy goes to place (rank * coverage + k) modulo the number of people. So copies of a
-subtask go to different people, loads in each modality differ by one at most, and no task waits for another.
+The reference gives the subtasks out one after the other, each to whoever has least. Here each person's share of a
+modality is settled first, from counts alone, and the shares are then laid one after the other along the modality's
+slots: slot j is subtask j modulo their number, so a share of at most that many slots never holds a subtask twice, and
+no task waits for another. The passes are the same: exclusive subtasks to their speakers, a quota of open ones to each
+speaker, and the rest so that everyone ends at the mean.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curvelake import scratch
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``name``: 0, 1, ... over all rows by ``order``: ranges of rows are numbered apart, after the counts of those before."""
+    parts = scratch.materialize(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "numbered")
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", before.alias("before_"))  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return parts.join(F.broadcast(offsets), "part_").withColumn(name, nth + F.col("before_")).drop("part_", "before_")
+
+
+def preflight(counts: dict[tuple[str, bool], int], people: dict[str, str], coverage: int, speaker: str, quota: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(check, needed, there): heads, speakers for exclusive subtasks, and open subtasks for each quota."""
+    speakers = sum(v == speaker for v in people.values())
+    out = [("heads", coverage, len(people))]
+    if any(n for (_, own), n in counts.items() if own):
+        out.append(("speakers", coverage, speakers))
+    return out + [(f"quota of {m}", n * speakers, counts.get((m, False), 0)) for m, n in sorted(quota.items()) if speakers]
+
 
-def numbered(rows: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
-    """``name``: 0, 1, ... within each group by ``order``."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+def shares(counts: dict[tuple[str, bool], int], people: dict[str, str], coverage: int, speaker: str, quota: dict[str, int]) -> list[tuple[str, bool, str, int, int, int, int]]:
+    """(modality, exclusive, person, first slot, last slot, subtasks, subtasks one copy of which went by the quota)."""
+    speakers = [p for p in people if people[p] == speaker]
+    others = [p for p in people if people[p] != speaker]
+    quota = quota if speakers else {}
+    load, ranges = dict.fromkeys(people, 0), []
 
+    def lay(modality: str, own: bool, part: dict[str, int], n: int, fewer: int = 0) -> None:
+        at = 0
+        for p, k in part.items():
+            if k:
+                ranges.append((modality, own, p, at, at + k - 1, n, fewer))
+            at, load[p] = at + k, load[p] + k
 
-def assign(pool: DataFrame, people: DataFrame, coverage: int, seed: int) -> DataFrame:
-    """sample_id, modality, annotator_id. ``pool``: sample_id, modality, language (null: anyone); ``people``:
-    annotator_id, language. Raises if a language has fewer people than ``coverage``."""
-    ranked = numbered(people.select(F.col("language").alias("wants"), "annotator_id").union(people.select(F.lit("").alias("wants"), "annotator_id")), ["wants"], ["annotator_id"], "place")
-    heads = ranked.groupBy("wants").agg(F.count("*").alias("heads"))
-    own = pool.withColumn("wants", F.coalesce("language", F.lit("")))
-    own = numbered(own, ["wants", "modality"], [F.xxhash64(F.lit(seed), "sample_id", "modality"), "sample_id"], "rank")
-    short = F.when(F.coalesce("heads", F.lit(0)) < coverage, F.raise_error(F.concat(F.lit("too few people for language '"), "wants", F.lit("'")))).otherwise(F.col("heads"))
-    own = own.join(F.broadcast(heads), "wants", "left").withColumn("heads", short)
-    copies = own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(coverage - 1))))
-    turn = F.abs(F.hash("modality"))
-    placed = copies.withColumn("place", F.pmod(F.col("rank").cast("long") * coverage + F.col("copy") + turn, F.col("heads")).cast("int"))
-    return placed.join(F.broadcast(ranked), ["wants", "place"]).select("sample_id", "modality", "annotator_id")
+    def even(group: list[str], total: int) -> dict[str, int]:
+        least = sorted(group, key=lambda p: load[p])
+        return {p: total // len(group) + (least.index(p) < total % len(group)) for p in group}
+
+    for (m, own), n in sorted(counts.items()):
+        if own:
+            lay(m, True, even(speakers, n * coverage), n)
+    for m, n in sorted(quota.items()):
+        ranges += [(m, False, p, -(i * n) - n, -(i * n) - 1, counts.get((m, False), 0), 0) for i, p in enumerate(speakers) if n]
+        for p in speakers:
+            load[p] += n
+    left = {m: n * coverage - (quota.get(m, 0) * len(speakers)) for (m, own), n in counts.items() if not own}
+    for m in sorted(set(left) & set(quota)):
+        lay(m, False, even(others, left[m]), counts[m, False], quota[m] * len(speakers))
+    shared = sorted(set(left) - set(quota))
+    pool, mean = sum(left[m] for m in shared), (sum(load.values()) + sum(left[m] for m in shared)) / len(people)
+    room = {p: max(mean - load[p], 0.0) for p in people}
+    total, carried = sum(room.values()) or 1.0, defaultdict(float)
+    for m in shared:
+        wish = {p: room[p] / total * left[m] + carried[p] for p in people}
+        part = {p: min(int(wish[p]), counts[m, False]) for p in people}
+        while (rest := left[m] - sum(part.values())) > 0:
+            for p in sorted((p for p in people if part[p] < counts[m, False]), key=lambda p: part[p] - wish[p])[:rest]:
+                part[p] += 1
+        while (over := sum(part.values()) - left[m]) > 0:
+            for p in sorted((p for p in people if part[p]), key=lambda p: wish[p] - part[p])[:over]:
+                part[p] -= 1
+        carried.update({p: wish[p] - part[p] for p in people})
+        lay(m, False, part, counts[m, False])
+    return ranges
+
+
+def assign(pool: DataFrame, people: DataFrame, coverage: int, seed: int, quota: dict[str, int] | None = None, speaker: str = "zh") -> DataFrame:
+    """sample_id, modality, annotator_id. ``pool``: sample_id, modality, exclusive (for speakers only), each once;
+    ``people``: annotator_id, language, a row for each person; ``quota``: open subtasks of a modality that each speaker
+    gets exactly, its other open ones being for the others. Raises if people or subtasks don't suffice."""
+    quota = quota or {}
+    heads = {r.annotator_id: r.language for r in people.orderBy("annotator_id").collect()}  # one row for each person
+    counts = {(r.modality, r.exclusive): r["count"] for r in pool.groupBy("modality", "exclusive").count().collect()}  # two rows for each modality
+    for what, needed, there in preflight(counts, heads, coverage, speaker, quota):
+        if there < needed:
+            raise ValueError(f"too few: {what} needs {needed}, there are {there}")
+    schema = "modality string, exclusive boolean, annotator_id string, first long, last long, subtasks long, fewer long"
+    dealt = pool.sparkSession.createDataFrame(shares(counts, heads, coverage, speaker, quota), schema)
+    slot, n, fewer = F.col("slot"), F.col("subtasks"), F.col("fewer")
+    partial = F.when(fewer > 0, n - fewer).otherwise(0)  # the copies that the quota left over of other subtasks come first
+    rank = F.when(slot < 0, -slot - 1).when(slot < partial, fewer + slot).otherwise((slot - partial) % n)
+    slots = dealt.withColumn("slot", F.explode(F.sequence("first", "last"))).select("modality", "exclusive", "annotator_id", rank.alias("rank"))
+    order = [F.col("modality"), F.col("exclusive"), F.xxhash64(F.lit(seed), "sample_id", "modality"), F.col("sample_id")]
+    places = numbered(pool, order, "place")
+    first = places.groupBy("modality", "exclusive").agg(F.min("place").alias("start"))
+    ranked = places.join(F.broadcast(first), ["modality", "exclusive"]).withColumn("rank", F.col("place") - F.col("start"))
+    return ranked.join(slots, ["modality", "exclusive", "rank"]).select("sample_id", "modality", "annotator_id")
 
 
 def queue_order(plan: DataFrame, modalities: list[str], seed: int) -> DataFrame:
-    """``order_index`` from 0: modality blocks in their order, shuffled inside by hash and seed."""
+    """``order_index`` from 0: modality blocks in their order, shuffled inside by hash and seed. Anchors go inside their
+    block: before any of its other rows but the first, so that none is first or last where there are two others."""
+    draw = F.xxhash64(F.lit(seed), "annotator_id", "sample_id")
+    block = Window.partitionBy("annotator_id", "modality", "is_anchor")
+    rows = plan.withColumn("k_", (F.row_number().over(block.orderBy(draw, "sample_id")) - 1).cast("double"))
+    others = F.count_if(~F.col("is_anchor")).over(Window.partitionBy("annotator_id", "modality"))
+    inside = F.when(others > 1, 1 + F.pmod(F.xxhash64(F.lit(seed + 1), "annotator_id", "sample_id"), others - 1) - 0.5).otherwise(others.cast("double"))
+    rows = rows.withColumn("k_", F.when(F.col("is_anchor"), inside).otherwise(F.col("k_")))
     rank = F.array_position(F.array(*map(F.lit, modalities)), F.col("modality"))
-    return numbered(plan, ["annotator_id"], [rank, F.xxhash64(F.lit(seed), "annotator_id", "sample_id"), "sample_id"], "order_index")
+    order = Window.partitionBy("annotator_id").orderBy(rank, "k_", draw, "sample_id")
+    return rows.withColumn("order_index", F.row_number().over(order) - 1).drop("k_")
+
+
+def anchor_queue(owned: DataFrame, size: int, modalities: list[str], seed: int) -> DataFrame:
+    """modality, place, task_id: ``size`` tasks, dealt evenly over the modalities; inside one, each next task is the one
+    whose owners have fewest so far, so that every prefix is even. ``owned``: task_id, modality, owners (array).
+
+    Tasks with the same owners are alike but for their draw, so no more than a modality's share of each can be chosen:
+    what a group sees is bounded by that and the number of sets of owners."""
+    each = -(-size // len(modalities))
+    owned = owned.withColumn("owners", F.array_sort("owners")).withColumn("draw", F.xxhash64(F.lit(seed), "task_id"))
+    nth = F.row_number().over(Window.partitionBy("modality", "owners").orderBy("draw", "task_id"))
+    few = owned.withColumn("n_", nth).where(F.col("n_") <= each).select("task_id", "modality", F.array_join("owners", "\n").alias("owners"), "draw")
+
+    def pick(g: pd.DataFrame) -> pd.DataFrame:
+        piles = {o: list(x.sort_values(["draw", "task_id"]).itertuples(index=False)) for o, x in g.groupby("owners")}
+        load: dict[str, int] = defaultdict(int)
+        out = []
+        while len(out) < each and piles:
+            best = min(piles, key=lambda o: (sum(load[a] for a in o.split("\n")), piles[o][0].draw, piles[o][0].task_id))
+            row = piles[best].pop(0)
+            for a in best.split("\n"):
+                load[a] += 1
+            if not piles[best]:
+                del piles[best]
+            out.append((row.modality, len(out), row.task_id))
+        return pd.DataFrame(out, columns=["modality", "place", "task_id"])
+
+    kind = owned.schema["task_id"].dataType.simpleString()
+    picked = few.groupBy("modality").applyInPandas(pick, f"modality string, place int, task_id {kind}")
+    rank = F.array_position(F.array(*map(F.lit, modalities)), F.col("modality"))
+    turn = Window.orderBy("place", rank)  # size rows
+    return picked.withColumn("n_", F.row_number().over(turn)).where(F.col("n_") <= size).drop("n_")
 
 
 def fair_shares(load: DataFrame, people: DataFrame) -> DataFrame:
@@ -52,9 +166,38 @@ def audit(plan: DataFrame) -> DataFrame:
     return loads.crossJoin(pairs).crossJoin(plan.agg(F.count_distinct("sample_id").alias("samples")))
 
 
+def mix(plan: DataFrame, people: DataFrame, speaker: str = "zh") -> DataFrame:
+    """annotator_id, modality, exclusive, n, violations: exclusive rows of someone who doesn't speak the language."""
+    rows = plan.join(people, "annotator_id", "left")
+    wrong = F.col("exclusive") & ~F.coalesce(F.col("language") == speaker, F.lit(False))
+    return rows.groupBy("annotator_id", "modality", "exclusive").agg(F.count("*").alias("n"), F.count_if(wrong).alias("violations"))
+
+
+def modality_spread(plan: DataFrame, people: DataFrame) -> DataFrame:
+    """modality, least, most: loads of all people of the plan, also of those without a row of that modality."""
+    n = plan.groupBy("annotator_id", "modality").agg(F.count("*").alias("n")).join(people.select("annotator_id"), "annotator_id", "left_semi")
+    total = people.agg(F.count_distinct("annotator_id").alias("heads_"))  # one row
+    rows = n.groupBy("modality").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("with_"))
+    return rows.crossJoin(F.broadcast(total)).select("modality", F.when(F.col("with_") < F.col("heads_"), 0).otherwise(F.col("least")).alias("least"), "most")
+
+
 def issue_numbers(samples: DataFrame, issued: DataFrame, seed: int) -> DataFrame:
     """sample_id, display_id (S and four digits): fresh ids in shuffled order, after the highest number so far."""
     fresh = samples.join(issued.select("sample_id"), "sample_id", "left_anti").select("sample_id").distinct()
     last = issued.agg(F.coalesce(F.max(F.substring("display_id", 2, 9).cast("int")), F.lit(0)).alias("last"))
-    order = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id"))
-    return fresh.withColumn("k", order).crossJoin(F.broadcast(last)).select("sample_id", F.format_string("S%04d", F.col("last") + F.col("k")).alias("display_id"))
+    draw: list[Column] = [F.xxhash64(F.lit(seed), "sample_id"), F.col("sample_id")]
+    return numbered(fresh, draw, "k").crossJoin(F.broadcast(last)).select("sample_id", F.format_string("S%04d", F.col("last") + F.col("k") + 1).alias("display_id"))
+
+
+def asset(modality: Column, display_id: Column) -> Column:
+    """Where a task's file lies."""
+    kind = F.when(modality == "audio", "m4a").when(modality == "text", "json").otherwise("mp4")
+    return F.concat(F.lit("/media/"), modality, F.lit("/"), display_id, F.lit("."), kind)
+
+
+def task_list(samples: DataFrame, dropped: DataFrame, numbers: DataFrame, modalities: list[str]) -> DataFrame:
+    """task_id, src: a task for each modality of each sample that isn't dropped. Raises at a sample without a number."""
+    rows = samples.join(dropped.select("sample_id"), "sample_id", "left_anti").join(numbers, "sample_id", "left")
+    number = F.coalesce("display_id", F.raise_error(F.concat(F.lit("no number for sample "), F.col("sample_id").cast("string"))))
+    each = rows.withColumn("display_id", number).withColumn("modality", F.explode(F.array(*map(F.lit, modalities))))
+    return each.select(F.concat_ws("::", "display_id", "modality").alias("task_id"), asset(F.col("modality"), F.col("display_id")).alias("src"))

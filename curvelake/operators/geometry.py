@@ -46,8 +46,8 @@ def with_fallback(strict: Column, faces: Column, least: float = 0.40) -> tuple[C
 
 def face_score(w: Column, h: Column, cx: Column, cy: Column, frontal: Column, conf: Column) -> Column:
     """Size, closeness to the middle and frontality of a face whose box is given as shares of the frame."""
-    centre = F.greatest(F.lit(0.0), 1 - F.hypot(cx - 0.5, cy - 0.5) / 0.7071067811865476)
-    return (0.55 * F.least(F.lit(1.0), F.sqrt(w * h) * 3) + 0.15 * centre + 0.30 * frontal) * conf
+    centre = 1 - F.hypot(cx - 0.5, cy - 0.5) / 0.707
+    return (0.55 * F.sqrt(w * h) * 3 + 0.15 * centre + 0.30 * frontal) * conf
 
 
 def link_track(frames: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.operators.monitor import local_day
@@ -32,6 +32,12 @@ def spot_check(done: DataFrame, day: Column, n: int, seed: int) -> DataFrame:
     return drawn.orderBy("completed_at", "task_id")
 
 
+def stratified(rows: DataFrame, stratum: str, key: str, k: int, seed: int) -> DataFrame:
+    """stratum, key of k rows of each stratum (all, if fewer), drawn by hash and seed."""
+    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
+    return rows.withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= k).select(stratum, key)
+
+
 def notes(flat: Column, spread: Column, revisions: Column, narrow: float = 0.2, many: int = 3) -> Column:
     """What a reviewer should look at."""
     moves = F.when(flat, "barely moves").when(spread < narrow, "narrow")

@@ -20,16 +20,19 @@ def tokens(text: Column, language: Column) -> Column:
 
 
 def normalise(words: DataFrame, key: str) -> DataFrame:
-    """``start``, ``end``: no word starts before the one before it ends, each lasts LEAST_S at least.
+    """``start``, ``end``: no word starts before the one before it ends, the first not before 0; each lasts LEAST_S at least.
 
     end_i = max(end_i, start_i + LEAST_S) with start_i = max(s_i, end_(i-1)) is a running maximum of
-    max(e_j, s_j + LEAST_S) - LEAST_S * j, so one window does it. ``words``: key, i (from 0), s, e.
+    max(e_j, s_j + LEAST_S) - LEAST_S * j, and of 0 + LEAST_S * (1 - the first i), so one window does it. ``words``:
+    key, i (a rank without gaps), s, e.
     """
     w = Window.partitionBy(key).orderBy("i")
-    reach = F.greatest("e", F.col("s") + LEAST_S) - LEAST_S * F.col("i")
+    first = F.lag("i").over(w).isNull()
+    own = F.when(first, F.greatest("s", F.lit(0.0))).otherwise(F.col("s"))
+    reach = F.greatest("e", own + LEAST_S) - LEAST_S * F.col("i")
     end = LEAST_S * F.col("i") + F.max(reach).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = words.withColumn("end", end)
-    return out.withColumn("start", F.greatest("s", F.coalesce(F.lag("end").over(w), F.col("s"))))
+    return out.withColumn("start", F.greatest("s", F.coalesce(F.lag("end").over(w), F.lit(0.0))))
 
 
 def compress(words: DataFrame, key: str, limit: Column) -> DataFrame:
@@ -50,10 +53,10 @@ def sentences(words: DataFrame, key: str) -> DataFrame:
 
 
 def pull_back(words: DataFrame, key: str, duration: Column) -> DataFrame:
-    """``end``: words that run past the duration move back and keep their widths: end_i is the least, over j >= i, of
-    e_j + widths after j (and of the duration), less the widths after i; nothing starts before 0."""
+    """``end``: words that run past the duration move back and keep their widths (0 at least): end_i is the least, over
+    j >= i, of e_j + widths after j (and of the duration), less the widths after i; nothing starts before 0."""
     w = Window.partitionBy(key).orderBy("i")
-    width = F.col("e") - F.col("s")
+    width = F.greatest(F.col("e") - F.col("s"), F.lit(0.0))
     after = F.coalesce(F.sum(width).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
     rows = words.withColumn("after_", after)
     least = F.min(F.col("e") + F.col("after_")).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -115,6 +118,6 @@ def spell(n: int) -> str:
 
 @F.pandas_udf(StringType())
 def spoken(text: pd.Series) -> pd.Series:
-    """Digits as words, then only capitals, apostrophes and blanks."""
+    """Digits as words with blanks around them, then only capitals, apostrophes and blanks; other marks just go."""
     words = text.fillna("").str.replace(r"\d+", lambda m: f" {spell(int(m[0]))} ", regex=True).str.upper()
-    return words.str.replace(r"[^A-Z' ]+", " ", regex=True).str.replace(r" +", " ", regex=True).str.strip()
+    return words.str.replace(r"[^A-Z' ]+", "", regex=True).str.strip()

@@ -158,9 +158,9 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
     return submissions(spark, sf).select("annotator_id", "task_id", F.col("submitted_at").alias("completed_at"))
 
 
-@query("M1_pace", GAPS + " SELECT annotator_id, count(*) AS n_gaps, CASE WHEN count(*) >= 20 THEN round(sum(gap) / count(*), 1) END AS seconds_per_task, CASE WHEN count(*) >= 20 THEN round(sum(gap) / 3600, 2) END AS active_hours FROM k GROUP BY 1")
+@query("M1_pace", GAPS + " SELECT annotator_id, count(gap) FILTER (WHERE gap <= 21600) AS n_gaps, CASE WHEN count(gap) FILTER (WHERE gap <= 21600) >= 20 THEN round(sum(gap) FILTER (WHERE gap <= 21600) / count(gap) FILTER (WHERE gap <= 21600), 1) END AS seconds_per_task, round(coalesce(sum(gap) FILTER (WHERE gap <= 21600), 0) / 3600, 1) AS active_hours FROM g GROUP BY 1")
 def pace(spark: SparkSession, sf: str) -> DataFrame:
-    return monitor.pace(completions(spark, sf), 21600)
+    return monitor.pace(completions(spark, sf), 21600).drop("pace_s")
 
 
 @query("M2_gap_spread", GAPS + " SELECT annotator_id, round(min(gap), 1) AS least, round(quantile_cont(gap, 0.5), 1) AS median, round(max(gap), 1) AS most FROM k GROUP BY 1 HAVING count(*) >= 20")
@@ -179,25 +179,13 @@ def local_days(spark: SparkSession, sf: str) -> DataFrame:
  a AS (SELECT annotator_id, epoch_us(now) - epoch_us(submitted_at) AS age, (epoch_us(deadline) - epoch_us(now)) / 86400e6 AS days FROM submissions, n WHERE submitted_at <= now),
  g AS (SELECT annotator_id, least(86400.0, max(age) / 1e6) AS span, count(*) FILTER (WHERE age <= 86400000000) AS n, count(*) FILTER (WHERE age < 86400000000) AS last_24h, 120 - count(*) AS remaining, any_value(days) AS days FROM a GROUP BY 1),
  r AS (SELECT *, CASE WHEN span >= 21600 AND remaining > 0 THEN n / (span / 86400) END AS rate FROM g)
- SELECT annotator_id, round(rate, 2) AS per_day, last_24h, rate * greatest(days, 0) >= remaining AS on_track, CASE WHEN days > 0 THEN CAST(ceil(remaining / days) AS BIGINT) END AS needed_per_day FROM r""",
+ SELECT annotator_id, CAST(round_even(rate, 0) AS BIGINT) AS per_day, last_24h, rate * greatest(days, 0) >= remaining AS on_track, CASE WHEN days > 0 AND remaining <> 0 THEN CAST(ceil(remaining / days) AS BIGINT) END AS needed_per_day FROM r""",
 )
 def forecast(spark: SparkSession, sf: str) -> DataFrame:
     now, deadline = F.to_timestamp_ntz(F.lit("2024-01-30 12:00:00")), F.to_timestamp_ntz(F.lit("2024-02-10 00:00:00"))
     return monitor.forecast(completions(spark, sf).where(F.col("completed_at") <= now), now, 120 - F.count("*"), deadline)
 
 
-@query(
-    "M3_state",
-    PROGRESS + """, s AS (SELECT annotator_id, assigned, submitted, started, submitted_all FROM p)
- SELECT annotator_id, CASE WHEN assigned > 0 AND submitted >= assigned THEN 'done' WHEN started > 0 THEN 'annotating' WHEN submitted_all > 3 THEN 'trained' WHEN submitted_all > 0 THEN 'training' ELSE 'not_started' END AS state,
- CASE WHEN assigned = 0 THEN 0 ELSE CAST(floor(submitted * 100 / assigned) AS BIGINT) END AS percent FROM s""",
-)
-def state(spark: SparkSession, sf: str) -> DataFrame:
-    rows = progress(spark, sf)
-    own = monitor.state(F.col("submitted_all") > 3, F.col("submitted_all") > 0, F.col("started") > 0, F.col("submitted"), F.col("assigned"))
-    return rows.select("annotator_id", own.alias("state"), F.when(F.col("assigned") == 0, 0).otherwise(F.floor(F.col("submitted") * 100 / F.col("assigned"))).alias("percent"))
-
-
 @query(
     "M12_milestones",
     f"""WITH {SUBMISSIONS}, d AS (SELECT annotator_id, task_id, CAST(count(*) AS BIGINT) AS n FROM submissions GROUP BY 1, 2),

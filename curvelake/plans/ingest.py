@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.operators import chains, records
+from curvelake.operators import chains
 from curvelake.plans.chains import CHAIN, ORDER
 from curvelake.plans.registry import SUBMISSIONS, Registry, submissions, table
 from curvelake.scratch import folder
@@ -72,37 +72,6 @@ def export(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "N1_appraisal_rules",
-    """SELECT event_id, coalesce(array_to_string([CASE WHEN k >= 60 THEN 'N1' END, CASE WHEN event_type = 'error' THEN 'N2' END, CASE WHEN event_type = 'view' THEN 'N3' END, CASE WHEN k % 3 = 0 THEN 'N4' END,
- CASE WHEN k % 5 > 2 OR k % 7 = 0 THEN 'N5' END, CASE WHEN k % 4 = 1 AND k % 7 = 0 THEN 'N6' END, CASE WHEN k % 7 = 0 THEN 'N7' END, CASE WHEN k % 2 = 0 AND k > 50 THEN 'N8' END], ','), '') AS errors
- FROM (SELECT event_id, event_type, CAST(props->>'k' AS INTEGER) AS k FROM events)""",
-)
-def appraisal(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents made from events, each breaking rules by its number."""
-    k, lit = F.col("k"), F.lit
-    pair = lambda a, b: F.array(a.cast("double"), b.cast("double"))
-    evidence = lambda name, ok: F.struct(name.alias("id"), ok.alias("verified"), lit("seen").alias("observation"), pair(lit(1), lit(2)).alias("span"))
-    refs = F.array(lit("e1"))
-    rating = lambda v: F.struct(lit("known").alias("state"), v.cast("double").alias("value"), refs.alias("refs"), lit(False).alias("mixed"), lit("").alias("note"))
-    state = lambda s: F.struct(s.alias("state"), lit("x").alias("value"))
-    doc = F.struct(
-        pair(k, lit(60)).alias("window"),
-        state(F.when(F.col("event_type") == "error", "unknown").otherwise("confirmed")).alias("subject"),
-        state(lit("unknown")).alias("event"),
-        F.when(F.col("event_type") == "view", "inside").otherwise("outside").alias("location"),
-        pair(lit(5), lit(5)).alias("location_window"),
-        F.array(evidence(lit("e1"), k % 7 != 0), evidence(F.when(k % 3 == 0, "e1").otherwise("e2"), lit(False))).alias("evidence"),
-        F.struct(*(rating(v).alias(d) for d, v in zip("RICN", (k % 5, lit(0), lit(1), lit(-2)), strict=True))).alias("ratings"),
-        F.struct(F.when(k % 4 == 1, "confirmed").otherwise("none").alias("state"), pair(lit(1), lit(2)).alias("window"), F.array(lit("face"), lit("voice")).alias("modalities"), refs.alias("refs")).alias("conflict"),
-        refs.alias("constraint_refs"),
-        F.struct((k % 2 == 0).alias("changed"), k.cast("double").alias("at"), F.array(lit("face")).alias("modalities"), F.when(k > 50, " ").otherwise("turns").alias("description")).alias("dynamic"),
-    )
-    rows = table(spark, sf, "events").select("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
-    made = records.validate(rows.withColumn("payload", F.to_json(doc)), "payload", lit(60.0))
-    return made.select("event_id", F.array_join("errors", ",").alias("errors"))
-
-
 @query("K1_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,9 +103,9 @@ def stream_sampler(spark: SparkSession, sf: str) -> DataFrame:
     base = folder(spark, "sampler")
     start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - start) / 86400e6
-    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("curve"), F.col("event_id").alias("seq"), t.alias("t"), F.col("value").alias("v"), F.lit(True).alias("playing"))
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("curve"), F.col("event_id").alias("seq"), t.alias("t"), F.col("value").alias("v"), F.lit(True).alias("playing"), F.col("ts").cast("timestamp").alias("at"))
     rows.repartition("curve").write.parquet(f"{base}/in")  # one batch takes all files; the sampler orders a curve by seq
-    drain(ingest.sample(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), hz=1), f"{base}/out", f"{base}/state")
+    drain(ingest.sample(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), hz=1, idle_s=60 * 86_400), f"{base}/out", f"{base}/state")
     return spark.read.schema(ingest.CELLS).parquet(f"{base}/out").withColumn("v", F.round("v", 6))
 
 

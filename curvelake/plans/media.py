@@ -71,10 +71,10 @@ def best_match(spark: SparkSession, sf: str) -> DataFrame:
     return graph.best_match(candidates, prototypes(spark, sf), ["clip"], "label").select("clip", "id", "sim", "status")
 
 
-@query("G7_new_people", f"WITH {UNIT} SELECT label, id FROM u n WHERE id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM u o WHERE o.id % 5 = 1 AND o.label = n.label AND list_inner_product(o.v, n.v) >= 0.363)")
+@query("G7_new_people", f"WITH {UNIT} SELECT label, id FROM u n WHERE v[1] > 0 AND NOT EXISTS (SELECT 1 FROM u o WHERE o.v[1] <= 0 AND o.label = n.label AND list_inner_product(o.v, n.v) >= 0.363)")
 def new_people(spark: SparkSession, sf: str) -> DataFrame:
     own = vectors(spark, sf)
-    return graph.new_people(own.where("id % 5 = 0"), own.where("id % 5 = 1"), "label")
+    return graph.new_people(own.where("v[0] > 0"), own.where("v[0] <= 0"), "label")
 
 
 @query("G8_merge_verdicts", """SELECT event_id AS id, CASE WHEN v IS NULL THEN 'needs_review' WHEN v = 'yes' THEN 'ok' WHEN v = 'no' THEN 'rejected' ELSE 'needs_review' END AS status,
@@ -114,7 +114,7 @@ def rank90(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("v")).select("l_orderkey", nearest_rank(F.col("v"), 0.9).alias("p90"))
 
 
-@query("F12_face_score", """SELECT l_orderkey, l_partkey, l_suppkey, round((0.55 * least(1.0, sqrt(l_tax * 4 * l_discount * 4) * 3) + 0.15 * greatest(0.0, 1 - sqrt((l_quantity / 50 - 0.5) * (l_quantity / 50 - 0.5) + (l_discount * 8 - 0.5) * (l_discount * 8 - 0.5)) / 0.7071067811865476)
+@query("F12_face_score", """SELECT l_orderkey, l_partkey, l_suppkey, round((0.55 * sqrt(l_tax * 4 * l_discount * 4) * 3 + 0.15 * (1 - sqrt((l_quantity / 50 - 0.5) * (l_quantity / 50 - 0.5) + (l_discount * 8 - 0.5) * (l_discount * 8 - 0.5)) / 0.707)
  + 0.30 * l_tax * 10) * 0.9, 6) AS score FROM lineitem""")
 def face_score(spark: SparkSession, sf: str) -> DataFrame:
     own = geometry.face_score(F.col("l_tax") * 4, F.col("l_discount") * 4, F.col("l_quantity") / 50, F.col("l_discount") * 8, F.col("l_tax") * 10, F.lit(0.9))
@@ -176,9 +176,15 @@ FIXED = WORDS + """, x AS (SELECT *, 0.04::DOUBLE * i + max(greatest(e, s + 0.04
  fixed AS (SELECT talk, i, t, greatest(s, coalesce(lag(e2) OVER (PARTITION BY talk ORDER BY i), s)) AS s2, e2 FROM x)"""
 
 
-@query("D6_normalise", f"WITH {FIXED} SELECT talk, i, round(s2, 6) AS start, round(e2, 6) AS \"end\" FROM fixed")
+@query("D6_normalise", f"""WITH RECURSIVE {WORDS}, early AS (SELECT talk, i, s - 0.1 AS s, e - 0.1 AS e FROM words),
+ r AS (SELECT talk, i, greatest(s, 0) AS b, greatest(e, greatest(s, 0) + 0.04) AS f FROM early WHERE i = 0 UNION ALL
+   SELECT w.talk, w.i, greatest(w.s, r.f), greatest(w.e, greatest(w.s, r.f) + 0.04) FROM r JOIN early w ON w.talk = r.talk AND w.i = r.i + 1),
+ l AS (SELECT *, max(f) OVER (PARTITION BY talk) AS last FROM r)
+ SELECT talk, i, round(b * CASE WHEN last > 10 THEN 10 / last ELSE 1 END, 6) AS start, round(f * CASE WHEN last > 10 THEN 10 / last ELSE 1 END, 6) AS "end" FROM l""")
 def repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return transcripts.normalise(words(spark, sf), "talk").select("talk", "i", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    early = words(spark, sf).withColumns({"s": F.col("s") - F.lit(0.1), "e": F.col("e") - F.lit(0.1)})
+    out = transcripts.compress(transcripts.normalise(early, "talk"), "talk", F.lit(10.0))
+    return out.select("talk", "i", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 @query("D7_sentences", f"""WITH {FIXED}, m AS (SELECT *, coalesce(CAST(sum(CASE WHEN regexp_matches(t, '[.!?。！？…]$') THEN 1 ELSE 0 END) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS sentence FROM fixed)
@@ -192,9 +198,9 @@ def violations(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.violations(words(spark, sf), "talk", F.lit(20.0))
 
 
-@query("D9_pull_back", f"""WITH {WORDS}, a AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM words),
+@query("D9_pull_back", f"""WITH {WORDS}, a AS (SELECT *, coalesce(sum(greatest(e - s, 0)) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM words),
  m AS (SELECT *, min(e + after) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM a),
- r AS (SELECT talk, i, e - s AS width, greatest(least(12.0, least) - after, 0) AS e2 FROM m) SELECT talk, i, CAST(round(greatest(e2 - width, 0), 5) AS DOUBLE) AS start, CAST(round(e2, 5) AS DOUBLE) AS "end" FROM r""")
+ r AS (SELECT talk, i, greatest(e - s, 0) AS width, greatest(least(12.0, least) - after, 0) AS e2 FROM m) SELECT talk, i, CAST(round(greatest(e2 - width, 0), 5) AS DOUBLE) AS start, CAST(round(e2, 5) AS DOUBLE) AS "end" FROM r""")
 def pull_back(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.pull_back(words(spark, sf), "talk", F.lit(12.0)).select("talk", "i", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
 
@@ -215,9 +221,17 @@ def alignment(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.alignment_quality(words(spark, sf).withColumn("score", F.col("i") % 10 / 10), "talk", F.lit(60.0))
 
 
-@query("F6_spoken_numbers")
+@query(
+    "F6_spoken_numbers",
+    """WITH w AS (SELECT ['ZERO','ONE','TWO','THREE','FOUR','FIVE','SIX','SEVEN','EIGHT','NINE','TEN','ELEVEN','TWELVE','THIRTEEN','FOURTEEN','FIFTEEN','SIXTEEN','SEVENTEEN','EIGHTEEN','NINETEEN'] AS ones,
+   ['TWENTY','THIRTY','FORTY','FIFTY','SIXTY','SEVENTY','EIGHTY','NINETY'] AS tens),
+ h AS (SELECT n, CASE WHEN n < 20 THEN ones[n + 1] ELSE tens[n // 10 - 1] || CASE WHEN n % 10 > 0 THEN ' ' || ones[n % 10 + 1] ELSE '' END END AS t FROM w, range(0, 100) r(n)),
+ k AS (SELECT r.n, CASE WHEN r.n < 100 THEN b.t ELSE a.t || ' HUNDRED' || CASE WHEN r.n % 100 > 0 THEN ' ' || b.t ELSE '' END END AS t FROM range(0, 1000) r(n) JOIN h a ON a.n = r.n // 100 JOIN h b ON b.n = r.n % 100),
+ s AS (SELECT p.*, CASE WHEN p_partkey < 1000 THEN b.t ELSE a.t || ' THOUSAND' || CASE WHEN p_partkey % 1000 > 0 THEN ' ' || b.t ELSE '' END END AS key FROM part p JOIN k a ON a.n = p_partkey // 1000 JOIN k b ON b.n = p_partkey % 1000)
+ SELECT s.p_partkey, trim('BRAND ' || c.t || '   ' || d.t || ' ' || 'DON''TOK ' || s.key) AS words FROM s JOIN k c ON c.n = CAST(substr(s.p_brand, 7) AS INTEGER) JOIN k d ON d.n = s.p_size""",
+)
 def spoken(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", transcripts.spoken(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))).alias("words"))
+    return table(spark, sf, "part").select("p_partkey", transcripts.spoken(F.concat(F.col("p_brand"), F.lit(" "), F.col("p_size").cast("string"), F.lit("don't?o.K."), F.col("p_partkey").cast("string"))).alias("words"))
 
 
 @query("Z20_word_spans", f"WITH {WORDS} SELECT talk, i // 3 AS word, min(s) AS s, max(e) AS e, round(avg((i % 10) / 10), 6) AS score FROM words GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars
-from curvelake.operators import allocation, lifecycle, ranges
+from curvelake.operators import allocation, lifecycle, quality, ranges
 from curvelake.plans.chains import COMPLETE, complete, queue
 from curvelake.plans.registry import SUBMISSIONS, Registry, submissions, table
 
@@ -142,10 +142,10 @@ def release_chain(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.first("event_id").over(w).alias("root"), (F.row_number().over(w) - 1).alias("depth"))
 
 
-@query("L1_queue_order", f"SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, {RANKS}, o_orderkey LIMIT 200")
+@query("L1_queue_order", f"SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {RANKS}, o_orderkey) AS INTEGER) AS place FROM orders")
 def queue_order(spark: SparkSession, sf: str) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))), F.col("o_orderpriority"))
-    return table(spark, sf, "orders").orderBy("o_custkey", rank, "o_orderkey").select("o_orderkey", "o_custkey").limit(200)
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(rank, "o_orderkey")).alias("place"))
 
 
 @query("L3_recent", "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 30")
@@ -203,48 +203,23 @@ def tally(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def pool_plan(spark: SparkSession, sf: str) -> DataFrame:
-    modalities = F.array(*map(F.lit, ("face", "voice", "text", "body", "audiovisual")))
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"), F.explode(modalities).alias("modality"), F.when(F.col("p_size") < 5, F.lit("L1")).alias("language"))
-    people = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("annotator_id"), F.concat(F.lit("L"), (F.col("s_suppkey") % 3).cast("string")).alias("language"))
-    return allocation.assign(rows, people, 2, 7)
-
-
-@query("C1_assign")
-def assign(spark: SparkSession, sf: str) -> DataFrame:
-    return pool_plan(spark, sf)
-
-
-@query("C3_queue_blocks")
-def queue_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return allocation.queue_order(pool_plan(spark, sf), ["face", "voice", "text", "body", "audiovisual"], 7)
-
-
 @query("C2_fair_shares", "WITH l AS (SELECT s_suppkey AS annotator_id, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1) SELECT annotator_id, round(greatest((SELECT sum(n) / count(*) FROM l) - n, 0), 6) AS capacity FROM l")
 def fair_shares(spark: SparkSession, sf: str) -> DataFrame:
     load = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("annotator_id")).agg(F.count("*").alias("n"))
     return allocation.fair_shares(load, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("annotator_id"))).withColumn("capacity", F.round("capacity", 6))
 
 
-@query("C8_issue_numbers")
-def issue(spark: SparkSession, sf: str) -> DataFrame:
-    samples = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"))
-    issued = samples.where("sample_id < 20").select("sample_id", F.format_string("S%04d", F.col("sample_id") + 1).alias("display_id"))
-    return allocation.issue_numbers(samples, issued, 3)
-
-
-@query("X9_transfer", f"""WITH {COMPLETE}, q AS (SELECT CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) AS INTEGER) AS task_id, CAST(min(o_orderkey) AS BIGINT) AS order_index, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'released' ELSE 'active' END AS status FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+@query("X9_transfer", f"""WITH {COMPLETE}, q AS (SELECT CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) AS INTEGER) AS task_id, CAST(min(o_orderkey) AS BIGINT) AS order_index, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'released' ELSE 'active' END AS status FROM orders GROUP BY 1, 2)
  SELECT CAST(9 AS INTEGER) AS annotator_id, task_id, (SELECT coalesce(max(order_index) + 1, 0) FROM q WHERE annotator_id = 9) + row_number() OVER (ORDER BY order_index, task_id) - 1 AS order_index, 'active' AS status
  FROM q WHERE annotator_id = 4 AND status = 'active' AND task_id NOT IN (SELECT task_id FROM complete WHERE annotator_id = 4) AND task_id NOT IN (SELECT task_id FROM q WHERE annotator_id = 9)""")
 def transfer(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").where("o_orderkey % 3 = 0")
-    own = rows.groupBy((F.col("o_custkey") % 150).alias("annotator_id"), F.dayofmonth("o_orderdate").alias("task_id")).agg(F.min("o_orderkey").alias("order_index"), F.when(F.bool_or(F.col("o_orderstatus") == "P"), "released").otherwise("active").alias("status"))
+    own = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 150).alias("annotator_id"), F.dayofmonth("o_orderdate").alias("task_id")).agg(F.min("o_orderkey").alias("order_index"), F.when(F.bool_or(F.col("o_orderstatus") == "P"), "released").otherwise("active").alias("status"))
     return lifecycle.transfer(own, complete(spark, sf), 4, 9)
 
 
-@query("X14_phase_unlock", f"WITH {COMPLETE}, t AS (SELECT DISTINCT CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) AS INTEGER) AS task_id FROM orders WHERE o_orderkey % 500 = 0) SELECT t.annotator_id, bool_and(c.task_id IS NOT NULL) AS unlocked FROM t LEFT JOIN complete c USING (annotator_id, task_id) GROUP BY 1")
+@query("X14_phase_unlock", f"WITH {COMPLETE}, t AS (SELECT DISTINCT CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) AS INTEGER) AS task_id FROM orders WHERE o_orderpriority = '5-LOW') SELECT t.annotator_id, bool_and(c.task_id IS NOT NULL) AS unlocked FROM t LEFT JOIN complete c USING (annotator_id, task_id) GROUP BY 1")
 def unlock(spark: SparkSession, sf: str) -> DataFrame:
-    training = table(spark, sf, "orders").where("o_orderkey % 500 = 0").select((F.col("o_custkey") % 150).alias("annotator_id"), F.dayofmonth("o_orderdate").alias("task_id")).distinct()
+    training = table(spark, sf, "orders").where("o_orderpriority = '5-LOW'").select((F.col("o_custkey") % 150).alias("annotator_id"), F.dayofmonth("o_orderdate").alias("task_id")).distinct()
     return lifecycle.unlocked(training, complete(spark, sf))
 
 
@@ -265,9 +240,15 @@ def dataset(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", scalars.prefix(F.col("p_name"), " ").alias("dataset"))
 
 
-@query("F2_clean_name", r"SELECT c_custkey, nullif(trim(regexp_replace(lower(trim(c_name)), '[0-9]+$', '')), 'nobody') AS name FROM customer")
+@query(
+    "F2_clean_name",
+    r"""SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'Richard' || chr(8217) || 's Date' WHEN 5 THEN NULL
+ WHEN 6 THEN 'Flight Attendant' WHEN 7 THEN 'None' ELSE trim(c_name) END AS name FROM customer""",
+)
 def clean_name(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey", scalars.clean_speaker(F.lower("c_name"), strip_digits=True).alias("name"))
+    raw = F.array(*map(F.lit, ("PERSON3", " Moderator ", "member-girl", "  ", "Richard\x92s Date", "Unknown 12", " Flight Attendant", "None")))
+    k = (F.col("c_custkey") % 9).cast("int")
+    return table(spark, sf, "customer").select("c_custkey", scalars.clean_speaker(F.when(k == 8, F.col("c_name")).otherwise(F.get(raw, k))).alias("name"))
 
 
 @query("F3_format_ids", "SELECT s_suppkey, format('S{:04d}', s_suppkey) AS display_id, format('P{:d}-L{:d}-{:02d}', s_suppkey % 3 + 1, s_nationkey, s_suppkey % 100) AS account FROM supplier")
@@ -301,10 +282,11 @@ def json_default(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.coalesce(get("k", "int"), F.lit(-1)).alias("k"), F.coalesce(get("filled", "boolean"), F.lit(False)).alias("filled"))
 
 
-@query("Z1_stratified_sample")
+@query("Z1_stratified_sample", "SELECT p_type, least(count(*), 10) AS n, least(count(*), 10) AS different FROM part GROUP BY 1")
 def stratified(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("p_type").orderBy(F.xxhash64(F.lit(7), "p_partkey"), "p_partkey")
-    return table(spark, sf, "part").withColumn("k", F.row_number().over(w)).where("k <= 10").select("p_type", "p_partkey")
+    """How many each stratum's sample has; which they are is drawn by hash and seed."""
+    drawn = quality.stratified(table(spark, sf, "part"), "p_type", "p_partkey", 10, 7)
+    return drawn.groupBy("p_type").agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("different"))
 
 
 @query("Z2_look_ahead", "SELECT event_id, coalesce(array_to_string([lead(event_id, 1) OVER w, lead(event_id, 2) OVER w], ','), '') AS ahead FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")

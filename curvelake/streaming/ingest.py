@@ -30,7 +30,8 @@ def sample(points: DataFrame, hz: int = 10, idle_s: int = 86_400) -> DataFrame:
     """The client's sampler over a stream: a cell for each new floor(t * hz) of a curve, and, while playback runs on, the
     cells that it skipped (MOST_FILLED at most) by linear interpolation. A point with ``playing`` false breaks it off.
 
-    A curve's state is its last cell and value, dropped once nothing has come for ``idle_s`` seconds. ``points``: curve, seq, t, v, playing.
+    A curve's state is its last cell and value, dropped once events are ``idle_s`` seconds past its last. ``points``: curve, seq, t, v,
+    playing, at (when the event happened).
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,7 +40,8 @@ def sample(points: DataFrame, hz: int = 10, idle_s: int = 86_400) -> DataFrame:
             return
         last, value, running = state.get if state.exists else (-1, 0.0, False)
         out = []
-        for t, v, playing in pd.concat(list(frames)).sort_values("seq")[["t", "v", "playing"]].itertuples(index=False):
+        rows = pd.concat(list(frames)).sort_values("seq")
+        for t, v, playing in rows[["t", "v", "playing"]].itertuples(index=False):
             if not playing:
                 running = False
                 continue
@@ -52,7 +54,8 @@ def sample(points: DataFrame, hz: int = 10, idle_s: int = 86_400) -> DataFrame:
                 last, value = cell, v
             running = True
         state.update((last, value, running))
-        state.setTimeoutDuration(1000 * idle_s)
+        latest = max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(latest + 1000 * idle_s)
         yield pd.DataFrame(out, columns=["curve", "cell", "v", "filled"])
 
-    return points.groupBy("curve").applyInPandasWithState(run, CELLS, "last long, value double, running boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return points.withWatermark("at", f"{idle_s} seconds").groupBy("curve").applyInPandasWithState(run, CELLS, "last long, value double, running boolean", "append", GroupStateTimeout.EventTimeTimeout)

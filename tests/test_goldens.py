@@ -1,6 +1,7 @@
 """Literal cases of the operators."""
 
 import datetime
+import json
 import os
 import random
 
@@ -139,9 +140,9 @@ def test_link_follows_the_last_box(spark):
 
 
 def loop_normalise(words):
-    out, cursor = [], None
+    out, cursor = [], 0.0
     for s, e in words:
-        start = s if cursor is None else max(s, cursor)
+        start = max(s, cursor)
         end = max(e, start + 0.04)
         out.append((start, end))
         cursor = end
@@ -150,7 +151,7 @@ def loop_normalise(words):
 
 def test_normalise_equals_the_loop(spark):
     rng = random.Random(9)
-    groups = {str(g): [(rng.random() * 3, rng.random() * 3) for _ in range(rng.randrange(1, 15))] for g in range(80)}
+    groups = {str(g): [(rng.random() * 3 - 0.5, rng.random() * 3 - 0.5) for _ in range(rng.randrange(1, 15))] for g in range(80)}
     rows = [(g, i, *w) for g, ws in groups.items() for i, w in enumerate(ws)]
     got = transcripts.normalise(frame(spark, "g string, i int, s double, e double", rows), "g").collect()
     want = {(g, i): w for g, ws in groups.items() for i, w in enumerate(loop_normalise(ws))}
@@ -158,7 +159,7 @@ def test_normalise_equals_the_loop(spark):
         assert (r.start, r.end) == pytest.approx(want[r.g, r.i], abs=1e-9)
 
 
-@pytest.mark.parametrize(("text", "words"), [("3", "THREE"), ("25", "TWENTY FIVE"), ("100", "ONE HUNDRED"), ("Room 1204!", "ROOM ONE THOUSAND TWO HUNDRED FOUR"), ("0", "ZERO"), (None, "")])
+@pytest.mark.parametrize(("text", "words"), [("3", "THREE"), ("25", "TWENTY FIVE"), ("100", "ONE HUNDRED"), ("Room1204!", "ROOM ONE THOUSAND TWO HUNDRED FOUR"), ("0", "ZERO"), (None, ""), ("40?", "FORTY"), ("don't", "DON'T"), ('"', ""), ("O.K.", "OK"), ("well-known", "WELLKNOWN")])
 def test_spoken_numbers(spark, text, words):
     assert frame(spark, "t string", [(text,)]).select(transcripts.spoken("t").alias("w")).first().w == words
 
@@ -176,17 +177,125 @@ def test_components_and_ties(spark):
     assert sorted(r.id for r in graph.largest_component(parts, ["g"]).collect()) == [2, 3]
 
 
-def test_assignment_is_even_and_distinct(spark):
-    pool = frame(spark, "sample_id int, modality string, language string", [(s, m, "zh" if s < 20 and m == "text" else None) for s in range(101) for m in ("face", "text")])
-    people = frame(spark, "annotator_id string, language string", [(f"p{i}", "zh" if i < 3 else "en") for i in range(7)])
-    plan = allocation.assign(pool, people, 2, 1).collect()
-    assert len({(r.sample_id, r.modality, r.annotator_id) for r in plan}) == len(plan) == 404
-    assert {r.annotator_id for r in plan if r.sample_id < 20 and r.modality == "text"} == {"p0", "p1", "p2"}
-    loads = [sum(r.annotator_id == p and r.modality == "face" for r in plan) for p in (f"p{i}" for i in range(7))]
-    assert max(loads) - min(loads) <= 1
-    assert sorted(map(tuple, allocation.assign(pool, people, 2, 1).collect())) == sorted(map(tuple, plan))
-    with pytest.raises(Exception, match="too few people"):
-        allocation.assign(pool, people, 4, 1).collect()
+@pytest.mark.parametrize(("heads", "zh", "coverage", "quota"), [(7, 3, 2, {}), (8, 2, 2, {"text": 20, "full": 10}), (10, 3, 3, {"text": 12}), (5, 5, 1, {}), (3, 0, 3, {})])
+def test_assignment_covers_every_subtask_and_is_even(spark, heads, zh, coverage, quota):
+    mods = ["face", "text", "full"]
+    pool = frame(spark, "sample_id int, modality string, exclusive boolean", [(s, m, zh > 0 and s < 20 and m == "text") for s in range(101) for m in mods])
+    who = {f"p{i}": "zh" if i < zh else "en" for i in range(heads)}
+    people = frame(spark, "annotator_id string, language string", list(who.items()))
+    plan = [tuple(r) for r in allocation.assign(pool, people, coverage, 1, quota).collect()]
+    assert len(set(plan)) == len(plan) == 303 * coverage  # no subtask twice to one person
+    copies = {(s, m): [p for s2, m2, p in plan if (s2, m2) == (s, m)] for s, m, _ in plan}
+    assert {len(x) for x in copies.values()} == {coverage}
+    if zh:
+        assert all(who[p] == "zh" for s in range(20) for p in copies[s, "text"])
+    for m, n in quota.items():
+        for p in (p for p in who if who[p] == "zh"):
+            assert sum(x == (s, m, p) for s in range(101) for x in plan if x[1:] == (m, p) and x[0] == s and not (s < 20 and m == "text")) == n
+    loads = [sum(x[2] == p for x in plan) for p in who]
+    if zh in (0, heads) or 20 * coverage / max(zh, 1) < 303 * coverage / heads:
+        assert max(loads) - min(loads) <= len(mods)
+    assert sorted(plan) == sorted(tuple(r) for r in allocation.assign(pool, people, coverage, 1, quota).collect())
+
+
+def test_assignment_refuses_what_cannot_be(spark):
+    pool = frame(spark, "sample_id int, modality string, exclusive boolean", [(s, "text", s == 0) for s in range(9)])
+    people = frame(spark, "annotator_id string, language string", [("a", "zh"), ("b", "en"), ("c", "en")])
+    for coverage, quota in ((4, {}), (2, {}), (1, {"text": 9})):
+        with pytest.raises(ValueError, match="too few"):
+            allocation.assign(pool, people, coverage, 1, quota)
+
+
+def test_anchors_lie_inside_their_block(spark):
+    rows = [("p", i, m, i % 4 == 0) for m, n in (("face", 12), ("text", 3), ("full", 1)) for i in range(n)]
+    out = allocation.queue_order(frame(spark, "annotator_id string, sample_id int, modality string, is_anchor boolean", rows), ["text", "face", "full"], 3).orderBy("order_index").collect()
+    assert [r.modality for r in out] == ["text"] * 3 + ["face"] * 12 + ["full"] and [r.order_index for r in out] == list(range(16))
+    assert not out[0].is_anchor and not out[2].is_anchor and not out[3].is_anchor and not out[14].is_anchor
+
+
+def test_anchor_queue_is_the_plain_loop_and_even_at_every_prefix(spark):
+    rng = random.Random(3)
+    names, mods = [f"a{i}" for i in range(6)], ["face", "text"]
+    rows = [(t, m, rng.sample(names, 2)) for m in mods for t in range(1000 * mods.index(m), 1000 * mods.index(m) + 150)]
+    owned = frame(spark, "task_id int, modality string, owners array<string>", rows)
+    got = {m: [r.task_id for r in allocation.anchor_queue(owned, 40, mods, 5).where(F.col("modality") == m).orderBy("place").collect()] for m in mods}
+    draw = {r.task_id: r.d for r in owned.select("task_id", F.xxhash64(F.lit(5), "task_id").alias("d")).collect()}
+    owners = {t: o for t, _, o in rows}
+    for m in mods:
+        left, load, want = [t for t, x, _ in rows if x == m], dict.fromkeys(names, 0), []
+        for _ in range(20):
+            best = min(left, key=lambda t: (sum(load[a] for a in owners[t]), draw[t], t))
+            left.remove(best)
+            want.append(best)
+            for a in owners[best]:
+                load[a] += 1
+            assert max(load.values()) - min(load.values()) <= 2
+        assert got[m] == want
+
+
+def test_numbers_go_on_without_a_gap(spark):
+    samples = frame(spark, "sample_id int", [(i,) for i in range(50)])
+    issued = frame(spark, "sample_id int, display_id string", [(i, f"S{i + 3:04d}") for i in range(5)])
+    new = allocation.issue_numbers(samples, issued, 3).collect()
+    assert sorted(r.display_id for r in new) == [f"S{i:04d}" for i in range(8, 53)] and {r.sample_id for r in new} == set(range(5, 50))
+    assert [r.sample_id for r in sorted(new, key=lambda r: r.display_id)] != sorted(r.sample_id for r in new)
+
+
+def test_stratified_sample_takes_k_or_all(spark):
+    rows = frame(spark, "g string, id int", [("a", i) for i in range(30)] + [("b", i) for i in range(3)])
+    out = [(r.g, r.id) for r in quality.stratified(rows, "g", "id", 10, 7).collect()]
+    assert len(set(out)) == len(out) == 13 and {i for g, i in out if g == "b"} == {0, 1, 2}
+
+
+@pytest.mark.parametrize(("raw", "name"), [(None, None), ("", None), ("   ", None), ("PERSON", None), ("PERSON3", None), ("All", None), ("MODERATOR", None), ("MEMBER-GIRL", None), ("Rachel", "Rachel"), ("Mr. Treeger", "Mr. Treeger"), ("Flight Attendant", "Flight Attendant"), ("Richard\x92s Date", "Richard’s Date"), (" None ", "None")])
+def test_speaker_names(spark, raw, name):
+    assert frame(spark, "n string", [(raw,)]).select(scalars.clean_speaker(F.col("n")).alias("x")).first().x == name
+
+
+def test_face_score_is_not_clamped(spark):
+    out = spark.range(1).select(geometry.face_score(F.lit(1.0), F.lit(1.0), F.lit(2.0), F.lit(0.5), F.lit(0.0), F.lit(1.0)).alias("s")).first().s
+    assert out == pytest.approx(1.65 + 0.15 * (1 - 1.5 / 0.707))
+
+
+@pytest.mark.parametrize(("training", "trained", "seen", "touched", "done", "total", "state"), [(2, False, False, False, 0, 5, "not_started"), (2, False, True, True, 5, 5, "training"), (2, True, True, False, 0, 5, "trained"), (2, True, True, True, 1, 5, "annotating"), (2, True, True, True, 5, 5, "done"), (0, False, True, False, 0, 0, "training"), (0, False, False, False, 0, 0, "not_started")])
+def test_states(spark, training, trained, seen, touched, done, total, state):
+    own = monitor.state(F.lit(training > 0), F.lit(trained), F.lit(seen), F.lit(touched), F.lit(done), F.lit(total))
+    assert spark.range(1).select(own.alias("s")).first().s == state
+
+
+def payload(**changes):
+    from curvelake.plans.review import BASE
+
+    out = json.loads(json.dumps(BASE))
+    for path, value in changes.items():
+        at = out
+        *keys, last = path.split("__")
+        for k in keys:
+            at = at[k]
+        at[last] = value
+    return json.dumps(out)
+
+
+CASES = [
+    ({}, []), ({"ratings__I": {"state": "known", "value": 0, "evidence_ids": ["E01"]}}, []), ({"ratings__I": {"state": "unknown", "value": 0}}, ["N5"]), ({"score_window": [0, 13]}, ["N1"]), ({"score_window": [0, 0]}, ["N1"]),
+    ({"ratings__R__state": "unset"}, ["N5"]), ({"conflict__status": "confirmed"}, ["N6"]), ({"ratings__I__mixed": True}, ["N5"]), ({"checks__role": "confirmed"}, ["N2"]), ({"event_location": "inside"}, []), ({"constraint__status": "present"}, []),
+    ({"dynamic__status": "changed", "dynamic__updated_ratings": {d: {"state": "unknown", "value": None} for d in "RICN"}, "dynamic__score_window": [3, 12]}, ["N8"]),
+    ({"dynamic__status": "changed", "dynamic__updated_ratings": {d: {"state": "unknown", "value": None} for d in "RICN"}}, []), ({"dynamic__status": "changed", "dynamic__score_window": [], "dynamic__updated_ratings": {}}, ["N8"]),
+]
+
+
+def test_appraisal_rules(spark):
+    rows = frame(spark, "i int, p string", [(i, payload(**c)) for i, (c, _) in enumerate(CASES)])
+    got = {r.i: r.errors for r in records.validate(rows, "p", F.lit(12.0)).collect()}
+    assert [got[i] for i in range(len(CASES))] == [want for _, want in CASES]
+
+
+def test_saving_records(spark):
+    stored = frame(spark, "task_id string, attempt_no int, status string", [("a", 1, "draft"), ("a", 2, "submitted"), ("b", 1, "draft")])
+    clip = "CPM-S0001"
+    new = [("a", clip, "draft", payload()), ("b", clip, "submitted", payload()), ("c", clip, "submitted", payload(score_window=[])), ("d", clip, "draft", payload(score_window=[])), ("e", clip, "draft", payload(schema_version="x")), ("f", clip, "draft", payload(conflict__candidate_window=[1, 2])), ("g", "other", "draft", payload())]
+    out = records.save(stored, frame(spark, "task_id string, clip_id string, status string, payload string", new), "v1", F.lit(12.0)).collect()
+    assert {r.task_id: (r.attempt_no, r.refused) for r in out} == {"a": (None, "reason"), "b": (2, None), "c": (None, "rules"), "d": (1, None), "e": (None, "version"), "f": (None, "candidate"), "g": (None, "ids")}
 
 
 def test_transfer_appends_after_place_zero(spark):
