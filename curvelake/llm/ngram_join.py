@@ -52,12 +52,11 @@ class Rule:
         return sizes * (self.den - self.num) // (self.den + self.num)
 
     def ranges(self, n: int) -> list[tuple[int, int, int]]:
-        """(range, fragments, filed fragments) for a set of n: its own range, and the next if a partner may lie there."""
+        """(range, fragments, filed fragments) for a set of n: its own range, and those in which a larger partner may lie."""
         own, partner, out = int(np.searchsorted(self.bounds, n, "right")) - 1, n * self.den // self.num, []
-        for c in (own, own + 1):
-            if c == own or partner >= self.bounds[c]:
-                most = self.apart(2 * (int(self.bounds[c + 1]) - 1))
-                out.append((c, (most + 1) * 5 // 4 + 1, min(most, self.apart(n + partner)) + 1))
+        for c in range(own, int(np.searchsorted(self.bounds, partner, "right"))):
+            most = self.apart(2 * (int(self.bounds[c + 1]) - 1))
+            out.append((c, (most + 1) * 5 // 4 + 1, min(most, self.apart(n + min(partner, int(self.bounds[c + 1]) - 1))) + 1))
         return out
 
     def filed(self, h: np.ndarray, plain: np.ndarray) -> np.ndarray:
@@ -258,7 +257,8 @@ def links(docs: DataFrame, filed: DataFrame, rule: Rule) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """f, root: the smallest member of every vertex's component (vertices with an edge), by large and small stars."""
-    edges = common.materialize(edges.where("u <> v").distinct(), "edges")
+    spark, path, turn = edges.sparkSession, common.scratch(edges.sparkSession, "edges"), 0
+    edges = common.write(edges.where("u <> v").distinct(), f"{path}/0")
     before = None
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
@@ -268,7 +268,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = common.materialize(small.where("u <> v").distinct(), "edges")
+        turn += 1
+        edges = common.write(small.where("u <> v").distinct(), f"{path}/{turn}")
+        common.discard(spark, f"{path}/{turn - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("f"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
@@ -276,11 +278,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id of the component), n_links_class (rows with the same set)."""
+    """doc_id, n_shingles, component_id (smallest id of the component), same_set (rows with the same set)."""
     rule = Rule(k, num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     filed = common.materialize(file_sets(docs, rule), "filed")
-    roots = components(links(docs, filed.where("n > 0 and doc_id is not null"), rule))
+    with common.passing(docs.sparkSession):  # only the roots outlive the join
+        roots = components(links(docs, filed.where("n > 0 and doc_id is not null"), rule))
     classes = filed.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = classes.join(roots, F.col("f1") == F.col("f"), "left").withColumn("root", F.coalesce("root", "f1"))
     firsts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
