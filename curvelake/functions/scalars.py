@@ -59,3 +59,85 @@ def unit(v: Column) -> Column:
     """A vector of length one; zero stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+#: Characters beside which no blank is put, modalities and sets whose tasks need the language, asset kinds.
+CJK = "⺀-〿㐀-䶿一-鿿豈-﫿︰-﹏＀-￯"
+LANGUAGE_MODALITIES, LANGUAGE_SETS = ("text", "audiovisual"), ("chsims",)
+#: Strong words of a translation, and the parts of the original that call for each.
+LICENSED = {
+    "so": ["这么", "那么", "太", "好", "如此", "死了", "极了", "透了"],
+    "such": ["这么", "那么", "如此"],
+    "really": ["真", "确实", "实在", "可", "着实"],
+    "totally": ["完全", "整个", "彻底"],
+    "absolutely": ["绝对", "绝", "千万", "一定", "务必"],
+    "completely": ["完全", "彻底", "殆尽", "全"],
+    "even": ["都", "就算", "即使", "连", "甚至", "还", "也"],
+    "ever": ["从来", "自从", "曾", "过"],
+    "never": ["从来", "从没", "永远", "绝不", "横竖", "没", "不曾"],
+    "damn": ["该死", "他妈"],
+    "terrible": ["糟", "可怕", "惨", "差"],
+    "wonderful": ["好极", "棒", "美妙"],
+    "awful": ["糟", "可怕", "惨"],
+    "extremely": ["极", "非常", "不得了", "得很", "十分"],
+    "incredibly": ["极", "非常", "不得了"],
+    "utterly": ["完全", "彻底"],
+}
+
+
+def needs_blank(before: Column, after: Column) -> Column:
+    """Whether a blank goes between two tokens: both are there, and neither meets the other with a CJK character."""
+    a, b = F.right(before, F.lit(1)), F.left(after, F.lit(1))
+    return F.coalesce((a != "") & (b != "") & ~a.rlike(f"[{CJK}]") & ~b.rlike(f"[{CJK}]"), F.lit(False))
+
+
+def unlicensed(original: Column, translation: Column) -> Column:
+    """Strong words of the translation that nothing in the original calls for. ``so`` as a conjunction doesn't count."""
+    words = F.regexp_extract_all(F.lower(translation), F.lit("[a-z']+"), F.lit(0))
+    joins = ~translation.rlike(r"\bso +[a-z]+(ly)?\b(?! +[A-Z])") & (translation.startswith("So ") | translation.contains(", so ") | translation.contains(". So "))
+    found = []
+    for word, cues in LICENSED.items():
+        hit = F.array_contains(words, word) & ~original.rlike("|".join(cues))
+        found.append(F.when(hit & ~joins if word == "so" else hit, word))
+    return F.array_compact(F.array(*found))
+
+
+def word_ratio(original: Column, translation: Column) -> Column:
+    """Words of the translation for each character of the original."""
+    n = F.size(F.filter(F.split(F.trim(translation), r"\s+"), lambda x: x != ""))
+    return n / F.greatest(F.lit(1), F.char_length(original))
+
+
+def utc_iso(at: Column) -> Column:
+    """A time without a zone as UTC in ISO 8601, with microseconds only where there are some."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(at, "SSSSSS")
+    return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
+
+
+def crop_rule(sample_id: Column, width: Column, height: Column, keep: float = 0.82) -> Column:
+    """The crop of a source's clips: one keeps the upper part at an even height, one has a fixed crop for its only size."""
+    top = F.floor(F.floor(height * keep) / 2) * 2
+    return F.when(sample_id.startswith("chsims_"), F.concat(F.lit("crop="), width.cast("string"), F.lit(":"), top.cast("string"), F.lit(":0:0"))).when(
+        sample_id.startswith("iemocap_") & (width == 360) & (height == 480), F.lit("fixed")
+    )
+
+
+def language_exclusive(modality: Column, sample_id: Column) -> Column:
+    """Tasks that need someone who reads the language."""
+    return modality.isin(*LANGUAGE_MODALITIES) & prefix(sample_id).isin(*LANGUAGE_SETS)
+
+
+def rational_rate(fps: Column, limit: int = 100_000) -> Column:
+    """A frame rate as the nearest fraction with a denominator up to ``limit``: one of whole frames or over 1001 where
+    that is the rate to six digits, else by thousandths and less until it fits."""
+    exact = lambda den: F.abs(F.round(fps * den) / den - fps) < 5e-7
+    text = lambda den: F.concat(F.round(fps * den).cast("long").cast("string"), F.lit(f"/{den}"))
+    out = F.when(exact(1), text(1)).when(exact(1001), text(1001))
+    for den in (2, 4, 5, 10, 100, 1000, limit):
+        out = out.when(exact(den), text(den))
+    return out.otherwise(text(limit))
+
+
+def token_hash(token: Column) -> Column:
+    return F.sha2(F.encode(token, "UTF-8"), 256)

@@ -57,3 +57,60 @@ def unlocked(training: DataFrame, complete: DataFrame) -> DataFrame:
     done = complete.select("annotator_id", "task_id").distinct().withColumn("d", F.lit(True))
     rows = training.join(done, ["annotator_id", "task_id"], "left")
     return rows.groupBy("annotator_id").agg(F.bool_and(F.coalesce("d", F.lit(False))).alias("unlocked"))
+
+
+def submit(stored: DataFrame, attempts: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New submissions (submission_id, attempt_id, annotator_id, task_id, dimension, revision, previous_id, submitted_at), and
+    what was refused (submission_id, reason). An id sent before changes nothing; of several for one attempt the first
+    counts; previews and unfinished attempts are refused; revisions run for each dimension.
+
+    ``stored``: submission_id, attempt_id, annotator_id, task_id, dimension, submitted_at; ``attempts``: attempt_id,
+    annotator_id, task_id, dimension, mode, status; ``sent``: submission_id, attempt_id, submitted_at."""
+    chain = ["annotator_id", "task_id", "dimension"]
+    fresh = sent.join(stored.select("submission_id"), "submission_id", "left_anti").join(stored.select("attempt_id"), "attempt_id", "left_anti")
+    first = fresh.groupBy("attempt_id").agg(F.min_by(F.struct("submission_id", "submitted_at"), F.struct("submitted_at", "submission_id")).alias("f"))
+    rows = first.select("attempt_id", "f.*").join(attempts, "attempt_id", "left")
+    reason = F.when(F.col("mode").isNull(), "unknown").when(F.col("mode") != "annotation", "preview").when(F.col("status") != "completed", "unfinished")
+    rows = rows.withColumn("reason", reason)
+    new = rows.where("reason is null").select("submission_id", "attempt_id", *chain, "submitted_at", F.lit(True).alias("new_"))
+    all_ = stored.select("submission_id", "attempt_id", *chain, "submitted_at").withColumn("new_", F.lit(False)).unionByName(new)
+    w = Window.partitionBy(*chain).orderBy("submitted_at", "submission_id")
+    made = all_.withColumns({"revision": F.row_number().over(w), "previous_id": F.lag("submission_id").over(w)}).where("new_")
+    return made.select("submission_id", "attempt_id", *chain, "revision", "previous_id", "submitted_at"), rows.where("reason is not null").select("submission_id", "reason")
+
+
+def recover(attempts: DataFrame) -> DataFrame:
+    """Attempts that were being recorded or paused become interrupted, with an event of it."""
+    hit = F.col("status").isin("recording", "paused")
+    return attempts.select("*", F.when(hit, "interrupted").otherwise(F.col("status")).alias("new_status"), F.when(hit, "recovered").alias("event"))
+
+
+def replace_queue(queue: DataFrame, new: DataFrame, index: DataFrame, submitted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queues after a replacement, and what wasn't done (annotator_id, phase, what): a queue that was begun stays, and
+    pairs without a task are left out. ``queue``: annotator_id, phase, task_id, order_index; ``new``: annotator_id, phase,
+    sample_id, modality, order_index; ``index``: sample_id, modality, task_id; ``submitted``: annotator_id, task_id."""
+    key = ["annotator_id", "phase"]
+    begun = queue.join(submitted.select("annotator_id", "task_id").distinct(), ["annotator_id", "task_id"], "left_semi").select(*key).distinct()
+    free = new.join(begun, key, "left_anti")
+    found = free.join(index, ["sample_id", "modality"], "left")
+    kept = queue.join(free.select(*key).distinct(), key, "left_anti")
+    after = kept.select(*key, "task_id", "order_index").unionByName(found.where("task_id is not null").select(*key, "task_id", "order_index"))
+    refused = new.select(*key).distinct().join(begun, key, "left_semi").withColumn("what", F.lit("begun"))
+    return after, refused.unionByName(found.where("task_id is null").select(*key, F.concat_ws("::", "sample_id", "modality").alias("what")))
+
+
+def mirror(queue: DataFrame, source: int, target: int) -> DataFrame:
+    """The snapshot in which ``target``'s queue is a copy of ``source``'s active rows of all phases. ``queue``: annotator_id,
+    phase, task_id, order_index, status."""
+    copy = queue.where((F.col("annotator_id") == source) & (F.col("status") == "active")).withColumn("annotator_id", F.lit(target).cast(queue.schema["annotator_id"].dataType))
+    return queue.where(F.col("annotator_id") != target).unionByName(copy)
+
+
+def purge(tables: dict[str, DataFrame], assignments: DataFrame, annotator: int) -> dict[str, DataFrame]:
+    """Each table without the annotator's rows. Refused where an assignment of theirs was handed on to someone else, whose row
+    would point to nothing. ``assignments``: assignment_id, annotator_id, replaces."""
+    own = assignments.where(F.col("annotator_id") == annotator).select(F.col("assignment_id").alias("replaces"))
+    handed = assignments.where(F.col("annotator_id") != annotator).join(own, "replaces", "left_semi")
+    if not handed.isEmpty():
+        raise ValueError("assignments were handed on: release them instead")
+    return {name: rows.where(F.col("annotator_id") != annotator) for name, rows in tables.items()}
