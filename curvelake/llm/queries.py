@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import common, huffman, language, lines, linkrank, merges, ngram_join, packing, quality, topk, toxicity
+from curvelake.llm import common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, topk, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -22,7 +22,7 @@ def op1_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merges.sentencepiece_merges(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return pieces.sentencepiece(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

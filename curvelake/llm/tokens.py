@@ -60,7 +60,11 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.keep([key], [value])
+        if len(key) <= LONGEST:
+            self[key] = value
+            self.held += ENTRY + len(key) + len(value)
+            if self.held > self.most // 2:
+                self.keep([], [])
         return value
 
     def many(self, keys: list) -> list[bytes]:
