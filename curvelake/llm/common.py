@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +30,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def schema_of(df: DataFrame) -> str:
-    """The columns of ``df`` as a schema string, whatever characters their names hold."""
-    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
+def with_struct(docs: DataFrame, run: Callable, out: str, kind: str, drop: str = "") -> DataFrame:
+    """All columns of ``docs`` but ``drop``, and ``out`` of type ``kind``: ``run`` adds it to batches whose columns are
+    numbered, so names may hold any characters."""
+    kept = [f for f in docs.schema if f.name != drop]
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept))
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, f"{fields}, made {kind}").toDF(*(f.name for f in kept), out)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -55,7 +60,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES):
+def pieces(batch: pa.RecordBatch, column: str | int, most: int = BATCH_BYTES):
     """Cuts a batch into runs of rows with about ``most`` bytes of text, one row at least."""
     _, at = flat(batch.column(column))
     i, n = 0, batch.num_rows

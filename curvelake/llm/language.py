@@ -5,8 +5,8 @@ phrase; the language whose text needs the fewest phrases for each byte wins. All
 automata side by side in numpy. A phrase ends where a block of BLOCK bytes ends, alike for every language.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0, and so is every text where no language could be
-learned. Ties go to the smaller name. Rows are judged one by one. An empty table gives an empty table. Extra columns
-stay as they are.
+learned. Ties go to the smaller name. Rows are judged one by one, so repeats don't matter, and whole, however long. An
+empty table gives an empty table. Extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 64, 160_000
 #: Longest text (characters) that the sample takes.
 SAMPLE_TEXT = 16_384
 BLOCK = 1024
-#: Phrases for each byte above which no learned language fits: more than this times what the sample's own languages need.
-MISFIT = 1.6
+#: Phrases for each byte, beyond the one that any text needs, above which no learned language fits.
+MISFIT = 0.5
 _built: dict[int, list[np.ndarray]] = {}
 
 
@@ -113,12 +113,12 @@ class Model:
         return _built[self.key]
 
     def judge(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the language, score, and phrases for each byte, of each text."""
+        """Number of the language, score, and phrases beyond the first for each byte, of each text."""
         need = phrases(data, at, self.symbol, self.tables())
         best = need.argmin(axis=1)
         two = np.sort(need, axis=1)
         second = two[:, 1] if need.shape[1] > 1 else 2 * two[:, 0]
-        return best, np.nan_to_num(second / (two[:, 0] + second)), two[:, 0] / np.maximum(np.diff(at), 1)
+        return best, np.nan_to_num(second / (two[:, 0] + second)), (two[:, 0] - 1) / np.maximum(np.diff(at), 1)
 
 
 def learn(docs: DataFrame) -> Model:
@@ -143,28 +143,28 @@ def has_letter(text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Model, out: str) -> DataFrame:
-    """All columns and a struct ``out`` (lang_pred, score, rate: phrases for each byte)."""
+    """All columns and a struct ``out`` (lang_pred, score, rate: phrases beyond the first for each byte)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flag = common.fresh(docs, "has_letter")
-    names = docs.columns
+    text, last = docs.columns.index("text"), len(docs.columns)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rate", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for b in common.pieces(whole, "text"):
-                lettered = b.column(flag).to_numpy(zero_copy_only=False).astype(bool)
+            for b in common.pieces(whole, text):
+                lettered = b.column(last).to_numpy(zero_copy_only=False).astype(bool)
                 if m.names:
-                    best, score, rate = m.judge(*common.flat(b.column("text")))
+                    best, score, rate = m.judge(*common.flat(b.column(text)))
                     found = [m.names[i] if x else "und" for i, x in zip(best.tolist(), lettered, strict=True)]
                 else:
                     score = rate = np.zeros(b.num_rows)
                     found = ["und"] * b.num_rows
                 made = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(rate)], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), made], [*names, out])
+                yield pa.RecordBatch.from_arrays([*b.columns[:last], made], [*b.schema.names[:last], "made"])
 
-    fields = common.schema_of(docs)
-    return docs.withColumn(flag, has_letter(F.col("text"))).mapInArrow(run, f"{fields}, `{out}` struct<lang_pred:string, score:double, rate:double>")
+    marked = docs.withColumn(flag, has_letter(F.col("text")))
+    return common.with_struct(marked, run, out, "struct<lang_pred:string, score:double, rate:double>", drop=flag)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

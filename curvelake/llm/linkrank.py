@@ -2,11 +2,12 @@
 
 Rules first: the longest that fits decides. Other urls take their host's verdict: personalised PageRank of trust flows
 along the host edges from hosts whose pages the rules allow, distrust flows against them from hosts whose pages the
-rules block (who links to a bad host is suspect), and a host with more distrust than trust is blocked. Host edges are
+rules block (who links to a bad host is suspect), and a host with more distrust than trust, by more than MARGIN
+of it (sums of the same ranks can differ by their order), is blocked. Host edges are
 distinct (source host, target host) pairs of absolute links in the pages, so a host with a third of all pages counts
 once for each target; edges of one very popular host are left to adaptive skew joins.
 
-A null url, or one without ``://``, has empty host and path, no rule fits it, and it is allowed. Null html has no links.
+Links without a scheme (``//host/``) count, relative ones lead to no host. A null url, or one without ``://``, has empty host and path, no rule fits it, and it is allowed. Null html has no links.
 Repeated rows get a row each. An empty table gives an empty table. Extra columns are ignored.
 """
 
@@ -20,8 +21,8 @@ from curvelake.llm.lines import LOWER, UPPER
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS = 0.85, 12
-LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""
+DAMPING, ROUNDS, MARGIN = 0.85, 12, 1e-9
+LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -67,13 +68,13 @@ def url_verdicts(pages: DataFrame) -> DataFrame:
     count = lambda word: F.count(F.when(F.col("ruled") == word, 1)).cast("double")
     hosts = common.materialize(rows.where("host <> ''").groupBy("host").agg(count("allow").alias("good"), count("block").alias("bad")), "hosts")
     links = rows.where("host <> ''").select(F.col("host").alias("u"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1))).alias("to"))
-    edges = common.materialize(links.select("u", host_of(F.col("to")).alias("v")).where("v <> '' and u <> v").distinct(), "edges")
+    edges = common.materialize(links.select("u", host_of(F.concat(F.when(F.col("to").startswith("//"), "x:").otherwise(""), "to")).alias("v")).where("v <> '' and u <> v").distinct(), "edges")
     total = hosts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     good = hosts.where("good > 0").select("host", (F.col("good") / (total["g"] or 1.0)).alias("seed"))
     bad = hosts.where("bad > 0").select("host", (F.col("bad") / (total["b"] or 1.0)).alias("seed"))
     trust, distrust = propagate(edges, good), propagate(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), bad)
     sides = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "rank"))
-    verdicts = sides.groupBy("host").agg((F.sum("distrust") > F.sum("trust")).alias("suspect")).where("suspect").select(F.col("host").alias("h"), "suspect")
+    verdicts = sides.groupBy("host").agg((F.sum("distrust") > F.sum("trust") * (1 + MARGIN)).alias("suspect")).where("suspect").select(F.col("host").alias("h"), "suspect")
     out = rows.select("page_id", "host", "path", "rule", "ruled").join(verdicts, F.col("host") == F.col("h"), "left")
     own = F.when(F.col("suspect"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"))
@@ -89,7 +90,7 @@ def oracle() -> str:
   coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 j AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruled FROM p),
 h AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow')::DOUBLE AS good, count(*) FILTER (WHERE ruled = 'block')::DOUBLE AS bad FROM j WHERE host <> '' GROUP BY host),
-l AS (SELECT DISTINCT host AS u, {host('t.x')} AS v FROM j, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS t(x) WHERE host <> ''),
+l AS (SELECT DISTINCT host AS u, {host("(CASE WHEN starts_with(t.x, '//') THEN 'x:' || t.x ELSE t.x END)")} AS v FROM j, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS t(x) WHERE host <> ''),
 e AS (SELECT * FROM l WHERE v <> '' AND u <> v)"""
     for side, u, v, seed in (("t", "u", "v", "good"), ("d", "v", "u", "bad")):
         sql += f""",
@@ -103,6 +104,6 @@ e AS (SELECT * FROM l WHERE v <> '' AND u <> v)"""
     return (
         sql
         + f"""
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN coalesce(d.rank, 0) > coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN coalesce(d.rank, 0) > coalesce(t.rank, 0) * (1 + {MARGIN}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN t{ROUNDS} t ON j.host = t.host LEFT JOIN d{ROUNDS} d ON j.host = d.host"""
     )

@@ -7,8 +7,9 @@ tokens and on windows of clean documents. Forward-backward marginals of every to
 matrices, multiplied in blocks side by side; a logistic fit turns a text's marginals into its score.
 
 Nulls and empty texts have no token: score of a text without any sign. Rows are judged one by one, so repeats and ties
-don't matter. Where no toxic document can be learned from, every score is 0. An empty table gives an empty table. Extra
-columns stay as they are.
+don't matter, and whole, however long. Of labelled rows that repeat an id, the text with the smallest hash is learned
+from. Where no toxic document can be learned from, every score is 0. An empty table gives an empty table. Extra columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -252,34 +253,43 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     few = {y: int(min(1.0, SAMPLE_DOCS / n) * (1 << 30)) for y, n in counts.items()}
     chosen = marks.where(draw < F.when(F.col("y") == 1, few[1]).otherwise(few[0])).select(F.col("doc_id").alias("d_"), "y")
     rows = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_TEXT).join(F.broadcast(chosen), F.col("doc_id") == F.col("d_"))
-    found = rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "y").toPandas().sort_values("doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
+    found = one.toPandas().sort_values("doc_id")
     return train(found.text.tolist(), found.y.to_numpy() == 1, counts[1] / (counts[0] + counts[1]))
 
 
 def tag(docs: DataFrame, model: Model, out: str) -> DataFrame:
-    """All columns and a struct ``out``: score, and spans (first and last byte, marginal) of toxic tokens."""
+    """All columns and a struct ``out``: score, toxic tokens, and spans: where runs of toxic tokens begin and end, in
+    characters, with their largest marginal."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    text = docs.columns.index("text")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.pieces(whole, "text"):
-                data, at = common.flat(b.column("text"))
+            for b in common.pieces(whole, text):
+                data, at = common.flat(b.column(text))
                 score, p, starts, ends, offsets = shared.value.judge(data, at)
                 bad = np.flatnonzero(p >= 0.5)
                 doc = np.searchsorted(offsets, bad, "right") - 1
-                spans = pa.StructArray.from_arrays([pa.array(starts[bad] - at[doc]), pa.array(ends[bad] - at[doc]), pa.array(p[bad])], fields=list(span))
+                count = np.bincount(doc, minlength=b.num_rows)
+                new = np.ones(len(bad), bool)
+                new[1:] = (np.diff(bad) > 1) | (np.diff(doc) > 0)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(bad)) - 1 if len(first) else first
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+                doc, base = doc[first], points[at[doc[first]]]
+                most = np.maximum.reduceat(p[bad], first) if len(first) else np.empty(0)
+                spans = pa.StructArray.from_arrays([pa.array(points[starts[bad[first]]] - base), pa.array(points[ends[bad[last]]] - base), pa.array(most)], fields=list(span))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(at))).astype(np.int32)), spans)
-                made = pa.StructArray.from_arrays([pa.array(score), lists], names=["score", "spans"])
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), made], [*names, out])
+                made = pa.StructArray.from_arrays([pa.array(score), pa.array(count), lists], names=["score", "tokens", "spans"])
+                yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, "made"])
 
-    fields = common.schema_of(docs)
-    return docs.mapInArrow(run, f"{fields}, `{out}` struct<score:double, spans:array<struct<start:bigint, end:bigint, p:double>>>")
+    return common.with_struct(docs, run, out, "struct<score:double, tokens:bigint, spans:array<struct<start:bigint, end:bigint, p:double>>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the number of toxic tokens."""
+    """doc_id, held_out, score, predicted, n_toxic_tokens, and spans: the offending offsets in characters."""
     rows = tag(docs.select("doc_id", "text"), learn(docs, labels), "made")
     held = common.split_of(F.col("doc_id")) == 2
-    return rows.select("doc_id", held.alias("held_out"), "made.score", (F.col("made.score") >= threshold).cast("int").alias("predicted"), F.size("made.spans").alias("n_toxic_tokens"))
+    return rows.select("doc_id", held.alias("held_out"), "made.score", (F.col("made.score") >= threshold).cast("int").alias("predicted"), F.col("made.tokens").alias("n_toxic_tokens"), F.col("made.spans").alias("spans"))

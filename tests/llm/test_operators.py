@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from curvelake.llm import common, huffman, language, lines, linkrank, merges, ngram_join, packing, pieces, quality, tokens, topk, toxicity
+from curvelake.llm import common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, textkernel, tokens, topk, toxicity
 
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, row string, made string, hash string"
@@ -38,11 +39,38 @@ def crc(ids):
 
 
 @pytest.mark.parametrize(("path", "joined"), [(BYTE_BPE, True), (WORD_BPE, False)])
-def test_memo_encodes_as_the_library(path, joined):
+def test_spans_encode_as_the_library(path, joined, monkeypatch):
     rng, e = random.Random(1), tokens.Encoder(path, joined)
-    texts = [t or "" for t in ODD] + ["".join(rng.choice("ab .,\n'é1　\t-Z") for _ in range(rng.randrange(40))) for _ in range(1500)]
-    want = [np.array(x.ids, e.kind).tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == want
+    texts = [t or "" for t in ODD] + ["".join(rng.choice("ab .,\n'é1　\t-Zß÷Ж") for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts += ["".join(rng.choice(["Über", "été", "foo", " ", " ", ", ", ".\n", "\n", "!! ", " 12 "]) for _ in range(300)) for _ in range(40)]
+    want = [[*x.ids, 7] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for most in (1 << 23, 200, 1000):  # whole, and cut in slices
+        monkeypatch.setattr(tokens.slices, "__defaults__", (most,))
+        ids, at = e.encode(*common.flat(pa.array(texts)), 7)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_memo_stays_within_its_bytes_and_keeps_what_is_asked_for():
+    made = []
+    memo = tokens.Memo(lambda k: made.append(k) or k.encode(), 100_000)
+    for i in range(20_000):
+        assert memo["often"] == b"often"
+        assert memo[f"k{i}"] == f"k{i}".encode()
+        assert len(memo) + len(memo.old) < 2 * 100_000 // tokens.ENTRY
+    assert made.count("often") == 1
+    long = "x" * 20_000
+    assert memo[long] and long not in memo and long not in memo.old
+    many = tokens.Memo(lambda ks: [k * 2 for k in ks], 100_000)
+    for _ in range(2):
+        assert many.many([b"a", b"b" * 100, b"c"]) == [b"aa", b"b" * 200, b"cc"]
+    assert set(many) == {b"a", b"c"}
+
+
+def test_unbroken_junk_leaves_the_memo_empty():
+    rng, e = random.Random(2), tokens.Encoder(BYTE_BPE, True)
+    junk = ["".join(rng.choice("abcdefgh") for _ in range(20_000)) for _ in range(40)]
+    e.encode(*common.flat(pa.array(junk)), 0)
+    assert not e.memo and not e.memo.old
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 300, 5000])
@@ -166,8 +194,18 @@ def test_line_dedup_equals_brute_force(spark):
         want[i] = (len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.line_dedup(docs).collect()} == want
     assert lines.line_dedup(docs.limit(0)).count() == 0
-    twice = lines.drop_lines(docs.unionByName(docs).withColumn("lines_report", F.lit(1)))
-    assert twice.count() == 2 * len(texts) and "lines_report_" in twice.columns
+    names = ["lines_report", "r", "d", "at", "h", "a", "b", "a_", "b_", "salt", "salt_", "hot", "dropped", "gone_", "lines_", "taken_", "a`b.c"]
+    twice = lines.drop_lines(docs.unionByName(docs).withColumns(dict.fromkeys(names, F.lit(1))))
+    assert twice.count() == 2 * len(texts) and {"lines_report_", *names} <= set(twice.columns)
+
+
+def test_a_hot_line_is_salted_and_dropped_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 3)
+    texts = ["\n".join(["hot"] * (i % 3) + [f"own {i}", "warm" if i % 9 == 0 else f"last {i}", ""]) for i in range(120)]
+    got = {r.doc_id: r.text for r in lines.drop_lines(make(spark, texts)).collect()}
+    assert got == {i: "\n".join([f"own {i}"] + [f"last {i}"] * (i % 9 != 0) + [""]) for i in range(120)}
+    long = ["\n".join(f"line {i}" for i in range(20_000))] * 10 + ["line 7\nline x"]
+    assert {r.doc_id: r.text for r in lines.drop_lines(make(spark, long)).collect()} == {**dict.fromkeys(range(10), ""), 10: "line x"}
 
 
 def brute_join(texts, k, num, den):
@@ -207,6 +245,28 @@ def test_ngram_join_equals_brute_force(spark, k, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(list(enumerate(texts)), k, num, 100)
 
 
+@pytest.mark.parametrize("num", [60, 66, 80, 90])
+def test_sizes_that_may_link_meet_in_a_range_and_file_enough(num):
+    rule = ngram_join.Rule(3, num, 100)
+    ranges = {n: {c: (v, keep) for c, v, keep in rule.ranges(n)} for n in range(1, 400)}
+    for n in range(1, 400):
+        for m in range(n, n * 100 // num + 1):
+            if m < 400 and 100 * n >= num * m:
+                both = ranges[n].keys() & ranges[m].keys()
+                assert both, (n, m)
+                most = rule.apart(n + m)
+                assert any(min(ranges[n][c][1], ranges[m][c][1]) > most and ranges[n][c][0] > most for c in both), (n, m)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_ngram_join_of_all_documents_equals_brute_force(spark, k, num):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    want = brute_join([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], k, num, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, k, num, 100).collect()} == want
+    assert len({c for _, c in want.values()}) < len(want)
+
+
 def test_ngram_join_null_repeated_ids_and_empty_tables(spark):
     texts = ["a b c d e f", "a b c d e f", "a b c d e f", "q r s t u v", "a b c d e f"]
     got = ngram_join.ngram_join(make(spark, texts, [5, 3, None, 9, 5]), 3, 90, 100).collect()
@@ -238,6 +298,28 @@ def test_quality_equals_brute_force(spark):
     assert quality.repetition_rules(make(spark, texts).limit(0)).count() == 0
 
 
+def brute_shares(x):
+    """Characters of words in repeated n-grams for each n, and in lines equal to an earlier one, as shares."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", x)
+    out = {}
+    for n in quality.LIMITS:
+        grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        count = collections.Counter(grams)
+        inside = {j for i, g in enumerate(grams) if count[g] > 1 for j in range(i, i + n)}
+        out[n] = sum(len(w[j]) for j in inside) / max(1, sum(map(len, w)))
+    return out
+
+
+def test_quality_shares_and_verdict_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = prose(8, 40) + [" ".join(rng.choice(["a b c d e f g h", "some other words", f"w{i} x{i}"]) for i in range(60)) for _ in range(30)]
+    for r in quality.repetition_rules(make(spark, texts)).collect():
+        want = brute_shares(texts[r.doc_id])
+        got = {n: r[f"gram{n}_share"] for n in quality.LIMITS}
+        assert got == pytest.approx(want, abs=1e-9)
+        assert r.kept == (not r.base_failed and all(got[n] <= quality.LIMITS[n] for n in got) and r.line_share <= quality.LINE_LIMIT)
+
+
 def naive_phrases(sample, text):
     """Phrases of the greedy parse of a text into substrings of the sample, by blocks."""
     n = 0
@@ -285,6 +367,31 @@ def test_language_of_held_out_texts(spark):
     assert language.language_id(docs.limit(0)).count() == 0
 
 
+def test_language_ties_repeats_short_and_long_texts(spark):
+    rows = tongues(12, 80)
+    rows += [(500, "kalomi qurxes", "aa"), (500, "kalomi qurxes", "aa"), (501, "ka", None), (502, "A.", None), (503, "ka lo mi " * 700_000, None), (504, "日本語" * 50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.identify(docs, language.learn(docs), "x").select("doc_id", "x.*").collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) and len({(r.lang_pred, r.score) for r in out if r.doc_id == 500}) == 1
+    assert by[503].lang_pred == "aa" and by[501].rate < language.MISFIT and by[502].rate <= language.MISFIT < by[504].rate
+    tie = language.Model({"b": b"xyzw", "a": b"xyzw"})
+    best, score, _ = tie.judge(*common.flat(pa.array(["xyzw", "q"])))
+    assert best.tolist() == [0, 0] and score.tolist() == [0.5, 0.5]  # the smaller name
+
+
+def test_language_score_equals_its_definition():
+    rng = random.Random(8)
+    samples = {n: "".join(rng.choice(c) for _ in range(300)).encode() for n, c in (("x", "abc "), ("y", "abd "), ("z", "bcd "))}
+    model = language.Model(samples)
+    texts = ["".join(rng.choice("abcd e") for _ in range(rng.randrange(1, 1500))) for _ in range(40)]
+    best, score, rate = model.judge(*common.flat(pa.array(texts)))
+    for i, t in enumerate(texts):
+        need = [naive_phrases(samples[n], t.encode()) for n in model.names]
+        one, two = sorted(need)[:2]
+        assert (best[i], score[i], rate[i]) == (need.index(one), two / (one + two), (one - 1) / len(t))
+
+
 def toxic_rows(seed, n):
     rng = random.Random(seed)
     clean, rows, marks = prose(seed, n, 60), [], []
@@ -312,6 +419,54 @@ def test_toxicity_of_held_out_texts(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_spans_are_the_planted_words_in_characters(spark):
+    rows, marks = toxic_rows(10, 1200)
+    rows = [(i, "é日 " * (i % 5) + t.replace(" vile ", " vile, VILE ")) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a`b c", F.lit(1))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    hit = planted = found = 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            continue
+        want = {k for m in re.finditer(r"vile|zzurk\wx", t, re.I) for k in range(*m.span())}
+        mine = {k for s in got[i].spans for k in range(s.start, s.end)}
+        assert all(0 <= s.start < s.end <= len(t) and not t[s.start].isspace() and not t[s.end - 1].isspace() for s in got[i].spans)
+        assert [s.start for s in got[i].spans] == sorted(s.start for s in got[i].spans)
+        hit, planted, found = hit + len(want & mine), planted + len(want), found + len({k for k in mine if t[k].isalpha()})
+    assert hit / planted > 0.95 and hit / found > 0.95
+    tagged = toxicity.tag(docs, toxicity.learn(docs, labels), "o`ut")
+    assert tagged.columns == ["doc_id", "text", "a`b c", "o`ut"] and tagged.count() == len(rows)
+    assert language.identify(docs, language.learn(docs.withColumn("lang", F.lit("aa"))), "o`ut").count() == len(rows)
+
+
+def test_score_equals_its_definition(spark):
+    rows, marks = toxic_rows(11, 600)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    model = toxicity.learn(docs, labels)
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    for i, t in rows[:40]:
+        data, at = common.flat(pa.array([t]))
+        starts, ends, _ = textkernel.word_spans(data, at)
+        feats = toxicity.features(data, starts, ends)
+        e = [model.bias + sum(weights.get(int(f[k]), 0.0) for f in feats) for k in range(len(starts))]
+        f, p = np.array([1.0, 1e-3]), []
+        ahead = []
+        for x in e:  # one token after the other
+            f = f @ model.trans * np.array([1.0, math.exp(x)])
+            f /= f.max()
+            ahead.append(f)
+        b = np.ones(2)
+        for x, a in zip(e[::-1], ahead[::-1], strict=True):
+            p.append(a[1] * b[1] / (a * b).sum())
+            b = model.trans @ (np.array([1.0, math.exp(x)]) * b)
+            b /= b.max()
+        tops = (sorted(p, reverse=True) + [0.0] * 3)[:3]
+        row = [1.0, *tops, math.log1p(sum(p)), math.log1p(1000 * sum(p) / max(len(p), 20))]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-np.dot(row, model.fit))), abs=1e-6)
+
+
 def test_forward_backward_equals_enumeration():
     rng, trans = np.random.default_rng(1), np.array([[0.9, 0.2], [0.4, 0.7]])
     e, at = rng.normal(size=9), np.array([0, 4, 4, 9])
@@ -347,6 +502,8 @@ def test_url_rules_and_propagation(spark):
         (7, None, None),
         (8, "http://notexample.org", None),
         (9, "http://fexample.org/es/1", None),
+        (10, "http://even.net/", link("//x.com/de/1")),
+        (12, "http://long.net/", "<p>" * 200_000 + link("HTTP://Good.net")),
         (9, "http://fexample.org/es/1", None),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
@@ -356,6 +513,7 @@ def test_url_rules_and_propagation(spark):
     assert (by[1].host, by[1].path, by[1].rule, by[1].verdict) == ("a.example.org", "/en/12", "example.org/en/1", "block")
     assert (by[2].rule, by[2].verdict, by[3].rule, by[3].verdict) == ("example.org/es/", "block", "com/de/", "block")
     assert (by[4].rule, by[4].verdict, by[5].verdict, by[6].verdict, by[7].host, by[7].path) == (None, "block", "allow", "allow", "", "")
+    assert by[10].verdict == "block" and by[12].verdict == "allow"  # links without a scheme count
     assert (by[8].path, by[8].rule, by[9].rule, by[9].verdict) == ("", None, "org/", "allow")
     assert linkrank.url_verdicts(pages.limit(0)).count() == 0
 
@@ -392,55 +550,33 @@ def test_top_k_equals_brute_force(spark, block):
     assert got == sorted(want)
 
 
-def test_top_k_of_few_and_no_vectors(spark):
-    few = spark.createDataFrame([(20, [1.0, 2.0]), (1, [1.0]), (2, [0.0, -1.0])], "vec_id long, embedding array<float>")
-    assert [(r.rank, r.vec_id, r.score) for r in topk.exact_top_k(few).orderBy("rank").collect()] == [(1, 1, 4096), (2, 2, -8192)]
-    assert topk.exact_top_k(few.limit(0)).count() == 0
-
-
-def brute_pieces(m, text):
-    """Viterbi over the whole text."""
-    score, last = [0.0] + [-math.inf] * len(text), [None] * (len(text) + 1)
-    for i in range(len(text)):
-        for j, piece, s in m.arcs(text, i, len(text)):
-            if score[i] + s > score[j]:
-                score[j], last[j] = score[i] + s, i
-    return score[-1]
+def test_top_k_sends_only_blocks_that_can_matter(spark, monkeypatch):
+    rng, pairs = np.random.default_rng(4), []
+    keep = topk.reaching
+    monkeypatch.setattr(topk, "reaching", lambda *a: pairs.append(keep(*a)) or pairs[-1])
+    x = rng.normal(size=(2000, 8)) / (1 + np.arange(2000)[:, None] / 50)  # ever shorter
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 20, 32).collect()}
+    n = np.floor(x * 64).astype(np.int64)
+    for q in range(0, 2000, 20):
+        best = sorted((-int(s), i) for i, s in enumerate(n @ n[q]) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert 0 < pairs[0].count() < 4 * 63 / 3  # of 4 query blocks and 63 others
 
 
-def total(m, ids):
-    return sum(m.piece[m.text[i]][1] for i in ids if m.text[i] in m.piece)
+def test_top_k_of_repeated_ids_and_of_scores_beyond_64_bits(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.variant, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 2, 12288), (0, 2, 1, 4096), (1, 1, 1, 8192), (1, 2, 2, 4096)]
+    huge = [(20, [1e15, 0.0]), (1, [1e15, 0.0]), (2, [1.1e15, 0.0]), (3, [-1e15, 0.0]), (4, [1e-3, 0.0]), (5, [1e300, 0.0])]
+    got = topk.exact_top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [5, 2, 1, 4, 3] and [r.score for r in got][:3] == [2**63 - 1] * 3 and got[-1].score == -(2**63)
 
 
-def test_pieces_scan_equals_one_viterbi(spark, monkeypatch):
-    monkeypatch.setattr(pieces, "CHUNK", 20)
-    rng, m = random.Random(11), pieces.lattice(PIECES)
-    texts = [*ODD[:-1], "".join(rng.choice("abcdethionsr") for _ in range(700)), *prose(12, 20), "日本" * 40]
-    texts[texts.index("z" * 3000)] = "z" * 90
-    texts[texts.index("word " * 3000)] = "word " * 30
-    docs = make(spark, texts)
-    for r in pieces.sentencepiece_scan(docs, PIECES).collect():
-        assert r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()), texts[r.doc_id]
-    for text in ("".join(rng.choice("abcdethionsr") for _ in range(k)) for k in (1, 19, 20, 21, 45, 130)):
-        prepared = pieces.prepared(text)
-        part = m.chunks(prepared)
-        scores = None
-        for i, (t, crossed) in enumerate(part):
-            follows = "".join(x for x, _ in part[i + 1 :])[: m.longest - 1] if crossed else ""
-            own = m.matrix(t + follows, len(t))
-            scores = own if scores is None else pieces.multiply(scores, own)
-        assert scores[0, 0] == pytest.approx(brute_pieces(m, prepared))
-    assert pieces.sentencepiece_scan(docs.limit(0), PIECES).count() == 0
-
-
-def test_pieces_long_texts_get_the_best_score(spark):
-    rng, m = random.Random(13), pieces.lattice(PIECES)
-    texts = ["".join(rng.choice("thereisandfor") for _ in range(n)) for n in (400, 1400, 3100)]
-    sizes = {r.doc_id: (r.n_tokens, r.n_chunks) for r in pieces.sentencepiece_scan(make(spark, texts), PIECES).collect()}
-    for i, t in enumerate(texts):
-        _, last = m.best(pieces.prepared(t), len(t) + 1, 0)
-        ids = m.trace(pieces.prepared(t), last, 0, len(t) + 1)
-        assert sizes[i] == (len(ids), 0 if len(t) < pieces.CHUNK else -(-(len(t) + 1) // pieces.CHUNK))
+def test_top_k_of_few_and_no_vectors(spark):
+    few = spark.createDataFrame([(20, [1.0, 2.0]), (1, [1.0]), (2, [0.0, -1.0])], "vec_id long, embedding array<float>")
+    assert [(r.rank, r.vec_id, r.score) for r in topk.exact_top_k(few).orderBy("rank").collect()] == [(1, 1, 4096), (2, 2, -8192)]
+    assert topk.exact_top_k(few.limit(0)).count() == 0
 
 
 def test_pipeline_stages_keep_columns_and_pass_odd_rows(spark, tmp_path):
@@ -473,31 +609,64 @@ def library_ids(texts):
     return [p.encode(t or "") for t in texts]
 
 
-def test_merges_are_the_ids_of_the_library(spark):
-    rng, m = random.Random(17), merges.Merges(PIECES)
+def test_pieces_are_the_ids_of_the_library(spark):
+    rng, m = random.Random(17), pieces.pieces(PIECES)
     texts = ODD + prose(18, 30) + ["".join(rng.choice("thereisandfor") for _ in range(n)) for n in (5, 31, 32, 400, 3000)]
     texts += ["".join(rng.choice("ab th.,\n'é1　\t-Z▁日") for _ in range(rng.randrange(90))) for _ in range(400)]
     want = library_ids(texts)
     for t, w in zip(texts, want, strict=True):
         prepared = pieces.prepared(t or "")
         assert m.encode(prepared) == np.array(w, "<u4").tobytes(), t
-        assert [m.piece[x][0] for x in m.heap_merged(prepared) if x in m.piece] == [m.piece[x][0] for x in m.merged(prepared) if x in m.piece]
-    got = {r.doc_id: r for r in merges.sentencepiece_merges(make(spark, texts), PIECES).collect()}
+        assert m.heap_merged(prepared) == m.merged(prepared)
+    got = {r.doc_id: r for r in pieces.sentencepiece(make(spark, texts), PIECES).collect()}
     for i, t in enumerate(texts):
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(want[i]), crc(want[i])), t
         assert got[i].text_crc32 == zlib.crc32((t or "").replace("▁", " ").encode())
-    assert merges.sentencepiece_merges(make(spark, texts).limit(0), PIECES).count() == 0
+    assert pieces.sentencepiece(make(spark, texts).limit(0), PIECES).count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 3, 16, 50])
+def test_matrices_lead_to_the_ids_of_the_library_however_they_are_grouped(part):
+    rng, m = random.Random(part), pieces.pieces(PIECES)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 250))) for letters in ("thereisandfor", "ab th.,\n'é1　\t-Z▁日", "the and is", "z", " =") for _ in range(12)]
+    for text, want in zip(texts, library_ids(texts), strict=True):
+        t = pieces.prepared(text)
+        made = [m.chunk(t[f : p + part + m.longest], p - f, min(p + part, len(t)) - f) for p in range(0, len(t), part) for f in [max(0, p - m.longest)]]
+        own = pieces.unpacked([x[0] for x in made], [x[1] for x in made])
+        grouped = list(own)
+        while len(grouped) > 1:
+            i = rng.randrange(len(grouped) - 1)
+            grouped[i : i + 2] = [pieces.multiply(*grouped[i : i + 2])]
+        assert grouped[0].tolist() == [[0.0]]
+        path, ids = pieces.doors(own, 0, 0), b""
+        for (_, _, enter, leave, head, middle, tail, size), i, j in zip(made, path, path[1:], strict=False):
+            before, after = m.traced(head, tail, size, enter[i], leave[j])
+            ids += before + middle + after
+        assert np.frombuffer(ids, "<u4").tolist() == want, text
+
+
+def test_the_product_takes_the_best_way():
+    a, b = np.array([[0.0, -np.inf], [2.0, 1.0]]), np.array([[-np.inf, 3.0], [5.0, 0.0]])
+    assert pieces.multiply(a, b).tolist() == [[-np.inf, 3.0], [6.0, 5.0]]
+    assert pieces.doors([a, b], 1, 0) == [1, 1, 0]
+
+
+def test_long_texts_are_scanned_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "FAN", 3)  # several rounds
+    rng = random.Random(19)
+    texts = [" ".join(prose(20, 40)), "日本語。テスト " * 60, "".join(rng.choice("xq1日　 ") for _ in range(900)), "z" * 900, " " * 700, "short", "".join(rng.choice("thereisandfor") for _ in range(1500)), "z" * 99, "z" * 100]
+    texts, ids = texts + texts[:1], [0, 1, 2, 3, 4, None, 5, 6, 7, 0]
+    want = collections.Counter((i, len(w), crc(w), -(-(len(t) + 1) // 100)) for i, t, w in zip(ids, texts, library_ids(texts), strict=True))
+    rows = pieces.sentencepiece(make(spark, texts, ids), PIECES, part=100).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32, r.n_chunks) for r in rows) == want
 
 
-def test_long_texts_are_dealt_out_in_chunks(spark):
-    rng = random.Random(19)
-    texts = [" ".join(prose(20, 40)), "日本語。テスト " * 60, "".join(rng.choice("xq1日　 ") for _ in range(900)), "z" * 900, " " * 700, "short"]
-    texts, ids = texts + texts[:1], [0, 1, 2, 3, 4, None, 0]
-    want = collections.Counter((i, len(w), crc(w)) for i, w in zip(ids, library_ids(texts), strict=True))
-    rows = merges.sentencepiece_merges(make(spark, texts, ids), PIECES, part=100).collect()
-    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
-    n = {r.doc_id: r.n_chunks for r in rows}
-    assert n[0] > len(texts[0]) // 130 and n[1] >= 4 and n[2] >= 6 and n[3] == n[4] == n[None] == 1
+def test_texts_of_megabytes_with_and_without_blanks(spark):
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("thereisandfor", k=600_000)), " ".join("".join(rng.choices("aeinrst", k=rng.randrange(1, 9))) for _ in range(300_000))]
+    want = [(len(w), crc(w), -(-(len(t) + 1) // pieces.PART)) for t, w in zip(texts, library_ids(texts), strict=True)]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32, r.n_chunks) for r in pieces.sentencepiece(make(spark, texts), PIECES).collect()}
+    assert [got[0], got[1]] == want
 
 
 def test_shared_queues_keep_each_sources_share(spark, monkeypatch):
@@ -539,3 +708,16 @@ def test_near_copies_are_dropped_by_row(spark):
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert out.columns == docs.columns
     assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter([(2, a + " more"), (5, b), (5, c), (None, d), (7, None)])
+
+
+def test_pipeline_stages_take_columns_of_any_name(spark, tmp_path):
+    rows, marks = toxic_rows(15, 200)
+    names = ["a.b", "c`d e", "r", "dropped", "toxicity", "language", "near_key", "lines_report", "row_key", "made", "c0", "has_letter", "a", "h"]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    spark.createDataFrame(marks, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 100
+        assert [tuple(r)[5:] for r in out.limit(1).collect()] == [tuple(range(len(names)))]
+    assert corpus_pipeline.pack(spark, docs, "").count() >= 200
