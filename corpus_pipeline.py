@@ -14,27 +14,25 @@ from curvelake.llm.queries import tokenizer
 
 #: A document goes from this score on.
 TOXIC = 0.3
-#: Phrases for each byte from which on no learned language fits.
-MISFIT = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the random field scores below TOXIC."""
     model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
     out = common.fresh(docs, "toxicity")
-    return toxicity.tag(docs, model, out).where(F.col(f"{out}.score") < TOXIC).select(*docs.columns)
+    return toxicity.tag(docs, model, out).where(F.col(f"{out}.score") < TOXIC).select(*map(common.quoted, docs.columns))
 
 
 def drop_languageless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages: not those without a letter, nor those that fit none of them."""
     out = common.fresh(docs, "language")
     rows = language.identify(docs, language.learn(docs), out)
-    return rows.where((F.col(f"{out}.lang_pred") != "und") & (F.col(f"{out}.rate") < MISFIT)).select(*docs.columns)
+    return rows.where((F.col(f"{out}.lang_pred") != "und") & (F.col(f"{out}.rate") <= language.MISFIT)).select(*map(common.quoted, docs.columns))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents share; the count of characters follows the text."""
-    kept = lines.drop_lines(docs).select(*docs.columns)
+    kept = lines.drop_lines(docs).select(*map(common.quoted, docs.columns))
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -52,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = keyed.join(copies, key, "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([key])
-    return kept.select(*docs.columns)
+    return kept.select(*map(common.quoted, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
