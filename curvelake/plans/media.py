@@ -248,13 +248,19 @@ def templates(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(template, "label").select("id", F.round(F.greatest(F.col("v")[0], cosine(F.col("v"), F.col("prototype"))), 6).alias("sim"))
 
 
-@query("L5_spaced_frames")
+@query("L5_spaced_frames", """WITH a AS (SELECT user_id, event_id, value FROM events), p AS (SELECT user_id, arg_min(event_id, (-value, event_id)) AS a FROM a GROUP BY 1),
+ s AS (SELECT p.user_id, p.a, arg_min(event_id, (-value, event_id)) AS b FROM p JOIN a ON a.user_id = p.user_id AND abs(event_id - p.a) >= 2 GROUP BY 1, 2),
+ t AS (SELECT s.user_id, arg_min(event_id, (-value, event_id)) AS c FROM s JOIN a ON a.user_id = s.user_id AND abs(event_id - s.a) >= 2 AND abs(event_id - s.b) >= 2 GROUP BY 1)
+ SELECT user_id, 0 AS k, a AS event_id FROM p UNION ALL SELECT user_id, 1, b FROM s UNION ALL SELECT user_id, 2, c FROM t""")
 def spaced_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's three best events that lie two apart at least, best first: a fold over the ordered list."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), F.col("event_id").alias("i")))), lambda x: x["i"])
+    """Each user's three best events that lie two apart at least, best first. Each choice shuts out three places at most, so
+    the nine best decide: a fold over those."""
+    order = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(order).alias("n")).where("n <= 9")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "event_id"))), lambda x: x["event_id"])
     take = lambda s, x: F.when((F.size(s) < 3) & ~F.exists(s, lambda y: F.abs(y - x) < 2), F.concat(s, F.array(x))).otherwise(s)
-    rows = table(spark, sf, "events").groupBy("user_id").agg(ordered.alias("o"))
-    return rows.select("user_id", F.posexplode(F.aggregate("o", F.array().cast("array<bigint>"), take)).alias("k", "event_id"))
+    picked = rows.groupBy("user_id").agg(F.aggregate(ordered, F.array().cast("array<bigint>"), take).alias("o"))
+    return picked.select("user_id", F.posexplode("o").alias("k", "event_id"))
 
 
 @query("F13_pick_quality", "SELECT event_id, round((value / 500) * (0.7 + 0.3 * least(1, value / max(value) OVER (PARTITION BY user_id))), 6) AS quality FROM events")

@@ -114,6 +114,19 @@ def test_local_day_is_three_hours_ahead(spark):
     assert [str(r.d) for r in rows.select(monitor.local_day(F.col("ts")).alias("d")).collect()] == ["2024-01-01", "2024-01-02"]
 
 
+@pytest.mark.parametrize("alpha", [0.15, 0.5, 1e-3])
+def test_moving_average_is_the_loop(spark, alpha):
+    rng = random.Random(2)
+    values = [rng.random() * 100 for _ in range(900)]
+    rows = [("a", i, v) for i, v in enumerate(values)] + [("b", 7, 3.0)]
+    out = islands.exponential(frame(spark, "g string, i int, v double", rows), "g", "i", "v", alpha).collect()
+    want = [values[0]]
+    for v in values[1:]:
+        want.append(alpha * v + (1 - alpha) * want[-1])
+    assert [r.ema for r in sorted((r for r in out if r.g == "a"), key=lambda r: r.place)] == pytest.approx(want, rel=1e-12)
+    assert [(r.place, r.ema) for r in out if r.g == "b"] == [(0, 3.0)]
+
+
 def test_close_then_open(spark):
     shown = [0, 1, 1, 0, 1, 0, 0, 0, 1, 0]
     rows = frame(spark, "g string, i int, seen boolean", [("x", i, bool(s)) for i, s in enumerate(shown)])
