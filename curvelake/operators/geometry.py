@@ -52,16 +52,17 @@ def face_score(w: Column, h: Column, cx: Column, cy: Column, frontal: Column, co
 
 def link_track(frames: DataFrame, key: str) -> DataFrame:
     """key, picks (an index into each frame's faces, or -1): in each frame the face with the largest similarity plus
-    OVERLAP times its overlap with the last accepted box, if that is ACCEPT or more; the first of equals. Each choice
+    OVERLAP times its overlap with the last accepted box, the first of equals; it is accepted if its similarity by itself
+    is ACCEPT or more. Each choice
     feeds the next, so it is a fold over a track's frames. ``frames``: key, frame_i, faces (bbox, det, sim)."""
     ordered = F.array_sort(F.collect_list(F.struct("frame_i", "faces")))
     none = F.lit(None).cast("array<double>")
 
     def step(s: Column, x: Column) -> Column:
         score = lambda f: f["sim"] + F.when(s["box"].isNull(), 0.0).otherwise(OVERLAP * iou(f["bbox"], s["box"]))
-        scored = F.transform(x["faces"], lambda f, i: F.struct(score(f).alias("s"), (-i).alias("i"), f["bbox"].alias("b")))
+        scored = F.transform(x["faces"], lambda f, i: F.struct(score(f).alias("s"), (-i).alias("i"), f["bbox"].alias("b"), f["sim"].alias("sim")))
         best = F.array_max(scored)
-        taken = F.coalesce(best["s"] >= ACCEPT, F.lit(False))
+        taken = F.coalesce(best["sim"] >= ACCEPT, F.lit(False))
         return F.struct(F.when(taken, best["b"]).otherwise(s["box"]).alias("box"), F.concat(s["picks"], F.array(F.when(taken, -best["i"]).otherwise(F.lit(-1)))).alias("picks"))
 
     start = F.struct(none.alias("box"), F.array().cast("array<int>").alias("picks"))

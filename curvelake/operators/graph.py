@@ -62,6 +62,15 @@ def best_match(candidates: DataFrame, gallery: DataFrame, group: list[str], name
     return best.select(*group, (-F.col("b.col3")).alias("id"), F.col("b.sim").alias("sim"), status.alias("status"))
 
 
+def second_pass(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """key, id, sim: to the reference, or to the unit mean of the group's anchors if that is larger and there are ``least``
+    anchors, rows whose similarity to the reference is SAME or more. ``rows``: key, id, v, ref."""
+    seen = rows.withColumn("own_", cosine(F.col("v"), F.col("ref")))
+    template = prototypes(seen.where(F.col("own_") >= SAME).select(key, "id", "v"), [key], least).select(key, "prototype")
+    both = seen.join(template, key, "left")
+    return both.select(key, "id", F.greatest("own_", F.when(F.col("prototype").isNotNull(), cosine(F.col("v"), F.col("prototype")))).alias("sim"))
+
+
 def new_people(new: DataFrame, old: DataFrame, group: str, threshold: float = SAME) -> DataFrame:
     """group, id of those without an old vector at or above the threshold in their group. Both: group, id, v."""
     known = old.select(F.col(group).alias("g_"), F.col("v").alias("w_"))

@@ -87,12 +87,28 @@ def violations(words: DataFrame, key: str, duration: Column, slack: float = 0.0)
     return words.withColumn("before_", F.lag("e").over(w)).withColumn("rule", F.explode(rules)).select(key, "i", "rule")
 
 
-def alignment_quality(words: DataFrame, key: str, duration: Column) -> DataFrame:
-    """key, monotonic, span_ratio, mean_score, silent_tail (4 digits). ``words``: key, i, s, e, score."""
+def sentence_violations(sentences_: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """key, sentence, i (null for the sentence itself), rule: sentences begin no earlier than the one before ends and have a
+    width; their words begin no earlier than the sentence or the word before, have a width, and end within it.
+    ``sentences_``: key, sentence, start, end; ``words``: key, sentence, i, s, e."""
+    w = Window.partitionBy(key).orderBy("sentence")
+    late = F.col("start") < F.coalesce(F.lag("end").over(w), F.lit(0.0))
+    whole = sentences_.withColumn("rules_", F.array_compact(F.array(F.when(late, "order"), F.when(F.col("end") <= F.col("start"), "width"))))
+    rows = words.join(sentences_.select(key, "sentence", "start", F.col("end").alias("end_")), [key, "sentence"])
+    begun = F.coalesce(F.lag("e").over(Window.partitionBy(key, "sentence").orderBy("i")), F.col("start"))
+    found = rows.withColumn("rules_", F.array_compact(F.array(F.when(F.col("s") < begun, "word order"), F.when(F.col("e") <= F.col("s"), "word width"), F.when(F.col("e") > F.col("end_"), "word outside"))))
+    none = F.lit(None).cast(words.schema["i"].dataType).alias("i")
+    return whole.select(key, "sentence", none, F.explode("rules_").alias("rule")).union(found.select(key, "sentence", "i", F.explode("rules_").alias("rule")))
+
+
+def alignment_quality(words: DataFrame, key: str, duration: Column, speech: Column) -> DataFrame:
+    """key, monotonic, in_speech (3 digits: words that start within 0.15 s of speech), span_ratio, mean_score, silent_tail
+    (4 digits). ``words``: key, i, s, e, score; ``speech``: array of [from, to]."""
     w = Window.partitionBy(key).orderBy("i")
     rows = words.withColumn("ok_", F.col("s") >= F.coalesce(F.lag("s").over(w), F.col("s"))).withColumn("d_", duration)
     return rows.groupBy(key).agg(
         F.bool_and("ok_").alias("monotonic"),
+        F.round(F.avg(F.exists(speech, lambda x: F.col("s").between(x[0] - 0.15, x[1] + 0.15)).cast("int")), 3).alias("in_speech"),
         F.round((F.max("e") - F.min("s")) / F.max("d_"), 4).alias("span_ratio"),
         F.round(F.avg("score"), 4).alias("mean_score"),
         F.round(F.max("d_") - F.max("e"), 4).alias("silent_tail"),

@@ -50,7 +50,7 @@ def resample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAIRS = GRID + """, pairs AS (SELECT a.rater, a.task, a.k, a.v AS mine, b.v AS ref FROM grid a JOIN grid b ON a.task = b.task AND a.k = b.k WHERE a.rater <> 'view' AND b.rater = 'view'),
- cmp AS (SELECT rater, task, round(avg(abs(mine - ref)), 3) AS mae, CASE WHEN count(*) >= 3 AND stddev_pop(mine) >= 0.02 AND stddev_pop(ref) >= 0.02 THEN round(corr(mine, ref), 2) END AS r, count(*) AS n FROM pairs GROUP BY 1, 2)"""
+ cmp AS (SELECT rater, task, round(avg(abs(mine - ref)), 3) AS mae, CASE WHEN count(*) >= 3 AND stddev_pop(mine) >= 0.02 AND stddev_pop(ref) >= 0.02 THEN round(corr(mine, ref), 2) + 0 END AS r, count(*) AS n FROM pairs GROUP BY 1, 2)"""
 
 
 def compared(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,9 +105,9 @@ def flush(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy("curve", (F.floor(F.col("i") / 10) * 10).alias("chunk_index")).agg(F.count("*").alias("samples"), F.min("event_id").alias("first_event"))
 
 
-@query("T8_gap_audit", f"WITH {POINTS}, a AS (SELECT curve, CAST(floor(max(t) * 10 + 0.5) + 1 AS BIGINT) AS expected, count(*) FILTER (WHERE is_valid) AS measured, count(*) FILTER (WHERE NOT is_valid) AS filled FROM points GROUP BY 1) SELECT *, expected - measured - filled AS missing FROM a")
+@query("T8_gap_audit", f"WITH {POINTS}, a AS (SELECT curve, CAST(floor(max(t) * 10 + 0.5) + 1 AS BIGINT) AS expected, count(*) FILTER (WHERE is_valid) AS measured, count(*) FILTER (WHERE NOT is_valid) AS filled FROM points GROUP BY 1) SELECT *, expected - measured - filled AS missing, expected - measured - filled >= 5 AS gappy FROM a")
 def gap_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.gap_audit(points(spark, sf).withColumn("filled", ~F.col("is_valid")))
+    return curves.gap_audit(points(spark, sf).withColumn("filled", ~F.col("is_valid"))).withColumn("gappy", F.col("missing") >= 5)
 
 
 @query(
@@ -163,10 +163,12 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("curve", quality.notes(F.col("flat"), F.col("spread"), F.col("revisions"), narrow=1.7, many=15).alias("notes"))
 
 
-@query("Q10_day_summary", f"WITH {NOTES} SELECT count(*) AS completed, round(avg(CASE WHEN flat THEN 1.0 ELSE 0.0 END), 2) AS flat_share, round(avg(spread), 3) AS mean_spread FROM s")
+@query("Q10_day_summary", f"WITH {POINTS}, s AS (SELECT curve, CAST(floor(t + 0.125) AS BIGINT) AS day, round(max(v) - min(v), 3) AS spread, count(v) >= 3 AND stddev_pop(v) < 0.02 AS flat FROM points WHERE is_valid GROUP BY 1, 2) SELECT day, count(*) AS completed, CAST(round(CAST(avg(CAST(flat AS INTEGER)) AS DECIMAL(18,9)), 2) AS DOUBLE) AS flat_share, CAST(round(CAST(avg(spread) AS DECIMAL(18,9)), 3) AS DOUBLE) AS mean_spread FROM s GROUP BY 1")
 def day_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = curves.curve_stats(points(spark, sf).where("is_valid"), ["curve"])
-    return rows.agg(F.count("*").alias("completed"), F.round(F.avg(F.col("flat").cast("double")), 2).alias("flat_share"), F.round(F.avg("spread"), 3).alias("mean_spread"))
+    """All tasks of each local day, three hours ahead of the data."""
+    rows = curves.curve_stats(points(spark, sf).where("is_valid").withColumn("day", F.floor(F.col("t") + 0.125)), ["curve", "day"])
+    digits = lambda x, n: F.round(F.avg(x).cast("decimal(18,9)"), n).cast("double")
+    return rows.groupBy("day").agg(F.count("*").alias("completed"), digits(F.col("flat").cast("int"), 2).alias("flat_share"), digits(F.col("spread"), 3).alias("mean_spread"))
 
 
 DAYS = """days AS (SELECT u.user_id, CAST(d AS INTEGER) AS d, coalesce(n > 0, FALSE) AS seen, m FROM (SELECT * FROM (SELECT DISTINCT user_id FROM events), range(1, 31) t(d)) u

@@ -36,10 +36,10 @@ def shards(spark: SparkSession, sf: str) -> DataFrame:
     return files.shard(table(spark, sf, "events"), "event_id", 3, 7).select("event_id")
 
 
-@query("S8_resolve", "SELECT p_type || '_' || p_partkey AS sample_id, p_type AS source, CASE WHEN p_type = 'SMALL' THEN 'small/clip' || p_partkey || '.mp4' WHEN p_type = 'LARGE' THEN 'large/' || p_partkey || '/raw.mp4' END AS path FROM part")
+@query("S8_resolve", "SELECT p_type || '_' || p_partkey AS sample_id, p_type AS source, CASE WHEN p_type = 'SMALL' THEN 'small/clip' || p_partkey || '.mp4' WHEN p_type = 'LARGE' THEN 'large/' || p_partkey || '/raw.mp4' WHEN p_type = 'ECONOMY' THEN 'economy/dia' || p_partkey || '.avi' WHEN p_type = 'PROMO' THEN 'promo/p' || p_partkey || '.mp4' WHEN p_type = 'MEDIUM' THEN 'medium/m' || p_partkey || '.mp4' END AS path FROM part")
 def resolve(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(F.concat_ws("_", "p_type", F.col("p_partkey").cast("string")).alias("sample_id"), F.col("p_type").alias("source"))
-    return files.resolve(rows, {"SMALL": (r"_(\d+)$", "small/clip%1$s.mp4"), "LARGE": (r"_(\d+)$", "large/%1$s/raw.mp4")})
+    return files.resolve(rows, {"SMALL": (r"_(\d+)$", "small/clip%1$s.mp4"), "LARGE": (r"_(\d+)$", "large/%1$s/raw.mp4"), "ECONOMY": (r"_(\d+)$", "economy/dia%1$s.avi"), "PROMO": (r"_(\d+)$", "promo/p%1$s.mp4"), "MEDIUM": (r"_(\d+)$", "medium/m%1$s.mp4")})
 
 
 @query("S9_plan_csv", "SELECT CAST(o_custkey AS VARCHAR) AS annotator_id, CAST(o_orderkey AS INTEGER) AS order_index, 'X_' || o_orderkey AS sample_id, o_orderpriority AS modality, o_orderkey % 9 = 0 AS is_anchor FROM orders")

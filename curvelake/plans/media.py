@@ -121,7 +121,17 @@ def face_score(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.round(own, 6).alias("score"))
 
 
-@query("D1_link_track")
+_OVER = "greatest(0, least(f.b[1] + f.b[3], box[1] + box[3]) - greatest(f.b[1], box[1])) * greatest(0, least(f.b[2] + f.b[4], box[2] + box[4]) - greatest(f.b[2], box[2]))"
+
+
+@query(
+    "D1_link_track",
+    f"""WITH RECURSIVE {BOXES}, f0 AS (SELECT clip, frame_i, list_sort(list({{'b': bbox, 'sim': (part % 100) / 100}})) AS faces FROM b GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY frame_i) AS n FROM f0),
+ r AS (SELECT DISTINCT clip, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE[]) AS box, CAST(-2 AS BIGINT) AS pick FROM fr UNION ALL
+   SELECT clip, n, CASE WHEN faces[i].sim >= 0.25 THEN faces[i].b ELSE box END, CASE WHEN faces[i].sim >= 0.25 THEN i - 1 ELSE -1 END FROM (SELECT *, list_position(scores, list_max(scores)) AS i FROM
+     (SELECT r.clip, fr.n, r.box, fr.faces, list_transform(fr.faces, lambda f: f.sim + CASE WHEN r.box IS NULL THEN 0 ELSE 0.3::DOUBLE * coalesce({_OVER} / nullif(f.b[3] * f.b[4] + box[3] * box[4] - {_OVER}, 0), 0) END) AS scores FROM r JOIN fr ON fr.clip = r.clip AND fr.n = r.n + 1)))
+ SELECT clip, string_agg(pick, ',' ORDER BY n) AS picks FROM r WHERE n > 0 GROUP BY 1""",
+)
 def link(spark: SparkSession, sf: str) -> DataFrame:
     faces = F.struct("bbox", F.lit(0.9).alias("det"), ((F.col("part") % 100) / 100).alias("sim"))
     frames = boxes(spark, sf).groupBy("clip", "frame_i").agg(F.array_sort(F.collect_list(faces)).alias("faces"))
@@ -198,6 +208,19 @@ def violations(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.violations(words(spark, sf), "talk", F.lit(20.0))
 
 
+SENTENCED = WORDS + """, g AS (SELECT *, i // 4 AS sentence FROM words), sn AS (SELECT talk, sentence, min(s) AS a, max(e) - 0.12 AS z FROM g GROUP BY 1, 2)"""
+
+
+@query("D8_sentence_violations", f"""WITH {SENTENCED}, p AS (SELECT *, lag(z) OVER (PARTITION BY talk ORDER BY sentence) AS pz FROM sn), q AS (SELECT g.*, a, z, lag(e) OVER (PARTITION BY g.talk, g.sentence ORDER BY i) AS pe FROM g JOIN sn USING (talk, sentence))
+ SELECT talk, sentence, NULL AS i, 'order' AS rule FROM p WHERE a < coalesce(pz, 0) UNION ALL SELECT talk, sentence, NULL, 'width' FROM p WHERE z <= a UNION ALL SELECT talk, sentence, i, 'word order' FROM q WHERE s < coalesce(pe, a)
+ UNION ALL SELECT talk, sentence, i, 'word width' FROM q WHERE e <= s UNION ALL SELECT talk, sentence, i, 'word outside' FROM q WHERE e > z""")
+def sentence_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of four words whose end is set a little too early."""
+    rows = words(spark, sf).withColumn("sentence", F.floor(F.col("i") / 4))
+    own = rows.groupBy("talk", "sentence").agg(F.min("s").alias("start"), (F.max("e") - 0.12).alias("end"))
+    return transcripts.sentence_violations(own, rows, "talk")
+
+
 @query("D9_pull_back", f"""WITH {WORDS}, a AS (SELECT *, coalesce(sum(greatest(e - s, 0)) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM words),
  m AS (SELECT *, min(e + after) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM a),
  r AS (SELECT talk, i, greatest(e - s, 0) AS width, greatest(least(12.0, least) - after, 0) AS e2 FROM m) SELECT talk, i, CAST(round(greatest(e2 - width, 0), 5) AS DOUBLE) AS start, CAST(round(e2, 5) AS DOUBLE) AS "end" FROM r""")
@@ -216,9 +239,9 @@ def place_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("Q14_alignment_quality", f"""WITH {WORDS}, p AS (SELECT *, s >= coalesce(lag(s) OVER (PARTITION BY talk ORDER BY i), s) AS ok FROM words)
- SELECT talk, bool_and(ok) AS monotonic, round((max(e) - min(s)) / 60, 4) AS span_ratio, round(avg((i % 10) / 10), 4) AS mean_score, round(60 - max(e), 4) AS silent_tail FROM p GROUP BY 1""")
+ SELECT talk, bool_and(ok) AS monotonic, round(avg(CAST(s BETWEEN 0.85 AND 6.15 OR s BETWEEN 7.85 AND 20.15 AS INTEGER)), 3) AS in_speech, round((max(e) - min(s)) / 60, 4) AS span_ratio, round(avg((i % 10) / 10), 4) AS mean_score, round(60 - max(e), 4) AS silent_tail FROM p GROUP BY 1""")
 def alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return transcripts.alignment_quality(words(spark, sf).withColumn("score", F.col("i") % 10 / 10), "talk", F.lit(60.0))
+    return transcripts.alignment_quality(words(spark, sf).withColumn("score", F.col("i") % 10 / 10), "talk", F.lit(60.0), F.array(F.array(F.lit(1.0), F.lit(6.0)), F.array(F.lit(8.0), F.lit(20.0))))
 
 
 @query(
@@ -240,12 +263,16 @@ def word_spans(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("talk", F.floor(F.col("i") / 3).alias("word")).agg(F.min("s").alias("s"), F.max("e").alias("e"), F.round(F.avg(F.col("i") % 10 / 10), 6).alias("score"))
 
 
-@query("D2_templates", f"WITH {UNIT}, c AS (SELECT label, i, avg(v[i]) AS x FROM u, range(1, 65) t(i) WHERE u.id % 4 = 0 GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS t FROM c GROUP BY 1), n AS (SELECT label, count(*) AS k FROM u WHERE id % 4 = 0 GROUP BY 1 HAVING count(*) >= 5) SELECT u.id, round(greatest(u.v[1], list_inner_product(u.v, [x / sqrt(list_sum([y * y FOR y IN m.t])) FOR x IN m.t])), 6) AS sim FROM u JOIN m USING (label) JOIN n USING (label)")
+@query("D2_templates", f"""WITH RECURSIVE {SIMILAR}, {PARTS}, r AS (SELECT label, v AS ref FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) = 1),
+ k AS (SELECT u.label, u.id, v, list_inner_product(v, ref) AS sim FROM u JOIN r USING (label)), a AS (SELECT * FROM k WHERE sim >= 0.363), n AS (SELECT label FROM a GROUP BY 1 HAVING count(*) >= 5),
+ c AS (SELECT label, i, avg(v[i]) AS x FROM a, range(1, 65) t(i) WHERE label IN (SELECT label FROM n) GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS t FROM c GROUP BY 1)
+ SELECT k.id, round(CASE WHEN m.t IS NULL THEN k.sim ELSE greatest(k.sim, list_inner_product(k.v, [x / sqrt(list_sum([y * y FOR y IN m.t])) FOR x IN m.t])) END, 6) AS sim FROM k LEFT JOIN m USING (label)""".replace("WITH RECURSIVE " + SIMILAR + ", " + PARTS, "WITH " + UNIT))
 def templates(spark: SparkSession, sf: str) -> DataFrame:
-    """Second pass: similarity to the mean of a track's anchors, where it has five at least, or the first one's if larger."""
+    """Second pass: similarity to the reference (a label's first vector), or to the mean of the anchors, those like the
+    reference, if that is larger and there are five anchors at least."""
     own = vectors(spark, sf)
-    template = graph.prototypes(own.where("id % 4 = 0"), ["label"], least=5)
-    return own.join(template, "label").select("id", F.round(F.greatest(F.col("v")[0], cosine(F.col("v"), F.col("prototype"))), 6).alias("sim"))
+    first = own.groupBy("label").agg(F.min_by("v", "id").alias("ref"))
+    return graph.second_pass(own.join(first, "label"), "label", 5).select("id", F.round("sim", 6).alias("sim"))
 
 
 @query("L5_spaced_frames", """WITH a AS (SELECT user_id, event_id, value FROM events), p AS (SELECT user_id, arg_min(event_id, (-value, event_id)) AS a FROM a GROUP BY 1),

@@ -94,7 +94,13 @@ def by_modality(spark: SparkSession, sf: str) -> DataFrame:
     return monitor.by_modality(queue(spark, sf), done(spark, sf), tasks(spark))
 
 
-@query("M9_training", PANEL + " SELECT annotator_id, today, last_24h, main_done, main_total FROM p")
+@query("Z17_sections", PANEL + f" SELECT mq.annotator_id, {list(MODALITIES)}[mq.task_id % 5 + 1] AS modality, bool_and(d.task_id IS NOT NULL) AS complete FROM mq LEFT JOIN d ON d.annotator_id = mq.annotator_id AND d.task_id = mq.task_id GROUP BY 1, 2")
+def sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Which modality sections of the queue are complete; a section without tasks isn't one."""
+    return by_modality(spark, sf).select("annotator_id", "modality", (F.col("done") == F.col("total")).alias("complete"))
+
+
+@query("M9_main_progress", PANEL + " SELECT annotator_id, today, last_24h, main_done, main_total FROM p")
 def main_progress(spark: SparkSession, sf: str) -> DataFrame:
     return panel(spark, sf).select("annotator_id", "today", "last_24h", "main_done", "main_total")
 

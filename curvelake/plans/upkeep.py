@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars
-from curvelake.operators import chains, curves, lifecycle, picks
+from curvelake.operators import chains, curves, geometry, lifecycle, picks
 from curvelake.plans import panel
 from curvelake.plans.registry import SUBMISSIONS, Registry, submissions, table
 from curvelake.scratch import folder
@@ -410,4 +410,79 @@ def mean_template(spark: SparkSession, sf: str) -> DataFrame:
     return picks.mean_template(rows, "label").select("label", F.posexplode("template").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
+FRAMED = FACES + """, c AS (SELECT clip, face, w, h, x, y, score AS det, w * h AS area, max(w * h) OVER (PARTITION BY clip) AS largest FROM f)"""
+
+
+def framed(spark: SparkSession, sf: str) -> DataFrame:
+    """clip, faces: all of a clip's faces as those of one frame."""
+    box = F.array("x", "y", "w", "h")
+    return faces(spark, sf).groupBy("clip").agg(F.collect_list(F.struct(box.alias("bbox"), F.col("score").alias("det"), "face")).alias("faces"))
+
+
+@query("P10_candidates", f"WITH {FRAMED} SELECT clip, face FROM c WHERE det >= 0.70 AND h >= 0.07 * 480")
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return framed(spark, sf).select("clip", F.explode(geometry.strict_candidates(F.col("faces"), F.lit(480))).alias("f")).select("clip", "f.face")
+
+
+@query("P11_main_faces", f"WITH {FRAMED} SELECT clip, face FROM c WHERE area >= 0.20 * largest")
+def main_faces(spark: SparkSession, sf: str) -> DataFrame:
+    return framed(spark, sf).select("clip", F.explode(geometry.main_faces(F.col("faces"))).alias("f")).select("clip", "f.face")
+
+
+@query("P12_fallback", f"WITH {FRAMED}, s AS (SELECT DISTINCT clip FROM c WHERE det >= 0.70 AND h >= 33.6), l AS (SELECT clip, max(area) AS area FROM c WHERE det >= 0.40 AND clip NOT IN (SELECT clip FROM s) GROUP BY 1) SELECT c.clip, count(*) FILTER (WHERE det >= 0.70 AND h >= 33.6) + coalesce(max(CASE WHEN l.area IS NOT NULL THEN 1 END), 0) AS n, max(l.area) IS NOT NULL AS loose, round(max(l.area), 6) AS area FROM c LEFT JOIN l ON l.clip = c.clip GROUP BY 1")
+def fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The strict candidates, or else the one largest fair face; and which of the two it was."""
+    kept, loose = geometry.with_fallback(geometry.strict_candidates(F.col("faces"), F.lit(480)), F.col("faces"))
+    rows = framed(spark, sf).select("clip", kept.alias("k"), loose.alias("loose"))
+    return rows.select("clip", F.size("k").cast("long").alias("n"), "loose", F.round(F.when(F.col("loose"), F.col("k")[0]["bbox"][2] * F.col("k")[0]["bbox"][3]), 6).alias("area"))
+
+
+@query("F20_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], [1.0::DOUBLE FOR x IN embedding]), 6) AS sim FROM embeddings")
+def cosine(spark: SparkSession, sf: str) -> DataFrame:
+    ones = scalars.unit(F.transform("embedding", lambda x: F.lit(1.0)))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(scalars.cosine(scalars.unit(F.col("embedding")), ones), 6).alias("sim"))
+
+
+@query("X1_recount", f"WITH {SUBMISSIONS}, k AS (SELECT *, (epoch_us(submitted_at) - epoch_us(TIMESTAMP '2024-01-01')) / 86400e6 AS t FROM submissions QUALIFY row_number() OVER (PARTITION BY annotator_id, task_id, dimension ORDER BY submitted_at, submission_id) = 1) SELECT annotator_id, count(*) AS sample_count, round(max(t), 6) AS last_media_time FROM k GROUP BY 1")
+def recount(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of what is stored after repeated chunks were ignored, not of what was sent."""
+    kept = chains.first_wins(submissions(spark, sf), ["annotator_id", "task_id", "dimension"], ["submitted_at", "submission_id"])
+    t = (F.unix_micros(F.col("submitted_at").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 86400e6
+    return kept.groupBy("annotator_id").agg(F.count("*").alias("sample_count"), F.round(F.max(t), 6).alias("last_media_time"))
+
+
+@query("X5_store_violations", "SELECT event_id AS attempt_id, CASE WHEN event_id % 5 = 0 THEN 'samples lost' || CASE WHEN value < 30 AND event_id % 3 = 0 THEN ',finished attempt changed' ELSE '' END ELSE 'finished attempt changed' END AS violations FROM events WHERE event_id % 5 = 0 OR (value < 30 AND event_id % 3 = 0)")
+def store_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """What a new snapshot of a client's store may not do."""
+    k, done = F.col("attempt_id"), F.when(F.col("value") < 30, "completed").otherwise("recording")
+    before = table(spark, sf, "events").select(F.col("event_id").alias("attempt_id"), F.lit(9).alias("sample_count"), done.alias("status"), F.lit("x").alias("digest"))
+    after = before.select("attempt_id", F.when(k % 5 == 0, 8).otherwise(9).alias("sample_count"), "status", F.when(k % 3 == 0, "y").otherwise("x").alias("digest"))
+    return lifecycle.store_violations(before, after).select("attempt_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("X8_conflicts", "SELECT a.p_partkey, min(b.p_partkey) AS held_by FROM part a JOIN part b ON a.p_size < 3 AND b.p_size >= 3 AND a.p_name = b.p_name GROUP BY 1")
+def conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of an import whose name another key holds: they stop it."""
+    stored = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    clash = lifecycle.upsert(stored.drop("p_size"), stored.where("p_size < 3").drop("p_size"), "p_partkey", "p_name")[1]
+    return clash.groupBy("p_partkey").agg(F.min("held_by").alias("held_by"))
+
+
+@query("Z2_assets", "WITH a AS (SELECT user_id, event_id, event_type, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, concat_ws(',', event_type, CASE WHEN b <> event_type THEN b END, CASE WHEN c <> event_type AND c <> b THEN c END) AS assets FROM a")
+def assets(spark: SparkSession, sf: str) -> DataFrame:
+    """The different files that a task and the two after it need, in their order."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    need = F.array_distinct(F.array_compact(F.array("event_type", F.lead("event_type", 1).over(w), F.lead("event_type", 2).over(w))))
+    return table(spark, sf, "events").select("event_id", F.array_join(need, ",").alias("assets"))
+
+
+@query("T0_trajectory", "SELECT l_orderkey AS attempt_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, v) AS INTEGER) AS place, v FROM (SELECT l_orderkey, l_linenumber, unnest([min(l_quantity), max(l_quantity) + 0.5]) AS v FROM lineitem GROUP BY 1, 2)")
+def trajectory(spark: SparkSession, sf: str) -> DataFrame:
+    sample = lambda x: F.struct(x.cast("double").alias("v"))
+    chunks = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("chunk_index")).agg(F.array(sample(F.min("l_quantity")), sample(F.max("l_quantity") + 0.5)).alias("samples"))
+    rows = curves.trajectory(chunks.withColumn("created_at", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("attempt_id").orderBy("chunk_index", "pos"))
+    return rows.select("attempt_id", place.alias("place"), "v")
+
+
 QUERIES, ORACLES = registry.queries, registry.oracles

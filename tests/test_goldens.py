@@ -147,7 +147,7 @@ def test_iou_and_clamp(spark):
 
 def test_link_follows_the_last_box(spark):
     face = lambda x, sim: ([float(x), 0.0, 10.0, 10.0], 0.9, sim)
-    rows = [("t", 0, [face(0, 0.5), face(100, 0.2)]), ("t", 1, [face(1, 0.30), face(100, 0.50)]), ("t", 2, [face(500, 0.1)]), ("t", 3, [])]
+    rows = [("t", 0, [face(0, 0.5), face(100, 0.2)]), ("t", 1, [face(1, 0.30), face(100, 0.50)]), ("t", 2, [face(0, 0.1)]), ("t", 3, [])]
     own = frame(spark, "t string, frame_i int, faces array<struct<bbox:array<double>,det:double,sim:double>>", rows)
     assert geometry.link_track(own, "t").first().picks == [0, 0, -1, -1]
 
