@@ -70,7 +70,8 @@ class Pieces:
         self.high = np.zeros(len(self.text), bool)
         self.high[[i for i, b in self.as_byte.items() if b >= 128]] = True
         self.shown = [chr(self.as_byte[i]) if self.as_byte.get(i, 128) < 128 else t.replace(BLANK, " ") for i, t in enumerate(self.text)]
-        self.word = tokens.Memo(self.ids, MEMO)
+        self.word = tokens.Memo(lambda w: self.ids(BLANK + w), MEMO)
+        self.stretch = tokens.Memo(self.ids, MEMO // 4)
         self.pair = tokens.Memo(lambda k: b"1" if self.merged(k.replace("\n", "", 1)) == k.split("\n", 1) else b"", MEMO // 4)
         self.single = {}
 
@@ -118,10 +119,17 @@ class Pieces:
         """Ids of a stretch of prepared text, word by word unless pieces may cross blank signs."""
         if self.across:
             return self.ids(text)
-        get = self.word.__getitem__
         if 2 * BLANK in text or text[:1] != BLANK or text[-1:] == BLANK:
-            return b"".join(map(get, re.split(f"(?<=[^{BLANK}])(?={BLANK})", text)))
-        return b"".join([get(BLANK + w) for w in text[1:].split(BLANK)])
+            return b"".join(map(self.stretch.__getitem__, re.split(f"(?<=[^{BLANK}])(?={BLANK})", text)))
+        return b"".join(map(self.word.__getitem__, text[1:].split(BLANK)))
+
+    def encode_whole(self, text: str) -> bytes:
+        """Ids of a text as it is. Where single blanks are all that lies between words, the words are its parts already."""
+        if not text:
+            return b""
+        if self.across or "  " in text or text[0] == " " or text[-1] == " " or BLANK in text:
+            return self.encode(prepared(text))
+        return b"".join(map(self.word.__getitem__, text.split(" ")))
 
     def stands(self, t: str) -> bool:
         """Whether a stretch can be a piece of an encoding (a single character always can)."""
@@ -303,7 +311,7 @@ def sentencepiece(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
         m = pieces(path)
         for b in batches:
             for b in common.pieces(b, "text"):
-                yield digest(m, b.column("doc_id"), [m.encode(prepared(t)) for t in b.column("text").to_pylist()], pa.array([1] * b.num_rows, pa.int64()))
+                yield digest(m, b.column("doc_id"), [m.encode_whole(t) for t in b.column("text").to_pylist()], pa.array([1] * b.num_rows, pa.int64()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = pieces(path).longest

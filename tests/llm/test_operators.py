@@ -616,7 +616,7 @@ def test_pieces_are_the_ids_of_the_library(spark):
     want = library_ids(texts)
     for t, w in zip(texts, want, strict=True):
         prepared = pieces.prepared(t or "")
-        assert m.encode(prepared) == np.array(w, "<u4").tobytes(), t
+        assert m.encode(prepared) == m.encode_whole(t or "") == np.array(w, "<u4").tobytes(), t
         assert m.heap_merged(prepared) == m.merged(prepared)
     got = {r.doc_id: r for r in pieces.sentencepiece(make(spark, texts), PIECES).collect()}
     for i, t in enumerate(texts):
