@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, topk, toxicity
+from curvelake.llm import common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, topk, toxicity, vafile
 
 
 def tokenizer(name: str) -> str:
@@ -57,9 +57,13 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(common.table(spark, sf_dir, "embeddings"))
 
 
+def op11_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.clusters(common.table(spark, sf_dir, "embeddings")).drop("fetched")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.ORACLE, "op6_url_linkrank": linkrank.oracle(), "op10_exact_topk": topk.ORACLE}
+    return {"op4_line_dedup": lines.ORACLE, "op6_url_linkrank": linkrank.oracle(), "op10_exact_topk": topk.ORACLE, "op11_va_clusters": vafile.oracle()}
