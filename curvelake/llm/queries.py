@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, topk, toxicity, vafile
+from curvelake.llm import chat, common, huffman, language, lines, linkrank, ngram_join, packing, pieces, quality, topk, toxicity, trie, vafile
 
 
 def tokenizer(name: str) -> str:
@@ -61,9 +61,21 @@ def op11_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.clusters(common.table(spark, sf_dir, "embeddings")).drop("fetched")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(common.table(spark, sf_dir, "conversations")).drop("screened")
+
+
+def op13_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = [(-1, 0, "user", chat.TRAP), (-1, 1, "assistant", chat.TRAP)]
+    out = common.scratch(spark, "chat-files")
+    chat.write(rows.union(spark.createDataFrame(trap, rows.schema)), out)
+    return chat.report(chat.read(spark, out))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.ORACLE, "op6_url_linkrank": linkrank.oracle(), "op10_exact_topk": topk.ORACLE, "op11_va_clusters": vafile.oracle()}
+    return {"op4_line_dedup": lines.ORACLE, "op6_url_linkrank": linkrank.oracle(), "op10_exact_topk": topk.ORACLE, "op11_va_clusters": vafile.oracle(), "op12_prefix_trie": trie.ORACLE, "op13_chat_examples": chat.ORACLE}
