@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.plans import chains, curves, ingest, media, panel, plan, queues, review, upkeep
+from curvelake.plans import chains, curves, delivery, ingest, media, panel, plan, queues, review, upkeep
 
-MODULES = (chains, curves, queues, media, ingest, panel, plan, review, upkeep)
+MODULES = (chains, curves, queues, media, ingest, delivery, panel, plan, review, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

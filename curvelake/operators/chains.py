@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curvelake import scratch
+
 
 def latest(rows: DataFrame, chain: list[str], order: list[str]) -> DataFrame:
     """The last row of each chain. Aggregates before the shuffle, so a long chain costs its tasks one row each."""
@@ -58,3 +60,26 @@ def prune(rows: DataFrame, chain: list[str], order: list[str], keep: int) -> Dat
         raise ValueError("the newest version always stays")
     place = Window.partitionBy(*chain).orderBy(*(F.col(c).desc() for c in order))
     return rows.withColumn("place_", F.row_number().over(place)).where(F.col("place_") > keep).drop("place_")
+
+
+def follow(rows: DataFrame, key: str, link: str) -> DataFrame:
+    """key, root, depth and cyclic, by links alone: ``link`` names the row that a row replaces (null: none, it is a root).
+
+    Pointers are doubled: in each round a row takes over the pointer of the row that it points at, so a chain of n rows is settled in log n
+    rounds, whatever order or key they lie in. The nearest rows to a root are settled first; a round that settles none has only
+    cycles left, and what leads into them: they have no root and no depth. A link to a row that isn't there makes a root. ``key`` is unique.
+    """
+    spark = rows.sparkSession
+    there = rows.select(F.col(key).alias("to"), F.lit(True).alias("there_"))
+    found = rows.select(F.col(key).alias("id"), F.col(link).alias("to")).join(there, "to", "left")
+    is_root = F.col("there_").isNull()
+    table = found.select("id", F.when(is_root, F.col("id")).otherwise(F.col("to")).alias("to"), F.when(is_root, 0).otherwise(1).cast("long").alias("d"), is_root.alias("done"))
+    folder, turn, before = scratch.folder(spark, "chains"), 0, None
+    table = scratch.write(table, f"{folder}/0")
+    while (left := table.where("not done").count()) and left != before:
+        aim = table.select(F.col("id").alias("to"), F.col("to").alias("to_"), F.col("d").alias("d_"), F.col("done").alias("done_"))
+        moved = table.where("not done").join(aim, "to").select("id", F.col("to_").alias("to"), (F.col("d") + F.col("d_")).alias("d"), F.col("done_").alias("done"))
+        turn, before = turn + 1, left
+        table = scratch.write(table.where("done").union(moved), f"{folder}/{turn}")
+        scratch.discard(spark, f"{folder}/{turn - 1}")
+    return table.select(F.col("id").alias(key), F.when(F.col("done"), F.col("to")).alias("root"), F.when(F.col("done"), F.col("d")).alias("depth"), (~F.col("done")).alias("cyclic"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP, EPSILON = 0.1, 1e-9
@@ -80,3 +80,16 @@ def gap_audit(points: DataFrame, key: str = "curve", hz: int = 10) -> DataFrame:
     """expected, measured, filled and missing samples of each curve."""
     out = points.groupBy(key).agg((F.floor(F.max("t") * hz + 0.5) + 1).alias("expected"), F.count_if(~F.col("filled")).alias("measured"), F.count_if("filled").alias("filled"))
     return out.withColumn("missing", F.col("expected") - F.col("measured") - F.col("filled"))
+
+
+def gap_report(points: DataFrame, attempts: DataFrame, since: Column, cut: Column, key: str = "attempt_id", hz: int = 10, large: int = 5) -> DataFrame:
+    """annotator_id, modality, period (before or after ``cut``): attempts begun since ``since``, their expected, measured and filled samples, attempts
+    that miss ``large`` samples or more, and the shares. ``points``: key, t, filled; ``attempts``: key, annotator_id, modality, started_at."""
+    own = attempts.where(F.col("started_at") >= since).select(key, "annotator_id", "modality", F.when(F.col("started_at") >= cut, "after").otherwise("before").alias("period"))
+    each = gap_audit(points, key, hz).join(own, key)
+    sums = [F.sum(c).alias(c) for c in ("expected", "measured", "filled")]
+    rows = each.groupBy("annotator_id", "modality", "period").agg(F.count("*").alias("attempts"), *sums, F.count_if(F.col("missing") >= large).alias("gappy"))
+    share = lambda a, b: F.when(b != 0, a / b).otherwise(0.0)
+    had = F.col("measured") + F.col("filled")
+    missing = F.when(F.col("expected") != 0, 1 - had / F.col("expected")).otherwise(0.0)
+    return rows.withColumns({"missing_share": missing, "measured_share": share(F.col("measured"), F.col("expected")), "gappy_share": share(F.col("gappy"), F.col("attempts"))})

@@ -169,3 +169,27 @@ def cumulative(counters: DataFrame, key: str, order: str, value: str) -> DataFra
     w = Window.partitionBy(key).orderBy(order)
     step = F.when(F.lag(value).over(w).isNull(), 0).when(F.col(value) >= F.lag(value).over(w), F.col(value) - F.lag(value).over(w)).otherwise(F.col(value))
     return counters.withColumn("step_", step).withColumn("total", F.sum("step_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step_")
+
+
+#: Seconds that lie between a reading and the one it is compared with, at least (half an hour less than a day) and less than.
+DAY_AGO_S = (84_600, 172_800)
+
+
+def growth_since(readings: DataFrame, key: str, at: str, order: str, value: str, ago_s: tuple[int, int] = DAY_AGO_S) -> DataFrame:
+    """``growth``: the counter less what it was at the last reading that is as old as ``ago_s`` says; null if there is none. Over
+    a range of time, so readings may come as often or seldom as they like."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    frame = Window.partitionBy(key).orderBy("micros_").rangeBetween(1 - ago_s[1] * 1_000_000, -ago_s[0] * 1_000_000)
+    rows = readings.withColumn("micros_", micros)
+    return rows.withColumn("growth", F.col(value) - F.max_by(value, F.struct("micros_", order)).over(frame)).drop("micros_")
+
+
+def traffic_alerts(readings: DataFrame, key: str, at: str, order: str, value: str, limits: tuple[float, ...], daily: float) -> DataFrame:
+    """key, order, alert: the reading at which the total since the first reaches a limit (each limit is told once, a reset of the
+    counter goes on from the total), and a day's first reading that grew by more than ``daily`` since the day before."""
+    rows = growth_since(cumulative(readings, key, order, value), key, at, order, value)
+    before = F.coalesce(F.lag("total").over(Window.partitionBy(key).orderBy(order)), F.lit(float("-inf")))
+    crossed = rows.withColumn("before_", before).select(key, order, "total", "before_", F.explode(F.array(*(F.lit(float(x)) for x in limits))).alias("limit_"))
+    crossed = crossed.where("before_ < limit_ and total >= limit_").select(key, order, F.concat(F.lit("total "), F.col("limit_").cast("string")).alias("alert"))
+    large = rows.where(F.col("growth") > daily).groupBy(key, F.to_date(at).alias("day_")).agg(F.min(order).alias(order))
+    return crossed.union(large.select(key, order, F.lit("day").alias("alert")))

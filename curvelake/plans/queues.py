@@ -134,14 +134,6 @@ def prototype_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", key("s_nationkey").alias("k")).join(names, "k").drop("k")
 
 
-@query("J16_release_chain", """WITH RECURSIVE c AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS replaces FROM events),
- r AS (SELECT event_id, event_id AS root, 0 AS depth FROM c WHERE replaces IS NULL UNION ALL SELECT c.event_id, r.root, r.depth + 1 FROM c JOIN r ON c.replaces = r.event_id) SELECT event_id, root, CAST(depth AS INTEGER) AS depth FROM r""")
-def release_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain of each row. Rows of one chain share a key, so a window does what recursion would in many rounds."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return table(spark, sf, "events").select("event_id", F.first("event_id").over(w).alias("root"), (F.row_number().over(w) - 1).alias("depth"))
-
-
 @query("L1_queue_order", f"SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {RANKS}, o_orderkey) AS INTEGER) AS place FROM orders")
 def queue_order(spark: SparkSession, sf: str) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))), F.col("o_orderpriority"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars
-from curvelake.operators import chains, curves, geometry, lifecycle, picks
+from curvelake.operators import chains, costs, curves, geometry, lifecycle, picks
 from curvelake.plans import panel
 from curvelake.plans.registry import SUBMISSIONS, Registry, submissions, table
 from curvelake.scratch import folder
@@ -183,9 +183,8 @@ def language_exclusive(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A18_cost", "SELECT user_id, count(*) AS calls, sum(event_id % 1000) AS tokens_in, sum(event_id % 70) AS tokens_out, round(sum(event_id % 1000) / 1e6 * 0.5 + sum(event_id % 70) / 1e6 * 3.0, 9) AS cost FROM events GROUP BY 1")
 def cost(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls, tokens and what they cost at prices for a million."""
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("calls"), F.sum(F.col("event_id") % 1000).alias("tokens_in"), F.sum(F.col("event_id") % 70).alias("tokens_out"))
-    return rows.withColumn("cost", F.round(F.col("tokens_in") / 1e6 * 0.5 + F.col("tokens_out") / 1e6 * 3.0, 9))
+    rows = table(spark, sf, "events").select("user_id", (F.col("event_id") % 1000).alias("tokens_in"), (F.col("event_id") % 70).alias("tokens_out"))
+    return costs.by_key(rows, "user_id", 0.5, 3.0).withColumn("cost", F.round("cost", 9))
 
 
 @query("L4_begun", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS begun FROM customer")

@@ -30,6 +30,20 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder in one step; False if the target is there already."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not fs.exists(path(target)) and fs.rename(path(source), path(target))
+
+
 def write(df: DataFrame, path: str) -> DataFrame:
     """Cut lineage: write ``df`` to ``path`` and read it back. Survives lost executors."""
     df.write.option("compression", "zstd").parquet(path)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvelake import scratch
+
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines (also of many shards, by a glob); blank and half-written lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
 
 
 def read_keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -20,7 +24,22 @@ def read_keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFra
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Appends a job's rows under a key of its own; a job that may be run again gives its key to ``append_once``."""
+    append_once(rows, path, uuid.uuid4().hex)
+
+
+def append_once(rows: DataFrame, path: str, key: str) -> bool:
+    """Appends rows as JSON lines under ``key``, unless that was done before (False). They are written beside the table, where no
+    reader looks, and get into it by one rename: a task or job that fails half-way leaves no row, one that is run again no row twice."""
+    spark, target = rows.sparkSession, f"{path.rstrip('/')}/append={key}"
+    if scratch.names(spark, target):
+        return False
+    aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+    try:
+        rows.write.json(aside)
+        return scratch.move(spark, aside, target)
+    finally:
+        scratch.discard(spark, aside)
 
 
 def shard(rows: DataFrame, index: str, number: int, of: int) -> DataFrame:
