@@ -9,6 +9,8 @@ from curvelake.functions.scalars import nearest_rank
 
 #: Least detector score and share of the frame's height; weight of the overlap and least score of a link.
 LEAST_DET, LEAST_HEIGHT, OVERLAP, ACCEPT = 0.70, 0.07, 0.30, 0.25
+#: What a turned and a tilted head cost (fixed values).
+YAW, ROLL, TINY = 1.4, 0.8, 1e-6
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -50,23 +52,13 @@ def face_score(w: Column, h: Column, cx: Column, cy: Column, frontal: Column, co
     return (0.55 * F.sqrt(w * h) * 3 + 0.15 * centre + 0.30 * frontal) * conf
 
 
-def link_track(frames: DataFrame, key: str) -> DataFrame:
-    """key, picks (an index into each frame's faces, or -1): in each frame the face with the largest similarity plus
-    OVERLAP times its overlap with the last accepted box, the first of equals; it is accepted if its similarity by itself
-    is ACCEPT or more. Each choice
-    feeds the next, so it is a fold over a track's frames. ``frames``: key, frame_i, faces (bbox, det, sim)."""
-    ordered = F.array_sort(F.collect_list(F.struct("frame_i", "faces")))
-    none = F.lit(None).cast("array<double>")
-
-    def step(s: Column, x: Column) -> Column:
-        score = lambda f: f["sim"] + F.when(s["box"].isNull(), 0.0).otherwise(OVERLAP * iou(f["bbox"], s["box"]))
-        scored = F.transform(x["faces"], lambda f, i: F.struct(score(f).alias("s"), (-i).alias("i"), f["bbox"].alias("b"), f["sim"].alias("sim")))
-        best = F.array_max(scored)
-        taken = F.coalesce(best["sim"] >= ACCEPT, F.lit(False))
-        return F.struct(F.when(taken, best["b"]).otherwise(s["box"]).alias("box"), F.concat(s["picks"], F.array(F.when(taken, -best["i"]).otherwise(F.lit(-1)))).alias("picks"))
-
-    start = F.struct(none.alias("box"), F.array().cast("array<int>").alias("picks"))
-    return frames.groupBy(key).agg(ordered.alias("o_")).select(key, F.aggregate("o_", start, step)["picks"].alias("picks"))
+def frontality(right_eye: Column, left_eye: Column, nose: Column) -> Column:
+    """How straight a face looks at the camera, by its landmarks [x, y]: the nose's way off the middle of the eyes and the slope
+    between the eyes, in eye distances, count against it; 0 at least."""
+    across, down = left_eye[0] - right_eye[0], left_eye[1] - right_eye[1]
+    apart = F.hypot(across, down) + TINY
+    yaw, roll = F.abs(nose[0] - (right_eye[0] + left_eye[0]) / 2) / apart, F.abs(down) / apart
+    return F.greatest(F.lit(0.0), 1 - yaw * YAW - roll * ROLL)
 
 
 def stable_size(boxes: DataFrame, key: str, margin: float = 0.20, part: float = 0.90) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,7 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return marked.groupBy(key, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def close_open(rows: DataFrame, key: str, order: str, value: str, hold: int, keep: int) -> DataFrame:
+def close_open(rows: DataFrame, key: str, order: str, value: str, hold: int | Column, keep: int | Column) -> DataFrame:
     """Fill inner gaps of at most ``hold`` frames, then drop visible runs of fewer than ``keep``. Gaps at either end stay."""
     w = Window.partitionBy(key).orderBy(order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)

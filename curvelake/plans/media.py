@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions.scalars import cosine, nearest_rank, unit
-from curvelake.operators import geometry, graph, transcripts
+from curvelake.operators import geometry, graph, track, transcripts
 from curvelake.plans.registry import Registry, table
 
 registry = Registry()
@@ -135,7 +135,8 @@ _OVER = "greatest(0, least(f.b[1] + f.b[3], box[1] + box[3]) - greatest(f.b[1],
 def link(spark: SparkSession, sf: str) -> DataFrame:
     faces = F.struct("bbox", F.lit(0.9).alias("det"), ((F.col("part") % 100) / 100).alias("sim"))
     frames = boxes(spark, sf).groupBy("clip", "frame_i").agg(F.array_sort(F.collect_list(faces)).alias("faces"))
-    return geometry.link_track(frames, "clip").select("clip", F.array_join(F.col("picks").cast("array<string>"), ",").alias("picks"))
+    picks = F.transform(F.array_sort(F.collect_list(F.struct("frame_i", "pick"))), lambda x: x["pick"].cast("string"))
+    return track.link(frames, "clip").groupBy("clip").agg(F.array_join(picks, ",").alias("picks"))
 
 
 @query(
@@ -148,6 +149,63 @@ def stable(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.stable_size(rows, "clip").withColumn("side", F.round("side", 6))
 
 
+#: One face at most in a frame; half of the users' faces move a lot. 25 frames a second, so windows of 21 frames, losses of 10 and glimpses of 5.
+TRACK = """f AS (SELECT user_id AS clip, event_id AS frame_i, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, event_type <> 'error' AND value >= 60 AS present,
+   CASE WHEN user_id % 2 = 0 THEN value * 2 ELSE 300 + value / 50 END AS x0, 100 + value / 5 AS y0, 60 + value / 10 AS w0, 55 + value / 10 AS h0, 0.2 + value / 1000 AS sim0 FROM events),
+ n AS (SELECT *, x0 + w0 / 2 AS px, y0 + h0 / 2 AS py FROM f WHERE present),
+ sz AS (SELECT clip, least(v[least(len(v) - 1, CAST(round_even(0.9 * (len(v) - 1), 0) AS BIGINT)) + 1] * 1.4::DOUBLE, 720) AS side FROM (SELECT clip, list_sort(list(greatest(w0, h0))) AS v FROM n GROUP BY 1)),
+ i AS (SELECT f.*, side, last_value(CASE WHEN present THEN {'p': place, 'x': x0 + w0 / 2, 'y': y0 + h0 / 2} END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY place) AS a,
+   first_value(CASE WHEN present THEN {'p': place, 'x': x0 + w0 / 2, 'y': y0 + h0 / 2} END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM f JOIN sz USING (clip)),
+ c AS (SELECT *, CASE WHEN a IS NULL THEN b.x WHEN b IS NULL OR a.p = b.p THEN a.x ELSE a.x + (b.x - a.x) * (place - a.p) / (b.p - a.p) END AS cx, CASE WHEN a IS NULL THEN b.y WHEN b IS NULL OR a.p = b.p THEN a.y ELSE a.y + (b.y - a.y) * (place - a.p) / (b.p - a.p) END AS cy FROM i),
+ m AS (SELECT *, quantile_cont(cx, 0.5) OVER w AS mx, quantile_cont(cy, 0.5) OVER w AS my FROM c WINDOW w AS (PARTITION BY clip ORDER BY place ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+ s AS (SELECT *, greatest(max(mx) OVER w - min(mx) OVER w, max(my) OVER w - min(my) OVER w) < side * 0.1::DOUBLE AS still, quantile_cont(mx, 0.5) OVER w AS sx, quantile_cont(my, 0.5) OVER w AS sy FROM m WINDOW w AS (PARTITION BY clip)),
+ e AS (SELECT clip, place, mx AS ex, my AS ey FROM s WHERE place = 0 UNION ALL SELECT s.clip, s.place, 0.15::DOUBLE * mx + 0.85::DOUBLE * ex, 0.15::DOUBLE * my + 0.85::DOUBLE * ey FROM e JOIN s ON s.clip = e.clip AND s.place = e.place + 1),
+ box AS (SELECT s.*, least(greatest(CASE WHEN still THEN sx ELSE ex END, side / 2), greatest(side / 2, 1200 - side / 2)) AS ox, least(greatest(CASE WHEN still THEN sy ELSE ey END, side / 2), greatest(side / 2, 720 - side / 2)) AS oy FROM s JOIN e USING (clip, place)),
+ q AS (SELECT *, present OR coalesce(first_value(CASE WHEN present THEN place END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - last_value(CASE WHEN present THEN place END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY place) - 1 <= 10, FALSE) AS closed FROM f),
+ ru AS (SELECT *, place - row_number() OVER (PARTITION BY clip, closed ORDER BY place) AS run FROM q), vis AS (SELECT *, closed AND count(*) OVER (PARTITION BY clip, closed, run) >= 5 AS visible FROM ru)"""
+
+
+def face_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """clip, frame_i, faces; and clip, fps, frame_w, frame_h."""
+    v = F.col("value")
+    box = F.array(F.when(F.col("user_id") % 2 == 0, v * 2).otherwise(300 + v / 50), 100 + v / 5, 60 + v / 10, 55 + v / 10)
+    face = F.struct(box.alias("bbox"), F.lit(0.9).alias("det"), (0.2 + v / 1000).alias("sim"))
+    seen = (F.col("event_type") != "error") & (v >= 60)
+    frames = table(spark, sf, "events").select(F.col("user_id").alias("clip"), F.col("event_id").alias("frame_i"), F.when(seen, F.array(face)).otherwise(F.array().cast(f"array<{face_kind()}>")).alias("faces"))
+    return frames, frames.select("clip").distinct().select("clip", F.lit(25.0).alias("fps"), F.lit(1200).alias("frame_w"), F.lit(720).alias("frame_h"))
+
+
+def face_kind() -> str:
+    return "struct<bbox:array<double>,det:double,sim:double>"
+
+
+@query("D3_stable_box", f"WITH RECURSIVE {TRACK} SELECT clip, frame_i, CASE WHEN still THEN 'static' ELSE 'slow' END AS mode, round(side, 6) AS side, round(ox + 0.0000123::DOUBLE, 4) AS cx, round(oy + 0.0000123::DOUBLE, 4) AS cy FROM box")
+def stable_box(spark: SparkSession, sf: str) -> DataFrame:
+    frames, clips = face_frames(spark, sf)
+    linked = track.link(frames, "clip").join(clips, "clip")
+    off = lambda c: F.round(F.col(c) + 0.0000123, 4).alias(c)  # noqa: E731  (many centres end in a 5, which would be rounded either way)
+    return track.stable_box(linked, "clip").select("clip", "frame_i", "mode", F.round("side", 6).alias("side"), off("cx"), off("cy"))
+
+
+@query("D4_presence", f"WITH RECURSIVE {TRACK} SELECT clip, frame_i, present, visible FROM vis")
+def presence(spark: SparkSession, sf: str) -> DataFrame:
+    frames, _ = face_frames(spark, sf)
+    rows = frames.select("clip", "frame_i", (F.size("faces") > 0).alias("present"), F.lit(25.0).alias("fps"))
+    return track.presence(rows, "clip", "frame_i", "present", "fps").select("clip", "frame_i", "present", "visible")
+
+
+@query("D5_build", f"""WITH RECURSIVE {TRACK}, g AS (SELECT clip, max(n) AS gap FROM (SELECT clip, count(*) AS n FROM (SELECT *, place - row_number() OVER (PARTITION BY clip, present ORDER BY place) AS k FROM f) WHERE NOT present GROUP BY clip, k) GROUP BY 1),
+ st AS (SELECT clip, count(*) AS frames, count(*) FILTER (WHERE present) AS detected, coalesce(avg(sim0) FILTER (WHERE present), 0) AS mean_sim, count(*) FILTER (WHERE present AND sim0 >= 0.363) AS anchors, coalesce(avg(h0) FILTER (WHERE present) / 720, 0) AS height,
+   count(*) FILTER (WHERE visible) AS shown, count(*) FILTER (WHERE dark) AS cuts FROM (SELECT *, NOT visible AND coalesce(lag(visible) OVER (PARTITION BY clip ORDER BY place), TRUE) AS dark FROM vis) GROUP BY 1),
+ ins AS (SELECT clip, any_value(CASE WHEN still THEN 'static' ELSE 'slow' END) AS mode, any_value(side) AS side, avg(CAST(x0 >= ox - side / 2 AND y0 >= oy - side / 2 AND x0 + w0 <= ox + side / 2 AND y0 + h0 <= oy + side / 2 AS INTEGER)) FILTER (WHERE present) AS inside FROM box GROUP BY 1),
+ al AS (SELECT *, shown / frames AS v FROM st LEFT JOIN g USING (clip) JOIN ins USING (clip))
+ SELECT clip, mode, round(side, 2) AS side, detected, round(detected / frames, 4) AS det_rate, coalesce(gap, 0) AS max_gap_frames, round(coalesce(gap, 0) / 25, 3) AS max_gap_seconds, round(mean_sim, 4) AS mean_sim, anchors, round(height, 4) AS mean_face_h_ratio, round(inside, 4) AS face_inside_ratio,
+ round(v, 4) AS visible_ratio, round(1 - v, 4) AS black_ratio, cuts AS flicker_cuts, CASE WHEN anchors < 5 OR v < 0.3 THEN 'drop' WHEN v < 0.5 THEN 'low_confidence' ELSE 'ok' END AS status,
+ concat_ws(';', CASE WHEN anchors < 5 THEN 'anchors=' || anchors || '<5' END, CASE WHEN v < 0.3 THEN format('visible={{:.2f}}<0.3', v) WHEN v < 0.5 AND anchors >= 5 THEN format('visible={{:.2f}}<0.5', v) END) AS reasons FROM al""")
+def built(spark: SparkSession, sf: str) -> DataFrame:
+    return track.build(*face_frames(spark, sf), "clip")[1].withColumn("reasons", F.array_join("reasons", ";"))
+
+
 @query(
     "Q16_track_quality",
     """SELECT user_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS det_rate, round(avg(value / 500), 6) AS mean_sim, count(*) FILTER (WHERE value / 500 >= 0.363) AS anchors, round(avg(CASE WHEN value < 120 THEN 1.0 ELSE 0.0 END), 6) AS visible_ratio,

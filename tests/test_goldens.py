@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curvelake import catalog
 from curvelake.functions import scalars
-from curvelake.operators import allocation, chains, completion, curves, geometry, graph, islands, lifecycle, monitor, quality, records, transcripts
+from curvelake.operators import allocation, chains, completion, curves, geometry, graph, islands, lifecycle, monitor, quality, records, track, transcripts
 from curvelake.sources import files
 
 
@@ -149,7 +149,7 @@ def test_link_follows_the_last_box(spark):
     face = lambda x, sim: ([float(x), 0.0, 10.0, 10.0], 0.9, sim)
     rows = [("t", 0, [face(0, 0.5), face(100, 0.2)]), ("t", 1, [face(1, 0.30), face(100, 0.50)]), ("t", 2, [face(0, 0.1)]), ("t", 3, [])]
     own = frame(spark, "t string, frame_i int, faces array<struct<bbox:array<double>,det:double,sim:double>>", rows)
-    assert geometry.link_track(own, "t").first().picks == [0, 0, -1, -1]
+    assert [r.pick for r in track.link(own, "t").orderBy("frame_i").collect()] == [0, 0, -1, -1]
 
 
 def loop_normalise(words):
