@@ -128,15 +128,40 @@ def language_exclusive(modality: Column, sample_id: Column) -> Column:
     return modality.isin(*LANGUAGE_MODALITIES) & prefix(sample_id).isin(*LANGUAGE_SETS)
 
 
+def best_fraction(value: Column, limit: int = 100_000) -> Column:
+    """The fraction nearest to ``value`` (0, or from 1/500 up) among those with a denominator up to ``limit``, in lowest terms: a struct of
+    n and d. A double is a whole number of halves, quarters, ...; its continued fraction is followed as long as denominators
+    fit, and then the last of them competes with the one that takes as much of the next term as still fits."""
+    scale = F.lit(53) - F.floor(F.log2(value)).cast("int")
+    one = F.pow(F.lit(2.0), scale)
+    start = lambda **v: F.struct(*(x.cast("long").alias(k) for k, x in v.items()))
+    most = F.lit(limit).cast("long")
+    whole = lambda a, b: F.call_function("div", a, b)
+
+    named = lambda x, use: F.get(F.transform(F.array(x), use), 0)  # noqa: E731  (worked out once, however often it is used)
+
+    def step(s: Column, _: Column) -> Column:
+        def turn(a: Column) -> Column:
+            moved = F.struct(s["p"].alias("p0"), s["q"].alias("q0"), (s["p0"] + a * s["p"]).alias("p"), (s["q0"] + a * s["q"]).alias("q"), s["d"].alias("n"), (s["n"] - a * s["d"]).alias("d"))
+            return F.when((s["q"] == 0) | (a <= whole(most - s["q0"], F.greatest(s["q"], F.lit(1)))), moved).otherwise(s)
+
+        return F.when(s["d"] == 0, s).otherwise(named(whole(s["n"], s["d"]), turn))
+
+    def chosen(m: Column) -> Column:
+        more = whole(most - m["q0"], F.greatest(m["q"], F.lit(1)))
+        wide = m["q0"] + more * m["q"]
+        # 2 * d * wide <= whole: the last convergent is nearer
+        last = (m["d"] == 0) | (m["d"].cast("decimal(20,0)") * wide.cast("decimal(10,0)") * 2 <= one.cast("decimal(20,0)"))
+        return F.when(last, F.struct(m["p"].alias("n"), m["q"].alias("d"))).otherwise(F.struct((m["p0"] + more * m["p"]).alias("n"), wide.alias("d")))
+
+    zero, unit_ = F.lit(0), F.lit(1)
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start(p0=zero, q0=unit_, p=unit_, q=zero, n=value * one, d=one), step)
+    return F.when(value == 0, start(n=zero, d=unit_)).otherwise(named(made, chosen))
+
+
 def rational_rate(fps: Column, limit: int = 100_000) -> Column:
-    """A frame rate as the nearest fraction with a denominator up to ``limit``: one of whole frames or over 1001 where
-    that is the rate to six digits, else by thousandths and less until it fits."""
-    exact = lambda den: F.abs(F.round(fps * den) / den - fps) < 5e-7
-    text = lambda den: F.concat(F.round(fps * den).cast("long").cast("string"), F.lit(f"/{den}"))
-    out = F.when(exact(1), text(1)).when(exact(1001), text(1001))
-    for den in (2, 4, 5, 10, 100, 1000, limit):
-        out = out.when(exact(den), text(den))
-    return out.otherwise(text(limit))
+    """A frame rate as its best fraction with a denominator up to ``limit``."""
+    return F.get(F.transform(F.array(best_fraction(fps, limit)), lambda x: F.concat(x["n"].cast("string"), F.lit("/"), x["d"].cast("string"))), 0)
 
 
 def token_hash(token: Column) -> Column:

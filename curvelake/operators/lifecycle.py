@@ -2,21 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curvelake import scratch
+from curvelake.operators import allocation
+
+#: States in which an attempt no longer changes.
+FINISHED = ("completed", "interrupted")
+
+
+class Snapshots:
+    """A table of which each state is written to a place of its own and becomes the current one by a rename, all of it or nothing.
+    Readers see the last state that was made current; a job that dies half-way, or a change that is refused, leaves it as it is."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def version(self) -> int:
+        return max((int(n[1:]) for n in scratch.names(self.spark, self.path) if n.startswith("v")), default=0)
+
+    def current(self) -> DataFrame:
+        n = self.version()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], self.schema)
 
-def transfer(queue: DataFrame, done: DataFrame, source: int, target: int) -> DataFrame:
-    """The rows that move from one annotator's queue to another's: active, not done, not already there (in any status),
-    appended after the target's last place in their old order. The first free place follows the highest one, 0 included.
-    ``queue``: annotator_id, task_id, order_index, status; ``done``: annotator_id, task_id."""
-    own = queue.where((F.col("annotator_id") == source) & (F.col("status") == "active"))
-    theirs = queue.where(F.col("annotator_id") == target)
+    def swap(self, after: DataFrame, violations: DataFrame | None = None) -> list:
+        """Makes ``after`` current, unless there are violations: of those up to 100 are returned, and nothing has changed."""
+        if violations is not None and (found := violations.limit(100).collect()):
+            return found
+        aside, target = f"{self.path}/_aside-{uuid.uuid4().hex}", f"{self.path}/v{self.version() + 1}"
+        try:
+            after.write.parquet(aside)
+            if not scratch.move(self.spark, aside, target):
+                raise RuntimeError("someone else has changed the table meanwhile")
+        finally:
+            scratch.discard(self.spark, aside)
+        return []
+
+
+def transfer(queue: DataFrame, done: DataFrame, tasks: DataFrame, accounts: DataFrame, source: int, target: int, phase: str = "main") -> tuple[DataFrame, DataFrame]:
+    """The queues after all that ``source`` hasn't finished in a phase went to ``target``, and what forbids it (what, task_id): the
+    transfer is refused as a whole if there is anything. The moved rows are released and stay; each new one names the row that it
+    ``replaces`` and goes after the target's last place, in the old order.
+
+    Refused: to oneself, an unknown account, nothing to move, tasks that need a language the target doesn't read, tasks that
+    the target has in this phase already, whatever their status. ``queue``: assignment_id long, annotator_id, task_id, phase, order_index, status,
+    replaces; ``done``: annotator_id, task_id (all dimensions); ``tasks``: task_id, exclusive; ``accounts``: annotator_id, reads_all.
+    """
+    spark = queue.sparkSession
+    own = queue.where((F.col("annotator_id") == source) & (F.col("status") == "active") & (F.col("phase") == phase))
     finished = done.where(F.col("annotator_id") == source).select("task_id").distinct()
-    moved = own.join(finished, "task_id", "left_anti").join(theirs.select("task_id").distinct(), "task_id", "left_anti")
-    last = theirs.agg(F.coalesce(F.max("order_index") + 1, F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("annotator_id").orderBy("order_index", "task_id")) - 1
-    return moved.withColumn("place", place).crossJoin(F.broadcast(last)).select(F.lit(target).alias("annotator_id"), "task_id", (F.col("base") + F.col("place")).alias("order_index"), F.lit("active").alias("status"))
+    moved = allocation.numbered(own.join(finished, "task_id", "left_anti"), [F.col("order_index"), F.col("assignment_id")], "place")
+    theirs = queue.where((F.col("annotator_id") == target) & (F.col("phase") == phase))
+    whole = lambda what, bad: spark.range(1).where(F.lit(bad)).select(F.lit(what).alias("what"), F.lit(None).cast(queue.schema["task_id"].dataType).alias("task_id"))
+    known = {r.annotator_id: r.reads_all for r in accounts.where(F.col("annotator_id").isin(source, target)).collect()}  # two rows
+    against = whole("self", source == target).union(whole(f"unknown {source}", source not in known)).union(whole(f"unknown {target}", target not in known))
+    against = against.union(whole("nothing to move", moved.isEmpty()))
+    needed = moved.join(tasks.where("exclusive").select("task_id").distinct(), "task_id", "left_semi").where(F.lit(not known.get(target, True)))
+    held = moved.join(theirs.select("task_id").distinct(), "task_id", "left_semi")
+    violations = against.union(needed.select(F.lit("language"), "task_id")).union(held.select(F.lit("held"), "task_id"))
+
+    last = queue.agg(F.coalesce(F.max("assignment_id"), F.lit(0)).alias("id_"), F.coalesce(F.max(F.when((F.col("annotator_id") == target) & (F.col("phase") == phase), F.col("order_index"))), F.lit(-1)).alias("at_"))
+    new = moved.crossJoin(F.broadcast(last)).select(  # last is one row
+        (F.col("id_") + F.col("place") + 1).cast("long").alias("assignment_id"), F.lit(target).cast(queue.schema["annotator_id"].dataType).alias("annotator_id"), "task_id", "phase",
+        (F.col("at_") + F.col("place") + 1).cast(queue.schema["order_index"].dataType).alias("order_index"), F.lit("active").alias("status"), F.col("assignment_id").alias("replaces"),
+    )
+    gone = moved.select("assignment_id", F.lit(True).alias("gone_"))
+    kept = queue.join(gone, "assignment_id", "left").withColumn("status", F.when(F.col("gone_"), "released").otherwise(F.col("status"))).select(*new.columns)
+    return kept.unionByName(new), violations
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, unique: str) -> tuple[DataFrame, DataFrame]:
@@ -40,12 +95,39 @@ def store_violations(before: DataFrame, after: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(
             F.when(F.col("n1") < F.col("sample_count"), "samples lost"),
-            F.when((F.col("status") == "completed") & ((F.col("s1") != F.col("status")) | (F.col("d1") != F.col("digest"))), "finished attempt changed"),
+            F.when(F.col("status").isin(*FINISHED) & ((F.col("s1") != F.col("status")) | (F.col("d1") != F.col("digest"))), "finished attempt changed"),
         )
     )
     return rows.select("attempt_id", found.alias("violations")).where(F.size("violations") > 0)
 
 
+def checkpoint(attempts: DataFrame, samples: DataFrame, sent: DataFrame, sent_samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A store's attempts and samples after clients have sent theirs, and what was refused (attempt_id, violations). An attempt with its
+    samples is taken or refused as a whole; a sample that is there already, the same, changes nothing.
+
+    ``attempts``, ``sent``: attempt_id, sample_count, status, digest; ``samples``: attempt_id, sample_index, body; ``sent_samples``: these and
+    sent_with (the attempt they came with).
+    """
+    said = sent.select(F.col("attempt_id").alias("sent_with"), F.col("sample_count").alias("count_"))
+    came = sent_samples.groupBy("sent_with", "attempt_id", "sample_index").agg(F.min("body").alias("body"), F.max("body").alias("other_"))
+    there = samples.select("attempt_id", "sample_index", F.col("body").alias("held_"))
+    rows = came.join(said, "sent_with").join(there, ["attempt_id", "sample_index"], "left")
+    differs = (F.col("body") != F.col("other_")) | F.coalesce(F.col("held_") != F.col("body"), F.lit(False))
+    bad = rows.groupBy(F.col("sent_with").alias("attempt_id")).agg(
+        F.array_compact(F.array(
+            F.when(F.bool_or(F.col("attempt_id") != F.col("sent_with")), "sample of another attempt"),
+            F.when(F.bool_or(F.col("sample_index") >= F.col("count_")), "sample beyond the count"),
+            F.when(F.bool_or(differs), "sample changed"),
+        )).alias("violations")
+    )
+    found = store_violations(attempts, sent).unionByName(bad.where(F.size("violations") > 0))
+    refused = found.groupBy("attempt_id").agg(F.array_sort(F.flatten(F.collect_list("violations"))).alias("violations"))
+    taken = sent.join(refused, "attempt_id", "left_anti")
+    after = attempts.join(taken.select("attempt_id"), "attempt_id", "left_anti").unionByName(taken)
+    new = rows.where("held_ is null").join(taken.select(F.col("attempt_id").alias("sent_with")), "sent_with", "left_semi").select("attempt_id", "sample_index", "body")
+    return after, samples.unionByName(new), refused
+
+
 def copy_template(template: DataFrame, annotators: DataFrame, having: DataFrame) -> DataFrame:
     """The template's rows for every annotator of its language who has none yet."""
     new = annotators.join(having.select("annotator_id").distinct(), "annotator_id", "left_anti")

@@ -15,8 +15,8 @@ MODALITIES = ("face", "body", "audio", "text")
 CONFLICT, CONSTRAINT, DYNAMIC, PLACES = ("confirmed", "not_confirmed", "uncertain"), ("present", "absent", "unknown"), ("changed", "unchanged", "unknown"), ("inside", "outside", "unknown")
 FIELDS = ("event", "goal", "role")
 CANDIDATE_WINDOW, CANDIDATE_SOURCE, MODALITY = (2.4, 4.8), "mock-candidate-v1", "audiovisual"
-_RATINGS = "struct<" + ", ".join(f"{d}: struct<state:string, value:string, evidence_ids:array<string>, mixed:boolean, note:string>" for d in DIMENSIONS) + ">"
-#: The shape of a document. Scores are read as they are written, so that 1.0 isn't taken for 1.
+_RATINGS = "struct<" + ", ".join(f"{d}: struct<state:string, value:variant, evidence_ids:array<string>, mixed:boolean, note:string>" for d in DIMENSIONS) + ">"
+#: The shape of a document. Scores keep the kind in which they are written, so that neither 1.0 nor "1" is taken for 1.
 SCHEMA = (
     "schema_version string, anchor_version string, subject_id string, event_id string, modality string, revision_reason string, "
     "score_window array<double>, card struct<subject:string, event:string, goal:string, role:string>, checks struct<subject:string, event:string, goal:string, role:string>, "
@@ -47,8 +47,9 @@ def bad_ratings(ratings: Column, verified: Column) -> Column:
     def bad(d: str) -> Column:
         x = ratings[d]
         backed = (F.size(x["evidence_ids"]) > 0) & (F.size(F.array_except(x["evidence_ids"], verified)) == 0)
-        known = (x["state"] == "known") & ~(yes(x["value"].rlike("^(-?[12]|0)$")) & yes(backed))
-        unknown = (x["state"] == "unknown") & x["value"].isNotNull()
+        whole = yes(F.schema_of_variant(x["value"]) == "BIGINT") & yes(F.try_variant_get(x["value"], "$", "long").between(-2, 2))
+        known = (x["state"] == "known") & ~(whole & yes(backed))
+        unknown = (x["state"] == "unknown") & x["value"].isNotNull() & ~F.is_variant_null(x["value"])
         return ~yes(x["state"].isin("known", "unknown")) | yes(known) | yes(unknown) | (yes(x["mixed"]) & blank(x["note"]))
 
     return F.array_compact(F.array(*(F.when(bad(d), d) for d in DIMENSIONS)))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curvelake import scratch
 from curvelake.operators import geometry, islands
 
 #: Margin on both sides of the face, part of the sizes that the box holds, weight of the newest centre, and the share of the box's
@@ -129,8 +130,8 @@ def build(frames: DataFrame, clips: DataFrame, key: str, margin: float = MARGIN)
     named = clips.select(key, F.col("fps").cast("double").alias("fps"), "frame_w", "frame_h")
     good = frames.join(named.select(key, "frame_h"), key).select(key, "frame_i", geometry.strict_candidates(F.col("faces"), F.col("frame_h")).alias("faces"))
     linked = link(good, key).join(named, key).withColumn("present", F.col("pick") >= 0)
-    seen = presence(linked, key, "frame_i", "present", "fps")
-    boxed = stable_box(seen, key, margin)
+    seen = scratch.materialize(presence(linked, key, "frame_i", "present", "fps"), "linked")
+    boxed = scratch.materialize(stable_box(seen, key, margin), "boxed")
     r = lambda c, n: F.round(c, n)
     box = F.when(F.col("present"), F.array(*(r(c, 1) for c in "xywh")))
     crop = boxed.select(key, "frame_i", "place", r("cx", 2).alias("cx"), r("cy", 2).alias("cy"), "present", "visible", box.alias("bbox"))

@@ -53,15 +53,19 @@ def sentences(words: DataFrame, key: str) -> DataFrame:
 
 
 def pull_back(words: DataFrame, key: str, duration: Column) -> DataFrame:
-    """``end``: words that run past the duration move back and keep their widths (0 at least): end_i is the least, over
-    j >= i, of e_j + widths after j (and of the duration), less the widths after i; nothing starts before 0."""
+    """``start`` and ``end``: words that run past the duration, or past the start of the word after them, move back and keep their
+    widths. From the right, the first word that would begin before 0 begins at 0 and keeps what of its width there is room for; what is left of it has
+    no room at all and lies at 0. As nothing moves forth, end_i is the least, over j >= i, of e_j + widths after j (and of the duration), less the widths
+    after i, for the words to the right of that one."""
     w = Window.partitionBy(key).orderBy("i")
     width = F.greatest(F.col("e") - F.col("s"), F.lit(0.0))
     after = F.coalesce(F.sum(width).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    rows = words.withColumn("after_", after)
     least = F.min(F.col("e") + F.col("after_")).over(w.rowsBetween(0, Window.unboundedFollowing))
-    end = F.greatest(F.least(duration, least) - F.col("after_"), F.lit(0.0))
-    return rows.withColumn("end", end).withColumn("start", F.greatest(F.col("end") - width, F.lit(0.0))).drop("after_")
+    rows = words.withColumn("after_", after).withColumn("end_", F.least(duration, least) - F.col("after_")).withColumn("start_", F.col("end_") - width)
+    rows = rows.withColumns({"room_": F.coalesce(F.lead("start_").over(w), duration), "full_": F.coalesce(F.max((F.col("start_") < 0).cast("int")).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)) == 1})
+    squeezed = F.col("full_") | (F.col("start_") < 0)
+    end = F.when(F.col("full_"), 0.0).when(F.col("start_") < 0, F.least(width, F.col("room_"))).otherwise(F.col("end_"))
+    return rows.withColumns({"start": F.when(squeezed, 0.0).otherwise(F.col("start_")), "end": end}).drop("after_", "end_", "start_", "room_", "full_")
 
 
 def place_missing(words: DataFrame, key: str) -> DataFrame:

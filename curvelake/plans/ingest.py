@@ -72,6 +72,54 @@ def export(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+DOCUMENTS = f"""WITH {SUBMISSIONS}, a AS (SELECT submission_id AS attempt_id, annotator_id, task_id, dimension, submitted_at AS started_at FROM submissions),
+ c AS (SELECT event_id AS attempt_id, unnest([0, 1]) AS chunk_index, unnest([[value, NULL], [value / 2]]) AS samples FROM events WHERE value >= 5),
+ s AS (SELECT *, row_number() OVER w AS revision, row_number() OVER (PARTITION BY annotator_id, dimension ORDER BY submitted_at DESC, submission_id DESC) > 1 AS superseded, lag(submission_id) OVER w AS previous FROM submissions WINDOW w AS (PARTITION BY annotator_id, dimension ORDER BY submitted_at, submission_id)),
+ sampled AS (SELECT attempt_id, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT attempt_id, unnest(samples) AS v FROM c) GROUP BY 1)"""
+
+
+def documents(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """The list of the documents, and where they are. Each event is an attempt with two chunks of samples, the first sent twice; small ones have none."""
+    path = folder(spark, "documents")
+    events = table(spark, sf, "events")
+    rows = submissions(spark, sf)
+    attempts = rows.select(F.col("submission_id").alias("attempt_id"), "annotator_id", "task_id", "dimension", F.lit("annotation").alias("mode"), F.col("submitted_at").alias("started_at"), F.array(F.struct(F.lit("started").alias("kind"), "value")).alias("events"), F.lit(None).cast("string").alias("calibration"))
+    v = F.col("value")
+    sample = lambda *x: F.array(*(F.struct(y.cast("double").alias("v")) for y in x))
+    chunks = events.where("value >= 5").select(F.col("event_id").alias("attempt_id"), F.explode(F.array(F.struct(F.lit(1).alias("i"), sample(v / 2).alias("s"), F.lit(2).alias("c")), F.struct(F.lit(0).alias("i"), sample(v, F.lit(None)).alias("s"), F.lit(1).alias("c")), F.struct(F.lit(0).alias("i"), sample(F.lit(0)).alias("s"), F.lit(3).alias("c")))).alias("x"))
+    chunks = chunks.select("attempt_id", F.col("x.i").alias("chunk_index"), F.col("x.c").alias("created_at"), F.col("x.s").alias("samples"))
+    old = chains.superseded(rows, CHAIN, ORDER).select("submission_id", F.lit(True).alias("s"))
+    sent = chains.rechain(rows, CHAIN, ORDER, "submission_id").join(old, "submission_id", "left").select("submission_id", "annotator_id", F.col("submission_id").alias("attempt_id"), "task_id", "dimension", "revision", F.coalesce("s", F.lit(False)).alias("superseded"), F.col("previous_id").alias("previous_submission_id"), "submitted_at")
+    people = rows.select("annotator_id", F.when(F.col("annotator_id") % 3 == 0, "pilot").otherwise("main").alias("phase")).distinct()
+    return files.export_documents(attempts, chunks, sent, people, path, {"schema_version": "1", "storage": "cloud"}), path
+
+
+def document(spark: SparkSession, path: str) -> DataFrame:
+    kind = "annotator_id string, attempts array<struct<attempt_id:long, task_id:int, dimension:string, samples:array<struct<v:double>>>>, submissions array<struct<submission_id:long, revision:int, superseded:boolean, previous_submission_id:long>>"
+    return spark.read.schema(kind).option("multiLine", True).json(f"{path}/*/*")
+
+
+@query("S12_document_attempts", DOCUMENTS + """ SELECT CAST(annotator_id AS VARCHAR) AS annotator_id, CAST(row_number() OVER (PARTITION BY annotator_id ORDER BY started_at, CAST(attempt_id AS VARCHAR)) - 1 AS INTEGER) AS place, attempt_id, task_id, dimension,
+ coalesce(n, 0) AS samples, CASE WHEN n > 0 THEN round(value, 6) END AS first, CASE WHEN n > 0 THEN round(value / 2, 6) END AS last FROM a LEFT JOIN sampled USING (attempt_id) JOIN events ON event_id = attempt_id""")
+def document_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = document(spark, documents(spark, sf)[1]).select("annotator_id", F.posexplode("attempts").alias("place", "a"))
+    s = F.col("a.samples")
+    return rows.select("annotator_id", "place", "a.attempt_id", "a.task_id", "a.dimension", F.size(s).cast("long").alias("samples"), F.round(F.get(s, F.lit(0))["v"], 6).alias("first"), F.round(F.get(s, F.size(s) - 1)["v"], 6).alias("last"))
+
+
+@query("S12_document_submissions", DOCUMENTS + """ SELECT CAST(annotator_id AS VARCHAR) AS annotator_id, CAST(row_number() OVER (PARTITION BY annotator_id ORDER BY submitted_at, CAST(submission_id AS VARCHAR)) - 1 AS INTEGER) AS place, submission_id, CAST(revision AS INTEGER) AS revision, superseded, previous AS previous_submission_id FROM s""")
+def document_submissions(spark: SparkSession, sf: str) -> DataFrame:
+    return document(spark, documents(spark, sf)[1]).select("annotator_id", F.posexplode("submissions").alias("place", "s")).select("annotator_id", "place", "s.*")
+
+
+@query("S13_documents", DOCUMENTS + """, p AS (SELECT DISTINCT annotator_id, CASE WHEN annotator_id % 3 = 0 THEN 'pilot' ELSE 'main' END AS phase FROM submissions)
+ SELECT row_number() OVER (ORDER BY phase, annotator_id) - 1 AS place, phase, annotator_id, (SELECT count(*) FROM a WHERE a.annotator_id = p.annotator_id) AS attempts, (SELECT count(*) FROM s WHERE s.annotator_id = p.annotator_id) AS submissions FROM p""")
+def document_list(spark: SparkSession, sf: str) -> DataFrame:
+    listed, path = documents(spark, sf)
+    sizes = document(spark, path).select(F.col("annotator_id").cast("long").alias("annotator_id"), F.size("attempts").cast("long").alias("attempts"), F.size("submissions").cast("long").alias("submissions"))
+    return listed.join(sizes, "annotator_id").select("place", "phase", "annotator_id", "attempts", "submissions")
+
+
 @query("K1_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
 def sessions(spark: SparkSession, sf: str) -> DataFrame:

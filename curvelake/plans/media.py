@@ -149,9 +149,9 @@ def stable(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.stable_size(rows, "clip").withColumn("side", F.round("side", 6))
 
 
-#: One face at most in a frame; half of the users' faces move a lot. 25 frames a second, so windows of 21 frames, losses of 10 and glimpses of 5.
+#: One face at most in a frame, of a width whose side is never midway between two hundredths; half of the users' faces move a lot. 25 frames a second, so windows of 21 frames, losses of 10 and glimpses of 5.
 TRACK = """f AS (SELECT user_id AS clip, event_id AS frame_i, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, event_type <> 'error' AND value >= 60 AS present,
-   CASE WHEN user_id % 2 = 0 THEN value * 2 ELSE 300 + value / 50 END AS x0, 100 + value / 5 AS y0, 60 + value / 10 AS w0, 55 + value / 10 AS h0, 0.2 + value / 1000 AS sim0 FROM events),
+   CASE WHEN user_id % 2 = 0 THEN value * 2 ELSE 300 + value / 50 END AS x0, 100 + value / 5 AS y0, 60.0031::DOUBLE + value / 10 AS w0, 55 + value / 10 AS h0, 0.2 + value / 1000 AS sim0 FROM events),
  n AS (SELECT *, x0 + w0 / 2 AS px, y0 + h0 / 2 AS py FROM f WHERE present),
  sz AS (SELECT clip, least(v[least(len(v) - 1, CAST(round_even(0.9 * (len(v) - 1), 0) AS BIGINT)) + 1] * 1.4::DOUBLE, 720) AS side FROM (SELECT clip, list_sort(list(greatest(w0, h0))) AS v FROM n GROUP BY 1)),
  i AS (SELECT f.*, side, last_value(CASE WHEN present THEN {'p': place, 'x': x0 + w0 / 2, 'y': y0 + h0 / 2} END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY place) AS a,
@@ -168,7 +168,7 @@ TRACK = """f AS (SELECT user_id AS clip, event_id AS frame_i, row_number() OVER
 def face_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """clip, frame_i, faces; and clip, fps, frame_w, frame_h."""
     v = F.col("value")
-    box = F.array(F.when(F.col("user_id") % 2 == 0, v * 2).otherwise(300 + v / 50), 100 + v / 5, 60 + v / 10, 55 + v / 10)
+    box = F.array(F.when(F.col("user_id") % 2 == 0, v * 2).otherwise(300 + v / 50), 100 + v / 5, 60.0031 + v / 10, 55 + v / 10)
     face = F.struct(box.alias("bbox"), F.lit(0.9).alias("det"), (0.2 + v / 1000).alias("sim"))
     seen = (F.col("event_type") != "error") & (v >= 60)
     frames = table(spark, sf, "events").select(F.col("user_id").alias("clip"), F.col("event_id").alias("frame_i"), F.when(seen, F.array(face)).otherwise(F.array().cast(f"array<{face_kind()}>")).alias("faces"))
@@ -279,9 +279,10 @@ def sentence_violations(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.sentence_violations(own, rows, "talk")
 
 
-@query("D9_pull_back", f"""WITH {WORDS}, a AS (SELECT *, coalesce(sum(greatest(e - s, 0)) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM words),
- m AS (SELECT *, min(e + after) OVER (PARTITION BY talk ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM a),
- r AS (SELECT talk, i, greatest(e - s, 0) AS width, greatest(least(12.0, least) - after, 0) AS e2 FROM m) SELECT talk, i, CAST(round(greatest(e2 - width, 0), 5) AS DOUBLE) AS start, CAST(round(e2, 5) AS DOUBLE) AS "end" FROM r""")
+@query("D9_pull_back", f"""WITH RECURSIVE {WORDS}, n AS (SELECT *, greatest(e - s, 0) AS width, row_number() OVER (PARTITION BY talk ORDER BY i DESC) AS k FROM words),
+ r AS (SELECT DISTINCT talk, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS i, CAST(12 AS DOUBLE) AS a, CAST(12 AS DOUBLE) AS z FROM words UNION ALL
+   SELECT r.talk, n.k, n.i, greatest(least(n.e, r.a) - width, 0), CASE WHEN least(n.e, r.a) - width < 0 THEN least(width, r.a) ELSE least(n.e, r.a) END FROM r JOIN n ON n.talk = r.talk AND n.k = r.k + 1)
+ SELECT talk, i, CAST(round(a, 5) AS DOUBLE) AS start, CAST(round(z, 5) AS DOUBLE) AS "end" FROM r WHERE k > 0""")
 def pull_back(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.pull_back(words(spark, sf), "talk", F.lit(12.0)).select("talk", "i", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curvelake.functions import scalars
 from curvelake.operators import allocation, lifecycle, quality, ranges
 from curvelake.plans.chains import COMPLETE, complete, queue
+from curvelake.scratch import folder
 from curvelake.plans.registry import SUBMISSIONS, Registry, submissions, table
 
 registry = Registry()
@@ -201,12 +202,38 @@ def fair_shares(spark: SparkSession, sf: str) -> DataFrame:
     return allocation.fair_shares(load, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("annotator_id"))).withColumn("capacity", F.round("capacity", 6))
 
 
-@query("X9_transfer", f"""WITH {COMPLETE}, q AS (SELECT CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) AS INTEGER) AS task_id, CAST(min(o_orderkey) AS BIGINT) AS order_index, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'released' ELSE 'active' END AS status FROM orders GROUP BY 1, 2)
- SELECT CAST(9 AS INTEGER) AS annotator_id, task_id, (SELECT coalesce(max(order_index) + 1, 0) FROM q WHERE annotator_id = 9) + row_number() OVER (ORDER BY order_index, task_id) - 1 AS order_index, 'active' AS status
- FROM q WHERE annotator_id = 4 AND status = 'active' AND task_id NOT IN (SELECT task_id FROM complete WHERE annotator_id = 4) AND task_id NOT IN (SELECT task_id FROM q WHERE annotator_id = 9)""")
+QUEUED = f"""WITH {COMPLETE}, q AS (SELECT CAST(min(o_orderkey) AS BIGINT) AS assignment_id, CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) + CASE WHEN o_custkey % 150 = 9 THEN 100 ELSE 0 END AS INTEGER) AS task_id,
+ CASE WHEN day(o_orderdate) < 4 THEN 'training' ELSE 'main' END AS phase, CAST(min(o_orderkey) % 1000 AS BIGINT) AS order_index, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'released' ELSE 'active' END AS status FROM orders GROUP BY 2, 3, 4),
+ m AS (SELECT *, row_number() OVER (ORDER BY order_index, assignment_id) - 1 AS place FROM q WHERE annotator_id = 4 AND phase = 'main' AND status = 'active' AND task_id NOT IN (SELECT task_id FROM complete WHERE annotator_id = 4))"""
+
+
+def queued(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A queue with phases, its tasks and its accounts: a person's orders on a day are an assignment; one has tasks of their own."""
+    who, day = F.col("o_custkey") % 150, F.dayofmonth("o_orderdate")
+    rows = table(spark, sf, "orders").select(who.alias("annotator_id"), (day + F.when(who == 9, 100).otherwise(0)).alias("task_id"), F.when(day < 4, "training").otherwise("main").alias("phase"), "o_orderkey", (F.col("o_orderstatus") == "P").alias("p"))
+    own = rows.groupBy("annotator_id", "task_id", "phase").agg(F.min("o_orderkey").alias("assignment_id"), F.when(F.bool_or("p"), "released").otherwise("active").alias("status"))
+    own = own.select("assignment_id", "annotator_id", "task_id", "phase", (F.col("assignment_id") % 1000).alias("order_index"), "status", F.lit(None).cast("long").alias("replaces"))
+    return own, own.select("task_id", (F.col("task_id") % 10 == 0).alias("exclusive")).distinct(), own.select("annotator_id", (F.col("annotator_id") != 10).alias("reads_all")).distinct()
+
+
+@query("X9_transfer", f"""{QUEUED} SELECT assignment_id, annotator_id, task_id, phase, order_index, CASE WHEN assignment_id IN (SELECT assignment_id FROM m) THEN 'released' ELSE status END AS status, CAST(NULL AS BIGINT) AS replaces FROM q
+ UNION ALL SELECT (SELECT max(assignment_id) FROM q) + place + 1, 9, task_id, phase, (SELECT coalesce(max(order_index), -1) FROM q WHERE annotator_id = 9 AND phase = 'main') + place + 1, 'active', assignment_id FROM m""")
 def transfer(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 150).alias("annotator_id"), F.dayofmonth("o_orderdate").alias("task_id")).agg(F.min("o_orderkey").alias("order_index"), F.when(F.bool_or(F.col("o_orderstatus") == "P"), "released").otherwise("active").alias("status"))
-    return lifecycle.transfer(own, complete(spark, sf), 4, 9)
+    """The whole queue after a transfer, made current as one."""
+    queue, tasks, accounts = queued(spark, sf)
+    held = lifecycle.Snapshots(spark, folder(spark, "queue"), "assignment_id long, annotator_id long, task_id int, phase string, order_index long, status string, replaces long")
+    held.swap(queue)
+    refused = held.swap(*lifecycle.transfer(held.current(), complete(spark, sf), tasks, accounts, 4, 9))
+    if refused:
+        raise ValueError(refused)
+    return held.current()
+
+
+@query("X9_refused", f"""{QUEUED} SELECT 'held' AS what, task_id FROM m WHERE task_id IN (SELECT task_id FROM q WHERE annotator_id = 10 AND phase = 'main') UNION ALL SELECT 'language', task_id FROM m WHERE task_id % 10 = 0""")
+def refused_transfer(spark: SparkSession, sf: str) -> DataFrame:
+    """What forbids a transfer to someone who has some of the tasks and doesn't read the language of others."""
+    queue, tasks, accounts = queued(spark, sf)
+    return lifecycle.transfer(queue, complete(spark, sf), tasks, accounts, 4, 10)[1]
 
 
 @query("X14_phase_unlock", f"WITH {COMPLETE}, t AS (SELECT DISTINCT CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) AS INTEGER) AS task_id FROM orders WHERE o_orderpriority = '5-LOW') SELECT t.annotator_id, bool_and(c.task_id IS NOT NULL) AS unlocked FROM t LEFT JOIN complete c USING (annotator_id, task_id) GROUP BY 1")

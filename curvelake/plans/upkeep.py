@@ -229,10 +229,10 @@ def lint(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.array_join(scalars.unlicensed(zh, en), ",").alias("strong"), (en.contains("!") & ~zh.contains("！")).alias("bang"), ((ratio > 0.95) | (ratio < 0.3)).alias("skewed"))
 
 
-@query("F17_rational_rate", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '25/1' WHEN 1 THEN '24000/1001' WHEN 2 THEN '30000/1001' ELSE '25/2' END AS rate FROM part")
+@query("F17_rational_rate", "SELECT p_partkey, p_size, p_partkey * 24 // gcd(p_partkey * 24, p_size * 7 + 1001) || '/' || (p_size * 7 + 1001) // gcd(p_partkey * 24, p_size * 7 + 1001) AS rate FROM part")
 def rational_rate(spark: SparkSession, sf: str) -> DataFrame:
-    fps = F.get(F.array(F.lit(25.0), F.lit(24000 / 1001), F.lit(30000 / 1001), F.lit(12.5)), F.col("p_size") % 4)
-    return table(spark, sf, "part").select("p_partkey", scalars.rational_rate(fps).alias("rate"))
+    """Rates over denominators of 1008 to 1351, which come back in lowest terms."""
+    return table(spark, sf, "part").select("p_partkey", "p_size", scalars.rational_rate(F.col("p_partkey") * 24 / (F.col("p_size") * 7 + 1001)).alias("rate"))
 
 
 @query("F18_utc_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || strftime(ts, '%f') ELSE '' END || '+00:00' AS at FROM events".replace(" AS at ", ' AS "at" '))
@@ -459,6 +459,35 @@ def store_violations(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.store_violations(before, after).select("attempt_id", F.array_join("violations", ",").alias("violations"))
 
 
+STORE = """WITH a AS (SELECT user_id * 10 + (hash_ % 7) AS attempt_id, * FROM (SELECT user_id, event_id, event_type, CAST(floor(value) AS BIGINT) AS v, day(ts) AS hash_ FROM events)),
+ s AS (SELECT attempt_id, v % 40 AS sample_index, min(v) AS body FROM a WHERE event_type <> 'error' GROUP BY 1, 2), t AS (SELECT attempt_id, max(sample_index) + 1 AS n, CASE WHEN attempt_id % 3 = 0 THEN 'completed' ELSE 'recording' END AS status FROM s GROUP BY 1),
+ e AS (SELECT attempt_id, v % 40 AS sample_index, min(v) AS body, max(v) AS other FROM a WHERE event_type = 'error' GROUP BY 1, 2),
+ x AS (SELECT e.*, t.n, t.status, s.body AS held FROM e JOIN t USING (attempt_id) LEFT JOIN s USING (attempt_id, sample_index)),
+ b AS (SELECT attempt_id, bool_or(status = 'completed') AS finished, bool_or(sample_index >= n + 5) AS beyond, bool_or(body <> other OR coalesce(held <> body, FALSE)) AS changed FROM x GROUP BY 1)"""
+
+
+def stored_and_sent(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Samples of a user's days are stored; errors are samples that are sent later, with counts five beyond what is stored."""
+    v = F.floor("value")
+    rows = table(spark, sf, "events").select((F.col("user_id") * 10 + F.dayofmonth("ts") % 7).alias("attempt_id"), (v % 40).alias("sample_index"), v.alias("body"), (F.col("event_type") == "error").alias("late"))
+    samples = rows.where("not late").groupBy("attempt_id", "sample_index").agg(F.min("body").alias("body"))
+    status = F.when(F.col("attempt_id") % 3 == 0, "completed").otherwise("recording")
+    attempts = samples.groupBy("attempt_id").agg((F.max("sample_index") + 1).alias("sample_count")).select("attempt_id", "sample_count", status.alias("status"), F.lit("x").alias("digest"))
+    came = rows.where("late").join(attempts.select("attempt_id"), "attempt_id", "left_semi").select("attempt_id", "sample_index", "body", F.col("attempt_id").alias("sent_with"))
+    sent = attempts.join(came.select("attempt_id").distinct(), "attempt_id", "left_semi").select("attempt_id", (F.col("sample_count") + 5).alias("sample_count"), "status", F.lit("y").alias("digest"))
+    return attempts, samples, sent, came
+
+
+@query("X5_checkpoint", STORE + """ SELECT attempt_id, sample_index, body FROM s UNION ALL SELECT attempt_id, sample_index, x.body FROM x JOIN b USING (attempt_id) WHERE held IS NULL AND NOT (finished OR beyond OR changed)""")
+def checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.checkpoint(*stored_and_sent(spark, sf))[1]
+
+
+@query("X5_refused", STORE + """ SELECT attempt_id, concat_ws(',', CASE WHEN finished THEN 'finished attempt changed' END, CASE WHEN beyond THEN 'sample beyond the count' END, CASE WHEN changed THEN 'sample changed' END) AS violations FROM b WHERE finished OR beyond OR changed""")
+def refused_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.checkpoint(*stored_and_sent(spark, sf))[2].select("attempt_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("X8_conflicts", "SELECT a.p_partkey, min(b.p_partkey) AS held_by FROM part a JOIN part b ON a.p_size < 3 AND b.p_size >= 3 AND a.p_name = b.p_name GROUP BY 1")
 def conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of an import whose name another key holds: they stop it."""

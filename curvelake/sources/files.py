@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvelake import scratch
+from curvelake.operators.allocation import numbered
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -79,6 +81,45 @@ def export(attempts: DataFrame, samples: DataFrame, submissions: DataFrame) -> D
     return both.select("annotator_id", F.to_json(F.struct("attempts", "submissions")).alias("document"))
 
 
+def export_documents(attempts: DataFrame, chunks: DataFrame, submissions: DataFrame, people: DataFrame, path: str, header: dict[str, str] | None = None) -> DataFrame:
+    """One JSON document for each annotator, at ``path``/annotator_id=.../: a header, attempts with all their columns, by started_at, each with its samples in
+    the order of their chunks, and submissions with all their columns, by submitted_at. Returns the list of documents (place, phase, annotator_id), by phase
+    and account.
+
+    A document is written line by line as its rows come, sorted, so neither a person's attempts nor an attempt's samples are ever gathered; of
+    chunks sent twice the first counts. ``attempts``: attempt_id, annotator_id, started_at, ...; ``chunks``: attempt_id, chunk_index, created_at, samples
+    (an array of structs); ``submissions``: submission_id, annotator_id, submitted_at, ...; ``people``: annotator_id, phase.
+    """
+    whole = lambda df: F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    inner = lambda text, n: F.expr(f"substring({text}, {n + 1}, char_length({text}) - {2 * n})")
+    row = lambda df, who, part, at, key, chunk, line: df.select(F.col(who).alias("annotator_id"), F.lit(part).alias("part"), at.cast("timestamp").alias("at"), key.cast("string").alias("key"), chunk.alias("chunk"), line.alias("line"))
+    none, start, end = F.lit(None), F.lit(-1).cast("long"), F.lit((1 << 62)).cast("long")
+    head = F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in (header or {}).items()), F.col("annotator_id").cast("string").alias("annotator_id")))
+    parts = [row(people, "annotator_id", 0, none, none, start, F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(', "attempts": [')))]
+    parts.append(row(people, "annotator_id", 2, none, none, start, F.lit('], "submissions": [')))
+    parts.append(row(people, "annotator_id", 4, none, none, start, F.lit("]}")))
+    own = attempts.withColumn("json_", F.regexp_replace(whole(attempts), r"\}$", ', "samples": ['))
+    parts.append(row(own, "annotator_id", 1, F.col("started_at"), F.col("attempt_id"), start, F.col("json_")))
+    parts.append(row(own, "annotator_id", 1, F.col("started_at"), F.col("attempt_id"), end, F.lit("]}")))
+    first = chunks.groupBy("attempt_id", "chunk_index").agg(F.min_by("samples", "created_at").alias("samples")).where(F.size("samples") > 0)
+    text = F.to_json("samples", {"ignoreNullFields": "false"})
+    placed = first.join(attempts.select("attempt_id", "annotator_id", "started_at"), "attempt_id").withColumn("json_", text)
+    parts.append(row(placed, "annotator_id", 1, F.col("started_at"), F.col("attempt_id"), F.col("chunk_index").cast("long"), inner("json_", 1)))
+    sent = submissions.withColumn("json_", whole(submissions))
+    parts.append(row(sent, "annotator_id", 3, F.col("submitted_at"), F.col("submission_id"), start, F.col("json_")))
+    rows = functools.reduce(DataFrame.union, parts)
+    order = ["part", "at", "key", "chunk"]
+    before = Window.partitionBy("annotator_id").orderBy(*order)
+    follows = F.lag("part").over(before) == F.col("part")
+    # a comma stands between attempts, between submissions, and between an attempt's chunks
+    opens = (F.col("chunk") == start) | (F.lag("chunk").over(before) >= 0)
+    comma = F.when(follows & F.col("part").isin(1, 3) & opens & (F.col("chunk") != end), F.lit(",")).otherwise("")
+    lines = rows.select("annotator_id", *order, F.concat(comma, "line").alias("value"))
+    # what the window sorted is what the writer sees: a task goes through its people one after the other
+    lines.sortWithinPartitions("annotator_id", *order).select("annotator_id", "value").write.partitionBy("annotator_id").text(path)
+    return numbered(people.select("phase", "annotator_id"), [F.col("phase"), F.col("annotator_id")], "place")
+
+
 def mapping(numbers: DataFrame, active: DataFrame) -> DataFrame:
     """display_id, source_id, dataset, status (active or retired)."""
     rows = numbers.join(active.select("source_id").distinct().withColumn("a_", F.lit(True)), "source_id", "left")
