@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[list[str]] = []
 
 
@@ -44,9 +45,22 @@ def move(spark: SparkSession, source: str, target: str) -> bool:
     return not fs.exists(path(target)) and fs.rename(path(source), path(target))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when each write ends, not whenever the driver's garbage is collected. What is
+    written doesn't need them: it is read from its own files."""
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def write(df: DataFrame, path: str) -> DataFrame:
     """Cut lineage: write ``df`` to ``path`` and read it back. Survives lost executors."""
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
