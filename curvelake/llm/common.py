@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from curvelake.scratch import discard, materialize, passing, write  # noqa: F401
 from curvelake.scratch import folder as scratch  # noqa: F401
@@ -32,10 +33,10 @@ def quoted(name: str) -> str:
 
 def with_struct(docs: DataFrame, run: Callable, out: str, kind: str, drop: str = "") -> DataFrame:
     """All columns of ``docs`` but ``drop``, and ``out`` of type ``kind``: ``run`` adds it to batches whose columns are
-    numbered, so names may hold any characters."""
+    numbered. Types are handed on as they are, so names may hold any characters, also inside structs."""
     kept = [f for f in docs.schema if f.name != drop]
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept))
-    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, f"{fields}, made {kind}").toDF(*(f.name for f in kept), out)
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + [StructField("made", DataType.fromDDL(kind))])
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema).toDF(*(f.name for f in kept), out)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -721,3 +721,53 @@ def test_pipeline_stages_take_columns_of_any_name(spark, tmp_path):
         assert out.columns == docs.columns and out.count() > 100
         assert [tuple(r)[5:] for r in out.limit(1).collect()] == [tuple(range(len(names)))]
     assert corpus_pipeline.pack(spark, docs, "").count() >= 200
+
+
+def test_pipeline_stages_take_nested_columns_and_choose_among_equal_rows(spark, tmp_path):
+    rows, marks = toxic_rows(16, 150)
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = F.struct(F.lit(1).alias("my-key"), F.array(F.struct(F.lit("x").alias("b c"), F.lit(None).cast("double").alias("a.b`"))).alias("in <here>"))
+    docs = docs.select("*", odd.alias("nested"), F.create_map(F.lit("k"), F.struct(F.lit(2).alias("v w"))).alias("mapped"), F.lit(None).cast("array<struct<`x-y`:int>>").alias("none"))
+    spark.createDataFrame(marks, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString() and out.count() > 80
+        first = out.first()
+        assert first.nested["my-key"] == 1 and first.nested["in <here>"][0]["b c"] == "x" and first.mapped["k"]["v w"] == 2
+    assert corpus_pipeline.pack(spark, docs, "").count() >= 150
+    text = " ".join(f"w{i}" for i in range(50))
+    twice = spark.createDataFrame([(1, text, lang, "s", 0, {"k": lang}) for lang in ("fr", "de", "en")] + [(2, text + " x", "aa", "s", 0, None), (3, "other words", "b", "s", 0, None)], "doc_id long, text string, lang string, source string, n_chars long, m map<string,string>")
+    for parts in (1, 4):
+        got = corpus_pipeline.drop_near_copies(spark, twice.repartition(parts), "").collect()
+        assert sorted((r.doc_id, r.lang, str(r.m)) for r in got) == [(1, "de", "{'k': 'de'}"), (3, "b", "None")]
+
+
+def test_texts_beyond_a_batch_piece(spark):
+    """Texts of more than BATCH_BYTES beside short ones: op1, op3, op4, op5, op7 and op9."""
+    rng = random.Random(29)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(3000)]
+    long = "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(90_000))
+    assert len(long) > common.BATCH_BYTES
+    texts = [long, "short one", long + " more", None, "a b c d e f"]
+    docs = make(spark, texts).repartition(1)
+    t = Tokenizer.from_file(BYTE_BPE)
+    out = common.scratch(spark, "long-texts")
+    huffman.write(docs, BYTE_BPE, 0, out)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in huffman.read(spark, out).collect()}
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), crc(ids))
+    w = Tokenizer.from_file(WORD_BPE)
+    whole(packing.mixture_pack(docs, WORD_BPE).collect(), {i: [*w.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)})
+    kept = {r.doc_id: (r.n_lines, r.n_dropped) for r in lines.line_dedup(docs).collect()}
+    assert kept[0] == (90_000, 0) and kept[3] == (1, 0)
+    joined = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, k=3, num=90, den=100).collect()}
+    own = long.split()
+    assert joined[0] == (len({tuple(own[i : i + 3]) for i in range(len(own) - 2)}), 0) and joined[2][1] == 0 and joined[4] == (4, 4)
+    rules = {r.doc_id: r for r in quality.repetition_rules(docs).collect()}
+    assert rules[0].n_words == len(own) and rules[0].word_chars == sum(map(len, own))
+    rows, marks = toxic_rows(17, 120)
+    learned = make(spark, [x for _, x in rows], [i for i, _ in rows])
+    model = toxicity.learn(learned, spark.createDataFrame(marks, "doc_id long, toxic int, quality int"))
+    scored = {r.doc_id: r.made2.score for r in toxicity.tag(docs, model, "made2").collect()}
+    assert len(scored) == 5 and all(0 <= s <= 1 for s in scored.values())
