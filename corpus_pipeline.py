@@ -1,7 +1,11 @@
 """The corpus pipeline: documents to packed training sequences.
 
 Each stage is one of the operators, gets what its predecessor kept, and returns the columns of ``documents`` (the last:
-the pieces of the packed sequences). Empty tables pass through; nulls are as each operator defines them.
+the pieces of the packed sequences), further columns of any name and type included. Empty tables pass through. A null or
+empty text has the score of no words and goes with the language stage, as every text without a letter; a null id is an id
+like any other, but for learning, where it counts as held in. Rows that repeat an id are judged one by one; of equal ids
+and texts one row stays (near copies). Ties are settled by id, then hash, then the row itself. Long texts are
+worked on whole.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five words, 0.8): the smallest id, then the smallest hash of id and text;
-    null ids come last. Rows that repeat an id with other texts are documents of their own; the same id and text are one."""
+    null ids come last. Rows that repeat an id with other texts are documents of their own; the same id and text are one, of
+    which the row stays that is first as JSON."""
     key = common.fresh(docs, "near_key")
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("\0"))))
     found = common.materialize(ngram_join.ngram_join(keyed.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100), "near-copies")
@@ -48,9 +53,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", key)).alias("first")).select(F.col(f"first.{key}").alias(key))
     copies = members.select(key).join(first, key, "left_anti")
     kept = keyed.join(copies, key, "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([key])
-    return kept.select(*map(common.quoted, docs.columns))
+    again = common.materialize(found.groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "repeated")
+    if again.isEmpty():
+        return kept.select(*map(common.quoted, docs.columns))
+    row = F.struct(*map(common.quoted, docs.columns))
+    one = kept.join(again, key, "left_semi").groupBy(key).agg(F.min_by(row, F.to_json(row)).alias(key + "row"))
+    alone = kept.join(again, key, "left_anti").select(*map(common.quoted, docs.columns))
+    return alone.union(one.select(common.quoted(key + "row") + ".*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
