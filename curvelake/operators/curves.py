@@ -45,7 +45,7 @@ def compare(pairs: DataFrame, key: list[str]) -> DataFrame:
     return pairs.groupBy(*key).agg(F.round(F.avg(F.abs(F.col("mine") - F.col("ref"))), 3).alias("mae"), F.when((n >= 3) & both, F.round(F.try_divide(F.covar_pop("mine", "ref"), F.stddev_pop("mine") * F.stddev_pop("ref")), 2)).alias("r"), n.alias("n"))
 
 
-def downsample(grid: DataFrame, points: int = 60, key: str = "curve") -> DataFrame:
+def downsample(grid: DataFrame, points: int = 60, key: str | list[str] = "curve") -> DataFrame:
     """At most ``points`` cells of each curve: cells floor(i * len / points)."""
     n = F.count("*").over(Window.partitionBy(key))
     wanted = F.floor(F.ceil(F.col("k") * points / F.col("n_")) * F.col("n_") / points) == F.col("k")

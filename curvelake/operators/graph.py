@@ -2,23 +2,136 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from curvelake import scratch
 from curvelake.functions.scalars import cosine, unit
 
 #: Cosine from which two faces count as one person, and the bands of a match.
 SAME, OK, REVIEW = 0.363, 0.55, 0.28
-
-
-def similar_pairs(vectors: DataFrame, group: str, threshold: float = SAME) -> DataFrame:
+#: Vectors in a block, vectors that share a copy of the pivots, and parts in which block pairs are found.
+BLOCK, SHARE, SALTS = 512, 8192, 8
+
+
+def blocks(vectors: DataFrame, group: str, size: int = BLOCK) -> DataFrame:
+    """block, group, n, ids, body, centre, radius: each group's vectors in blocks of ``size`` at most, of vectors that lie close
+    together. A group with more than that is cut into cells around some of its own vectors (two for a block, but no more than four times the root of
+    their number), a cell is cut by the distance from its pivot; no task needs a whole group. Rows without a group are left out."""
+    spark = vectors.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), "id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n_"))
+    rows = rows.join(sizes, "g").withColumn("salts_", F.floor(F.col("n_") / SHARE) + 1)
+    spread = rows.select("g", "id", "v", F.pmod(F.xxhash64("id"), "salts_").alias("salt_"), F.lit(True).alias("own_"))
+    cells = F.least(F.col("n_") * 2 / size, F.sqrt("n_") * 4)
+    pivots = rows.where((F.col("n_") > size) & (F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("n_") / cells))) == 0))
+    pivots = pivots.select("g", "id", "v", F.explode(F.sequence(F.lit(0), F.col("salts_") - 1)).alias("salt_"), F.lit(False).alias("own_"))
+    sorted_ = spread.union(pivots).withColumn("k_", F.xxhash64("g", "salt_")).repartition(parts, "k_").sortWithinPartitions("k_", "own_")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    held = [StructField("g", kinds["g"]), StructField("id", kinds["id"]), StructField("v", kinds["v"])]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, near = None, []
+        for b in batches:
+            keys, own = b.column("k_").to_numpy(), b.column("own_").to_numpy(zero_copy_only=False)
+            v, cell, far = matrix(b.column("v")), np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])) if b.num_rows else []
+            for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if keys[i] != key:
+                    key, near = keys[i], []
+                if not own[i]:
+                    near.append(v[i:j])
+                elif near:
+                    at = apart(v[i:j], np.concatenate(near))
+                    cell[i:j], far[i:j] = at.argmin(axis=1), at.min(axis=1)
+            mine = pa.array(own)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(mine) for c in ("g", "id", "v")), pa.array(cell[own]), pa.array(far[own])], ["g", "id", "v", "cell", "far"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            made, v = [], matrix(b.column("v"))
+            keys, ids, groups = b.column("k_").to_numpy(), b.column("id").to_pylist(), b.column("g").to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if b.num_rows else []
+            for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                for at in range(i, j, size):
+                    own = v[at : min(at + size, j)]
+                    centre = own.mean(axis=0)
+                    made.append((part << 32 | n, groups[at], len(own), ids[at : at + len(own)], own.tobytes(), centre.tolist(), float(apart(own, centre[None]).max())))
+                    n += 1
+            cols = list(zip(*made, strict=True)) or [()] * 7
+            types = [pa.int64(), b.schema.field("g").type, pa.int64(), pa.list_(b.schema.field("id").type), pa.binary(), pa.list_(pa.float64()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["block", "g", "n", "ids", "body", "centre", "radius"])
+
+    cells = sorted_.mapInArrow(placed, StructType([*held, StructField("cell", IntegerType()), StructField("far", DoubleType())]))
+    order = ["k_", "far"]
+    cells = cells.withColumn("k_", F.xxhash64("g", "cell")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    out = StructType([StructField("block", LongType()), StructField("g", kinds["g"]), StructField("n", LongType()), StructField("ids", ArrayType(kinds["id"])), StructField("body", BinaryType()), StructField("centre", ArrayType(DoubleType())), StructField("radius", DoubleType())])
+    return scratch.materialize(cells.mapInArrow(cut, out), "blocks")
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance of each row of x from each row of y."""
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool) -> DataFrame:
+    """a, b: the blocks of one group that may hold a pair of unit vectors with a cosine of ``threshold``: by the triangle inequality, no vector of
+    one is nearer to one of the other than their centres, less both radii. ``same``: both sides are one list, each pair once."""
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    one = left.select("g", F.col("block").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"), F.pmod(F.xxhash64("block"), F.lit(SALTS)).alias("s_"))
+    two = right.select("g", F.col("block").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("s_"))
+    gap = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    met = one.join(two, ["g", "s_"])
+    return (met.where("a <= b") if same else met).where(gap - F.col("ra") - F.col("rb") <= reach).select("a", "b")
+
+
+def block_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, hits_only: bool) -> DataFrame:
+    """g, a, b, sim of the vectors in ``pairs`` of blocks at or above the threshold; with ``hits_only`` g and a of those that have any."""
+    kind = left.schema["ids"].dataType.elementType
+    fields = [StructField("g", left.schema["g"].dataType), StructField("a", kind)] + ([] if hits_only else [StructField("b", kind), StructField("sim", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                ids = [b.column(c).flatten() for c in ("ia", "ib")]
+                x, y = (np.frombuffer(b.column(c)[0].as_buffer()).reshape(len(own), -1) for c, own in zip(("va", "vb"), ids, strict=True))
+                sim = x @ y.T
+                hit = sim >= threshold
+                if hits_only:
+                    i = np.flatnonzero(hit.any(axis=1))
+                    cols = [ids[0].take(pa.array(i))]
+                else:
+                    if b.column("a")[0].as_py() == b.column("b")[0].as_py():
+                        hit = np.triu(hit, 1)
+                    i, j = np.nonzero(hit)
+                    cols = [ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(sim[i, j])]
+                yield pa.RecordBatch.from_arrays([b.column("g").take(pa.array(np.zeros(len(i), np.int64))), *cols], [f.name for f in fields])
+
+    body = lambda df, x, *more: df.select(F.col("block").alias(x), F.col("ids").alias("i" + x), F.col("body").alias("v" + x), *more)
+    met = pairs.join(body(left, "a", "g"), "a").join(body(right, "b"), "b").select("g", "a", "b", "ia", "ib", "va", "vb")
+    return met.mapInArrow(run, StructType(fields))
+
+
+def similar_pairs(vectors: DataFrame, group: str, threshold: float = SAME, size: int = BLOCK) -> DataFrame:
     """group, a, b (a < b), sim: pairs inside a group at or above the threshold. A group is the blocking key: pairs of
-    different groups never meet. ``vectors``: group, id, v (unit length)."""
-    left = vectors.select(group, F.col("id").alias("a"), F.col("v").alias("va"))
-    right = vectors.select(group, F.col("id").alias("b"), F.col("v").alias("vb"))
-    pairs = left.join(right, group).where("a < b").withColumn("sim", cosine(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("sim") >= threshold).select(group, "a", "b", "sim")
+    different groups never meet. ``vectors``: group, id, v (unit length, all of one length)."""
+    own = blocks(vectors, group, size)
+    found = block_matches(block_pairs(own, own, threshold, True), own, own, threshold, False).where("a <> b")
+    return found.select(F.col("g").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
 
 
 def components(vertices: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
@@ -71,10 +184,11 @@ def second_pass(rows: DataFrame, key: str, least: int) -> DataFrame:
     return both.select(key, "id", F.greatest("own_", F.when(F.col("prototype").isNotNull(), cosine(F.col("v"), F.col("prototype")))).alias("sim"))
 
 
-def new_people(new: DataFrame, old: DataFrame, group: str, threshold: float = SAME) -> DataFrame:
-    """group, id of those without an old vector at or above the threshold in their group. Both: group, id, v."""
-    known = old.select(F.col(group).alias("g_"), F.col("v").alias("w_"))
-    return new.join(known, (F.col(group) == F.col("g_")) & (cosine(F.col("v"), F.col("w_")) >= threshold), "left_anti").select(group, "id")
+def new_people(new: DataFrame, old: DataFrame, group: str, threshold: float = SAME, size: int = BLOCK) -> DataFrame:
+    """group, id of those without an old vector at or above the threshold in their group. Both: group, id, v (unit length, all of one length)."""
+    ours, known = blocks(new, group, size), blocks(old, group, size)
+    seen = block_matches(block_pairs(ours, known, threshold, False), ours, known, threshold, True).distinct()
+    return new.select(group, "id").join(seen.select(F.col("g").alias(group), F.col("a").alias("id")), [group, "id"], "left_anti")
 
 
 def merge_verdicts(matches: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curvelake.operators import curves
 from curvelake.operators.monitor import local_day
 
 #: Comparisons that a baseline or an outlier needs.
@@ -19,6 +20,13 @@ def summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("annotator_id").agg(F.count("*").alias("compared"), digits(F.avg("mae"), 3).alias("mean_mae"), digits(F.percentile("r", 0.5), 2).alias("median_r"))
 
 
+def detail(pairs: DataFrame, key: list[str], points: int = 60) -> DataFrame:
+    """key, mae, r, n and both curves as they are shown: ``mine`` and ``ref`` at ``points`` cells at most. ``pairs``: key, k, mine, ref."""
+    few = curves.downsample(pairs, points, key)
+    shown = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "mine", "ref"))).alias("cells_"))  # points at most
+    return curves.compare(pairs, key).join(shown, key).withColumns({c: F.col(f"cells_.{c}") for c in ("mine", "ref")}).drop("cells_")
+
+
 def outliers(rows: DataFrame, factor: float = 1.5) -> DataFrame:
     """``outlier``: enough comparisons and a mean error over ``factor`` times the group's median. The baseline is one row."""
     base = rows.where(F.col("compared") >= LEAST_COMPARED).agg(F.percentile("mean_mae", 0.5).alias("base_"))

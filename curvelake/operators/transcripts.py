@@ -141,3 +141,9 @@ def spoken(text: pd.Series) -> pd.Series:
     """Digits as words with blanks around them, then only capitals, apostrophes and blanks; other marks just go."""
     words = text.fillna("").str.replace(r"\d+", lambda m: f" {spell(int(m[0]))} ", regex=True).str.upper()
     return words.str.replace(r"[^A-Z' ]+", "", regex=True).str.strip()
+
+
+def word_spans(tokens: DataFrame, key: str) -> DataFrame:
+    """key, word, s, e, score: a word lasts from its first token's start to its last one's end and has their mean score. ``tokens``: key,
+    word (its number), s, e, score."""
+    return tokens.groupBy(key, "word").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.avg("score").alias("score"))

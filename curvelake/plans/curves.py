@@ -64,6 +64,16 @@ def compare(spark: SparkSession, sf: str) -> DataFrame:
     return compared(spark, sf)
 
 
+@query("Q6_detail", f"WITH {PAIRS}, few AS (SELECT rater, task, CAST(row_number() OVER (PARTITION BY rater, task ORDER BY k) - 1 AS INTEGER) AS place, round(mine, 6) AS mine, round(ref, 6) AS ref FROM pairs WHERE k IN (SELECT CAST(floor(i * 301 / 60) AS INTEGER) FROM range(0, 60) t(i))) SELECT few.*, mae, r, n FROM few JOIN cmp USING (rater, task)")
+def detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Each comparison with both of its curves, cell by cell."""
+    own = grid(spark, sf)
+    ref = own.where("rater = 'view'").select("task", "k", F.col("v").alias("ref"))
+    rows = quality.detail(own.where("rater <> 'view'").withColumnRenamed("v", "mine").join(ref, ["task", "k"]), ["rater", "task"])
+    cells = rows.select("rater", "task", "mae", "r", "n", F.posexplode(F.arrays_zip("mine", "ref")).alias("place", "c"))
+    return cells.select("rater", "task", "place", F.round("c.mine", 6).alias("mine"), F.round("c.ref", 6).alias("ref"), "mae", "r", "n")
+
+
 @query("T3_downsample", f"WITH {GRID} SELECT curve, k, round(v, 6) AS v FROM grid WHERE k IN (SELECT CAST(floor(i * 301 / 60) AS INTEGER) FROM range(0, 60) t(i))")
 def downsample(spark: SparkSession, sf: str) -> DataFrame:
     return curves.downsample(grid(spark, sf)).select("curve", "k", F.round("v", 6).alias("v"))

@@ -42,6 +42,28 @@ def resolve(spark: SparkSession, sf: str) -> DataFrame:
     return files.resolve(rows, {"SMALL": (r"_(\d+)$", "small/clip%1$s.mp4"), "LARGE": (r"_(\d+)$", "large/%1$s/raw.mp4"), "ECONOMY": (r"_(\d+)$", "economy/dia%1$s.avi"), "PROMO": (r"_(\d+)$", "promo/p%1$s.mp4"), "MEDIUM": (r"_(\d+)$", "medium/m%1$s.mp4")})
 
 
+@query("S8_resolve_speakers", """WITH p AS (SELECT p_type AS source, p_type || '_' || CASE WHEN p_type = 'LARGE' THEN 'Ses' || p_size || CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'M' END || '_x_M' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS sample_id, p_partkey, p_size FROM part),
+ x AS (SELECT p.*, s_name FROM p LEFT JOIN supplier ON s_suppkey = p_partkey)
+ SELECT sample_id, source, CASE source WHEN 'SMALL' THEN TRUE WHEN 'LARGE' THEN TRUE WHEN 'ECONOMY' THEN s_name IS NOT NULL ELSE FALSE END AS resolved,
+ CASE source WHEN 'SMALL' THEN 'small/clip' || p_partkey || '.mp4' WHEN 'LARGE' THEN 'large/Ses' || p_size || CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'M' END || '/' || p_partkey || '.mp4' WHEN 'ECONOMY' THEN 'clips/' || s_name END AS path,
+ CASE WHEN source = 'SMALL' THEN s_name END AS speaker, CASE WHEN source = 'LARGE' THEN 'M' END AS gender,
+ CASE source WHEN 'SMALL' THEN coalesce('text=' || s_name, '') WHEN 'LARGE' THEN 'session=Ses' || p_size || CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'M' END ELSE '' END AS extra FROM x""")
+def resolve_speakers(spark: SparkSession, sf: str) -> DataFrame:
+    """Three sources: by number with an index of speakers, by a pattern with session and gender, and by an index alone; others have no rule."""
+    k = F.col("p_partkey").cast("string")
+    session = F.concat(F.lit("Ses"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "F").otherwise("M"))
+    key = F.when(F.col("p_type") == "LARGE", F.concat(session, F.lit("_x_M"), k)).otherwise(k)
+    rows = table(spark, sf, "part").select(F.concat_ws("_", "p_type", key).alias("sample_id"), F.col("p_type").alias("source"))
+    index = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), "s_name", F.concat(F.lit("clips/"), "s_name").alias("at"))
+    rules = {
+        "SMALL": files.Rule("small/clip%1$s.mp4", r"(\d+)", index, speaker="s_name", extra={"text": "s_name"}),
+        "LARGE": files.Rule("large/%2$s/%5$s.mp4", r"(Ses\d+[FM])_(.+)_([FM])(\d+)", gender=3, extra={"session": 1}),
+        "ECONOMY": files.Rule("", index=index, path_from="at", indexed=True),
+    }
+    pairs = F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return files.resolve_all(rows, rules).withColumn("extra", F.array_join(pairs, ";"))
+
+
 @query("S9_plan_csv", "SELECT CAST(o_custkey AS VARCHAR) AS annotator_id, CAST(o_orderkey AS INTEGER) AS order_index, 'X_' || o_orderkey AS sample_id, o_orderpriority AS modality, o_orderkey % 9 = 0 AS is_anchor FROM orders")
 def plan_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark, "plan")

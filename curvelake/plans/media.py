@@ -319,7 +319,8 @@ def spoken(spark: SparkSession, sf: str) -> DataFrame:
 @query("Z20_word_spans", f"WITH {WORDS} SELECT talk, i // 3 AS word, min(s) AS s, max(e) AS e, round(avg((i % 10) / 10), 6) AS score FROM words GROUP BY 1, 2")
 def word_spans(spark: SparkSession, sf: str) -> DataFrame:
     rows = words(spark, sf)
-    return rows.groupBy("talk", F.floor(F.col("i") / 3).alias("word")).agg(F.min("s").alias("s"), F.max("e").alias("e"), F.round(F.avg(F.col("i") % 10 / 10), 6).alias("score"))
+    tokens = rows.select("talk", F.floor(F.col("i") / 3).alias("word"), "s", "e", (F.col("i") % 10 / 10).alias("score"))
+    return transcripts.word_spans(tokens, "talk").withColumn("score", F.round("score", 6))
 
 
 @query("D2_templates", f"""WITH RECURSIVE {SIMILAR}, {PARTS}, r AS (SELECT label, v AS ref FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) = 1),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars
-from curvelake.operators import chains, costs, curves, geometry, lifecycle, picks
+from curvelake.operators import chains, costs, curves, geometry, lifecycle, picks, roster
 from curvelake.plans import panel
 from curvelake.plans.registry import SUBMISSIONS, Registry, submissions, table
 from curvelake.scratch import folder
@@ -189,22 +189,20 @@ def cost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("L4_begun", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS begun FROM customer")
 def begun(spark: SparkSession, sf: str) -> DataFrame:
-    hit = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("b", F.lit(True))
-    return table(spark, sf, "customer").select("c_custkey").join(hit, "c_custkey", "left").select("c_custkey", F.coalesce("b", F.lit(False)).alias("begun"))
+    rows = table(spark, sf, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
+    return roster.begun(table(spark, sf, "customer").select("c_custkey"), rows, "c_custkey")
 
 
 @query("L9_last_of_any", "SELECT c_custkey, greatest((SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'), (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')) AS last FROM customer")
 def last_of_any(spark: SparkSession, sf: str) -> DataFrame:
-    """The largest of several, where each may be absent."""
-    k = F.col("o_orderkey")
-    own = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.when(F.col("o_orderstatus") == "F", k)).alias("a"), F.max(F.when(F.col("o_orderpriority") == "5-LOW", k)).alias("b"))
-    return table(spark, sf, "customer").select("c_custkey").join(own, "c_custkey", "left").select("c_custkey", F.greatest("a", "b").alias("last"))
+    rows = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return roster.last_of_any(table(spark, sf, "customer").select("c_custkey"), rows, "c_custkey", "o_orderkey", [F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "5-LOW"])
 
 
 @query("U6_skip_sets", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def skip_sets(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders")
-    return rows.where("o_orderpriority = '5-LOW'").select("o_custkey").union(rows.where("o_orderstatus = 'P'").select("o_custkey")).distinct()
+    return roster.skip_set("o_custkey", rows.where("o_orderpriority = '5-LOW'"), rows.where("o_orderstatus = 'P'"))
 
 
 @query("F8_spacing", "SELECT p_partkey, 'see ' || split_part(p_name, ' ', 1) || CASE WHEN p_size % 2 = 0 THEN '你好' ELSE ' end' END AS text FROM part")
@@ -262,37 +260,32 @@ def asset_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("Z12_roster", r"SELECT c_custkey, CASE WHEN NOT regexp_matches(a, '^P\d+-(ZH|EN)-\d+$') THEN 'name' WHEN lower(regexp_extract(a, '^P\d+-(ZH|EN)', 1)) <> l THEN 'language' END AS violation FROM (SELECT c_custkey, format('P{}-{}-{:02d}', c_custkey % 3 + 1, ['ZH', 'EN', 'FR'][c_custkey % 3 + 1], c_custkey % 90) AS a, ['zh', 'en'][c_custkey % 2 + 1] AS l FROM customer)")
-def roster(spark: SparkSession, sf: str) -> DataFrame:
+def named_accounts(spark: SparkSession, sf: str) -> DataFrame:
     """Accounts whose name isn't one of a stage, or says another language than they have."""
     k = F.col("c_custkey")
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (k % n).cast("int"))
     account = F.format_string("P%d-%s-%02d", k % 3 + 1, pick(("ZH", "EN", "FR"), 3), k % 90)
-    said = F.lower(F.regexp_extract(account, r"^P\d+-(ZH|EN)-\d+$", 1))
-    return table(spark, sf, "customer").select("c_custkey", F.when(said == "", "name").when(said != pick(("zh", "en"), 2), "language").alias("violation"))
+    return table(spark, sf, "customer").select("c_custkey", roster.account_violation(account, pick(("zh", "en"), 2)).alias("violation"))
 
 
 @query("Z13_new_accounts", "SELECT c_custkey AS id, format('P1-ZH-{:02d}', 5 + row_number() OVER (ORDER BY c_custkey)) AS account FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def new_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers for those without an account, after the highest so far; who has one is passed over."""
-    from curvelake.operators.allocation import numbered
-
-    new = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_anti")
-    return numbered(new, [F.col("id")], "k").select("id", F.format_string("P1-ZH-%02d", F.col("k") + 6).alias("account"))
+    people, having = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    return roster.new_accounts(people, having, "id", "P1-ZH-", 5)
 
 
 @query("Z14_index_maps", "SELECT p_type || '_' || p_partkey AS source_id, m AS modality, format('S{:04d}', p_partkey) || '::' || m AS task_id FROM part, (SELECT unnest(['face', 'body', 'audio', 'text', 'full']) AS m)")
 def index_maps(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat_ws("_", "p_type", F.col("p_partkey").cast("string"))
-    rows = table(spark, sf, "part").select(source.alias("source_id"), F.format_string("S%04d", "p_partkey").alias("number"), F.explode(F.array(*map(F.lit, panel.MODALITIES))).alias("modality"))
-    return rows.select("source_id", "modality", F.concat_ws("::", "number", "modality").alias("task_id"))
+    numbers = table(spark, sf, "part").select(source.alias("source_id"), F.format_string("S%04d", "p_partkey").alias("number"))
+    return roster.index_maps(numbers, panel.MODALITIES).drop("number")
 
 
 @query("Z16_single_task", f"WITH {SUBMISSIONS}, l AS (SELECT annotator_id, task_id, dimension, arg_max(value, (submitted_at, submission_id)) AS v FROM submissions GROUP BY 1, 2, 3) SELECT annotator_id, task_id, dimension, v >= 20 AS submitted, bool_and(v >= 20) OVER (PARTITION BY annotator_id, task_id) AND count(*) OVER (PARTITION BY annotator_id, task_id) = 5 AS complete FROM l")
 def single_task(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the latest attempt in a task's dimension was submitted, and whether that holds for all five."""
     last = chains.latest(submissions(spark, sf), ["annotator_id", "task_id", "dimension"], ["submitted_at", "submission_id"])
-    sent, w = F.col("value") >= 20, Window.partitionBy("annotator_id", "task_id")
-    return last.select("annotator_id", "task_id", "dimension", sent.alias("submitted"), (F.bool_and(sent).over(w) & (F.count("*").over(w) == 5)).alias("complete"))
+    return roster.task_state(last.withColumn("submitted", F.col("value") >= 20), 5)
 
 
 @query("Z23_pending_samples", "SELECT user_id, event_id AS sample_index, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS v FROM events WHERE event_type <> 'error' OR event_id % 4 = 0")

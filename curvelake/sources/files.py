@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,6 +74,47 @@ def resolve(samples: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
     return samples.select("sample_id", "source", path.alias("path"))
 
 
+@dataclass
+class Rule:
+    """How a source's samples resolve. ``pattern``: of what follows the source in the id, whole, with groups; ``path``: a template for
+    format_string over the key and the groups (%1$s is the key). ``index``: a table of what is known of the samples, by key, with ``path_from`` (a column that goes
+    before the template), ``speaker`` (a column) and ``extra`` (name: column, or number of a group). ``gender``: number of a group.
+    ``indexed``: a sample that isn't in the index isn't resolved."""
+
+    path: str
+    pattern: str = "(.*)"
+    index: DataFrame | None = None
+    path_from: str | None = None
+    speaker: str | None = None
+    gender: int | None = None
+    extra: dict[str, str | int] = field(default_factory=dict)
+    indexed: bool = False
+
+
+def resolve_all(samples: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """sample_id, source, resolved, path, speaker, gender, extra (map): each sample by the rule of its source; with an index, after one join
+    with it. A source without a rule, and an id that doesn't fit the pattern, isn't resolved. ``samples``: sample_id, source."""
+    text = F.lit(None).cast("string")
+    out = samples.where(~F.col("source").isin(*rules) | F.col("source").isNull()).select("sample_id", "source", F.lit(False).alias("resolved"), text.alias("path"), text.alias("speaker"), text.alias("gender"), F.create_map().cast("map<string,string>").alias("extra"))
+    for source, rule in rules.items():
+        own = samples.where(F.col("source") == source).select("sample_id", "source", F.expr(f"substring(sample_id, {len(source) + 2})").alias("key_"))
+        fits, known = F.col("key_").rlike(f"^(?:{rule.pattern})$"), F.lit(rule.index is None)
+        if rule.index is not None:
+            own = own.join(rule.index.withColumnRenamed("key", "key_").withColumn("there_", F.lit(True)), "key_", "left")
+            known = F.coalesce("there_", F.lit(False))
+        group = lambda n, pattern=rule.pattern, fits=fits: F.when(fits, F.regexp_extract("key_", f"^(?:{pattern})$", n))
+        groups = re.compile(rule.pattern).groups
+        made = F.format_string(rule.path, "key_", *(F.coalesce(group(i + 1), F.lit("")) for i in range(groups)))
+        path = F.coalesce(F.col(rule.path_from), made) if rule.path_from else made
+        value = lambda v, group=group: group(v) if isinstance(v, int) else F.col(v).cast("string")
+        extra = F.map_filter(F.create_map(*(x for k, v in rule.extra.items() for x in (F.lit(k), value(v)))), lambda _, v: v.isNotNull()) if rule.extra else F.create_map().cast("map<string,string>")
+        done = (fits & known) if rule.indexed else fits
+        when = lambda c, done=done: F.when(done, c)
+        speaker = F.col(rule.speaker) if rule.speaker else text
+        out = out.union(own.select("sample_id", "source", F.coalesce(done, F.lit(False)), when(path), when(speaker), when(group(rule.gender) if rule.gender else text), F.coalesce(when(extra), F.create_map().cast("map<string,string>"))))
+    return out
+
+
 def export(attempts: DataFrame, samples: DataFrame, submissions: DataFrame) -> DataFrame:
     """annotator_id, document: attempts with their samples in order and submissions with ``superseded``, as JSON."""
     own = samples.groupBy("attempt_id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("samples"))
