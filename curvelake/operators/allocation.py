@@ -19,12 +19,13 @@ from curvelake import scratch
 
 
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """``name``: 0, 1, ... over all rows by ``order``: ranges of rows are numbered apart, after the counts of those before."""
-    parts = scratch.materialize(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "numbered")
-    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", before.alias("before_"))  # a row for each range
-    nth = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
-    return parts.join(F.broadcast(offsets), "part_").withColumn(name, nth + F.col("before_")).drop("part_", "before_")
+    """``name``: 0, 1, ... over all rows by ``order``: sorted ranges of rows are numbered apart, as they are written, after the counts of those before."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n_", F.monotonically_increasing_id())
+    parts = scratch.materialize(sorted_, "numbered").withColumn("part_", F.shiftright("n_", 33))
+    before = F.coalesce(F.sum("count_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.groupBy("part_").agg(F.count("*").alias("count_")).select("part_", before.alias("before_"))  # a row for each range
+    nth = F.col("n_").bitwiseAND(F.lit((1 << 33) - 1))
+    return parts.join(F.broadcast(offsets), "part_").withColumn(name, nth + F.col("before_")).drop("n_", "part_", "before_")
 
 
 def preflight(counts: dict[tuple[str, bool], int], people: dict[str, str], coverage: int, speaker: str, quota: dict[str, int]) -> list[tuple[str, int, int]]:

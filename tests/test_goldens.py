@@ -396,3 +396,49 @@ def test_words_are_pulled_back_as_by_a_loop_from_the_right(spark):
     assert len(out) == len(rows)
     for r in out:
         assert (r.start, r.end) == (pytest.approx(want[r.k, r.i][0], abs=1e-9), pytest.approx(want[r.k, r.i][1], abs=1e-9))
+
+
+@pytest.mark.parametrize(("speakers", "others", "coverage"), [(2, 6, 2), (3, 7, 3)])
+@pytest.mark.parametrize("quota", [{"text": 40, "full": 40}, {}])
+def test_shares_are_even_though_speakers_have_what_only_they_can_do(speakers, others, coverage, quota):
+    people = {f"en{i}": "en" for i in range(others)} | {f"zh{i}": "zh" for i in range(speakers)}
+    counts = {(m, False): 600 for m in ("face", "body", "audio")} | {(m, False): 440 for m in ("text", "full")} | {(m, True): 160 for m in ("text", "full")}
+    load, each = dict.fromkeys(people, 0), {}
+    for modality, own, person, first, last, _, _ in allocation.shares(counts, people, coverage, "zh", quota):
+        assert not own or people[person] == "zh"
+        load[person] += last - first + 1
+        each[person, modality] = each.get((person, modality), 0) + last - first + 1
+    assert sum(load.values()) == 3000 * coverage and max(load.values()) - min(load.values()) <= 2
+    for m in ("face", "body", "audio", "text", "full"):
+        of_others = [each.get((p, m), 0) for p in people if people[p] == "en"]
+        assert max(of_others) - min(of_others) <= 5
+    for p in (p for p in people if people[p] == "zh"):
+        own = [each.get((p, m), 0) for m in ("face", "body", "audio")]
+        assert max(own) - min(own) <= 3
+
+
+def test_points_lie_in_spans_as_by_a_plain_comparison(spark):
+    from curvelake.operators import ranges
+
+    rng = random.Random(41)
+    spans = [(rng.choice("abc"), x, x + rng.choice([0.0, 0.5, 3.0, 40.0])) for x in (round(rng.uniform(0, 100), 1) for _ in range(60))] + [(None, 0.0, 100.0)]
+    points = [(rng.choice(["a", "b", "c", "d", None]), round(rng.uniform(-5, 150), 1), i) for i in range(500)] + [("a", None, 500)]
+    found = ranges.in_spans(frame(spark, "key string, at double, id int", points), frame(spark, "key string, start double, stop double", spans), width=7.0, slack=0.25).collect()
+    assert {r.id: r.in_span for r in found} == {i: any(k == key and at is not None and a - 0.25 <= at <= z + 0.25 for key, a, z in spans if key) for k, at, i in points}
+    assert len(found) == 501
+
+
+def test_samples_resolve_by_their_sources_rule(spark):
+    index = frame(spark, "key string, who string, said string, file string", [("dia1_utt2", "Ann", "hi", None), ("7", None, None, "x/7.mp4")])
+    rules = {
+        "talk": files.Rule("talk/%1$s.mp4", r"dia(\d+)_utt(\d+)", index, speaker="who", extra={"text": "said"}),
+        "files": files.Rule("", index=index, path_from="file", indexed=True),
+        "sets": files.Rule("sets/%1$s.mp4", r"(Ses\d+[FM])_(.+)_([FM])(\d+)", gender=3, extra={"session": 1}),
+    }
+    rows = [("talk_dia1_utt2", "talk"), ("talk_dia1_utt3", "talk"), ("talk_other", "talk"), ("files_7", "files"), ("files_8", "files"), ("sets_Ses01F_impro_M003", "sets"), ("sets_x", "sets"), ("new_1", "new"), ("none", None)]
+    out = {r.sample_id: (r.resolved, r.path, r.speaker, r.gender, r.extra) for r in files.resolve_all(frame(spark, "sample_id string, source string", rows), rules).collect()}
+    none = (False, None, None, None, {})
+    assert out == {
+        "talk_dia1_utt2": (True, "talk/dia1_utt2.mp4", "Ann", None, {"text": "hi"}), "talk_dia1_utt3": (True, "talk/dia1_utt3.mp4", None, None, {}), "talk_other": none,
+        "files_7": (True, "x/7.mp4", None, None, {}), "files_8": none, "sets_Ses01F_impro_M003": (True, "sets/Ses01F_impro_M003.mp4", None, "M", {"session": "Ses01F"}), "sets_x": none, "new_1": none, "none": none,
+    }
