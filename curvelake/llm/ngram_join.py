@@ -273,7 +273,9 @@ def components(edges: DataFrame) -> DataFrame:
         common.discard(spark, f"{path}/{turn - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("f"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+            roots = common.materialize(edges.select(F.col("u").alias("f"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()), "roots", keep=True)
+            common.discard(spark, path)
+            return roots
         before = now
 
 
