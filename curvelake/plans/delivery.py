@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvelake.operators import chains, costs, curves, monitor
 from curvelake.plans.registry import Registry, table
-from curvelake.scratch import discard, folder, materialize, passing
+from curvelake.scratch import discard, folder, materialize
 from curvelake.sources import files
 from curvelake.streaming import delivery
 
@@ -93,8 +93,7 @@ def release_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Chains in an order that no column tells; what is followed are the links alone."""
     w = Window.partitionBy("user_id").orderBy(F.md5(F.col("event_id").cast("string")))
     links = table(spark, sf, "events").select("event_id", F.lag("event_id").over(w).alias("replaces"))
-    with passing(spark):
-        return chains.follow(materialize(links, "links"), "event_id", "replaces").select("event_id", "root", "depth")
+    return chains.follow(materialize(links, "links"), "event_id", "replaces").select("event_id", "root", "depth")
 
 
 @query("W18_growth", """WITH r AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS v FROM events)

@@ -13,15 +13,18 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[list[str]] = []
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``. Where that is unset, a temporary folder will do for a local master;
+def folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path under ``spark.checkpoint.dir``; inside ``passing`` it goes at the end of the block, or of the surrounding one if it is to be kept. Where that is unset, a temporary folder will do for a local master;
     elsewhere executors wouldn't see each other's files, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/curvelake-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
+    return path
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -66,17 +69,15 @@ def write(df: DataFrame, path: str) -> DataFrame:
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``write`` to a new path. Inside ``passing`` the table goes at its end, unless it is to be kept."""
-    path = folder(df.sparkSession, name)
-    if _open and not keep:
-        _open[-1].append(path)
-    elif keep and len(_open) > 1:
-        _open[-2].append(path)
-    return write(df, path)
+    return write(df, folder(df.sparkSession, name, keep))
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Tables materialised inside are deleted at the end; one that is kept belongs to the surrounding block, if any."""
+    """Scratch tables and folders made inside are deleted at the end; one that is kept belongs to the surrounding block, if any.
+
+    For callers this is the handle on all that a query writes: run the query and take its result inside the block, and nothing stays.
+    """
     _open.append([])
     try:
         yield
