@@ -61,6 +61,26 @@ def append_once(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_json_lines(spark, path, "p_partkey long, p_name string, small boolean")
 
 
+@query("K4_flush", "SELECT CAST(user_id AS VARCHAR) AS attempt_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sample_index, value AS v FROM events")
+def flushed(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples that arrive while the buffer runs, read back from the chunks it has flushed."""
+    base = folder(spark, "buffer")
+    index = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("attempt_id"), index.cast("long").alias("sample_index"), F.col("value").alias("v"), "event_type")
+    kind = rows.drop("event_type").schema
+    late = F.col("event_type").isin("error", "view")
+    rows.where(~late).drop("event_type").write.parquet(f"{base}/in")
+    q = delivery.buffered(spark.readStream.schema(kind).parquet(f"{base}/in"), f"{base}/out", f"{base}/state").start()
+    try:
+        q.processAllAvailable()
+        rows.where(late).drop("event_type").write.mode("append").parquet(f"{base}/in")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    chunks = files.read_json_lines(spark, f"{base}/out", "attempt_id string, chunk_index long, samples array<struct<sample_index:long,v:double>>")
+    return chunks.select("attempt_id", F.explode("samples").alias("s")).select("attempt_id", "s.*")
+
+
 SNAPSHOTS = """s AS (SELECT user_id, event_id, event_type AS state, value > 200 AS trained, value < 20 AS idle, CASE WHEN value > 100 THEN value < 400 END AS on_track, CAST(floor(value / 5) AS BIGINT) AS percent, event_type <> 'error' AS active FROM events),
  o AS (SELECT *, lag(state) OVER w AS s0, lag(trained) OVER w AS t0, lag(idle) OVER w AS i0, lag(on_track) OVER w AS k0, lag(percent) OVER w AS p0 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
  a AS (SELECT user_id, event_id, active, 'state ' || s0 || ' > ' || state AS alert FROM o WHERE s0 <> state UNION ALL SELECT user_id, event_id, active, 'trained' FROM o WHERE trained AND NOT t0

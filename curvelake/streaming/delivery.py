@@ -141,6 +141,18 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(lambda rows, batch: files.append_once(rows, path, f"batch-{batch}")).option("checkpointLocation", checkpoint)
 
 
+def buffered(samples: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
+    """A writer that gathers samples for ``every`` and flushes them as chunks (attempt_id, chunk_index: first sample's index, samples), each flush
+    once. ``samples``: attempt_id, sample_index, and what a sample consists of. A chunk holds what an attempt brought in one interval."""
+    rest = [c for c in samples.columns if c != "attempt_id"]
+
+    def flush(rows: DataFrame, batch: int) -> None:
+        own = rows.groupBy("attempt_id").agg(F.min("sample_index").alias("chunk_index"), F.array_sort(F.collect_list(F.struct(*rest))).alias("samples"))
+        files.append_once(own, path, f"flush-{batch}")
+
+    return samples.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
 class Watch:
     """Alerts about snapshots as they arrive. Each batch is compared with the snapshot stored by the batch before it, and leaves its own;
     a batch that is run again finds the same predecessor and replaces what it wrote, so nothing is told twice.

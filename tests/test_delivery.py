@@ -92,6 +92,26 @@ def test_a_stream_appends_each_batch_once_also_if_its_checkpoint_is_lost(spark,
     assert files.read_json_lines(spark, f"{base}/table", "id long").count() == 50
 
 
+def test_a_buffer_flushes_what_came_meanwhile_each_sample_once(spark, base):
+    kind = "attempt_id string, sample_index long, v double"
+    rows = [(a, i, i / 10) for a in "ab" for i in range(30)]
+    for run_ in range(3):  # stopped and started again, it goes on
+        q = delivery.buffered(spark.readStream.schema(kind).parquet(f"{base}/in") if run_ else stream(spark, base, rows[:5], kind), f"{base}/out", f"{base}/state", "200 milliseconds").start()
+        for part in range(2):
+            at_ = 5 + (run_ * 2 + part) * 10
+            spark.createDataFrame(rows[at_ : at_ + 10], kind).write.mode("append").parquet(f"{base}/in")
+            q.processAllAvailable()
+        q.stop()
+    chunks = files.read_json_lines(spark, f"{base}/out", "attempt_id string, chunk_index long, samples array<struct<sample_index:long,v:double>>").collect()
+    assert sorted((c.attempt_id, s.sample_index, s.v) for c in chunks for s in c.samples) == rows and len(chunks) >= 6
+    assert all(c.chunk_index == c.samples[0].sample_index for c in chunks)
+
+
+def stream(spark, base, rows, kind):
+    spark.createDataFrame(rows, kind).write.parquet(f"{base}/in")
+    return spark.readStream.schema(kind).parquet(f"{base}/in")
+
+
 SNAPSHOT = "who string, n long, state string, trained boolean, idle boolean, on_track boolean, percent long, active boolean"
 
 
