@@ -132,7 +132,7 @@ def export(spark: SparkSession, sf: str) -> DataFrame:
     """Records with their payload decoded."""
     rows = records.read(documents(spark, sf), "payload").where(F.get_json_object("payload", "$").isNotNull())
     r = F.col("record_")
-    return rows.select("event_id", F.col("user_id").alias("task_id"), r["card"]["subject"].alias("subject"), F.size(r["evidence"]).alias("n_evidence"), r["ratings"]["I"]["value"].alias("i_value"))
+    return rows.select("event_id", F.col("user_id").alias("task_id"), r["card"]["subject"].alias("subject"), F.size(r["evidence"]).alias("n_evidence"), F.get_json_object("payload", "$.ratings.I.value").alias("i_value"))
 
 
 @query("X18_seed", "SELECT DISTINCT CAST(c_custkey % 400 AS BIGINT) AS clip, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey % 400) THEN 'kept' ELSE 'new' END AS origin FROM customer UNION SELECT CAST(s_suppkey AS BIGINT), 'kept' FROM supplier")

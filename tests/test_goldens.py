@@ -290,7 +290,7 @@ def payload(**changes):
 
 
 CASES = [
-    ({}, []), ({"ratings__I": {"state": "known", "value": 0, "evidence_ids": ["E01"]}}, []), ({"ratings__I": {"state": "unknown", "value": 0}}, ["N5"]), ({"score_window": [0, 13]}, ["N1"]), ({"score_window": [0, 0]}, ["N1"]),
+    ({}, []), ({"ratings__I": {"state": "known", "value": 0, "evidence_ids": ["E01"]}}, []), ({"ratings__I": {"state": "unknown", "value": 0}}, ["N5"]), ({"ratings__I": {"state": "known", "value": "0", "evidence_ids": ["E01"]}}, ["N5"]), ({"ratings__I": {"state": "known", "value": 0.0, "evidence_ids": ["E01"]}}, ["N5"]), ({"ratings__I": {"state": "known", "value": True, "evidence_ids": ["E01"]}}, ["N5"]), ({"score_window": [0, 13]}, ["N1"]), ({"score_window": [0, 0]}, ["N1"]),
     ({"ratings__R__state": "unset"}, ["N5"]), ({"conflict__status": "confirmed"}, ["N6"]), ({"ratings__I__mixed": True}, ["N5"]), ({"checks__role": "confirmed"}, ["N2"]), ({"event_location": "inside"}, []), ({"constraint__status": "present"}, []),
     ({"dynamic__status": "changed", "dynamic__updated_ratings": {d: {"state": "unknown", "value": None} for d in "RICN"}, "dynamic__score_window": [3, 12]}, ["N8"]),
     ({"dynamic__status": "changed", "dynamic__updated_ratings": {d: {"state": "unknown", "value": None} for d in "RICN"}}, []), ({"dynamic__status": "changed", "dynamic__score_window": [], "dynamic__updated_ratings": {}}, ["N8"]),
