@@ -293,3 +293,16 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     rows = filed.select("doc_id", "n", "f1", "f2").join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("copies", F.lit(1)).alias("same_set"))
+
+
+def oracle(k: int, num: int, den: int) -> str:
+    """SQL for DuckDB: sets of shingles as text, every pair that shares one counted, components by recursion. For small tables."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < {k} THEN [array_to_string(x, ' ')] ELSE [array_to_string(x[i : i + {k - 1}], ' ') FOR i IN range(1, len(x) - {k} + 2)] END) AS g FROM w),
+ c AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS print FROM s), one AS (SELECT print, min(doc_id) AS id, any_value(n) AS n, count(*) AS copies FROM c WHERE n > 0 GROUP BY 1),
+ e AS (SELECT one.id, one.n, unnest(g) AS g FROM one JOIN s ON s.doc_id = one.id),
+ p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.g = b.g AND a.id < b.id AND {num} * greatest(a.n, b.n) <= {den} * least(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+ both_ AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+ walk AS (SELECT id, id AS root FROM one UNION SELECT both_.b, walk.root FROM walk JOIN both_ ON both_.a = walk.id),
+ least_ AS (SELECT id, min(root) AS root FROM walk GROUP BY 1)
+SELECT doc_id, c.n AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(copies, 1) AS same_set FROM c LEFT JOIN one USING (print) LEFT JOIN least_ ON least_.id = one.id"""

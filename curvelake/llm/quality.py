@@ -104,3 +104,32 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in longs) + ", base_failed boolean, kept boolean, " + ", ".join(f"{s} double" for s in shares)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def _sql_grams() -> str:
+    """For each n, the words that lie in an n-word window which their text has twice or more."""
+    one = """w{n} AS (SELECT doc_id, i, array_to_string(all_[i : i + {m}], ' ') AS g FROM words WHERE i + {m} <= len(all_)),
+ c{n} AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(all_[i])) AS BIGINT) AS chars FROM words x WHERE EXISTS (SELECT 1 FROM t{n} t WHERE t.doc_id = x.doc_id AND t.i = x.i) GROUP BY 1)"""
+    twice = "t{n} AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM w{n}) WHERE k > 1)"
+    out = []
+    for n in (*LIMITS, 8):
+        first, last = one.format(n=n, m=n - 1).split(",\n ")
+        out += [first, twice.format(n=n), last]
+    return ",\n ".join(out)
+
+
+def oracle() -> str:
+    """SQL for DuckDB: windows of words as text, lines compared as text."""
+    shares = ", ".join(f"coalesce(c{n}.chars, 0) / greatest(d.word_chars, 1) AS gram{n}_share" for n in LIMITS)
+    fine = " AND ".join(f"gram{n}_share <= {most}::DOUBLE" for n, most in LIMITS.items())
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ b AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS all_ FROM t),
+ words AS (SELECT doc_id, all_, unnest(range(1, len(all_) + 1)) AS i FROM b),
+ {_sql_grams()},
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t),
+ dup AS (SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) WHERE nth > 1 GROUP BY 1),
+ d AS (SELECT doc_id, text, len(all_) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN all_]), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM b),
+ m AS (SELECT d.doc_id, n_words, d.word_chars, n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(c8.n, 0) AS n_repeat_words, {shares}, coalesce(dup.chars, 0) / greatest(length(text), 1) AS line_share
+  FROM d LEFT JOIN dup USING (doc_id) {" ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = d.doc_id" for n in (*LIMITS, 8))}),
+ v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND {fine} AND line_share <= {LINE_LIMIT}::DOUBLE AS kept FROM v"""

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.ORACLE, "op6_url_linkrank": linkrank.oracle(), "op10_exact_topk": topk.ORACLE, "op11_va_clusters": vafile.oracle(), "op12_prefix_trie": trie.ORACLE, "op13_chat_examples": chat.ORACLE}
+    return {"op4_line_dedup": lines.ORACLE, "op6_url_linkrank": linkrank.oracle(), "op7_ngram_join": ngram_join.oracle(3, 90, 100), "op9_quality_rules": quality.oracle(), "op10_exact_topk": topk.ORACLE, "op11_va_clusters": vafile.oracle(), "op12_prefix_trie": trie.ORACLE, "op13_chat_examples": chat.ORACLE}
