@@ -203,7 +203,7 @@ def fair_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUEUED = f"""WITH {COMPLETE}, q AS (SELECT CAST(min(o_orderkey) AS BIGINT) AS assignment_id, CAST(o_custkey % 150 AS BIGINT) AS annotator_id, CAST(day(o_orderdate) + CASE WHEN o_custkey % 150 = 9 THEN 100 ELSE 0 END AS INTEGER) AS task_id,
- CASE WHEN day(o_orderdate) < 4 THEN 'training' ELSE 'main' END AS phase, CAST(min(o_orderkey) % 1000 AS BIGINT) AS order_index, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'released' ELSE 'active' END AS status FROM orders GROUP BY 2, 3, 4),
+ CASE WHEN day(o_orderdate) < 4 THEN 'training' ELSE 'main' END AS phase, CAST(min(o_orderkey) % 1000 AS BIGINT) AS order_index, CASE WHEN arg_min(o_orderstatus, o_orderkey) = 'P' THEN 'released' ELSE 'active' END AS status FROM orders GROUP BY 2, 3, 4),
  m AS (SELECT *, row_number() OVER (ORDER BY order_index, assignment_id) - 1 AS place FROM q WHERE annotator_id = 4 AND phase = 'main' AND status = 'active' AND task_id NOT IN (SELECT task_id FROM complete WHERE annotator_id = 4))"""
 
 
@@ -211,7 +211,7 @@ def queued(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     """A queue with phases, its tasks and its accounts: a person's orders on a day are an assignment; one has tasks of their own."""
     who, day = F.col("o_custkey") % 150, F.dayofmonth("o_orderdate")
     rows = table(spark, sf, "orders").select(who.alias("annotator_id"), (day + F.when(who == 9, 100).otherwise(0)).alias("task_id"), F.when(day < 4, "training").otherwise("main").alias("phase"), "o_orderkey", (F.col("o_orderstatus") == "P").alias("p"))
-    own = rows.groupBy("annotator_id", "task_id", "phase").agg(F.min("o_orderkey").alias("assignment_id"), F.when(F.bool_or("p"), "released").otherwise("active").alias("status"))
+    own = rows.groupBy("annotator_id", "task_id", "phase").agg(F.min("o_orderkey").alias("assignment_id"), F.when(F.min_by("p", "o_orderkey"), "released").otherwise("active").alias("status"))
     own = own.select("assignment_id", "annotator_id", "task_id", "phase", (F.col("assignment_id") % 1000).alias("order_index"), "status", F.lit(None).cast("long").alias("replaces"))
     return own, own.select("task_id", (F.col("task_id") % 10 == 0).alias("exclusive")).distinct(), own.select("annotator_id", (F.col("annotator_id") != 10).alias("reads_all")).distinct()
 
