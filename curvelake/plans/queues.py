@@ -80,8 +80,12 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J7_missing_tasks", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem ANTI JOIN (SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_partkey % 10 = s_suppkey % 10) x ON l_partkey = p_partkey AND l_suppkey = s_suppkey")
 def missing_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 10).alias("m")).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") % 10).alias("m")), "m").drop("m")
-    return table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().join(known, ["l_partkey", "l_suppkey"], "left_anti")
+    """Line items without a task: their part or supplier is unknown, or the two don't go together. The pairs that do are never made."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey")).distinct().withColumn("part_", F.lit(True))
+    supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey")).distinct().withColumn("supplier_", F.lit(True))
+    wanted = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    fits = F.col("part_") & F.col("supplier_") & (F.col("l_partkey") % 10 == F.col("l_suppkey") % 10)
+    return wanted.join(part, "l_partkey", "left").join(supplier, "l_suppkey", "left").where(~F.coalesce(fits, F.lit(False))).select("l_partkey", "l_suppkey")
 
 
 @query("J8_missing_samples", f"WITH {SUBMISSIONS}, want AS (SELECT annotator_id, unnest(range(1, 31)) AS task_id FROM (SELECT DISTINCT annotator_id FROM submissions)) SELECT annotator_id, CAST(task_id AS INTEGER) AS task_id FROM want ANTI JOIN submissions USING (annotator_id, task_id)")
