@@ -75,9 +75,10 @@ def transfer(queue: DataFrame, done: DataFrame, tasks: DataFrame, accounts: Data
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, unique: str) -> tuple[DataFrame, DataFrame]:
-    """New snapshot with ``new`` over ``stored`` by key, and the new rows whose ``unique`` value another key holds."""
+    """New snapshot with ``new`` over ``stored`` by key, and the new rows whose ``unique`` value another key holds: each once, with
+    ``held_by``, the smallest of the keys that hold it."""
     kept = stored.join(new.select(key), key, "left_anti")
-    clash = new.join(kept.select(F.col(key).alias("held_by"), unique), unique)
+    clash = new.join(kept.groupBy(unique).agg(F.min(key).alias("held_by")), unique)
     return kept.unionByName(new), clash
 
 

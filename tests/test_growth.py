@@ -1,6 +1,7 @@
 """What a query moves and makes, on small tables on which the earlier forms made or moved far more, or gave another result."""
 
 from curvelake import catalog, scratch
+from curvelake.operators import lifecycle
 
 
 def stages(spark):
@@ -25,3 +26,11 @@ def test_missing_tasks_makes_no_pairs(spark, tmp_path):
     got, rows = moved(spark, lambda: catalog.queries()["J7_missing_tasks"](spark, str(tmp_path)).collect())
     assert sorted(map(tuple, got), key=repr) == sorted([(11, 22), (2003, 13), (13, 503), (None, 3), (3, None)], key=repr)
     assert rows < 10_000  # there are 100,000 pairs that go together
+
+
+def test_upsert_tells_a_clash_once(spark):
+    stored = spark.createDataFrame([(k, "a") for k in (7, 5, 6)] + [(8, "b"), (1, "a")], "k long, name string")
+    new = spark.createDataFrame([(1, "a"), (9, "b"), (10, "c"), (11, None)], "k long, name string")
+    after, clash = lifecycle.upsert(stored, new, "k", "name")
+    assert after.count() == 8
+    assert sorted((r.k, r.held_by) for r in clash.collect()) == [(1, 5), (9, 8)]
