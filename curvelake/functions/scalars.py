@@ -39,6 +39,17 @@ def floor_percent(done: Column, total: Column) -> Column:
     return F.when(total == 0, 0).otherwise(F.floor(done * 100 / total))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero, of the number as it is stored: 0.31525, a little less than that in binary, becomes 0.3152. ``round`` takes
+    the shortest decimal that names the number for the number itself."""
+    return F.round(x * float(10**digits), 0) / float(10**digits)
+
+
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles as they are written, to six digits; no order of adding changes it."""
+    return F.sum(x.cast("decimal(24,6)"))
+
+
 def nearest_rank(values: Column, p: float) -> Column:
     """sorted[min(n - 1, round(p * (n - 1)))], halves to even; null without values."""
     at = F.least(F.size(values) - 1, F.bround(p * (F.size(values) - 1), 0).cast("int"))

@@ -296,7 +296,7 @@ def width(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("F22_percentages", "SELECT o_custkey, CASE WHEN count(*) = 0 THEN 0 ELSE CAST(floor(count(*) FILTER (WHERE o_orderstatus = 'F') * 100 / count(*)) AS BIGINT) END AS percent, CAST(ceil(sum(o_totalprice) / 7) AS BIGINT) AS per_day FROM orders GROUP BY 1")
 def percentages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(scalars.floor_percent(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("percent"), F.ceil(F.sum("o_totalprice") / 7).alias("per_day"))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(scalars.floor_percent(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("percent"), F.ceil(scalars.exact_sum(F.col("o_totalprice")) / 7).cast("long").alias("per_day"))
 
 
 @query("F24_json_default", "SELECT event_id, coalesce(TRY_CAST(props->>'k' AS INTEGER), -1) AS k, coalesce(TRY_CAST(props->>'filled' AS BOOLEAN), FALSE) AS filled FROM events")

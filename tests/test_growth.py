@@ -34,3 +34,12 @@ def test_upsert_tells_a_clash_once(spark):
     after, clash = lifecycle.upsert(stored, new, "k", "name")
     assert after.count() == 8
     assert sorted((r.k, r.held_by) for r in clash.collect()) == [(1, 5), (9, 8)]
+
+
+def test_a_sum_of_prices_depends_on_no_order(spark, tmp_path):
+    prices = [2.2, 2.2, 2.2, 0.4]  # 7.000000000000001 in any order
+    rows = [(1, "F", p) for p in prices] + [(2, "O", 7.01), (3, "F", 6.99), (3, "O", 0.01)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    df = catalog.queries()["F22_percentages"](spark, str(tmp_path))
+    assert dict(df.dtypes)["per_day"] == "bigint"
+    assert sorted(map(tuple, df.collect())) == [(1, 100, 1), (2, 0, 2), (3, 50, 1)]
