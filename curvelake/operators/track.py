@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from curvelake import scratch
+from curvelake.functions.scalars import rounded
 from curvelake.operators import geometry, islands
 
 #: Margin on both sides of the face, part of the sizes that the box holds, weight of the newest centre, and the share of the box's
@@ -23,6 +26,12 @@ REACH = 1_000_000_000
 FACE = "x double, y double, w double, h double, sim double, sim_ref double"
 
 
+@F.pandas_udf(StringType())
+def two_digits(x: pd.Series) -> pd.Series:
+    """A share with two digits: the nearest to the number as it is stored, of two as near the even one (0.125 and 0.285 become 0.12 and 0.28)."""
+    return x.map("{:.2f}".format, na_action="ignore")
+
+
 def overlap(a: tuple, b: tuple) -> float:
     wide = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
     high = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
@@ -132,7 +141,7 @@ def build(frames: DataFrame, clips: DataFrame, key: str, margin: float = MARGIN)
     linked = link(good, key).join(named, key).withColumn("present", F.col("pick") >= 0)
     seen = scratch.materialize(presence(linked, key, "frame_i", "present", "fps"), "linked")
     boxed = scratch.materialize(stable_box(seen, key, margin), "boxed")
-    r = lambda c, n: F.round(c, n)
+    r = lambda c, n: rounded(F.col(c) if isinstance(c, str) else c, n)
     box = F.when(F.col("present"), F.array(*(r(c, 1) for c in "xywh")))
     crop = boxed.select(key, "frame_i", "place", r("cx", 2).alias("cx"), r("cy", 2).alias("cy"), "present", "visible", box.alias("bbox"))
 
@@ -150,12 +159,13 @@ def build(frames: DataFrame, clips: DataFrame, key: str, margin: float = MARGIN)
     rows = stats.join(lost, key).join(inside, key, "left")
     found, det, shown = F.col("detected") > 0, F.col("detected") / F.col("frames"), F.col("shown") / F.col("frames")
     share = F.when(found, shown).otherwise(det)
+    rows = rows.withColumn("two_", two_digits(share))
     word = F.when(found, "visible").otherwise("det_rate")
     few = F.when(F.col("anchors") < ANCHORS, F.format_string(f"anchors=%d<{ANCHORS}", "anchors"))
-    low = F.when(share < LEAST, F.concat(word, F.format_string("=%.2f<", share), F.lit(str(LEAST))))
+    low = F.when(share < LEAST, F.concat(word, F.lit("="), "two_", F.lit(f"<{LEAST}")))
     bad = F.array_compact(F.when(found, F.array(few, low)).otherwise(F.array(low, few)))
     unsure = (F.size(bad) == 0) & (share < LOW)
-    reasons = F.when(unsure, F.array(F.concat(word, F.format_string("=%.2f<", share), F.lit(str(LOW))))).otherwise(bad)
+    reasons = F.when(unsure, F.array(F.concat(word, F.lit("="), "two_", F.lit(f"<{LOW}")))).otherwise(bad)
     status = F.when(F.size(bad) > 0, "drop").when(unsure, "low_confidence").otherwise("ok")
     summary = rows.select(
         key, "mode", r("side", 2).alias("side"), "detected", r(det, 4).alias("det_rate"), "max_gap_frames", r(F.col("max_gap_frames") / F.col("fps"), 3).alias("max_gap_seconds"), r("mean_sim", 4).alias("mean_sim"), "anchors",

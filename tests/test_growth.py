@@ -1,7 +1,10 @@
 """What a query moves and makes, on small tables on which the earlier forms made or moved far more, or gave another result."""
 
+import functools
+import operator
+
 from curvelake import catalog, scratch
-from curvelake.operators import lifecycle
+from curvelake.operators import lifecycle, track
 
 
 def stages(spark):
@@ -43,3 +46,14 @@ def test_a_sum_of_prices_depends_on_no_order(spark, tmp_path):
     df = catalog.queries()["F22_percentages"](spark, str(tmp_path))
     assert dict(df.dtypes)["per_day"] == "bigint"
     assert sorted(map(tuple, df.collect())) == [(1, 100, 1), (2, 0, 2), (3, 50, 1)]
+
+
+def test_digits_are_those_of_the_number_as_stored(spark):
+    kind = "clip string, frame_i int, faces array<struct<bbox:array<double>,det:double,sim:double>>"
+    sims = [0.26515, 0.37025, 0.29139, 0.40015, 0.29468, 0.27884, 0.46931, 0.26242, 0.2983, 0.26313, 0.27413]  # their mean is 0.31525 less a trifle
+    face = lambda s: [([100.0, 100.0, 90.0, 90.0], 0.9, s)]
+    frames = [("a", i, face(s)) for i, s in enumerate(sims)] + [("b", i, face(0.9) if i < 57 else []) for i in range(200)] + [("c", i, face(0.9) if i < 5 else []) for i in range(40)]
+    clips = spark.createDataFrame([(c, 25.0, 1920, 720) for c in "abc"], "clip string, fps double, frame_w int, frame_h int")
+    out = {r.clip: r for r in track.build(spark.createDataFrame(frames, kind), clips, "clip")[1].collect()}
+    assert out["a"].mean_sim == round(functools.reduce(operator.add, sims) / len(sims), 4) == 0.3152
+    assert (out["b"].reasons, out["c"].reasons) == ([f"visible={57 / 200:.2f}<0.3"], [f"visible={5 / 40:.2f}<0.3"]) == (["visible=0.28<0.3"], ["visible=0.12<0.3"])
