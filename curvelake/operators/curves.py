@@ -20,20 +20,59 @@ def grid_size(end: str) -> str:
     return f"greatest(1, cast(floor({end} / {STEP}D) as int) + 1)"
 
 
-def resample(points: DataFrame, ends: DataFrame, key: str = "curve") -> DataFrame:
-    """key, k, v: on a grid of STEP, the value of the last valid point at or before k * STEP, and the first point's before it.
+def steps(points: DataFrame, ends: DataFrame, key: str = "curve") -> DataFrame:
+    """key, n, lo, hi, v: the curve on its grid of n cells as runs of cells lo to hi of one value, without gaps. There are at most as many
+    runs as points, so what is moved are points, never cells. Arguments as for ``resample``.
 
-    A point is mapped to the first cell that sees it, so points meet the grid in an equi-join and the last value is
-    carried on within the curve; a curve without points has no rows. ``points``: key, t, v, is_valid; ``ends``: key, end.
+    A point is mapped to the first cell that sees it. Points are dealt out by curve once; all that follows is done where they are.
     """
     cell = F.greatest(F.lit(0), F.ceil((F.col("t") - EPSILON) / STEP - 1e-12)).cast("int")
     own = points.where(F.coalesce("is_valid", F.lit(True))).select(key, cell.alias("k"), "t", "v")
-    last = own.groupBy(key, "k").agg(F.max_by("v", F.struct("t", "v")).alias("seen"), F.min("t").alias("t0"), F.min_by("v", F.struct("t", "v")).alias("v0"))
-    first = last.groupBy(key).agg(F.min_by("v0", F.struct("t0", "v0")).alias("first"))
-    grid = ends.join(first, key).select(key, F.expr(f"explode(sequence(0, {grid_size('end')} - 1))").alias("k"), "first")
-    before = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    seen = grid.join(last.select(key, "k", "seen"), [key, "k"], "left")
-    return seen.select(key, "k", F.coalesce(F.last("seen", ignorenulls=True).over(before), "first").alias("v"))
+    last = own.repartition(key).groupBy(key, "k").agg(F.max_by("v", F.struct("t", "v")).alias("seen"), F.min_by("v", F.struct("t", "v")).alias("v0"))
+    w = Window.partitionBy(key).orderBy("k")
+    first = F.first("v0").over(w)
+    rows = last.select(key, "k", F.lead("k").over(w).alias("next_"), first.alias("first"), (F.row_number().over(w) == 1).alias("opens_"), F.coalesce(F.last("seen", ignorenulls=True).over(w), first).alias("v"))
+    rows = rows.join(ends.select(key, F.expr(grid_size("end")).alias("n")), key)
+    run = lambda lo, hi, v: F.struct(lo.cast("int").alias("lo"), (F.least(hi, F.col("n")) - 1).cast("int").alias("hi"), v.alias("v"))
+    before = F.when(F.col("opens_"), run(F.lit(0), F.col("k"), F.col("first")))
+    runs = F.filter(F.array(before, run(F.col("k"), F.coalesce("next_", "n"), F.col("v"))), lambda r: r["lo"] <= r["hi"])
+    return rows.select(key, "n", F.explode(runs).alias("r_")).select(key, "n", "r_.*")
+
+
+def resample(points: DataFrame, ends: DataFrame, key: str = "curve") -> DataFrame:
+    """key, k, v: on a grid of STEP, the value of the last valid point at or before k * STEP, and the first point's before it.
+    A curve without points has no rows. ``points``: key, t, v, is_valid; ``ends``: key, end, one row for each curve."""
+    return steps(points, ends, key).select(key, F.explode(F.sequence("lo", "hi")).alias("k"), "v")
+
+
+def wanted(k: Column, n: Column, points: int) -> Column:
+    """Whether a cell is shown: all, if there are at most ``points``, else cells floor(i * n / points)."""
+    return (n <= points) | (F.floor(F.ceil(k * points / n) * n / points) == k)
+
+
+def shown(runs: DataFrame, points: int = 60, key: str = "curve") -> DataFrame:
+    """key, k, v: the cells that ``downsample`` leaves, made from ``steps`` alone."""
+    return runs.select(key, "n", F.explode(F.sequence("lo", "hi")).alias("k"), "v").where(wanted(F.col("k"), F.col("n"), points)).select(key, "k", "v")
+
+
+def paired(mine: DataFrame, ref: DataFrame, on: list[str]) -> DataFrame:
+    """All columns of ``mine`` but v, and mine, ref: runs of cells lo to hi that two curves both have, of their n common cells. ``mine``:
+    ``on``, others, n, lo, hi, v; ``ref``: ``on``, n, lo, hi, v."""
+    own = [c for c in mine.columns if c not in ("n", "lo", "hi", "v")]
+    other = ref.select(*on, F.col("n").alias("n_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.col("v").alias("ref"))
+    both = mine.withColumnRenamed("v", "mine").join(other, on).where("lo <= hi_ and lo_ <= hi")
+    return both.select(*own, F.least("n", "n_").alias("n"), F.greatest("lo", "lo_").alias("lo"), F.least("hi", "hi_").alias("hi"), "mine", "ref")
+
+
+def cells(runs: DataFrame) -> DataFrame:
+    """All columns but lo and hi, and k: a row for each cell."""
+    return runs.withColumn("k", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+
+
+def listed(runs: DataFrame, key: str = "curve") -> DataFrame:
+    """key, vs: the curve's cells as one array, put together from its runs."""
+    own = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "v"))).alias("r_"))
+    return own.select(key, F.flatten(F.transform("r_", lambda r: F.array_repeat(r["v"], r["hi"] - r["lo"] + 1))).alias("vs"))
 
 
 def compare(pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -48,8 +87,7 @@ def compare(pairs: DataFrame, key: list[str]) -> DataFrame:
 def downsample(grid: DataFrame, points: int = 60, key: str | list[str] = "curve") -> DataFrame:
     """At most ``points`` cells of each curve: cells floor(i * len / points)."""
     n = F.count("*").over(Window.partitionBy(key))
-    wanted = F.floor(F.ceil(F.col("k") * points / F.col("n_")) * F.col("n_") / points) == F.col("k")
-    return grid.withColumn("n_", n).where((F.col("n_") <= points) | wanted).drop("n_")
+    return grid.withColumn("n_", n).where(wanted(F.col("k"), F.col("n_"), points)).drop("n_")
 
 
 def curve_stats(points: DataFrame, key: list[str]) -> DataFrame:

@@ -21,10 +21,18 @@ def summary(compared: DataFrame) -> DataFrame:
 
 
 def detail(pairs: DataFrame, key: list[str], points: int = 60) -> DataFrame:
-    """key, mae, r, n and both curves as they are shown: ``mine`` and ``ref`` at ``points`` cells at most. ``pairs``: key, k, mine, ref."""
-    few = curves.downsample(pairs, points, key)
-    shown = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "mine", "ref"))).alias("cells_"))  # points at most
-    return curves.compare(pairs, key).join(shown, key).withColumns({c: F.col(f"cells_.{c}") for c in ("mine", "ref")}).drop("cells_")
+    """key, mae, r, n and both curves as they are shown: ``mine`` and ``ref`` at ``points`` cells at most. ``pairs``: key, k, mine, ref; or
+    key, n, lo, hi, mine, ref as ``curves.paired`` makes them, of which runs alone are moved, and the cells that aren't shown are never listed."""
+    if "lo" in pairs.columns:
+        runs = pairs.groupBy(*key).agg(F.first("n").alias("n_"), F.array_sort(F.collect_list(F.struct("lo", "hi", "mine", "ref"))).alias("runs_"))
+        seen = lambda r: F.filter(F.sequence(r["lo"], r["hi"]), lambda k: curves.wanted(k, F.col("n_"), points))
+        cells = F.flatten(F.transform("runs_", lambda r: F.transform(seen(r), lambda k: F.struct(k.alias("k"), r["mine"].alias("mine"), r["ref"].alias("ref")))))
+        rows = curves.compare(curves.cells(pairs), key).join(runs, key).withColumn("cells_", cells).drop("n_", "runs_")
+    else:
+        few = curves.downsample(pairs, points, key)
+        shown = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "mine", "ref"))).alias("cells_"))  # points at most
+        rows = curves.compare(pairs, key).join(shown, key)
+    return rows.withColumns({c: F.col(f"cells_.{c}") for c in ("mine", "ref")}).drop("cells_")
 
 
 def outliers(rows: DataFrame, factor: float = 1.5) -> DataFrame:
@@ -54,21 +62,33 @@ def notes(flat: Column, spread: Column, revisions: Column, narrow: float = 0.2,
 
 def savitzky_golay(points: DataFrame, window: int = 11, order: int = 2) -> DataFrame:
     """curve, k, v, smooth: local polynomial fits; ends are read off the first and last window. A curve with fewer points
-    than the window takes the largest odd window that fits; under four points it stays as it is. One curve is one group."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("k")
-        y, n = g.v.to_numpy(), len(g)
-        w = min(window, n if n % 2 else n - 1)
-        if n < 4 or w <= order:
-            return g.assign(smooth=y)
-        h = w // 2
-        x = np.arange(-h, h + 1)
-        fit = np.linalg.pinv(np.vander(x, order + 1, increasing=True))
-        smooth = np.convolve(y, fit[0][::-1], "same")
-        for rows, at in ((slice(0, w), slice(0, h)), (slice(n - w, n), slice(n - h, n))):
-            own = np.polynomial.polynomial.polyval(np.arange(w) - h, fit @ y[rows])
-            smooth[at] = own[:h] if at.start == 0 else own[-h:]
-        return g.assign(smooth=smooth)
-
-    return points.select("curve", "k", "v").groupBy("curve").applyInPandas(run, "curve string, k int, v double, smooth double")
+    than the window takes the largest odd window that fits; under four points it stays as it is. One curve is one row."""
+    own = points.groupBy("curve").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("p_"))
+    return smoothed(own.select("curve", F.col("p_.k").alias("ks"), F.col("p_.v").alias("vs")), window, order)
+
+
+def smoothed(lists: DataFrame, window: int = 11, order: int = 2) -> DataFrame:
+    """``savitzky_golay`` of curves that are arrays: curve, vs and, if their places aren't 0, 1, ..., ks."""
+
+    def fits(w: int) -> np.ndarray:
+        x = np.vander(np.arange(w) - w // 2, order + 1, increasing=True)
+        return x @ np.linalg.pinv(x)
+
+    @F.pandas_udf("array<double>")
+    def run(lines: pd.Series) -> pd.Series:
+        known: dict[int, np.ndarray] = {}
+        out = []
+        for line in lines:
+            y = np.asarray(line, dtype=float)
+            n = len(y)
+            w = min(window, n if n % 2 else n - 1)
+            if n >= 4 and w > order:
+                fit = known[w] if w in known else known.setdefault(w, fits(w))
+                h = w // 2
+                y = np.concatenate([fit[:h] @ y[:w], np.convolve(y, fit[h][::-1], "valid"), fit[-h:] @ y[n - w :]])
+            out.append(y)
+        return pd.Series(out)
+
+    places = F.col("ks") if "ks" in lists.columns else F.sequence(F.lit(0), F.size("vs") - 1)
+    rows = lists.select("curve", F.explode(F.arrays_zip(places.alias("k"), F.col("vs").alias("v"), run("vs").alias("smooth"))).alias("c"))
+    return rows.select("curve", F.col("c.k").cast("int").alias("k"), "c.v", F.nullif("c.smooth", F.lit(float("nan"))).alias("smooth"))

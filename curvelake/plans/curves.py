@@ -37,13 +37,20 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    own = points(spark, sf)
-    names = own.groupBy("curve").agg(F.lit(30.0).alias("end"))
-    out = curves.resample(own.select("curve", "t", "v", "is_valid"), names)
+def named(out: DataFrame) -> DataFrame:
     return out.withColumns({"rater": F.substring_index("curve", "/", 1), "task": F.substring_index("curve", "/", -1).cast("long")})
 
 
+def sampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Points, and the end of each curve."""
+    own = points(spark, sf)
+    return own.select("curve", "t", "v", "is_valid"), own.groupBy("curve").agg(F.lit(30.0).alias("end"))
+
+
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    return named(curves.resample(*sampled(spark, sf)))
+
+
 @query("T1_resample", f"WITH {GRID} SELECT curve, k, round(v, 6) AS v FROM grid")
 def resample(spark: SparkSession, sf: str) -> DataFrame:
     return grid(spark, sf).select("curve", "k", F.round("v", 6).alias("v"))
@@ -53,10 +60,14 @@ PAIRS = GRID + """, pairs AS (SELECT a.rater, a.task, a.k, a.v AS mine, b.v AS r
  cmp AS (SELECT rater, task, round(avg(abs(mine - ref)), 3) AS mae, CASE WHEN count(*) >= 3 AND stddev_pop(mine) >= 0.02 AND stddev_pop(ref) >= 0.02 THEN round(corr(mine, ref), 2) + 0 END AS r, count(*) AS n FROM pairs GROUP BY 1, 2)"""
 
 
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """rater, task, n, lo, hi, mine, ref: each curve beside that of the views of its task, in runs of cells."""
+    own = named(curves.steps(*sampled(spark, sf)))
+    return curves.paired(own.where("rater <> 'view'").select("rater", "task", "n", "lo", "hi", "v"), own.where("rater = 'view'"), ["task"])
+
+
 def compared(spark: SparkSession, sf: str) -> DataFrame:
-    own = grid(spark, sf)
-    ref = own.where("rater = 'view'").select("task", "k", F.col("v").alias("ref"))
-    return curves.compare(own.where("rater <> 'view'").withColumnRenamed("v", "mine").join(ref, ["task", "k"]), ["rater", "task"])
+    return curves.compare(curves.cells(pairs(spark, sf)), ["rater", "task"])
 
 
 @query("T2_compare", f"WITH {PAIRS} SELECT * FROM cmp")
@@ -67,16 +78,14 @@ def compare(spark: SparkSession, sf: str) -> DataFrame:
 @query("Q6_detail", f"WITH {PAIRS}, few AS (SELECT rater, task, CAST(row_number() OVER (PARTITION BY rater, task ORDER BY k) - 1 AS INTEGER) AS place, round(mine, 6) AS mine, round(ref, 6) AS ref FROM pairs WHERE k IN (SELECT CAST(floor(i * 301 / 60) AS INTEGER) FROM range(0, 60) t(i))) SELECT few.*, mae, r, n FROM few JOIN cmp USING (rater, task)")
 def detail(spark: SparkSession, sf: str) -> DataFrame:
     """Each comparison with both of its curves, cell by cell."""
-    own = grid(spark, sf)
-    ref = own.where("rater = 'view'").select("task", "k", F.col("v").alias("ref"))
-    rows = quality.detail(own.where("rater <> 'view'").withColumnRenamed("v", "mine").join(ref, ["task", "k"]), ["rater", "task"])
+    rows = quality.detail(pairs(spark, sf), ["rater", "task"])
     cells = rows.select("rater", "task", "mae", "r", "n", F.posexplode(F.arrays_zip("mine", "ref")).alias("place", "c"))
     return cells.select("rater", "task", "place", F.round("c.mine", 6).alias("mine"), F.round("c.ref", 6).alias("ref"), "mae", "r", "n")
 
 
 @query("T3_downsample", f"WITH {GRID} SELECT curve, k, round(v, 6) AS v FROM grid WHERE k IN (SELECT CAST(floor(i * 301 / 60) AS INTEGER) FROM range(0, 60) t(i))")
 def downsample(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.downsample(grid(spark, sf)).select("curve", "k", F.round("v", 6).alias("v"))
+    return curves.shown(curves.steps(*sampled(spark, sf))).select("curve", "k", F.round("v", 6).alias("v"))
 
 
 @query("T4_curve_stats", f"WITH {POINTS} SELECT curve, round(max(v) - min(v), 3) AS spread, count(v) >= 3 AND stddev_pop(v) < 0.02 AS flat FROM points WHERE is_valid GROUP BY 1")
@@ -128,7 +137,7 @@ def gap_audit(spark: SparkSession, sf: str) -> DataFrame:
 )
 def smooth(spark: SparkSession, sf: str) -> DataFrame:
     """Every grid has 301 cells, so the window is always 11 wide: a parabola fitted to each, or to the nearest at the ends."""
-    return quality.savitzky_golay(grid(spark, sf).select("curve", "k", "v")).select("curve", "k", F.round("smooth", 6).alias("smooth"))
+    return quality.smoothed(curves.listed(curves.steps(*sampled(spark, sf)))).select("curve", "k", F.round("smooth", 6).alias("smooth"))
 
 
 @query("T12_overlay", f"WITH {GRID} SELECT task, k, round(max(v) FILTER (WHERE rater = 'view'), 6) AS view, round(max(v) FILTER (WHERE rater = 'click'), 6) AS click FROM grid WHERE rater IN ('view', 'click') GROUP BY 1, 2")

@@ -2,9 +2,13 @@
 
 import functools
 import operator
+import os
+
+import pytest
+from pyspark.sql import functions as F
 
 from curvelake import catalog, scratch
-from curvelake.operators import lifecycle, track
+from curvelake.operators import curves, lifecycle, quality, track
 
 
 def stages(spark):
@@ -57,3 +61,29 @@ def test_digits_are_those_of_the_number_as_stored(spark):
     out = {r.clip: r for r in track.build(spark.createDataFrame(frames, kind), clips, "clip")[1].collect()}
     assert out["a"].mean_sim == round(functools.reduce(operator.add, sims) / len(sims), 4) == 0.3152
     assert (out["b"].reasons, out["c"].reasons) == ([f"visible={57 / 200:.2f}<0.3"], [f"visible={5 / 40:.2f}<0.3"]) == (["visible=0.28<0.3"], ["visible=0.12<0.3"])
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+@pytest.mark.parametrize("name", ["T1_resample", "T2_compare", "T3_downsample", "T9_savitzky_golay", "Q6_detail", "Q4_annotator_summary", "Q5_outliers"])
+def test_curves_move_points_not_cells(spark, name):
+    events = spark.read.parquet(f"{SF}/events.parquet").count()  # the grids have 301 cells for each curve, a curve has few points
+    _, rows = moved(spark, lambda: catalog.queries()[name](spark, SF).collect())
+    assert rows < 6 * events
+
+
+def test_pairs_of_unlike_length_and_short_curves(spark):
+    points = spark.createDataFrame([("a", 0.35, 1.0, True), ("a", 0.1, 2.0, True), ("a", 9.0, 3.0, True), ("b", 0.0, 4.0, True), ("b", 0.2, 5.0, True), ("c", 8.0, 6.0, True), ("d", 0.0, 7.0, False)], "curve string, t double, v double, is_valid boolean")
+    ends = spark.createDataFrame([("a", 0.45), ("b", 0.25), ("c", 0.15), ("d", 1.0)], "curve string, end double")
+    runs = curves.steps(points, ends)
+    cells = {c: [r.v for r in curves.resample(points, ends).where(f"curve = '{c}'").orderBy("k").collect()] for c in "abcd"}
+    assert cells == {"a": [2.0, 2.0, 2.0, 2.0, 1.0], "b": [4.0, 4.0, 5.0], "c": [6.0, 6.0], "d": []}
+    assert {r.curve: r.vs for r in curves.listed(runs).collect()} == {c: v for c, v in cells.items() if v}
+    assert sorted(r.k for r in curves.shown(runs, 2).where("curve = 'a'").collect()) == [0, 2]
+    side = lambda c: runs.where(f"curve = '{c}'").withColumn("task", F.lit(1)).drop("curve")
+    both = curves.paired(side("a"), side("b"), ["task"])
+    assert sorted((r.k, r.mine, r.ref, r.n) for r in curves.cells(both).collect()) == [(0, 2.0, 4.0, 3), (1, 2.0, 4.0, 3), (2, 2.0, 5.0, 3)]
+    by_cells = quality.detail(curves.cells(both).drop("n"), ["task"], 2).collect()
+    assert quality.detail(both, ["task"], 2).collect() == by_cells and by_cells[0].mine == [2.0, 2.0]
