@@ -87,3 +87,11 @@ def test_pairs_of_unlike_length_and_short_curves(spark):
     assert sorted((r.k, r.mine, r.ref, r.n) for r in curves.cells(both).collect()) == [(0, 2.0, 4.0, 3), (1, 2.0, 4.0, 3), (2, 2.0, 5.0, 3)]
     by_cells = quality.detail(curves.cells(both).drop("n"), ["task"], 2).collect()
     assert quality.detail(both, ["task"], 2).collect() == by_cells and by_cells[0].mine == [2.0, 2.0]
+
+
+def test_a_template_is_dealt_out_over_all_tasks(spark):
+    people = spark.createDataFrame([(i, "zh") for i in range(40)], "annotator_id long, language string")
+    template = spark.createDataFrame([("zh", t, t) for t in range(5)] + [("en", 9, 9)], "language string, task_id long, order_index long")
+    out = lifecycle.copy_template(template, people, people.where("annotator_id < 10"))
+    assert out.count() == 150 and out.distinct().count() == 150
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
