@@ -5,6 +5,7 @@ import os
 import pytest
 
 from curvelake import catalog, scratch
+from curvelake.llm import common, ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,21 @@ def test_what_is_kept_belongs_to_the_block_around(spark):
         path = os.path.dirname(kept.inputFiles()[0])
         assert scratch.names(spark, path)
     assert not scratch.names(spark, path)
+
+
+def test_tables_of_the_ngram_join_go_when_nothing_reads_them(spark, monkeypatch):
+    base, write, stood = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"), scratch.write, {}
+
+    def told(df, path):
+        stood.setdefault(os.path.basename(path).split("-")[0], {n.split("-")[0] for n in scratch.names(spark, base)})
+        return write(df, path)
+
+    monkeypatch.setattr(scratch, "write", told)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(k, " ".join([*words[: 10 * (k % 3)], f"other{k}", *words[10 * (k % 3) + 1 :]])) for k in range(12)]
+    with common.passing(spark):
+        out = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, 100).collect()}
+    assert set(out.values()) == {0}
+    assert "shared" in stood["buckets"] and "filed" in stood["buckets"]  # which are shared is known, and its shuffle gone, before the join
+    assert not {"filed", "shared"} & stood["judged"]  # what the sets file is larger than all that follows
+    assert "sets" in stood["judged"] and "sets" not in stood["prefixes"]
