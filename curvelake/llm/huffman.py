@@ -141,7 +141,7 @@ def write(docs: DataFrame, tokenizer: str, end: int, out: str, limit: int = 16)
 def write_files(docs: DataFrame, tokenizer: str, end: int, out: str, limit: int) -> None:
     spark = docs.sparkSession
     encoded = common.materialize(encode(docs, tokenizer, end), "ids")
-    size = tokens.encoder(tokenizer, True).kind.itemsize
+    size = tokens.id_bytes(tokenizer, True)
     counts = id_counts(encoded, size).toPandas().sort_values("id")  # one row for each id of the vocabulary at most
     ids, n = counts.id.to_numpy(np.int64), counts.n.to_numpy(np.int64)
     bits = code_lengths(n, limit)

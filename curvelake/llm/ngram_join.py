@@ -90,6 +90,7 @@ def widespread(docs: DataFrame, k: int) -> np.ndarray:
     step = max(1, docs.count() // HINT_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for whole in batches:
             for b in common.pieces(whole, "text"):
                 own = np.concatenate([*sets_of(b, k), np.empty(0, U64)])
@@ -111,6 +112,7 @@ def file_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     common_shingles = docs.sparkSession.sparkContext.broadcast(widespread(docs, rule.k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for whole in batches:
             for b in common.pieces(whole, "text"):
                 n, f1, f2, sigs = [], [], [], []
@@ -142,6 +144,7 @@ def parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for whole in batches:
             at = whole.column("bit").to_numpy()
             passed = whole.filter(pa.array((bits.value[at >> 6] >> (at & 63) & 1).astype(bool)))

@@ -153,7 +153,7 @@ def mixture_pack(docs: DataFrame, path: str, end: int = 1, width: int = 2048, qu
     """Pieces of all documents. ``targets``: share of each source (default: its share of all tokens); sources that it
     doesn't name come when the others have run dry. ``width`` and ``quantum``: powers of two."""
     encoded = queues(docs, path, end)
-    size = tokens.encoder(path, False).kind.itemsize
+    size = tokens.id_bytes(path, False)
     sums = common.materialize(encoded.groupBy("source", "part").agg(F.sum("n").alias("n")), "queue-sums")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     hashed = F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("int")

@@ -43,7 +43,6 @@ TASK, MEMO = 4 << 20, 64 << 20
 NEVER = -np.inf
 COLUMNS = "doc_id long, n_tokens long, ids_crc32 long, n_chunks long, text_crc32 long"
 CHUNKS = "row long, doc_id long, n long, matrix binary, wide int, enter array<int>, leave array<int>, head string, middle binary, tail string, size int"
-_loaded: dict[str, Pieces] = {}
 
 
 class Pieces:
@@ -242,9 +241,7 @@ def doors(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    return common.held(("pieces", path), lambda: Pieces(path))
 
 
 def prepared(text: str) -> str:

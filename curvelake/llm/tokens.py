@@ -36,7 +36,6 @@ SECOND[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 SOLID = np.ones(256, bool)
 SOLID[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 PLAIN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,]+)").fullmatch
-_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
 class Memo(dict):
@@ -206,9 +205,14 @@ class Encoder:
 
 
 def encoder(path: str, joined: bool) -> Encoder:
-    if (path, joined) not in _loaded:
-        _loaded[path, joined] = Encoder(path, joined)
-    return _loaded[path, joined]
+    return common.held(("encoder", path, joined), lambda: Encoder(path, joined))
+
+
+def id_bytes(path: str, joined: bool) -> int:
+    """Bytes of an id. The driver needs no more of the tokenizer, and keeps none of it."""
+    size = encoder(path, joined).kind.itemsize
+    common.release()
+    return size
 
 
 def encode_rows(batch: pa.RecordBatch, column: str, path: str, joined: bool, end: int) -> tuple[pa.Array, np.ndarray, np.dtype]:

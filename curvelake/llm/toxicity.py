@@ -31,6 +31,8 @@ SAMPLE_DOCS, SAMPLE_TEXT = 1000, 20_000
 FEATURES, LEAST_DOCS = 20_000, 4
 PREFIXES = (4, 5, 6)
 BLOCK, WINDOW = 64, 8
+#: Bytes of text judged at a time: each token takes some hundred bytes of numbers beside it.
+PIECE_BYTES = 1 << 20
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -255,7 +257,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_TEXT).join(F.broadcast(chosen), F.col("doc_id") == F.col("d_"))
     one = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
     found = one.toPandas().sort_values("doc_id")
-    return train(found.text.tolist(), found.y.to_numpy() == 1, counts[1] / (counts[0] + counts[1]))
+    model = train(found.text.tolist(), found.y.to_numpy() == 1, counts[1] / (counts[0] + counts[1]))
+    common.release()
+    return model
 
 
 def tag(docs: DataFrame, model: Model, out: str) -> DataFrame:
@@ -266,8 +270,9 @@ def tag(docs: DataFrame, model: Model, out: str) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for whole in batches:
-            for b in common.pieces(whole, text):
+            for b in common.pieces(whole, text, PIECE_BYTES):
                 data, at = common.flat(b.column(text))
                 score, p, starts, ends, offsets = shared.value.judge(data, at)
                 bad = np.flatnonzero(p >= 0.5)

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -771,3 +772,25 @@ def test_texts_beyond_a_batch_piece(spark):
     model = toxicity.learn(learned, spark.createDataFrame(marks, "doc_id long, toxic int, quality int"))
     scored = {r.doc_id: r.made2.score for r in toxicity.tag(docs, model, "made2").collect()}
     assert len(scored) == 5 and all(0 <= s <= 1 for s in scored.values())
+
+
+def test_a_process_holds_one_operators_tables():
+    """A Python worker is handed from operator to operator: a tokenizer with its memo goes when another one's tables come."""
+    first = weakref.ref(tokens.encoder(WORD_BPE, False))
+    assert tokens.encoder(WORD_BPE, False) is first()
+    model = language.Model({"en": b"some words\n", "de": b"ein paar worte\n"})
+    assert len(model.tables()) == 2 and model.tables() is model.tables()
+    assert first() is None
+    packing_size = tokens.id_bytes(WORD_BPE, False)  # as the driver asks for it
+    assert packing_size == 2 and not common._held
+
+
+def test_scores_do_not_depend_on_the_piece():
+    rows, labels = toxic_rows(77, 240)
+    of = {r[0]: r[1] == 1 for r in labels}
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["text"])
+    marks = np.array([of.get(i, False) for i, _ in rows])
+    model = toxicity.train([t for _, t in rows], marks, 0.2)
+    whole = model.judge(*common.flat(batch.column(0)))[0]
+    cut = [model.judge(*common.flat(b.column(0)))[0] for b in common.pieces(batch, 0, 3000)]
+    assert len(cut) > 5 and whole.max() > 0.3 and np.allclose(np.concatenate(cut), whole, rtol=0, atol=1e-12)
