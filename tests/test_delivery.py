@@ -3,8 +3,10 @@
 import collections
 import datetime
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from curvelake.operators import chains, costs, curves, monitor
@@ -67,6 +69,67 @@ def test_a_gap_is_given_up_in_time_and_what_comes_after_all_is_late(spark, base)
     assert [(r[1], r[3], r[6]) for r in out[5:]] == [(3, "x3", True), (9, "x9", False), (2, "x2", True), (7, "x7", True)]
 
 
+class Kept:
+    """Stands in for the handle and its states, and counts what would go through the JVM."""
+
+    def __init__(self):
+        self.calls, self.of, self.timers = 0, {}, set()
+
+    def state(self, name, *_):
+        handle = self
+
+        class State:
+            def get(self):
+                handle.calls += 1
+                return iter(handle.of.get(name, ())) if name != "at" else handle.of.get(name)
+
+            def update(self, value):
+                handle.calls += 1
+                handle.of[name] = value
+
+            put = update
+
+            def appendValue(self, value):
+                handle.calls += 1
+                handle.of[name] = [*handle.of.get(name, ()), value]
+
+            def clear(self):
+                handle.calls += 1
+                handle.of.pop(name, None)
+
+        return State()
+
+    getValueState = getListState = getMapState = state
+
+    def registerTimer(self, at_ms):
+        self.calls += 1
+        self.timers.add(at_ms)
+
+    def deleteTimer(self, at_ms):
+        self.calls += 1
+        self.timers.remove(at_ms)
+
+
+def test_a_batch_takes_few_calls_however_many_chunks_wait(spark):
+    kept, until = Kept(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    release = delivery.Release(1000)
+    release.init(kept)
+    row = lambda i, at_s: {"at_us": at_s * 1_000_000, "index": i, "size": 1, "payload": f"p{i}"}
+    for k in range(3):  # every chunk but the first of each ten, twice
+        before = kept.calls
+        sent = [row(i, i) for i in range(k, 300, 3) if i % 10] * 2
+        assert not list(release.handleInputRows(("x",), iter([Row(**r) for r in sent]), until))
+        assert kept.calls - before <= 6
+    assert kept.timers == {2000}
+    before, until.getCurrentWatermarkInMs = kept.calls, lambda: 100_000
+    out = list(release.handleExpiredTimer(("x",), until, None))
+    assert kept.calls - before <= 7 and [r["index"] for r in out] == [i for i in range(100) if i % 10]
+    assert [r.place for r in out] == list(range(90)) and {r.skipped for r in out} == {0, 1} and kept.timers == {102_000}
+    before = kept.calls
+    late = list(release.handleInputRows(("x",), iter([Row(**row(i, 200)) for i in range(100)] * 2), until))
+    assert [(r["index"], r["late"]) for r in late] == [(i, True) for i in range(0, 100, 10)] and kept.calls - before <= 5
+
+
 def test_a_job_that_fails_half_way_leaves_nothing_and_runs_again_once(spark, base):
     rows = spark.range(1000, numPartitions=4)
 
