@@ -17,8 +17,8 @@ from curvelake.functions.scalars import cosine, unit
 
 #: Cosine from which two faces count as one person, and the bands of a match.
 SAME, OK, REVIEW = 0.363, 0.55, 0.28
-#: Vectors in a block, vectors that share a copy of the pivots, and parts in which block pairs are found.
-BLOCK, SHARE, SALTS = 512, 8192, 8
+#: Vectors in a block, vectors that share a copy of the pivots, parts in which block pairs are found, and blocks in a bundle.
+BLOCK, SHARE, SALTS, TILE = 512, 8192, 8, 32
 
 
 def blocks(vectors: DataFrame, group: str, size: int = BLOCK) -> DataFrame:
@@ -99,31 +99,59 @@ def block_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool)
     return (met.where("a <= b") if same else met).where(gap - F.col("ra") - F.col("rb") <= reach).select("a", "b")
 
 
+def tiled(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """g, ta, tb, a, b: block pairs with the square that they lie in, by the bundles of about TILE blocks that a group's blocks are dealt to."""
+
+    def bundles(own: DataFrame, x: str) -> DataFrame:
+        sizes = own.groupBy("g").agg(F.count("*").alias("n_"))
+        return own.select("g", "block").join(sizes, "g").select("g", F.col("block").alias(x), F.pmod(F.xxhash64("block"), F.ceil(F.col("n_") / TILE)).alias("t" + x))
+
+    met = pairs.join(bundles(left, "a"), "a").join(bundles(right, "b").drop("g"), "b")
+    over = (F.col("ta") > F.col("tb")) if left is right else F.lit(False)  # of one list, a square and its mirror image are the same
+    turned = [F.when(over, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("ta", "tb"), ("tb", "ta"), ("a", "b"), ("b", "a"))]
+    return scratch.materialize(met.select("g", *turned), "tiles")
+
+
 def block_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, hits_only: bool) -> DataFrame:
-    """g, a, b, sim of the vectors in ``pairs`` of blocks at or above the threshold; with ``hits_only`` g and a of those that have any."""
-    kind = left.schema["ids"].dataType.elementType
+    """g, a, b, sim of the vectors in ``pairs`` of blocks at or above the threshold; with ``hits_only`` g and a of those that have any. A block is
+    sent once to each square of block pairs that needs it, not once for each pair; a task holds the blocks of one square."""
+    kind, parts = left.schema["ids"].dataType.elementType, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = [StructField("g", left.schema["g"].dataType), StructField("a", kind)] + ([] if hits_only else [StructField("b", kind), StructField("sim", DoubleType())])
+    other = int(left is not right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square, held = None, {}
         for batch in batches:
-            for b in (batch.slice(i, 1) for i in range(batch.num_rows)):
-                ids = [b.column(c).flatten() for c in ("ia", "ib")]
-                x, y = (np.frombuffer(b.column(c)[0].as_buffer()).reshape(len(own), -1) for c, own in zip(("va", "vb"), ids, strict=True))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("g", "ta", "tb", "side", "a", "b")), strict=True)
+            for k, (g, ta, tb, side, a, b) in enumerate(keys):
+                if (g, ta, tb) != square:
+                    square, held = (g, ta, tb), {}
+                if side < 2:
+                    ids = batch.column("ids")[k].values
+                    held[side, a] = ids.take(pa.array(range(len(ids)))), np.frombuffer(batch.column("body")[k].as_buffer()).reshape(len(ids), -1).copy()
+                    continue
+                (ia, x), (ib, y) = held[0, a], held[other, b]
                 sim = x @ y.T
                 hit = sim >= threshold
                 if hits_only:
                     i = np.flatnonzero(hit.any(axis=1))
-                    cols = [ids[0].take(pa.array(i))]
+                    cols = [ia.take(pa.array(i))]
                 else:
-                    if b.column("a")[0].as_py() == b.column("b")[0].as_py():
+                    if not other and a == b:
                         hit = np.triu(hit, 1)
                     i, j = np.nonzero(hit)
-                    cols = [ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(sim[i, j])]
-                yield pa.RecordBatch.from_arrays([b.column("g").take(pa.array(np.zeros(len(i), np.int64))), *cols], [f.name for f in fields])
-
-    body = lambda df, x, *more: df.select(F.col("block").alias(x), F.col("ids").alias("i" + x), F.col("body").alias("v" + x), *more)
-    met = pairs.join(body(left, "a", "g"), "a").join(body(right, "b"), "b").select("g", "a", "b", "ia", "ib", "va", "vb")
-    return met.mapInArrow(run, StructType(fields))
+                    cols = [ia.take(pa.array(i)), ib.take(pa.array(j)), pa.array(sim[i, j])]
+                yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(np.full(len(i), k))), *cols], [f.name for f in fields])
+
+    met = tiled(pairs, left, right)
+    body = lambda df, side: df.select(F.lit(side).alias("side"), F.col("block").alias("a"), "ids", "body")
+    need = lambda x, side: met.select("g", "ta", "tb", F.lit(side).alias("side"), F.col(x).alias("a"))
+    bodies = body(left, 0).union(body(right, 1)) if other else body(left, 0)
+    sent = need("a", 0).union(need("b", other)).distinct().join(bodies, ["side", "a"]).withColumn("b", F.lit(None).cast("long"))
+    asked = met.withColumns({"side": F.lit(2), "ids": F.lit(None).cast(left.schema["ids"].dataType), "body": F.lit(None).cast("binary")})
+    columns = ["g", "ta", "tb", "side", "a", "b", "ids", "body"]
+    rows = sent.select(*columns).union(asked.select(*columns)).repartition(parts, "g", "ta", "tb")
+    return rows.sortWithinPartitions("g", "ta", "tb", "side").mapInArrow(run, StructType(fields))
 
 
 def similar_pairs(vectors: DataFrame, group: str, threshold: float = SAME, size: int = BLOCK) -> DataFrame:

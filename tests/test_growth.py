@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvelake import catalog, scratch
-from curvelake.operators import curves, lifecycle, quality, track
+from curvelake.operators import curves, graph, lifecycle, quality, track
 from curvelake.sources import files
 
 
@@ -108,3 +108,22 @@ def test_documents_are_listed_in_few_tasks(spark, tmp_path):
     read = files.read_documents(spark, f"{tmp_path}/docs", "annotator_id string, attempts array<struct<attempt_id:long, samples:array<struct<v:double>>>>")
     assert all(s.numTasks() <= 4 for k, s in stages(spark).items() if k not in before)  # not one for each of 80 folders
     assert sorted((int(r.annotator_id), r.attempts[0].attempt_id, r.attempts[0].samples[0].v) for r in read.collect()) == [(i, i, 0.5) for i in range(80)]
+
+
+def test_a_block_is_sent_once_to_each_square_of_pairs(spark, monkeypatch):
+    """Vectors without cells: 40 blocks and more, all of whose pairs have to be compared."""
+    import numpy as np
+
+    v = np.random.default_rng(9).normal(size=(640, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([("g", i, x.tolist()) for i, x in enumerate(v)], "g string, id long, v array<double>")
+    own = graph.blocks(rows, "g", 16)
+    n, pairs = own.count(), scratch.materialize(graph.block_pairs(own, own, 0.5, True), "pairs")
+    assert n >= 40 and pairs.count() > n * n // 4
+    monkeypatch.setattr(graph, "TILE", 16)
+    before = stages(spark)
+    found = graph.block_matches(pairs, own, own, 0.5, False).where("a <> b").collect()
+    size = sum(s.shuffleWriteBytes() for k, s in stages(spark).items() if k not in before)
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.5, 1))
+    assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in found) == sorted(zip(i.tolist(), j.tolist(), strict=True))
+    assert size < 12 * v.nbytes  # each pair of blocks with both bodies: over 20 times
