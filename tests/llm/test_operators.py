@@ -275,6 +275,28 @@ def test_ngram_join_null_repeated_ids_and_empty_tables(spark):
     assert ngram_join.ngram_join(make(spark, texts).limit(0), 3, 90, 100).count() == 0
 
 
+def test_ngram_join_keeps_little_at_a_time(spark, monkeypatch):
+    """Shared fragments are found in bands, none with most of them; differences are held for sets that meet a third one only."""
+    alone, trio = prose(81, 30, 90), prose(82, 6, 90)
+    texts = [t + x for t in alone for x in ("", " zz")] + [t + x for t in trio for x in ("", " one", " two", " one two")]
+    docs = make(spark, texts)
+    seen = collections.defaultdict(list)
+
+    def kept(df, name, keep=False, old=common.materialize):
+        out = old(df, name, keep)
+        seen[name].append(out.collect())
+        return out
+
+    monkeypatch.setattr(common, "materialize", kept)
+    got = ngram_join.ngram_join(docs, 3, 80, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(list(enumerate(texts)), 3, 80, 100)
+    sizes = [len(x) for x in seen["shared"]]
+    assert len(sizes) == ngram_join.BANDS and max(sizes) < 0.5 * sum(sizes)
+    met = {(r.a, r.b): r.met for r in seen["pairs"][0]}
+    assert {r.met for r in seen["pairs"][0]} == {True, False}
+    assert all(bool(r.delta) == met[r.a, r.b] for r in seen["judged"][0])
+
+
 def brute_quality(x):
     w = re.findall(r"[^\x20\x09-\x0D]+", x)
     own = [y for y in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
