@@ -108,7 +108,7 @@ def encode(docs: DataFrame, path: str, end: int, joined: bool = True) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.pieces(whole, "text"):
+            for b in common.pieces(whole, "text", tokens.SLICE):
                 ids, n, _ = tokens.encode_rows(b, "text", path, joined, end)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(n), ids], ["doc_id", "tie", "n_tokens", "ids"])
 

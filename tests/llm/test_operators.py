@@ -74,6 +74,23 @@ def test_unbroken_junk_leaves_the_memo_empty():
     assert not e.memo and not e.memo.old
 
 
+@pytest.mark.parametrize(("path", "joined"), [(BYTE_BPE, True), (WORD_BPE, False)])
+def test_words_before_marks_are_spans_of_their_own(path, joined, monkeypatch):
+    """The library's search for pieces isn't needed for them, and the word is encoded once whatever follows it."""
+    rng, e = random.Random(2), tokens.Encoder(path, joined)
+    texts = [f"{w}{m} again {w}{n}" for w in ("Wörter", "some", "élan") for m in ("%%%", "!!", "***", "&&&", "###", "$.,") for n in ("", "!", " $$$")]
+    odd = ["".join(rng.choice("ab  .,!#$%&*\n'é1　\tÜ?|<") for _ in range(rng.randrange(30))) for _ in range(1500)]
+    for own in (texts, odd):
+        raw = [x.encode() for x in own]
+        want = [[*x.ids, 7] for x in e.tokenizer.encode_batch(own, add_special_tokens=False)]
+        with monkeypatch.context() as m:
+            if own is texts:
+                m.setattr(e, "whole", None)
+            ids, at = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])), 7)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == want
+    assert sum(b"some" in k for k in e.memo) <= 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 300, 5000])
 def test_huffman_codes_are_prefix_free_short_and_reversible(n):
     rng = np.random.default_rng(n)
