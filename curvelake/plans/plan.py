@@ -63,9 +63,9 @@ def balance(spark: SparkSession, sf: str) -> DataFrame:
 )
 def preflight(spark: SparkSession, sf: str) -> DataFrame:
     """What a plan needs and what is there, before it is made."""
-    heads = {r.annotator_id: r.language for r in people(spark, sf).collect()}  # one row for each person
+    speakers, others = allocation.heads(people(spark, sf), "zh")
     counts = {(r.modality, r.exclusive): r["count"] for r in pool(spark, sf).groupBy("modality", "exclusive").count().collect()}
-    return spark.createDataFrame(allocation.preflight(counts, heads, COVERAGE, "zh", QUOTA), "check string, needed long, there long")
+    return spark.createDataFrame(allocation.preflight(counts, speakers, others, COVERAGE, QUOTA), "check string, needed long, there long")
 
 
 QUEUE_ROWS = f"""WITH {panel.QUEUE}, r AS (SELECT annotator_id, assignment_id AS sample_id, {MODALITIES}[task_id % 5 + 1] AS modality, is_anchor FROM q WHERE status = 'active')"""

@@ -1,5 +1,6 @@
 """What a query moves and makes, on small tables on which the earlier forms made or moved far more, or gave another result."""
 
+import collections
 import functools
 import glob
 import json
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvelake import catalog, scratch
-from curvelake.operators import curves, graph, lifecycle, quality, track
+from curvelake.operators import allocation, curves, graph, lifecycle, quality, track
 from curvelake.sources import files
 
 
@@ -142,6 +143,32 @@ def test_bundled_documents_are_the_same_documents(spark, tmp_path):
     assert sorted(d["annotator_id"] for d in whole) == [r.annotator_id for r in sorted(out[0], key=lambda r: r.annotator_id)]
 
 
+def test_people_are_dealt_to_by_counts(spark, monkeypatch):
+    """Nothing that the driver holds has a row for each person."""
+    pool = spark.range(3000).select(F.col("id").alias("sample_id"), F.explode(F.array(*map(F.lit, ["face", "body", "text", "full"]))).alias("modality"))
+    pool = pool.withColumn("exclusive", (F.col("modality") == "text") & (F.col("sample_id") < 100))
+    people = spark.range(700).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("annotator_id"), F.when(F.col("id") % 5 == 0, "zh").when(F.col("id") % 7 > 0, "en").alias("language"))
+    held, collect, create = [], type(pool).collect, type(spark).createDataFrame
+    with monkeypatch.context() as m:
+        m.setattr(type(pool), "collect", lambda df: held.append(collect(df)) or held[-1])
+        m.setattr(type(spark), "createDataFrame", lambda self, rows, *a, **k: held.append(rows) or create(self, rows, *a, **k))
+        plan = allocation.assign(pool, people, 2, 5, {"full": 3})
+    assert held and max(map(len, held)) < 100
+    rows = plan.join(people, "annotator_id").join(pool, ["sample_id", "modality"]).collect()
+    assert len(rows) == len({(r.sample_id, r.modality, r.annotator_id) for r in rows}) == 24_000
+    loads, copies = collections.Counter(r.annotator_id for r in rows), collections.Counter((r.sample_id, r.modality) for r in rows)
+    assert set(copies.values()) == {2} and len(loads) == 700 and max(loads.values()) - min(loads.values()) <= 2
+    assert all(r.language == "zh" for r in rows if r.exclusive)
+    assert set(collections.Counter(r.annotator_id for r in rows if r.language == "zh" and r.modality == "full").values()) == {3}
+
+
+def test_there_are_no_more_lots_with_more_people():
+    dealt = [allocation.lots({("a", True): 11 * k, ("a", False): 301 * k, ("b", False): 299 * k, ("c", False): 303 * k, ("d", False): 307 * k}, 7 * k, 22 * k + 1, 3, {"a": 2}) for k in (1, 100_000)]
+    assert all(len(x) < 40 for x in dealt)
+    for x, k in zip(dealt, (1, 100_000), strict=True):
+        assert sum((y.last - y.first + 1) * y.each for y in x) == 3 * (11 + 301 + 299 + 303 + 307) * k
+
+
 def test_a_block_is_sent_once_to_each_square_of_pairs(spark, monkeypatch):
     """Vectors without cells: 40 blocks and more, all of whose pairs have to be compared."""
     import numpy as np
