@@ -101,6 +101,23 @@ def test_a_template_is_dealt_out_over_all_tasks(spark):
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_a_template_takes_little_room(spark, tmp_path, monkeypatch):
+    """Everybody gets all tasks of their language, and what is written repeats itself."""
+    monkeypatch.setattr(lifecycle, "SLICE", 1000)
+    people = spark.range(2500).select((F.col("id") * 7919 % 1_000_003).alias("annotator_id"), F.when(F.col("id") % 3 == 0, "zh").when(F.col("id") % 500 != 1, "en").alias("language"))
+    people = people.union(spark.createDataFrame([(None, "zh")], "annotator_id long, language string"))
+    template = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "zh").otherwise("en").alias("language"), (F.col("id") * 104_729 % 1_000_003).alias("task_id"), F.col("id").alias("order_index"))
+    having = people.where("annotator_id % 5 = 0")
+    out = lifecycle.copy_template(template, people, having)
+    out.write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    want = people.where("annotator_id is null or annotator_id % 5 > 0").join(template, "language").select("annotator_id", "task_id", "order_index")
+    assert rows.exceptAll(want).count() == want.exceptAll(rows).count() == 0
+    n = rows.count()
+    assert n > 2_500_000 and rows.where("annotator_id is null").count() == 1500
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/out/*.parquet")) < n  # more than two bytes a row with one annotator after the other
+
+
 def test_documents_are_listed_in_few_tasks(spark, tmp_path):
     at = F.timestamp_seconds(F.col("id"))
     attempts = spark.range(80).select(F.col("id").alias("attempt_id"), F.col("id").alias("annotator_id"), at.alias("started_at"))
